@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
 from .jaccard import jaccard_components
+from .quality import score_quality, train_quality
+
+#: A document of at least this score is taken for label 1.
+QUALITY_CUT = 0.3
+
+
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_quality(docs, read_table(spark, sf_dir, "labels").filter(~held_out()))
+    scored = score_quality(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
