@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .jaccard import jaccard_components
 from .quality import score_quality, train_quality
+from .secrets import scan_secrets, train_secrets
 
 #: A document of at least this score is taken for label 1.
 QUALITY_CUT = 0.3
@@ -19,6 +20,12 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = scan_secrets(docs, train_secrets(docs))
+    return found.withColumn("candidate", F.sha2("candidate", 256)).withColumnRenamed("candidate", "candidate_sha256")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train_quality(docs, read_table(spark, sf_dir, "labels").filter(~held_out()))
