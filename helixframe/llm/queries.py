@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .jaccard import jaccard_components
+from .mixing import mix_sources
 from .quality import score_quality, train_quality
 from .secrets import scan_secrets, train_secrets
 
@@ -37,6 +38,11 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op10_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(read_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", *(F.col(f"__{c}").alias(c) for c in ("source", "lang", "topic", "tokens", "probability", "kept")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
