@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import new_path, read_table
 from .jaccard import jaccard_components
 from .mixing import mix_sources
+from .packing import pack_documents, stored_sequences, write_matrices
 from .quality import score_quality, train_quality
 from .secrets import scan_secrets, train_secrets
 
@@ -21,12 +22,20 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = scan_secrets(docs, train_secrets(docs))
     return found.withColumn("candidate", F.sha2("candidate", 256)).withColumnRenamed("candidate", "candidate_sha256")
 
 
+def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_sequences(write_matrices(read_table(spark, sf_dir, "documents"), new_path(spark, "matrices")))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train_quality(docs, read_table(spark, sf_dir, "labels").filter(~held_out()))
