@@ -13,6 +13,7 @@ from .mixing import mix_sources
 from .packing import pack_documents, stored_sequences, write_matrices
 from .quality import score_quality, train_quality
 from .secrets import scan_secrets, train_secrets
+from .warc import read_warc, write_warc
 
 #: A document of at least this score is taken for label 1.
 QUALITY_CUT = 0.3
@@ -22,6 +23,12 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
 
+def op1_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = new_path(spark, "warc")
+    write_warc(read_table(spark, sf_dir, "pages"), out)
+    return read_warc(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
@@ -56,5 +63,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: SQL for the queries that SQL can express.
+ORACLE = {
+    "op1_warc_writer": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        d AS (SELECT page_id, octet_length(payload) AS n, sha256(payload) AS h FROM p),
+        f AS (SELECT h, min(page_id) AS first FROM d GROUP BY h)
+        SELECT page_id, n AS payload_bytes, h AS payload_digest,
+               CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
+        FROM d JOIN f USING (h)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
