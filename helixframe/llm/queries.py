@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, read_table
+from .fingerprint import compare_with_next, fit_rarity
 from .jaccard import jaccard_components
 from .mixing import mix_sources
 from .packing import pack_documents, stored_sequences, write_matrices
@@ -43,6 +44,11 @@ def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_sequences(write_matrices(read_table(spark, sf_dir, "documents"), new_path(spark, "matrices")))
 
 
+def op7_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return compare_with_next(docs, fit_rarity(docs))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train_quality(docs, read_table(spark, sf_dir, "labels").filter(~held_out()))
