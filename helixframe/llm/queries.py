@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import new_path, read_table
 from .fingerprint import compare_with_next, fit_rarity
 from .jaccard import jaccard_components
+from .media import read_media, store_media
 from .mixing import mix_sources
 from .packing import pack_documents, stored_sequences, write_matrices
 from .quality import score_quality, train_quality
@@ -40,6 +41,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("candidate", F.sha2("candidate", 256)).withColumnRenamed("candidate", "candidate_sha256")
 
 
+def op4_media_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_media(store_media(read_table(spark, sf_dir, "documents")))
+
+
 def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_sequences(write_matrices(read_table(spark, sf_dir, "documents"), new_path(spark, "matrices")))
 
