@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import new_path, read_table
 from .fingerprint import compare_with_next, fit_rarity
+from .html_text import extract_main_text, train_extractor
 from .jaccard import jaccard_components
 from .media import read_media, store_media
 from .mixing import mix_sources
@@ -49,6 +50,11 @@ def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_sequences(write_matrices(read_table(spark, sf_dir, "documents"), new_path(spark, "matrices")))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return extract_main_text(pages, train_extractor(pages))
+
+
 def op7_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return compare_with_next(docs, fit_rarity(docs))
