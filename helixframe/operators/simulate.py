@@ -1,0 +1,35 @@
+"""Mutated copies of sequences, for accuracy studies."""
+
+from __future__ import annotations
+
+from math import exp
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def raw_rate(d: float) -> float:
+    """Share of differing letters at a Jukes-Cantor distance."""
+    return 0.75 * (1 - exp(-4 * d / 3))
+
+
+def mutated(seq: Column, seed: Column, rate: float) -> Column:
+    """``seq`` with about this share of its letters replaced by another, by a hash of place and seed."""
+
+    def letter(x: Column, k: Column) -> Column:
+        h = F.pmod(F.xxhash64(seed, k), F.lit(3_000_000))
+        place = F.instr(F.lit("ACGT"), x)
+        other = F.substring(F.lit("ACGTACG"), (place + 1 + (h % 3)).cast("int"), F.lit(1))
+        return F.when((place > 0) & (h < int(rate * 3_000_000)), other).otherwise(x)
+
+    return F.array_join(F.transform(F.split(seq, ""), letter), "")
+
+
+def with_copies(sequences: DataFrame, ds: list[float], jc: bool = True) -> DataFrame:
+    """(pair, d, seq_id, seq, len): each sequence and its copy at each distance d; a pair has ids 2k and 2k + 1."""
+    rows = sequences.select("seq_id", "seq", F.posexplode(F.array(*(F.lit(float(d)) for d in ds))).alias("at", "d"))
+    copy = F.lit("")
+    for k, d in enumerate(ds):
+        copy = F.when(F.col("at") == k, mutated(F.col("seq"), F.concat_ws("/", "seq_id", "at"), raw_rate(d) if jc else d)).otherwise(copy)
+    both = rows.select((F.col("seq_id") * len(ds) + F.col("at")).alias("pair"), "d", F.posexplode(F.array(F.col("seq"), copy)).alias("side", "seq"))
+    return both.select("pair", "d", (F.col("pair") * 2 + F.col("side")).alias("seq_id"), "seq", F.length("seq").cast("long").alias("len"))
