@@ -82,7 +82,8 @@ def _rake_on_driver(cells: DataFrame, targets: Mapping[str, Mapping[str, float]]
         index.append(at)
         goals.append(np.array([share[v] for v in values], float))
     rows["weight"] = rake(seed, np.array(index), goals)
-    return cells.sparkSession.createDataFrame(rows[[f"__{a}" for a in AXES] + ["n", "weight"]])
+    values = rows[[f"__{a}" for a in AXES] + ["n", "weight"]].values.tolist()
+    return cells.sparkSession.createDataFrame(values, "__source string, __lang string, __topic string, n long, weight double")
 
 
 def _rake_on_spark(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], rounds: int) -> DataFrame:

@@ -1,0 +1,339 @@
+"""Each operator against brute force, an exact round trip or held-out accuracy, and on odd tables."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+from math import log2
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from helixframe.llm import fingerprint, html_text, jaccard, media, mixing, packing, quality, secrets, tokens, warc, webp
+from helixframe.llm.components import components
+from helixframe.llm.queries import queries
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs_of(spark, texts, start=1):
+    return spark.createDataFrame([(k, t, "en", f"s{k % 2}", None if t is None else len(t)) for k, t in enumerate(texts, start)], DOCS)
+
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def prose(seed, n):
+    rng = np.random.default_rng(seed)
+    return " ".join(WORDS[k] + str(k * 7 % 3) for k in rng.integers(0, len(WORDS), n))
+
+
+ODD = [None, "", "  \n ", "one", "a b c d", "x" * 5000, "é" * 700 + " ü", prose(1, 300), prose(1, 300), prose(1, 290) + " end of it all", "<|endoftext|> in a text"]
+
+
+def shingles(text):
+    low = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def brute_components(texts):
+    sets = {k: shingles(t) for k, t in texts.items()}
+    label = {k: k for k in texts}
+
+    def find(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for a in texts:
+        for b in texts:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                label[max(x, y)] = min(x, y)
+    return {k: (len(sets[k]), find(k)) for k in texts}
+
+
+def test_jaccard_against_brute_force(spark):
+    rng = np.random.default_rng(0)
+    base, texts = prose(5, 120).split(), {}
+    for k in range(60):  # one large family around a source: most are linked to it, not to each other
+        w = list(base)
+        for at in rng.integers(0, 120, rng.integers(0, 5)):
+            w[at] = f"w{rng.integers(1000)}"
+        texts[k] = " ".join(w)
+    common = prose(9, 60)
+    for k in range(60, 110):  # a passage that many texts share
+        texts[k] = prose(k, int(rng.integers(20, 200))) + " " + common
+    for k in range(110, 121):
+        texts[k] = ODD[k - 110]
+    texts |= {121: "ONE", 122: "one", 123: texts[3]}
+    rows = docs_of(spark, []).unionByName(spark.createDataFrame([(k, t, "en", "s", 0) for k, t in texts.items()], DOCS)).withColumn("key", F.lit(1)).withColumn("component", F.lit("x"))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(rows).collect()}
+    assert got == brute_components(texts)
+
+
+def test_jaccard_odd_tables(spark):
+    assert jaccard.jaccard_components(docs_of(spark, [])).count() == 0
+    again = docs_of(spark, ["a b c d e f"] * 3).withColumn("doc_id", F.lit(7).cast("long"))
+    assert {tuple(r) for r in jaccard.jaccard_components(again).collect()} == {(7, 2, 7)}
+
+
+def test_components_of_a_path(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (5, 5)], "a long, b long")
+    assert {tuple(r) for r in components(edges).collect()} == {(k, 0) for k in range(41)} | {(100, 100), (101, 100)}
+
+
+def test_quality(spark):
+    good, bad = [prose(k, 60) for k in range(120)], [" ".join(["spam|"] * 40 + [w] * 5) for w in WORDS * 2]
+    rows = docs_of(spark, good + bad + ODD)
+    labels = spark.createDataFrame([(k, int(k <= 120)) for k in range(1, 161) if k % 4] + [(None, 1), (3, None)], "doc_id long, quality int")
+    model = quality.train_quality(rows, labels)
+    scored = {r["doc_id"]: r["score"] for r in quality.score_quality(rows.withColumn("score", F.lit(9.0)), model).collect()}
+    held = [k for k in range(1, 161) if k % 4 == 0]
+    assert np.mean([(scored[k] >= 0.5) == (k <= 120) for k in held]) > 0.95
+    assert len(scored) == rows.count() and all(0 <= s <= 1 for s in scored.values())
+    n = len(good + bad)
+    assert scored[n + 1] == scored[n + 2] and scored[n + 8] == scored[n + 9]
+    empty = quality.train_quality(docs_of(spark, []), labels.limit(0))
+    assert [r["score"] for r in quality.score_quality(docs_of(spark, ["a b"]), empty).collect()] == [0.5]
+
+
+def test_secrets(spark):
+    token, sha = hashlib.sha1(b"1").hexdigest(), hashlib.sha1(b"2").hexdigest()
+    texts = [*ODD, f'here token = "{token}" and again {token}.', f"see commit {sha} of it", "mail a.b@mail3.example.com now 2023", f"AWS key AKIA{'Q7Z2M4K8X1P9L3T6'} in use"]
+    rows = docs_of(spark, texts).withColumn("path", F.lit("x"))
+    model = secrets.train_secrets(rows)
+    labelled = model.score(secrets.labelled_findings(rows))
+    assert labelled.filter((F.col("score") >= 0.5) == (F.col("label") == 1)).count() > 0.97 * labelled.count()
+    found = {(r["doc_id"], r["candidate"]): r for r in secrets.scan_secrets(rows, model).collect()}
+    hit = found[12, token]
+    assert hit["is_secret"] and hit["occurrences"] == 2 and hit["start"] == texts[11].index(token) and hit["length"] == 40
+    assert not found[13, sha]["is_secret"] and not any(r["is_secret"] for (k, _), r in found.items() if k == 14)
+    assert any(r["is_secret"] for (k, _), r in found.items() if k == 15)
+    clean = {r["doc_id"]: r for r in secrets.redact_secrets(rows, model).collect()}
+    assert len(clean) == len(texts) and token not in clean[12]["text"] and clean[12]["n_chars"] == len(clean[12]["text"])
+    assert all(clean[k]["text"] == texts[k - 1] for k in (*range(1, 12), 13, 14))
+    assert secrets.scan_secrets(docs_of(spark, []), secrets.train_secrets(docs_of(spark, []))).count() == 0
+
+
+def test_mixing(spark):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(k, prose(k, int(rng.integers(5, 40))), None if k % 7 == 0 else "en" if k % 3 else "de", "big" if k % 4 else f"s{k % 5}", 0) for k in range(600)], DOCS).withColumn("__kept", F.lit("mine")).drop("__kept")
+    targets = {"source": {"big": 0.4, "s0": 0.2, "s1": 0.1, "s2": 0.1, "s3": 0.1, "s4": 0.1}}
+    for cells in (10_000, 1):
+        w = mixing.mixing_weights(rows, targets, driver_cells=cells).toPandas()
+        shares = w.groupby("__source")["weight"].sum() / w["weight"].sum()
+        assert all(abs(shares[k] - v) < 1e-3 for k, v in targets["source"].items())
+        assert w["probability"].max() == 1 and (w["probability"] > 0).all()
+    mixed = mixing.mix_sources(rows, targets)
+    assert mixed.count() == 600
+    expected = mixed.groupBy("__source").agg(F.sum(F.col("__tokens") * F.col("__probability")).alias("e")).toPandas().set_index("__source")["e"]
+    assert abs(expected["big"] / expected.sum() - 0.4) < 1e-3
+    assert mixed.filter("__kept").count() == mixing.mix_sources(rows, targets).filter("__kept").count()
+    assert mixing.mix_sources(docs_of(spark, [])).count() == 0 and mixing.mix_sources(docs_of(spark, ODD)).count() == len(ODD)
+
+
+def test_rake_against_plain_loops():
+    seed, index = np.array([4.0, 1, 3, 2, 5, 0]), np.array([[0, 0, 1, 1, 2, 2], [0, 1, 0, 1, 0, 1]])
+    w = mixing.rake(seed, index, [np.array([0.5, 0.3, 0.2]), np.array([0.6, 0.4])])
+    assert np.allclose(np.bincount(index[0], w), [0.5, 0.3, 0.2], atol=1e-4) and np.allclose(np.bincount(index[1], w), [0.6, 0.4], atol=1e-4)
+
+
+@pytest.mark.parametrize("pack", [packing.best_two_fit, packing.best_fit_decreasing])
+def test_packers(pack):
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 50, 3000):
+        lengths = rng.integers(1, 101, n).tolist()
+        bins = pack(lengths, 100)
+        assert sorted(i for b in bins for i in b) == list(range(n)) and all(sum(lengths[i] for i in b) <= 100 for b in bins)
+        assert len(bins) <= -(-sum(lengths) // 100) * 1.03 + 1
+    assert [sorted(b) for b in packing.best_two_fit([60, 55, 35, 5], 100)][0] == [0, 2, 3] or pack is not packing.best_two_fit
+
+
+def test_two_items_replace_the_smallest():
+    # 70 + 20 leaves 10; the 20 makes way for 16 + 14
+    bins = packing.best_two_fit([70, 20, 16, 14], 100)
+    assert sorted(bins[0]) == [0, 2, 3] and sorted(bins[1]) == [1]
+
+
+def test_pack_documents(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [*ODD, prose(2, 2000)]
+    ids = {k: np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [2], "<u4") for k, t in enumerate(texts, 1)}
+    rows = packing.pack_documents(docs_of(spark, texts).withColumn("piece", F.lit(1))).toPandas()
+    for r in rows.itertuples():
+        assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32
+        assert len(ids[r.doc_id]) <= 1024 and r.piece == 0 or r.length == 1024 or r.piece == 0
+    assert rows.groupby("doc_id")["length"].sum().to_dict() == {k: len(v) for k, v in ids.items()}
+    for _, g in rows.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= 1024
+    assert packing.pack_documents(docs_of(spark, [])).count() == 0
+
+
+def test_matrices(spark, tmp_path):
+    texts, path = [*ODD, prose(2, 2000)], tokens.default_vocabulary()
+    rows = packing.write_matrices(docs_of(spark, texts), f"file://{tmp_path}/m").collect()
+    got = {}
+    for m in rows:
+        ids = np.frombuffer(m["ids"], "<u2").reshape(m["n_rows"], m["width"])
+        starts = set()
+        for r, (ends, names, parts) in enumerate(zip(m["cu_seqlens"], m["doc_ids"], m["pieces"])):
+            starts |= {r * m["width"] + e for e in ends if e < m["width"]}
+            for a, b, d, p in zip(ends[:-1], ends[1:], names, parts):
+                got.setdefault(d, {})[p] = ids[r, a:b]
+            assert (ids[r, ends[-1] :] == 50256).all()
+        assert starts == set(m["position_resets"])
+    for k, t in enumerate(texts, 1):
+        assert np.concatenate([got[k][p] for p in sorted(got[k])]).tolist() == [*tokens.token_ids(t, path).tolist(), 50256]
+    assert packing.stored_sequences(packing.packed_matrices(docs_of(spark, []))).count() == 0
+
+
+def test_warc_round_trip(spark, tmp_path):
+    long = "<p>" + "text " * 60
+    pages = [(5, "http://a/ b", long), (2, None, long), (9, "http://c", long), (3, "u", None), (4, "u", ""), (6, "u", "short"), (7, "u", "short"), (8, "u", "é" * 200), (None, "n", long), (2, None, long)]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("mine"))
+    listing = []
+    for k in range(2):
+        out = f"file://{tmp_path}/w{k}"
+        manifest = warc.write_warc(rows.repartition(1 + 2 * k), out, shard_bytes=500, roll_bytes=300)
+        listing.append(sorted(tuple(r[:1] + r[2:]) for r in manifest.drop("temporary").collect()))
+    assert [x[0] for x in listing[0]] == [x[0] for x in listing[1]] and listing[0] == listing[1]
+    got = sorted(((r["page_id"] or -1, r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_warc(spark, out).collect()), key=str)
+    want = []
+    for page, _, html in pages:
+        raw = (html or "").encode()
+        again = html == long and page in (5, 9)
+        want.append((page or -1, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", 2 if again else None))
+    assert got == sorted(want, key=str)
+    assert warc.write_warc(rows.limit(0), f"file://{tmp_path}/none").count() == 0
+    damaged = bytearray(warc._gzip(warc.page_record(1, "u", b"payload", None)))
+    with pytest.raises((ValueError, zlib.error)):
+        damaged[len(damaged) // 2] ^= 255
+        [warc.parse_record(x) for x in warc._members(memoryview(bytes(damaged)))]
+
+
+def picture(rng, h, w, colours=0):
+    if colours:
+        return rng.choice(rng.integers(0, 1 << 32, colours, dtype=np.uint64).astype(np.uint32), (h, w))
+    return np.ascontiguousarray(np.cumsum(rng.integers(0, 3, (h, w, 4)), axis=1).astype(np.uint8)).view("<u4").reshape(h, w)
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (1, 7), (5, 1), (9, 13), (40, 33)])
+def test_webp_features(shape):
+    rng = np.random.default_rng(1)
+    th, tw = -(-shape[0] // 8), -(-shape[1] // 8)
+    for colours in (0, 2, 4, 13, 200):
+        x = picture(rng, *shape, colours)
+        modes, factors, groups = rng.integers(0, 14, (th, tw)), rng.integers(0, 1 << 24, (th, tw)).astype(np.uint32), rng.integers(0, 3, (th, tw))
+        ways = [{}, {"cache_bits": 5}, {"transforms": [(webp.SUBTRACT_GREEN,)]}, {"tiles": groups, "tile_bits": 3, "cache_bits": 4}, {"transforms": [(webp.PREDICTOR, 3, modes), (webp.CROSS_COLOUR, 3, factors), (webp.SUBTRACT_GREEN,)], "cache_bits": 3}]
+        ways += [{"transforms": [(webp.PREDICTOR, 3, np.full((th, tw), m))]} for m in range(14)]
+        if len(np.unique(x)) <= 256:
+            ways.append({"transforms": [(webp.PALETTE,)]})
+        for way in ways:
+            assert (webp.decode(webp.encode(x, **way)) == x).all(), way
+
+
+def test_webp_references_and_damage():
+    rng = np.random.default_rng(2)
+    x = picture(rng, 30, 40)
+    flat = x.reshape(-1)
+    flat[500:700], flat[800:1000] = flat[100:300], flat[799]
+    for way in ({}, {"cache_bits": 4}, {"tiles": rng.integers(0, 2, (8, 10)), "tile_bits": 2}):
+        data = webp.encode(x, [(500, 200, 400), (800, 200, 1)], **way)
+        assert (webp.decode(data) == x).all()
+    for bad in (data[:40], data[: len(data) // 2], b"RIFF" + data[4:12] + b"VP8 " + data[16:]):
+        with pytest.raises(ValueError):
+            webp.decode(bad)
+    assert len(webp.NEAR) == 120 and webp.NEAR[:4] == [(0, 1), (1, 0), (1, 1), (-1, 1)] and webp.NEAR[-1] == (8, 7)
+
+
+def test_media(spark):
+    texts = [*ODD, "again and again, the same passage of many words; " * 40, "ab" * 500]
+    rows = {r["doc_id"]: r for r in media.read_media(media.store_media(docs_of(spark, texts).withColumn("media", F.lit(1)))).collect()}
+    for k, t in enumerate(texts, 1):
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        assert (rows[k]["n_bytes"], rows[k]["payload_bytes"], rows[k]["payload_sha256"], rows[k]["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+    assert rows[8][1:] == rows[9][1:] and rows[1][1:] == rows[2][1:] and rows[12]["media_bytes"] < 700
+    wide = bytes(range(250)) * 2304 * 20
+    assert media.from_picture(media.to_picture(wide), len(wide)).tobytes() == wide
+
+
+def test_entropy_levels_against_brute_force():
+    rng = np.random.default_rng(4)
+    x = np.concatenate((rng.integers(97, 110, 300), np.full(100, 97), rng.integers(0, 256, 200))).astype(np.uint8)
+    w = fingerprint.WINDOW
+    want = [-sum(c / w * log2(c / w) for c in Counter(x[i : i + w].tolist()).values()) / log2(w) * (fingerprint.LEVELS - 1) for i in range(len(x) - w + 1)]
+    assert np.abs(fingerprint.entropy_levels(x) - np.array(want)).max() <= 1.01
+
+
+def test_fingerprints(spark):
+    texts = [*ODD, prose(3, 900), prose(4, 900)]
+    rows = docs_of(spark, texts).withColumn("at", F.lit("x"))
+    rank = fingerprint.fit_rarity(rows)
+    assert sorted(rank.tolist()) == list(range(fingerprint.LEVELS))
+    for per in (2000, 3):
+        got = {r["doc_id"]: r for r in fingerprint.compare_with_next(rows, rank, rows_per_part=per).collect()}
+        ids = sorted(got, reverse=True)
+        assert len(got) == len(texts)
+        for a, b in zip(ids, ids[1:] + ids[:1]):
+            t, nxt = texts[a - 1] or "", texts[b - 1] or ""
+            k = len(t) // 3
+            assert got[a]["n_chars"] == len(t) and got[a]["edited_sha256"] == hashlib.sha256((t[: len(t) - k] + nxt[:k]).encode()).hexdigest()
+            assert 0 <= got[a]["near_edited"] <= 1 and 0 <= got[a]["near_next"] <= 1
+    assert got[8]["fingerprint"] == got[9]["fingerprint"] != "" and got[1]["fingerprint"] == got[2]["fingerprint"] == ""
+    assert got[12]["near_edited"] > 0.4 > got[13]["near_next"] - 0.3 and got[9]["near_next"] == pytest.approx(1)
+    alone = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(rows, rank).collect()}
+    assert alone == {k: r["fingerprint"] for k, r in got.items()}
+    assert fingerprint.compare_with_next(docs_of(spark, []), rank).count() == 0
+    assert fingerprint.compare_with_next(docs_of(spark, ["only one"]), rank).first()["near_next"] == 1
+    no_id = docs_of(spark, ["a", "b", "c"]).withColumn("doc_id", F.when(F.col("doc_id") == 1, F.col("doc_id")))
+    assert fingerprint.compare_with_next(no_id, rank).count() == 3
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href="/x">Home</a></li><li><a href="/y">About us</a></li></ul></nav>
+<!-- ad --><div class="ad">Buy this now, it is cheap.</div><article><h1>A &amp; B</h1><p><b>First   paragraph&nbsp;of the text, which goes on for a while, as texts do.<br><p>Second one; it is no shorter than the first one was, and has a stop.</p></article>
+<div class="comments"><div class="comment">I liked this a lot.</div></div><footer>&copy; someone, all rights reserved.</footer>"""
+
+
+def test_main_text(spark):
+    made = html_text.composed_pages([prose(k, 40) + "." for k in range(40)])
+    rows = spark.createDataFrame([(k, f"u{k}", h) for k, h in enumerate([PAGE, None, "", "<p", "just text & more", *made[:60]])], "page_id long, url string, html string").withColumn("text", F.lit("mine"))
+    trees = html_text.train_extractor(rows, composed=200)
+    got = {r["page_id"]: r for r in html_text.extract_main_text(rows, trees).collect()}
+    assert got[0]["text"] == "A & B\nFirst paragraph of the text, which goes on for a while, as texts do.\nSecond one; it is no shorter than the first one was, and has a stop."
+    assert got[1]["text"] == got[2]["text"] == got[3]["text"] == "" and got[0]["n_chars"] == len(got[0]["text"]) and len(got) == 65
+    right = total = 0
+    for h in html_text.composed_pages([prose(k, 40) + "." for k in range(100, 140)], 40, seed=77):
+        page = html_text.parse_page(h)
+        keep = html_text.decode_tree(page.parents, trees.log_odds(html_text.node_features(page)))
+        for p, k in zip(page.parents[1:], keep[1:]):
+            assert not k or keep[p]
+        right += (keep == html_text.node_labels(page)).sum()
+        total += len(keep)
+    assert right / total > 0.95
+    assert html_text.extract_main_text(rows.limit(0), html_text.train_extractor(rows.limit(0), composed=20)).count() == 0
+
+
+def test_tree_decoding_against_all_labellings():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        parents, odds = [-1] + [int(rng.integers(0, k)) for k in range(1, 8)], rng.normal(0, 2, 8)
+        best, score = None, -np.inf
+        for code in range(256):
+            y = [(code >> k) & 1 for k in range(8)]
+            if all(not y[k] or y[parents[k]] for k in range(1, 8)):
+                s = sum(-np.logaddexp(0, -o) if v else -np.logaddexp(0, o) for o, v in zip(odds, y))
+                if s > score:
+                    best, score = y, s
+        assert html_text.decode_tree(parents, odds).astype(int).tolist() == best
+
+
+def test_registered_names():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries()) == list(range(1, 11))
