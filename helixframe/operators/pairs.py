@@ -15,24 +15,24 @@ from .sequences import subjects
 PAIRS = "subject_id long, query_id long, counts array<long>, seq_len long"
 
 
-def pair_counts(sequences: DataFrame, model: str = "jc", p_value: float = P_VALUE, subject_blocks: int | None = None, query_blocks: int | None = None) -> DataFrame:
+def pair_counts(sequences: DataFrame, model: str = "jc", p_value: float = P_VALUE, subject_blocks: int | None = None, query_blocks: int | None = None, queries: DataFrame | None = None) -> DataFrame:
     """(subject_id, query_id, counts, seq_len) for each ordered pair of different sequences.
 
-    ``sequences``: seq_id, seq, len. Subjects and queries are dealt into blocks, and a task compares one block of each:
+    ``sequences``: seq_id, seq, len; ``queries``: others to compare them with, instead of themselves. Subjects and queries are dealt into blocks, and a task compares one block of each:
     every subject is sent to ``query_blocks`` tasks and every query to ``subject_blocks``. A task indexes its subjects
     one after the other. Sequences without letters have no threshold and give no counts. By default there is a block for
     about 8 subjects up to 256 blocks and for 64 queries.
     """
     if subject_blocks is None or query_blocks is None:
         n = sequences.count()
-        subject_blocks = subject_blocks or (n if n <= 64 else max(64, min(n // 8, 256)))
-        query_blocks = query_blocks or max(1, -(-n // 64))
+        subject_blocks = subject_blocks or (max(n, 1) if n <= 64 else max(64, min(n // 8, 256)))
+        query_blocks = query_blocks or max(1, -(-(n if queries is None else queries.count()) // 64))
     fourths = models.model_name(model) in models.BY_FOURTHS
     named = subjects(sequences, p_value).select("seq_id", "rs", "threshold")
     block = lambda n: F.pmod(F.xxhash64("seq_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = named.select(F.col("seq_id").alias("subject"), "rs", "threshold", block(subject_blocks).alias("sb"), every(query_blocks).alias("qb"))
-    right = sequences.select(F.col("seq_id").alias("query"), F.col("seq").alias("letters"), block(query_blocks).alias("qb"), every(subject_blocks).alias("sb"))
+    right = (sequences if queries is None else queries).select(F.col("seq_id").alias("query"), F.col("seq").alias("letters"), block(query_blocks).alias("qb"), every(subject_blocks).alias("sb"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         rows = []
