@@ -1,8 +1,9 @@
 """Mixing sources to target weights: iterative proportional fitting of token weights, then calibrated sampling.
 
 Documents are counted by cell, that is by source, language and topic. Raking scales the cells' token weights until each
-of the three marginals has its target shares. A cell's weight over its tokens, scaled so that the largest is one, is the
-probability with which each of its documents is kept; the draw is a hash of the document, so it repeats.
+of the three marginals has its target shares. A cell's weight over its tokens, times a common factor, is the probability with
+which each of its documents is kept. The factor is the one that keeps a given share of all tokens; cells that are asked
+for more than they have are kept whole. The draw is a hash of the document, so it repeats.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ AXES = ("source", "lang", "topic")
 ROUNDS, TOLERANCE, SEED = 60, 1e-6, 23
 #: Cells beyond this many are raked by Spark instead of numpy on the driver.
 DRIVER_CELLS = 50_000
+#: Share of all tokens that is kept.
+KEEP = 0.6
 #: Without given targets an axis aims at the observed shares to this power, which lifts its small values.
 SMOOTHING = 0.8
 
@@ -115,28 +118,51 @@ def _rake_on_spark(cells: DataFrame, targets: Mapping[str, Mapping[str, float]],
     return now
 
 
-def mixing_weights(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+def _factor(cells: DataFrame, keep: float | None, small: bool) -> float:
+    """The factor f for which min(1, f * ratio) keeps this share of the tokens; None: the largest that cuts no cell short."""
+    most, least, total = cells.agg(F.max("ratio"), F.min(F.when(F.col("ratio") > 0, F.col("ratio"))), F.sum("n")).first()
+    if not most:
+        return 0.0
+    lo, hi = 0.0, 1 / least
+    if keep is None:
+        return 1 / most
+    few = cells.select("n", "ratio").toPandas() if small else None
+
+    def kept(f: float) -> float:
+        if few is not None:
+            return float((few["n"] * np.minimum(1.0, few["ratio"].fillna(0) * f)).sum())
+        return cells.agg(F.sum(F.col("n") * F.least(F.lit(1.0), F.col("ratio") * f))).first()[0]
+
+    for _ in range(40):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if kept(mid) < keep * total else (lo, mid)
+        if hi - lo < 1e-6 * hi:
+            break
+    return hi
+
+
+def mixing_weights(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, driver_cells: int = DRIVER_CELLS, keep: float | None = KEEP) -> DataFrame:
     """(__source, __lang, __topic, n, weight, probability) of each cell; n: tokens, weight: share of the mixture.
 
-    Cells without tokens get probability 1 when their values have a target above 0: keeping them moves no share.
+    ``keep``: the share of tokens to keep, or None for as many as leave every share exact. Cells without tokens are kept.
     """
     targets = targets or {}
     cells = materialize(_with_cells(docs).groupBy(*(f"__{a}" for a in AXES)).agg(F.sum("__tokens").alias("n")), "cells")
     small = cells.limit(driver_cells + 1).count() <= driver_cells
     raked = _rake_on_driver(cells, targets) if small else _rake_on_spark(cells, targets, ROUNDS)
-    raked = materialize(raked.withColumn("ratio", F.when(F.col("n") > 0, F.col("weight") / F.col("n")).otherwise(F.lit(None))), "ratios")
-    most = raked.agg(F.max("ratio")).first()[0] or 1.0
-    return raked.withColumn("probability", F.coalesce(F.least(F.col("ratio") / F.lit(most), F.lit(1.0)), F.lit(1.0))).drop("ratio")
+    raked = materialize(raked.withColumn("ratio", F.when(F.col("n") > 0, F.col("weight") / F.col("n"))).coalesce(8), "ratios")
+    factor = _factor(raked, keep, small)
+    return raked.withColumn("probability", F.coalesce(F.least(F.col("ratio") * F.lit(factor), F.lit(1.0)), F.lit(1.0))).drop("ratio")
 
 
-def mix_sources(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, seed: int = SEED, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+def mix_sources(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, seed: int = SEED, driver_cells: int = DRIVER_CELLS, keep: float | None = KEEP) -> DataFrame:
     """``docs`` with __source, __lang, __topic, __tokens, __probability and __kept (boolean).
 
     The draw depends on doc_id, text and ``seed`` alone: repeated rows are kept or left together. Null or empty texts
     carry no tokens; a null source or language is a value of its own. An empty table gives an empty one.
     """
     rows = _with_cells(docs)
-    cells = mixing_weights(docs, targets, driver_cells).select(*(f"__{a}" for a in AXES), F.col("probability").alias("__probability"))
+    cells = mixing_weights(docs, targets, driver_cells, keep).select(*(f"__{a}" for a in AXES), F.col("probability").alias("__probability"))
     keys = [f"__{a}" for a in AXES]
     # cells are few (checked): broadcast; otherwise a plain join
     few = cells.limit(driver_cells + 1).count() <= driver_cells

@@ -123,15 +123,17 @@ def test_mixing(spark):
     rows = spark.createDataFrame([(k, prose(k, int(rng.integers(5, 40))), None if k % 7 == 0 else "en" if k % 3 else "de", "big" if k % 4 else f"s{k % 5}", 0) for k in range(600)], DOCS).withColumn("__kept", F.lit("mine")).drop("__kept")
     targets = {"source": {"big": 0.4, "s0": 0.2, "s1": 0.1, "s2": 0.1, "s3": 0.1, "s4": 0.1}}
     for cells in (10_000, 1):
-        w = mixing.mixing_weights(rows, targets, driver_cells=cells).toPandas()
+        w = mixing.mixing_weights(rows, targets, driver_cells=cells, keep=None).toPandas()
         shares = w.groupby("__source")["weight"].sum() / w["weight"].sum()
         assert all(abs(shares[k] - v) < 1e-3 for k, v in targets["source"].items())
         assert w["probability"].max() == 1 and (w["probability"] > 0).all()
-    mixed = mixing.mix_sources(rows, targets)
+        part = mixing.mixing_weights(rows, targets, driver_cells=cells, keep=0.5).toPandas()
+        assert abs((part["n"] * part["probability"]).sum() / part["n"].sum() - 0.5) < 1e-4
+    mixed = mixing.mix_sources(rows, targets, keep=None)
     assert mixed.count() == 600
     expected = mixed.groupBy("__source").agg(F.sum(F.col("__tokens") * F.col("__probability")).alias("e")).toPandas().set_index("__source")["e"]
     assert abs(expected["big"] / expected.sum() - 0.4) < 1e-3
-    assert mixed.filter("__kept").count() == mixing.mix_sources(rows, targets).filter("__kept").count()
+    assert mixed.filter("__kept").count() == mixing.mix_sources(rows, targets, keep=None).filter("__kept").count()
     assert mixing.mix_sources(docs_of(spark, [])).count() == 0 and mixing.mix_sources(docs_of(spark, ODD)).count() == len(ODD)
 
 
