@@ -21,7 +21,7 @@ from .shingles import IS_SPACE, STEP, chunks, mix, text_buffers, word_hashes
 
 BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 17, 16, 6, 2.0, 7
 #: Labelled documents that training reads at most: those with the smallest hash of their id.
-MAX_LABELLED = 6000
+MAX_LABELLED = 4000
 #: One in the integer scale of a feature's weight.
 UNIT = 1 << 20
 
