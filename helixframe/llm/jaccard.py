@@ -1,14 +1,14 @@
 """N-gram Jaccard join by a blocked sparse product of the document by n-gram incidence matrix.
 
-Documents with the same shingle set form one class. N-grams are ordered by rarity, and a class enters the product with
+Documents with the same shingle set form one class. N-grams are ordered, common ones last, and a class enters the product with
 the first ``n - ceil(t n) + 1`` of its n-grams only (two sets of similarity t share one of these). The product's blocks
 are ranges of n-gram hashes: each block adds to the overlap count of the pairs that share its n-grams, the counts of a
 pair are summed over blocks, and pairs whose count cannot reach the overlap that their sizes ask for are discarded.
 The remaining columns are then accumulated for the surviving pairs alone, which makes the overlap exact.
 
-An n-gram that many classes share does not expand into all its pairs. Its classes are first compared with a few
-pivots. Only classes that these links leave in different components are then compared with each other, and since a link
-inside a component cannot change the components, no link between components is lost.
+An n-gram that many classes share does not expand into all its pairs. Its classes are first compared with a
+pivot. Only classes that these links leave in different components are then compared with each other, block by block,
+and since a link inside a component cannot change the components, no link between components is lost.
 """
 
 from __future__ import annotations
@@ -23,74 +23,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, materialize
+from .common import materialize, small_batches
 from .components import components
 from .shingles import mix, shingle_sets
 
-#: Cells of the table of n-gram counts, whatever the size of the corpus: 4 MB in a task, 1 MB broadcast.
-SKETCH_CELLS, SKETCH_BLOCKS = 1 << 20, 64
 #: An n-gram of more classes is compared by pivots.
-SMALL_BUCKET = 24
-#: Bits of the filter that spares the last pass most documents; a filled one only spares less.
+SMALL_BUCKET = 8
+#: Rows and columns of a block of the product.
+BLOCK_ROWS, COLUMNS = 128, 4096
+#: Bits of a filter, whatever the size of the corpus. A filled one costs time, not links: it marks more n-grams as common,
+#: or spares the last pass fewer documents.
 FILTER_BITS = 1 << 24
 WORDS, SHARE = 5, 80
 
 
-def _cell(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(44)).astype(np.int64)
-
-
 def _key(shingles: np.ndarray) -> int:
     return int.from_bytes(blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def _signatures(words: int):
-    """doc_id, n, key for each document, and at a task's end its counts of n-grams by cell, in blocks."""
+    """doc_id, n and key for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH_CELLS, np.uint32)
         for batch in batches:
             n, key = [], []
             for s in shingle_sets(batch.column("text"), words):
                 n.append(len(s))
                 key.append(_key(s))
-                np.add.at(counts, _cell(s), np.uint32(1))
-            rows = len(n)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
-                names=["doc_id", "n", "key", "block", "cells"],
-            )
-        if counts.any():
-            parts = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SKETCH_BLOCKS)]
-            none = pa.nulls(SKETCH_BLOCKS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "n", "key", "block", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.int64())], names=["doc_id", "n", "key"])
 
     return run
 
 
-def _sum_cells(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(SKETCH_CELLS // SKETCH_BLOCKS, np.uint64)
-    for x in pdf["cells"]:
-        total += np.frombuffer(zlib.decompress(x), np.uint32)
-    return pd.DataFrame({"block": pdf["block"][:1], "cells": [zlib.compress(total.tobytes(), 1)]})
-
-
-def _commonness(rows: DataFrame) -> np.ndarray:
-    """For each cell 0, or more the commoner its n-grams are beyond what chance gives a cell."""
-    total = np.zeros(SKETCH_CELLS, np.uint64)
-    width = SKETCH_CELLS // SKETCH_BLOCKS
-    for r in rows.filter("block is not null").select("block", "cells").groupBy("block").applyInPandas(_sum_cells, "block int, cells binary").collect():
-        total[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(zlib.decompress(r["cells"]), np.uint64)
-    mean = float(total.mean())
-    usual = mean + 8 * mean**0.5 + 16
-    return np.where(total > usual, 1 + np.log2(np.maximum(total / usual, 1)).astype(np.uint8), 0).astype(np.uint8)
+def _filled(ids: DataFrame) -> bytes:
+    """A filter of FILTER_BITS bits, packed, that passes the given longs, and some others the fuller it is."""
+    total = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in ids.mapInArrow(_filter_bits, "bits binary").coalesce(8).toLocalIterator():
+        total |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return zlib.compress(total.tobytes(), 1)
 
 
-def _prefixes(common, words: int, share: int):
-    """Each class's rarest n-grams, enough for any partner to share one of them; a task gives a class once."""
+def _prefixes(common: bytes | None, words: int, share: int):
+    """Each class's first n-grams, common ones last, enough for any partner to share one; a task gives a class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.frombuffer(zlib.decompress(common), np.uint8)
+        late = np.unpackbits(np.frombuffer(zlib.decompress(common), np.uint8)).astype(bool) if common else None
         seen: set[int] = set()
         for batch in batches:
             grams, keys, sizes = [], [], []
@@ -99,9 +76,8 @@ def _prefixes(common, words: int, share: int):
                     continue
                 if len(seen) < 1_000_000:  # beyond it repeated rows only cost time: they are dropped later
                     seen.add(key)
-                c = rank[_cell(s)]
-                if c.any():
-                    s = s[np.argsort(c, kind="stable")]
+                if late is not None and (c := late[_bits(s)]).any():
+                    s = np.concatenate((s[~c], s[c]))
                 p = len(s) - -(-share * len(s) // 100) + 1
                 grams.append(s[:p].astype(np.int64))
                 keys.append(key)
@@ -132,40 +108,97 @@ def _sets(wanted: bytes, words: int):
             batch = batch.filter(pa.array(bits[_bits(batch.column("doc_id").to_numpy(zero_copy_only=False))]))
             if batch.num_rows:
                 got = [s.tobytes() for s in shingle_sets(batch.column("text"), words)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(got, pa.binary())], names=["doc_id", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(got, pa.binary())], names=["id", "grams"])
 
     return run
 
 
-def _overlaps(share: int):
-    """Keeps the pairs whose whole rows overlap enough."""
+def _sides(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Ids, components and rows of the incidence matrix of a task's two blocks."""
+    return [(part["id"].to_numpy(np.int64), part["comp"].to_numpy(np.int64), [np.frombuffer(x, np.uint64) if isinstance(x, bytes) else np.asarray(x).astype(np.uint64) for x in part["grams"]]) for part in (pdf[pdf["side"] == k] for k in (0, 1))]
+
+
+def _product(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Overlap counts of two blocks of rows."""
+    sides = []
+    for rows in (a, b):
+        sides.append((np.concatenate([*rows, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(rows)), [len(x) for x in rows])))
+    shared = np.intersect1d(sides[0][0], sides[1][0])
+    overlap = np.zeros((len(a), len(b)), np.float32)
+    columns = []
+    for g, r in sides:
+        at = np.minimum(np.searchsorted(shared, g), max(len(shared) - 1, 0))
+        hit = shared[at] == g if len(shared) else np.zeros(len(g), bool)
+        order = np.argsort(at[hit], kind="stable")
+        columns.append((at[hit][order], r[hit][order]))
+    for lo in range(0, len(shared), COLUMNS):
+        blocks = []
+        for (at, r), n in zip(columns, overlap.shape, strict=True):
+            i, j = np.searchsorted(at, [lo, lo + COLUMNS])
+            block = np.zeros((n, COLUMNS), np.float32)
+            block[r[i:j], at[i:j] - lo] = 1
+            blocks.append(block)
+        overlap += blocks[0] @ blocks[1].T
+    return overlap.astype(np.int64)
+
+
+def _block_links(share: int):
+    """Of two blocks of whole rows: links enough to join all components that any of their links joins."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        (ia, ca, a), (ib, cb, b) = _sides(pdf)
+        o, na, nb = _product(a, b), np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+        above: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while (up := above.get(c, c)) != c:
+                above[c] = above.get(up, up)
+                c = up
+            return c
+
+        found = []
+        for i, j in np.argwhere((100 * o >= share * (na[:, None] + nb[None, :] - o)) & (ca[:, None] != cb[None, :])).tolist():
+            x, y = top(int(ca[i])), top(int(cb[j]))
+            if x != y:
+                above[x] = y
+                found.append((ia[i], ib[j]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (batch.column(c) for c in ("grams_a", "grams_b"))
-            keep = []
-            for x, y in zip(a, b, strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(x, y)
-                both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                keep.append(100 * both >= share * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+def _block_candidates(share: int):
+    """Of two blocks of prefixes: the rows that may still link with a row of the other block and another component."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        (ia, ca, a), (ib, cb, b) = _sides(pdf)
+        na, nb = (pdf.loc[pdf["side"] == k, "n"].to_numpy(np.int64) for k in (0, 1))
+        c, x, y = _product(a, b), na[:, None], nb[None, :]
+        rest = np.maximum(-(-share * x // 100), -(-share * y // 100)) - 1
+        may = (ca[:, None] != cb[None, :]) & (100 * np.minimum(x, y) >= share * np.maximum(x, y)) & (c > 0) & (c + rest >= -(-share * (x + y) // (100 + share)))
+        keep = np.concatenate((may.any(1), may.any(0)))
+        both = pd.concat([pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]])
+        return both[keep][["k", "i", "j", "side", "id", "comp"]]
 
     return run
 
 
-def _exact_links(docs: DataFrame, pairs: DataFrame, words: int, share: int) -> DataFrame:
-    """The pairs (a, b: ids of class representatives) that link, from their whole rows of the incidence matrix."""
-    wanted = pairs.select("a").union(pairs.select("b")).distinct()
-    total = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in wanted.coalesce(8).mapInArrow(_filter_bits, "bits binary").toLocalIterator():
-        total |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
-    rows = docs.filter("doc_id is not null").mapInArrow(_sets(zlib.compress(total.tobytes(), 1), words), "doc_id long, grams binary")
-    rows = materialize(rows.join(wanted.withColumnRenamed("a", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "rows")
-    both = pairs.join(rows.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a")), "a").join(rows.select(F.col("doc_id").alias("b"), F.col("grams").alias("grams_b")), "b")
-    links = materialize(both.select("a", "b", "grams_a", "grams_b").mapInArrow(_overlaps(share), "a long, b long"), "links")
-    drop_materialized(rows)
-    return links
+def _links(tasks: DataFrame, rows: DataFrame, share: int, name: str) -> DataFrame:
+    """Links within tasks (k, i, j, side, id, comp); rows: the whole rows of the incidence matrix."""
+    found = tasks.join(rows, "id").groupBy("k", "i", "j").applyInPandas(_block_links(share), "a long, b long")
+    return materialize(found, name)
+
+
+def _incidence_rows(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(id, grams) of the wanted class representatives."""
+    rows = docs.filter("doc_id is not null").mapInArrow(_sets(_filled(wanted), words), "id long, grams binary")
+    return materialize(rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "rows")
+
+
+def _in_blocks(members: DataFrame, by: list[str]) -> DataFrame:
+    """``members`` with block and blocks: groups of one ``by`` dealt into blocks of about BLOCK_ROWS rows."""
+    sizes = members.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    return members.join(sizes, by).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
 
 def _may_link(c, share: int):
@@ -183,15 +216,19 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, share: int = SHARE)
     alone, as does a row without doc_id (component null); repeated rows fall into one class; an empty table gives none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialize(docs.mapInArrow(_signatures(words), "doc_id long, n long, key long, block int, cells binary"), "signatures")
-    of_docs = signed.filter("block is null").select("doc_id", "n", "key")
+    small_batches(docs.sparkSession)
+    of_docs = materialize(docs.mapInArrow(_signatures(words), "doc_id long, n long, key long"), "signatures")
     classes = materialize(of_docs.filter("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    common = zlib.compress(_commonness(signed).tobytes(), 9)
 
-    dealt = docs.filter("doc_id is not null").mapInArrow(_prefixes(common, words, share), "gram long, key long, n int").repartition("gram")
+    def prefixes(common: bytes | None) -> DataFrame:
+        return docs.filter("doc_id is not null").mapInArrow(_prefixes(common, words, share), "gram long, key long, n int")
+
+    # n-grams that are common among the prefixes by hash alone go to the end of the order, the same for all documents
+    common = prefixes(None).select("gram").repartition("gram").groupBy("gram").agg(F.count("*").alias("df")).filter(F.col("df") > SMALL_BUCKET).select("gram")
+    dealt = prefixes(_filled(common)).repartition("gram")
     by_gram = Window.partitionBy("gram")
     once = dealt.withColumn("before", F.lag("key").over(by_gram.orderBy("key"))).filter("before is null or before <> key").drop("before")
-    # of each n-gram that two classes share at least: its classes, with the smallest and the last in a mixed order as pivots
+    # the n-grams that two classes share at least
     shared = once.withColumn("df", F.count("*").over(by_gram)).filter("df > 1")
     named = materialize(shared.join(classes.drop("n"), "key").select("gram", "df", F.col("rep").alias("id"), "n"), "prefixes")
 
@@ -206,29 +243,47 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, share: int = SHARE)
     near = counted.filter(_may_link(F.col("c") + F.least("large_a", "large_b"), share)).select("a", "b")
 
     large = bucketed.filter(~F.col("small")).select("gram", "id", "n")
-    ranked = large.join(left_out.select("id", "shared"), "id")
-    # pivots: the class whose n-grams are the most shared, as a group's common source is, and one at random for each n-gram
-    pivots = ranked.groupBy("gram").agg(F.max(F.struct("shared", "id")).getField("id").alias("p"), F.max(F.struct(F.xxhash64("gram", "id").alias("h"), "id")).getField("id").alias("q"))
-    starred = large.join(pivots, "gram").select("id", "n", F.explode(F.array("p", "q")).alias("o")).filter("id <> o").distinct()
-    starred = starred.join(classes.select(F.col("rep").alias("o"), F.col("n").alias("m")), "o").filter(F.lit(100) * F.least("n", "m") >= F.lit(share) * F.greatest("n", "m"))
-    near = near.unionByName(starred.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")))
-    links = _exact_links(docs, materialize(near.distinct(), "pairs"), words, share)
-
-    for last in (False, True):
-        comp = materialize(components(links), "components")
-        if last:
-            break
-        # what pivots leave: the pairs of large buckets between components
-        placed = large.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        mixed = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("gram")
-        placed = materialize(placed.join(mixed, "gram"), "mixed")
-        x, y = (placed.select("gram", *(F.col(c).alias(n) for c, n in zip(("id", "n", "comp"), names, strict=True))) for names in (("a", "na", "ca"), ("b", "nb", "cb")))
-        left = x.join(y, (x["gram"] == y["gram"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.lit(100) * F.least("na", "nb") >= F.lit(share) * F.greatest("na", "nb")))
-        left = left.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).filter(_may_link(F.col("c"), share)).select("a", "b")
-        left = materialize(left, "pairs")
-        if left.isEmpty():
-            break
-        links = links.unionByName(_exact_links(docs, left, words, share))
+    # an n-gram's pivot: the class whose n-grams are the most shared, as the common source of a group of copies is; a
+    # class is compared with the foremost of its n-grams' pivots
+    pivots = large.join(left_out.select("id", "shared"), "id").groupBy("gram").agg(F.max(F.struct("shared", "id")).alias("o"))
+    large = materialize(large.join(pivots, "gram").select("gram", "id", "n", F.col("o.shared").alias("of_p"), F.col("o.id").alias("p")), "large")
+    starred = large.groupBy("id", "n").agg(F.max(F.struct("of_p", "p")).getField("p").alias("p")).filter("id <> p").select("p", "id", "n")
+    starred = starred.join(classes.select(F.col("rep").alias("p"), F.col("n").alias("m")), "p").filter(F.lit(100) * F.least("n", "m") >= F.lit(share) * F.greatest("n", "m"))
+    pairs = materialize(near.select(F.col("a").alias("k"), F.col("b").alias("id")).unionByName(starred.select(F.col("p").alias("k"), "id")).distinct(), "pairs")
+    wanted = pairs.select("id").union(pairs.select("k")).union(large.select("id")).distinct()
+    rows = _incidence_rows(docs, wanted, words)
+    dealt = _in_blocks(pairs, ["k"])
+    whole = F.lit(-1).alias("j")
+    tasks = dealt.select("k", F.col("block").alias("i"), whole, F.lit(1).alias("side"), "id", F.col("id").alias("comp"))
+    tasks = tasks.unionByName(dealt.select("k", F.col("block").alias("i")).distinct().select("k", "i", whole, F.lit(0).alias("side"), F.col("k").alias("id"), F.col("k").alias("comp")))
+    links = _links(tasks, rows, share, "links")
+    comp = materialize(components(links), "components")
+
+    # What pivots leave: the n-grams whose classes lie in different components. Such an n-gram belongs to the component
+    # that most of its classes are in, and the classes of a component's n-grams form its family. Those outside the
+    # component are compared with each other and with those inside.
+    placed = large.select("gram", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").select("gram", "id", F.coalesce("component", "id").alias("comp"))
+    most = placed.groupBy("gram", "comp").agg(F.count("*").alias("size")).groupBy("gram").agg(F.max(F.struct("size", "comp")).getField("comp").alias("p"), F.count("*").alias("comps"))
+    family = placed.join(most.filter("comps > 1").select("gram", "p"), "gram").select("p", "id", "comp").distinct()
+    family = _in_blocks(family.withColumn("at_home", F.col("comp") == F.col("p")), ["p", "at_home"])
+    counts = family.groupBy("p").agg(F.max(F.when(F.col("at_home"), F.col("blocks"))).alias("nh"), F.max(F.when(~F.col("at_home"), F.col("blocks"))).alias("nr"))
+    family = materialize(family.join(counts, "p"), "families")
+    if not family.isEmpty():
+        base = ["id", "comp"]
+        rest = family.filter("not at_home")
+        upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        tasks = family.filter("at_home").select(F.col("p").alias("k"), F.col("block").alias("i"), F.explode(upto("nr")).alias("j"), F.lit(0).alias("side"), *base)
+        tasks = tasks.unionByName(rest.select(F.col("p").alias("k"), F.explode(upto("nh")).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), *base))
+        # among the rest: block i <= j, under numbers below 0
+        low = rest.select(F.col("p").alias("k"), (-1 - F.col("block")).alias("i"), F.explode(F.sequence(F.col("block"), F.col("nr") - 1)).alias("j"), F.lit(0).alias("side"), *base)
+        high = rest.select(F.col("p").alias("k"), F.explode(F.transform(F.sequence(F.lit(0), F.col("block")), lambda b: -1 - b)).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), *base)
+        # first the prefixes alone, which few rows of other components pass, then the whole rows of these
+        grams = large.groupBy("id", "n").agg(F.collect_list("gram").alias("grams"))
+        tasks = tasks.unionByName(low).unionByName(high).join(grams, "id").groupBy("k", "i", "j")
+        tasks = materialize(tasks.applyInPandas(_block_candidates(share), "k long, i int, j int, side int, id long, comp long"), "candidates")
+        more = _links(tasks, rows, share, "links")
+        if not more.isEmpty():
+            comp = materialize(components(links.unionByName(more)), "components")
 
     of_class = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "n", F.coalesce("component", "rep").alias("component_id"))
     grouped = of_class.filter("n > 0")
