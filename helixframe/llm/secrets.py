@@ -8,6 +8,7 @@ findings: rows of (candidate, before, after, path, label).
 from __future__ import annotations
 
 import json
+import zlib
 from dataclasses import dataclass
 from math import log
 
@@ -17,12 +18,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_materialized, materialize
 
 #: Characters on either side of a candidate that its features may read.
 NEAR = 48
-#: Documents from which the dictionary, the transitions and the contexts of labelled findings are drawn.
-SAMPLE_DOCS, DICTIONARY_WORDS = 150, 4000
+#: Documents from which the contexts of labelled findings are drawn.
+SAMPLE_DOCS = 150
+#: A word of the dictionary stands in at least this share of all documents, and in this many.
+WORD_SHARE, WORD_DOCS = 1e-4, 2
 TREES, DEPTH, SEED, CUT = 24, 8, 11, 0.5
 
 KEY_WORDS = "token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer"
@@ -41,6 +44,16 @@ def _constant_map(values: dict, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), f"map<string,{kind}>")
 
 
+def _in_words(words: dict[str, int]):
+    """A test of a word against any number of words: they lie in buckets by their CRC, so that a lookup reads a few."""
+    n = 1 << max(len(words) // 4, 1).bit_length()
+    buckets: list[list[str]] = [[] for _ in range(n)]
+    for w in words:
+        buckets[zlib.crc32(w.encode()) % n].append(w)
+    table = F.from_json(F.lit(json.dumps(buckets)), "array<array<string>>")
+    return lambda w: F.array_contains(F.element_at(table, (F.crc32(w) % n + 1).cast("int")), w)
+
+
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     """(doc_id, path, candidate, start, length, occurrences, before, after): the distinct candidates of each row.
 
@@ -72,9 +85,9 @@ def _features(words: dict[str, int], transitions: dict[str, float]) -> dict[str,
     share = lambda p: F.regexp_count(c, F.lit(p)) / n
     flag = lambda col, p: F.coalesce(col.rlike(p), F.lit(False)).cast("double")
     chars = F.split(c, "")
-    dictionary, odds = _constant_map(words, "int"), _constant_map(transitions, "double")
+    known, odds = _in_words(words), _constant_map(transitions, "double")
     runs = F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0))
-    covered = F.aggregate(runs, F.lit(0), lambda a, w: a + F.when(F.element_at(dictionary, w).isNotNull(), F.length(w)).otherwise(0))
+    covered = F.aggregate(runs, F.lit(0), lambda a, w: a + F.when(known(w), F.length(w)).otherwise(0))
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.lower(c), i, F.lit(2)))
     likely = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.coalesce(F.element_at(odds, p), F.lit(-8.0))) / F.size(pairs)
     freq = F.transform(F.array_distinct(chars), lambda x: F.size(F.filter(chars, lambda y: y == x)) / F.size(chars))
@@ -185,12 +198,21 @@ def labelled_findings(docs: DataFrame) -> DataFrame:
     )
 
 
+def corpus_words(docs: DataFrame) -> DataFrame:
+    """(w, n, docs): how often each run of three letters or more occurs in all texts, and in how many of them."""
+    runs = docs.filter("length(text) > 0").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)).alias("ws"))
+    both = runs.select(F.explode(F.array(F.struct(F.lit(0).alias("once"), "ws"), F.struct(F.lit(1).alias("once"), F.array_distinct("ws").alias("ws")))).alias("x"))
+    return both.select("x.once", F.explode("x.ws").alias("w")).groupBy("w").agg(F.sum(1 - F.col("once")).alias("n"), F.sum("once").alias("docs"))
+
+
 def train_secrets(docs: DataFrame, findings: DataFrame | None = None) -> SecretModel:
-    """Fit on ``findings`` (default: those of ``labelled_findings``), with the dictionary and transitions of a sample of ``docs``."""
-    words = _sample(docs).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("w")).groupBy("w").count()
-    common = {r["w"]: 1 for r in words.orderBy(F.desc("count"), "w").limit(DICTIONARY_WORDS).select("w").collect()}
-    pairs = words.select("count", F.explode(F.expr("transform(sequence(1, length(w) - 1), i -> substring(w, i, 2))")).alias("p")).groupBy("p").agg(F.sum("count").alias("n"))
+    """Fit on ``findings`` (default: those of ``labelled_findings``), with the dictionary and transitions of all ``docs``."""
+    words = materialize(corpus_words(docs), "words")
+    least = max(WORD_DOCS, WORD_SHARE * docs.count())
+    common = {r["w"]: 1 for r in words.filter(F.col("docs") >= least).orderBy("w").select("w").collect()}
+    pairs = words.select("n", F.explode(F.expr("transform(sequence(1, length(w) - 1), i -> substring(w, i, 2))")).alias("p")).groupBy("p").agg(F.sum("n").alias("n"))
     seen = {r["p"]: r["n"] for r in pairs.collect()}  # at most 26 * 26
+    drop_materialized(words)
     first: dict[str, int] = {}
     for p, n in seen.items():
         first[p[0]] = first.get(p[0], 0) + n

@@ -118,6 +118,19 @@ def test_secrets(spark):
     assert secrets.scan_secrets(docs_of(spark, []), secrets.train_secrets(docs_of(spark, []))).count() == 0
 
 
+def test_secrets_count_words_of_all_documents(spark):
+    texts = [prose(k, 30) for k in range(300)] + ["quixotic zephyrs, quixotic"] * 3 + ["hapax"]
+    model = secrets.train_secrets(docs_of(spark, texts))
+    runs = [re.findall("[a-z]{3,}", t) for t in texts]
+    held = Counter(w for r in runs for w in set(r))
+    assert set(model.words) == {w for w, n in held.items() if n >= 2} and "quixotic" in model.words and "hapax" not in model.words
+    pairs = Counter(w[i : i + 2] for r in runs for w in r for i in range(len(w) - 1))
+    first = Counter()
+    for p, n in pairs.items():
+        first[p[0]] += n
+    assert model.transitions == pytest.approx({p: np.log(n / first[p[0]]) for p, n in pairs.items()})
+
+
 def test_mixing(spark):
     rng = np.random.default_rng(3)
     rows = spark.createDataFrame([(k, prose(k, int(rng.integers(5, 40))), None if k % 7 == 0 else "en" if k % 3 else "de", "big" if k % 4 else f"s{k % 5}", 0) for k in range(600)], DOCS).withColumn("__kept", F.lit("mine")).drop("__kept")
