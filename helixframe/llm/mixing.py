@@ -92,7 +92,8 @@ def _rake_on_driver(cells: DataFrame, targets: Mapping[str, Mapping[str, float]]
 def _rake_on_spark(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], rounds: int) -> DataFrame:
     """The same fitting for any number of cells: a sum and a join for each axis, written after each round."""
     spark = cells.sparkSession
-    now = materialize(cells.filter("n > 0").withColumn("weight", F.col("n").cast("double")), "cells")
+    # cells without tokens stay, with weight 0, as on the driver
+    now = materialize(cells.withColumn("weight", F.col("n").cast("double")), "cells")
     goals = {}
     for a in AXES:
         k = f"__{a}"
@@ -107,8 +108,12 @@ def _rake_on_spark(cells: DataFrame, targets: Mapping[str, Mapping[str, float]],
         new = now.withColumn("old", F.col("weight"))
         for a in AXES:
             k = f"__{a}"
-            scale = new.groupBy(k).agg(F.sum("weight").alias("sum")).filter("sum > 0").join(goals[a], k)
-            new = new.join(scale, k).withColumn("weight", F.col("weight") * F.col("goal") / F.col("sum")).drop("sum", "goal")
+            scale = new.groupBy(k).agg(F.sum("weight").alias("sum")).join(goals[a], k)
+            # goals of values whose weight is gone go to the others; without any goal left, shares stay as they are
+            there, all_ = scale.filter("sum > 0").agg(F.sum("goal"), F.sum("sum")).first()
+            share = F.col("goal") / F.lit(there) if there else F.col("sum") / F.lit(all_ or 1.0)
+            scale = scale.select(k, F.when(F.col("sum") > 0, share / F.col("sum")).otherwise(0.0).alias("by"))
+            new = new.join(scale, k).withColumn("weight", F.col("weight") * F.col("by")).drop("by")
         new = materialize(new, "cells")
         moved, most = new.agg(F.max(F.abs(F.col("weight") - F.col("old"))), F.max("weight")).first()
         drop_materialized(now)

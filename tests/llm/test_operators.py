@@ -150,6 +150,17 @@ def test_mixing(spark):
     assert mixing.mix_sources(docs_of(spark, [])).count() == 0 and mixing.mix_sources(docs_of(spark, ODD)).count() == len(ODD)
 
 
+@pytest.mark.parametrize("targets", [None, {"source": {"s0": 1.0}}])
+def test_mixing_by_spark_equals_the_driver(spark, targets):
+    rows = docs_of(spark, [*ODD, *(prose(k, 30) for k in range(20))])
+    ways = [{r["doc_id"]: r for r in mixing.mix_sources(rows, targets, driver_cells=cells).collect()} for cells in (10_000, 1)]
+    assert len(ways[0]) == len(ways[1]) == rows.count()
+    for k, a in ways[0].items():
+        assert a["__probability"] == pytest.approx(ways[1][k]["__probability"], abs=1e-3) and a["__kept"] == ways[1][k]["__kept"]
+    assert all(ways[1][k]["__kept"] for k in (1, 2))
+    assert targets is None or {r["__probability"] for r in ways[1].values() if r["__source"] == "s1" and r["__tokens"]} == {0}
+
+
 def test_rake_against_plain_loops():
     seed, index = np.array([4.0, 1, 3, 2, 5, 0]), np.array([[0, 0, 1, 1, 2, 2], [0, 1, 0, 1, 0, 1]])
     w = mixing.rake(seed, index, [np.array([0.5, 0.3, 0.2]), np.array([0.6, 0.4])])
