@@ -38,6 +38,8 @@ CANDIDATES = (
     f"(?<!{RUN})(?=[A-Za-z+/_=.\\-]*+[0-9])(?=[0-9+/_=.\\-]*+[A-Za-z]){RUN}{{16,}}",
 )
 ASSIGNED = f"(?i)(?:{KEY_WORDS})[\"']?\\s{{0,3}}[:=]\\s{{0,3}}[\"']?([^\\s\"'`,;<>]{{8,}})"
+#: Patterns, each with the group that is the candidate.
+PATTERNS = (*((p, 0) for p in CANDIDATES), (ASSIGNED, 1))
 
 
 def _constant_map(values: dict, kind: str) -> Column:
@@ -54,24 +56,44 @@ def _in_words(words: dict[str, int]):
     return lambda w: F.array_contains(F.element_at(table, (F.crc32(w) % n + 1).cast("int")), w)
 
 
-def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
-    """(doc_id, path, candidate, start, length, occurrences, before, after): the distinct candidates of each row.
+def _places(pattern: str, group: int) -> Column:
+    """(start, candidate) of every match in a text, from 0; the candidate is the group that ends the match.
 
-    ``start`` is the place of the first occurrence in characters, from 0. Null and empty texts have none.
+    A match is looked for from the end of the one before: where its string stands first, the pattern matches too.
+    """
+    every = (F.regexp_extract_all("text", F.lit(pattern), F.lit(g)) for g in (0, group))
+    found = F.zip_with(*every, lambda a, c: F.struct(a.alias("all"), c.alias("candidate")))
+    none = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,candidate:string>>").alias("got"))
+
+    def step(state: Column, m: Column) -> Column:
+        end = F.call_function("locate", m["all"], F.col("text"), state["at"]) + F.length(m["all"])
+        return F.struct(end.alias("at"), F.concat(state["got"], F.array(F.struct((end - F.length(m["candidate"]) - 1).alias("start"), m["candidate"].alias("candidate")))).alias("got"))
+
+    return F.aggregate(found, none, step)["got"]
+
+
+def candidates(docs: DataFrame, path: str = "source", key: str | None = None) -> DataFrame:
+    """(__row, doc_id, path, candidate, start, length, occurrences, before, after): each place of the candidates of each row.
+
+    ``start`` is the place in characters, from 0; ``occurrences`` counts the candidate's string in the whole text, as
+    redaction replaces it. __row is the column ``key`` or else numbers the rows. Null and empty texts have none.
     """
     where = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
-    found = F.array_union(F.flatten(F.array(*(F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in CANDIDATES))), F.regexp_extract_all("text", F.lit(ASSIGNED), F.lit(1)))
-    rows = docs.filter(has_candidates()).select("doc_id", where.alias("path"), "text", F.explode(F.array_distinct(found)).alias("candidate"))
-    start = F.expr("instr(text, candidate) - 1")
+    row = F.col(key) if key else F.monotonically_increasing_id()
+    found = F.array_distinct(F.concat(*(_places(p, g) for p, g in PATTERNS)))
+    # numbered before rows are multiplied
+    rows = docs.filter(has_candidates()).select(row.alias("__row"), "doc_id", where.alias("path"), "text")
+    rows = rows.select("*", F.explode(found).alias("x")).select("*", "x.*").drop("x")
     return rows.select(
+        "__row",
         "doc_id",
         "path",
         "candidate",
-        start.cast("long").alias("start"),
+        F.col("start").cast("long").alias("start"),
         F.length("candidate").cast("long").alias("length"),
         F.expr("(length(text) - length(replace(text, candidate, ''))) div length(candidate)").alias("occurrences"),
-        F.expr(f"substring(text, greatest(instr(text, candidate) - {NEAR}, 1), least(instr(text, candidate) - 1, {NEAR}))").alias("before"),
-        F.expr(f"substring(text, instr(text, candidate) + length(candidate), {NEAR})").alias("after"),
+        F.expr(f"substring(text, greatest(start + 1 - {NEAR}, 1), least(start, {NEAR}))").alias("before"),
+        F.expr(f"substring(text, start + 1 + length(candidate), {NEAR})").alias("after"),
     )
 
 
@@ -147,7 +169,7 @@ def labelled_findings(docs: DataFrame) -> DataFrame:
     Without any text the findings stand alone, so that a model can always be trained.
     """
     spark = docs.sparkSession
-    drawn = _sample(docs).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("seed"), F.split(F.trim("text"), "\\s+").alias("w"))
+    drawn = _sample(docs).select(F.concat(F.lit("d"), F.coalesce(F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))).alias("seed"), F.split(F.trim("text"), "\\s+").alias("w"))
     seeds = drawn.unionByName(spark.range(64).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("seed"), F.array(F.lit("value")).alias("w")))
     word = lambda k: F.element_at("w", (F.pmod(F.xxhash64("seed", F.lit(k)), F.size("w")) + 1).cast("int"))
     hexes = lambda k, n: F.substring(F.sha2(F.concat("seed", F.lit(f"/{k}")), 512), 1, n)
@@ -224,13 +246,20 @@ def train_secrets(docs: DataFrame, findings: DataFrame | None = None) -> SecretM
     return SecretModel(forest, common, odds)
 
 
+def _judged(docs: DataFrame, model: SecretModel, path: str, key: str | None = None) -> DataFrame:
+    """One row for each distinct candidate of each row: its first place, and the score of the place that looks worst."""
+    scored = model.score(candidates(docs, path, key))
+    same = [F.first(c).alias(c) for c in ("doc_id", "path", "length", "occurrences")]
+    return scored.groupBy("__row", "candidate").agg(*same, F.min("start").alias("start"), F.max("score").alias("score"))
+
+
 def scan_secrets(docs: DataFrame, model: SecretModel, path: str = "source") -> DataFrame:
     """One row for each distinct candidate of each row of ``docs``, scored; repeated rows give repeated findings.
 
-    Columns: doc_id, path, candidate, start, length, occurrences, score, is_secret.
+    A candidate is a secret if it is one at any of its places. Columns: doc_id, path, candidate, start (its first
+    place), length, occurrences, score (the highest of its places), is_secret.
     """
-    scored = model.score(candidates(docs, path))
-    return scored.select("doc_id", "path", "candidate", "start", "length", "occurrences", "score", (F.col("score") >= CUT).alias("is_secret"))
+    return _judged(docs, model, path).select("doc_id", "path", "candidate", "start", "length", "occurrences", "score", (F.col("score") >= CUT).alias("is_secret"))
 
 
 def redact_secrets(docs: DataFrame, model: SecretModel, path: str = "source", mark: str = "[SECRET]") -> DataFrame:

@@ -131,6 +131,24 @@ def test_secrets_count_words_of_all_documents(spark):
     assert model.transitions == pytest.approx({p: np.log(n / first[p[0]]) for p, n in pairs.items()})
 
 
+def test_secrets_at_every_place(spark):
+    token, other = hashlib.sha1(b"3").hexdigest(), hashlib.sha1(b"4").hexdigest()
+    texts = [f'see commit {token} of it\nand then token = "{token}"', f'é see commit {other} of it; file x{other}yz', None, ""]
+    rows = docs_of(spark, texts).withColumn("doc_id", F.lit(None).cast("long"))
+    rows = rows.unionByName(rows)
+    model = secrets.train_secrets(rows)
+    places = {(r["candidate"], r["start"]): r for r in secrets.candidates(rows).collect()}
+    want = {(token, texts[0].index(token)), (token, texts[0].rindex(token)), (other, texts[1].index(other)), (f"x{other}yz", texts[1].index("x" + other))}
+    assert set(places) == want
+    for (c, at), r in places.items():
+        text = texts[0 if c == token else 1]
+        assert r["before"] == text[max(at - 48, 0) : at] and r["after"] == text[at + len(c) :][:48]
+    found = secrets.scan_secrets(rows, model).collect()
+    assert len(found) == 6 and {r["candidate"]: (r["start"], r["is_secret"]) for r in found if r["candidate"] in (token, other)} == {token: (texts[0].index(token), True), other: (texts[1].index(other), False)}
+    clean = [r["text"] for r in secrets.redact_secrets(docs_of(spark, texts[:2]), model).orderBy("doc_id").collect()]
+    assert token not in clean[0] and f"commit {other}" in clean[1]
+
+
 def test_mixing(spark):
     rng = np.random.default_rng(3)
     rows = spark.createDataFrame([(k, prose(k, int(rng.integers(5, 40))), None if k % 7 == 0 else "en" if k % 3 else "de", "big" if k % 4 else f"s{k % 5}", 0) for k in range(600)], DOCS).withColumn("__kept", F.lit("mine")).drop("__kept")
