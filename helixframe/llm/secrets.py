@@ -31,15 +31,20 @@ TREES, DEPTH, SEED, CUT = 24, 8, 11, 0.5
 KEY_WORDS = "token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer"
 BENIGN_WORDS = "sha\\d*|commit|md5|digest|checksum|uuid|guid|id|version|hash|etag|file|build|ref|integrity|rev|revision|serial|order|image|session"
 FAKE_WORDS = "example|sample|dummy|placeholder|changeme|your[_-]|xxxx|test|fake|todo|redacted|mail"
-PREFIXES = "^(?:AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk_live_|sk-|rk_live_|xox[abpr]-|AIza|eyJ|SG\\.|npm_|-----BEGIN)"
+PREFIXES = "^(?:AKIA|ASIA|ghp_|gho_|ghs_|ghu_|ghr_|github_pat_|glpat-|[rs]k_live_|[rs]k_test_|sk-|xox[abprs]-|AIza|eyJ|SG\\.|npm_|-----BEGIN)"
 RUN = "[A-Za-z0-9+/_=.\\-]"
 CANDIDATES = (
     "-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\\s]*+-----END [A-Z ]*PRIVATE KEY-----",
     f"(?<!{RUN})(?=[A-Za-z+/_=.\\-]*+[0-9])(?=[0-9+/_=.\\-]*+[A-Za-z]){RUN}{{16,}}",
 )
-ASSIGNED = f"(?i)(?:{KEY_WORDS})[\"']?\\s{{0,3}}[:=]\\s{{0,3}}[\"']?([^\\s\"'`,;<>]{{8,}})"
+#: Known prefixes, each with its own alphabet and length; digits are not asked for.
+PREFIXED = "(?:^|[^A-Za-z0-9])(" + "|".join((
+    "(?:AKIA|ASIA)[A-Z0-9]{16}", "gh[opsur]_[A-Za-z0-9]{30,}", "github_pat_[A-Za-z0-9_]{20,}", "glpat-[A-Za-z0-9_\\-]{20,}", "[rs]k_(?:live|test)_[A-Za-z0-9]{10,}",
+    "sk-[A-Za-z0-9_\\-]{20,}", "xox[abprs]-[A-Za-z0-9\\-]{10,}", "AIza[A-Za-z0-9_\\-]{35}", "npm_[A-Za-z0-9]{36}", "SG\\.[A-Za-z0-9_\\-]{16,}\\.[A-Za-z0-9_\\-]{16,}", "eyJ[A-Za-z0-9_\\-]{10,}(?:\\.[A-Za-z0-9_\\-]+){0,2}",
+)) + ")"
+ASSIGNED = f"(?i:(?:{KEY_WORDS})[a-z0-9_.\\-]{{0,24}}[\"']?(?:\\s{{0,3}}(?:[:=]|=>|:=)|\\s{{1,3}}is\\s)\\s{{0,3}}[\"']?)([^\\s\"'`,;<>]{{4,}})"
 #: Patterns, each with the group that is the candidate.
-PATTERNS = (*((p, 0) for p in CANDIDATES), (ASSIGNED, 1))
+PATTERNS = (*((p, 0) for p in CANDIDATES), (PREFIXED, 1), (ASSIGNED, 1))
 
 
 def _constant_map(values: dict, kind: str) -> Column:
@@ -98,8 +103,8 @@ def candidates(docs: DataFrame, path: str = "source", key: str | None = None) ->
 
 
 def has_candidates() -> Column:
-    """A cheap test that rows without any candidate mostly fail; a null text fails it."""
-    return F.coalesce(F.col("text").rlike("[0-9:=]") & (F.col("text").rlike("|".join(CANDIDATES)) | F.col("text").rlike(ASSIGNED)), F.lit(False))
+    """Whether a row has any candidate; a null text has none."""
+    return F.coalesce(F.col("text").rlike("|".join(p for p, _ in PATTERNS)), F.lit(False))
 
 
 def _features(words: dict[str, int], transitions: dict[str, float]) -> dict[str, Column]:
@@ -133,7 +138,7 @@ def _features(words: dict[str, int], transitions: dict[str, float]) -> dict[str,
         "quoted": flag(F.col("before"), "[\"'`]$"),
         "assigned": flag(F.col("before"), "[:=]\\s*[\"'`]?$"),
         "after_at": flag(F.col("before"), "[@/]$"),
-        "key_word": flag(F.lower("before"), f"(?:{KEY_WORDS})[\"']?\\s*(?:[:=]|is|\\s)\\s*[\"'`]?$"),
+        "key_word": flag(F.lower("before"), f"(?:{KEY_WORDS})[a-z0-9_.\\-]{{0,24}}[\"']?\\s*(?:[:=]|is|\\s)\\s*[\"'`]?$"),
         "key_near": flag(F.lower("before"), KEY_WORDS),
         "benign_word": flag(F.lower("before"), f"\\b(?:{BENIGN_WORDS})[\"']?\\s*[:=#]?\\s*[\"'`]?$"),
         "closed": flag(F.col("after"), "^[\"'`]"),
@@ -176,6 +181,8 @@ def labelled_findings(docs: DataFrame) -> DataFrame:
     b64 = lambda k, n: F.substring(F.base64(F.unhex(F.sha2(F.concat("seed", F.lit(f"/{k}")), 512))), 1, n)
     digits = lambda k, n: F.substring(F.regexp_replace(F.sha2(F.concat("seed", F.lit(f"/{k}")), 512), "[a-f]", ""), 1, n)
     letters = F.lower(F.regexp_replace(F.concat(word(1), word(2), word(3)), "[^\\p{L}]", ""))
+    some = lambda k, n: F.substring(F.translate(F.sha2(F.concat("seed", F.lit(f"/{k}")), 512), "0123456789", "ghkmpqtvxz"), 1, n)
+    plain = F.substring(F.concat(F.lower(F.regexp_replace(word(9), "[^\\p{L}]", "")), F.lit("need")), 1, 12)
     lit = F.lit
     # fixed values: text before, value, text after, whether it is a secret
     kinds = [
@@ -189,6 +196,13 @@ def labelled_findings(docs: DataFrame) -> DataFrame:
         (lit("pwd="), b64(12, 18), lit(""), 1),
         (lit("key "), F.concat(lit("sk_live_"), hexes(13, 24)), lit(""), 1),
         (lit("token="), hexes(14, 40), lit(""), 1),
+        (lit("aws_access_key_id = "), F.concat(lit("AKIA"), F.upper(some(15, 16))), lit(""), 1),
+        (lit('secret_key = "'), some(16, 24), lit('"'), 1),
+        (lit("password is "), some(17, 12), lit(""), 1),
+        (lit('password = "'), F.concat(some(18, 4), digits(19, 3)), lit('"'), 1),
+        (lit("password is "), plain, lit(""), 0),
+        (lit("secret: "), plain, lit(""), 0),
+        (lit("auth="), F.element_at(F.array(lit("none"), lit("true"), lit("null"), lit("basic")), F.length(plain) % 4 + 1), lit(""), 0),
         (lit("commit "), hexes(21, 40), lit(""), 0),
         (lit("sha256:"), hexes(22, 64), lit(""), 0),
         (lit('digest = "'), hexes(23, 64), lit('"'), 0),
