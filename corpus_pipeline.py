@@ -25,10 +25,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links of shingle sets join, the document with the smallest id stays."""
-    groups = jaccard_components(docs)
-    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group that links of shingle sets join, one row stays: that of the smallest id, null ones last.
+
+    Rows are named by a hash of all their columns instead of doc_id, so null and repeated ids are rows like others; of
+    rows that are equal in all columns one stays. Null and blank texts are in no group.
+    """
+    keyed = docs.withColumn("__row", F.xxhash64(*(x for c in docs.columns for x in (F.isnull(c), F.col(c)))))
+    groups = jaccard_components(keyed.select(F.col("__row").alias("doc_id"), "text"))
+    groups = groups.groupBy(F.col("doc_id").alias("__row")).agg(F.min("component_id").alias("component"), ((F.count("*") > 1) & (F.max("n_shingles") > 0)).alias("again"))
+    ids = keyed.groupBy("__row").agg(F.min("doc_id").alias("id"))
+    least = groups.join(ids, "__row").groupBy("component").agg(F.min(F.struct(F.isnull("id"), "id", "__row", "again")).alias("x"))
+    stay = materialize(least.select("x.__row", "x.again"), "stay")
+    kept = keyed.join(stay.filter("not again"), "__row", "left_semi")
+    again = stay.filter("again")
+    if not again.isEmpty():
+        kept = kept.unionByName(keyed.join(again, "__row", "left_semi").dropDuplicates(["__row"]))
+    return kept.select(docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

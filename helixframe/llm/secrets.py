@@ -279,12 +279,14 @@ def scan_secrets(docs: DataFrame, model: SecretModel, path: str = "source") -> D
 def redact_secrets(docs: DataFrame, model: SecretModel, path: str = "source", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every occurrence of a found secret replaced by ``mark``, and n_chars, where present, made to fit.
 
-    Rows without candidates pass straight through; only the others meet their findings in a join.
+    Rows without candidates pass straight through; the others are written with a key of their own, by which they meet
+    their findings: neither null ids nor repeated ones matter.
     """
-    found = scan_secrets(docs, model, path).filter("is_secret").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct((-F.col("length")).alias("o"), "candidate"))).alias("hits"))
-    some = docs.filter(has_candidates()).join(found.withColumnRenamed("hits", "__hits"), "doc_id", "left")
+    rows = materialize(docs.filter(has_candidates()).withColumn("__key", F.monotonically_increasing_id()), "candidates")
+    found = _judged(rows, model, path, "__key").filter(F.col("score") >= CUT).groupBy(F.col("__row").alias("__key")).agg(F.sort_array(F.collect_set(F.struct((-F.col("length")).alias("o"), "candidate"))).alias("__hits"))
+    some = rows.join(found, "__key", "left")
     text = F.when(F.col("__hits").isNull(), F.col("text")).otherwise(F.aggregate("__hits", F.col("text"), lambda t, h: F.replace(t, h["candidate"], F.lit(mark))))
-    some = some.withColumn("text", text).drop("__hits")
+    some = some.withColumn("text", text).drop("__hits", "__key")
     if "n_chars" in docs.columns:
         some = some.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return docs.filter(~has_candidates()).unionByName(some.select(docs.columns))

@@ -1,0 +1,33 @@
+"""Stages of corpus_pipeline.py against brute force, with null and repeated ids."""
+
+import hashlib
+from collections import Counter
+
+import corpus_pipeline
+
+from llm.test_operators import DOCS, brute_components, prose
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    near = prose(1, 80)
+    rows = [(7, near), (7, near), (7, near + " end"), (None, near + " stop"), (7, prose(2, 40)), (9, prose(3, 40)), (9, prose(4, 40)), (3, prose(4, 40))]
+    rows += [(None, prose(5, 40)), (None, prose(5, 40) + " x"), (None, prose(5, 40)), (None, ""), (None, ""), (4, None), (9, "one"), (None, "ONE")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], DOCS).repartition(3)
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect())
+    groups = {}
+    for at, (n, component) in brute_components({k: t for k, (_, t) in enumerate(rows)}).items():
+        groups.setdefault(component, []).append(rows[at])
+    assert sum(got.values()) == len(groups) and sorted(map(len, groups.values())) == [1] * 5 + [2, 2, 3, 4]
+    for group in groups.values():
+        ids = [k for k, _ in group if k is not None]
+        assert sum(got[row] for row in set(group) if row[0] == (min(ids) if ids else None)) >= 1
+
+
+def test_secrets_with_null_and_repeated_ids(spark):
+    token = hashlib.sha1(b"5").hexdigest()
+    bad, clean = f'token = "{token}" and more', f"the commit {token} is in no way secret"
+    rows = [(None, bad), (None, clean), (1, bad), (1, clean), (1, None), (1, bad)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], DOCS)
+    got = Counter((r["doc_id"], r["text"], r["n_chars"]) for r in corpus_pipeline.secret_stage(spark, docs, "").collect())
+    marked = 'token = "[SECRET]" and more'
+    assert got == Counter((k, t, len(t or "")) for k, t in ((k, marked if t == bad else t) for k, t in rows))
