@@ -1,7 +1,7 @@
 """Packing token sequences: best-two-fit, and best-fit-decreasing into id matrices.
 
-A task packs the documents of its own input split in blocks, so nothing is shuffled; only lengths (best-two-fit) or a
-block's ids (matrices) are held. Each block leaves at most a few sequences that are not full.
+Best-two-fit deals light rows of lengths out over the whole corpus and packs them in large blocks. For matrices a task packs
+the documents of its own input split in blocks and holds a block's ids, so nothing is shuffled there.
 """
 
 from __future__ import annotations
@@ -15,11 +15,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import drop_materialized, materialize
 from .tokens import default_vocabulary, token_ids
 
 CAPACITY, END_ID = 1024, 2
 #: Pieces that best-two-fit chooses from at once, and tokens of a block of matrices.
 BLOCK_PIECES, BLOCK_TOKENS = 1_000_000, 1 << 22
+#: Pieces of the whole corpus that are dealt to one task of best-two-fit.
+MIXED_PIECES = 1 << 16
 #: Sequences in a stored matrix.
 MATRIX_ROWS = 64
 
@@ -133,45 +136,69 @@ def _documents(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Ite
             yield doc_id, np.concatenate((token_ids(text.as_py(), path), end))
 
 
-def _packed(path: str, capacity: int, end_id: int, block: int):
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PLACED = f"{PIECE}, sequence_id long, offset long, filled boolean"
+
+
+def _cut(path: str, capacity: int, end_id: int):
+    kinds = dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows = TaskContext.get().partitionId() << 33, []
+        for batch in batches:
+            rows = [(doc_id, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for doc_id, ids in _documents(iter([batch]), path, end_id) for k, (s, n) in enumerate(pieces(len(ids), capacity))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
-        def flush() -> pa.RecordBatch:
-            nonlocal at
-            doc, piece, start, length, crc = zip(*rows, strict=True)
-            sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-            for b in best_two_fit(list(length), capacity):
+    return run
+
+
+def _packed(capacity: int, block: int, first: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, total = first + (TaskContext.get().partitionId() << 33), [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal at, total
+            rows = pa.Table.from_batches(held).combine_chunks()
+            lengths = rows.column("length").to_pylist()
+            sequence, offset, filled = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), np.zeros(len(lengths), bool)
+            for b in best_two_fit(lengths, capacity):
                 place = 0
                 for i in b:
                     sequence[i], offset[i] = at, place
-                    place += length[i]
+                    place += lengths[i]
+                filled[b] = place == capacity
                 at += 1
-            rows.clear()
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((doc, piece, start, length, crc, sequence, offset), kinds, strict=True)], names=names)
-
-        for doc_id, ids in _documents(batches, path, end_id):
-            for k, (s, n) in enumerate(pieces(len(ids), capacity)):
-                rows.append((doc_id, k, s, n, zlib.crc32(ids[s : s + n].tobytes())))
-            if len(rows) >= block:
-                yield flush()
-        if rows:
-            yield flush()
+            held.clear()
+            total = 0
+            for name, values in (("sequence_id", sequence), ("offset", offset), ("filled", filled)):
+                rows = rows.append_column(name, pa.array(values))
+            yield from rows.to_batches(max_chunksize=10_000)
+
+        for batch in batches:
+            held.append(batch)
+            total += batch.num_rows
+            if total >= block:
+                yield from flush()
+        if total:
+            yield from flush()
 
     return run
 
 
-def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, block: int = BLOCK_PIECES) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, block: int = BLOCK_PIECES, mix: int = MIXED_PIECES) -> DataFrame:
     """Best-two-fit of all rows of ``docs`` (doc_id, text): one row for each piece, with its sequence and place.
 
+    Only the pieces' names and lengths are dealt out, evenly, into blocks of about ``mix`` from the whole corpus, so that
+    file layout does not matter. The pieces of all sequences that are not full are then packed once more in the same way.
     Columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null and empty texts are packed as their end
     id alone; repeated rows are packed as often as they occur; an empty table gives no piece.
     """
-    run = _packed(vocabulary or default_vocabulary(), capacity, end_id, block)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    light = materialize(docs.select("doc_id", "text").mapInArrow(_cut(vocabulary or default_vocabulary(), capacity, end_id), PIECE), "pieces")
+    deal = lambda rows: rows.repartition(max(1, -(-rows.count() // mix)))
+    once = materialize(deal(light).mapInArrow(_packed(capacity, block, 0), PLACED), "packed")
+    drop_materialized(light)
+    again = deal(once.filter("not filled").select(light.columns)).mapInArrow(_packed(capacity, block, 1 << 61), PLACED)
+    return once.filter("filled").unionByName(again).drop("filled")
 
 
 MATRICES = "matrix_id long, n_rows int, width int, ids binary, cu_seqlens array<array<int>>, position_resets array<int>, doc_ids array<array<long>>, pieces array<array<int>>"

@@ -231,6 +231,18 @@ def test_pack_documents(spark):
     assert packing.pack_documents(docs_of(spark, [])).count() == 0
 
 
+def test_packing_does_not_depend_on_the_layout(spark):
+    # one split of long documents, one of short ones
+    texts = [" alpha" * 600] * 40 + [" alpha" * 422] * 40
+    whole = docs_of(spark, texts).coalesce(1)
+    parts = whole.filter("doc_id <= 40").unionByName(whole.filter("doc_id > 40"))
+    for mix in (1000, 40):
+        rows = packing.pack_documents(parts, mix=mix).toPandas()
+        assert sorted(rows["doc_id"]) == list(range(1, 81))
+        fill = rows.groupby("sequence_id")["length"].sum()
+        assert fill.max() <= 1024 and len(fill) <= (40 if mix == 1000 else 55)
+
+
 def test_matrices(spark, tmp_path):
     texts, path = [*ODD, prose(2, 2000)], tokens.default_vocabulary()
     rows = packing.write_matrices(docs_of(spark, texts), f"file://{tmp_path}/m").collect()
