@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHORT, LONGEST, LITTLE = 1000, 1_073_741_823, 0.2
+from .sequences import LONGEST
+
+SHORT, LITTLE = 1000, 0.2
 
 
 def _row(rows: DataFrame, level: str, code: str, message, i="seq_id", j=None) -> DataFrame:
@@ -46,3 +48,13 @@ def pair_diagnostics(distances: DataFrame, coverages: DataFrame) -> DataFrame:
     )
     low = distances.filter(~F.isnan("distance") & (F.col("i") < F.col("j"))).join(cov, ["i", "j"]).filter((F.col("there") < LITTLE) | (F.col("back") < LITTLE))
     return bad.unionByName(_row(low, "soft_error", "low_homology", F.format_string("Very little homology: coverages %.4f and %.4f.", "there", "back"), "i", "j"))
+
+
+def file_diagnostics(errors: DataFrame) -> DataFrame:
+    """The errors of ``read_fasta`` as rows of the same table; i: the file's number in the order of names."""
+    return errors.select("level", "code", F.col("file_idx").cast("long").alias("i"), F.lit(None).cast("long").alias("j"), F.col("error").alias("message"))
+
+
+def exit_status(found: DataFrame) -> int:
+    """What a run ends with: 1 if any row is an error, soft or fatal, else 0."""
+    return int(not found.filter(F.col("level").isin("soft_error", "fatal")).isEmpty())

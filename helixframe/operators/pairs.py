@@ -9,24 +9,30 @@ from pyspark.sql import functions as F
 
 from ..functions import models
 from ..functions.thresholds import P_VALUE
-from .anchors import Subject, walk
+from .anchors import Query, Subject, walk
 from .sequences import subjects
 
 PAIRS = "subject_id long, query_id long, counts array<long>, seq_len long"
+#: Letters of a block of subjects or queries; partitions that blocks are dealt to.
+BLOCK, MOST_TASKS = 1 << 23, 10_000
+WORD = (1 << 64) - 1
 
 
 def pair_counts(sequences: DataFrame, model: str = "jc", p_value: float = P_VALUE, subject_blocks: int | None = None, query_blocks: int | None = None, queries: DataFrame | None = None) -> DataFrame:
     """(subject_id, query_id, counts, seq_len) for each ordered pair of different sequences.
 
-    ``sequences``: seq_id, seq, len; ``queries``: others to compare them with, instead of themselves. Subjects and queries are dealt into blocks, and a task compares one block of each:
-    every subject is sent to ``query_blocks`` tasks and every query to ``subject_blocks``. A task indexes its subjects
-    one after the other. Sequences without letters have no threshold and give no counts. By default there is a block for
-    about 8 subjects up to 256 blocks and for 64 queries.
+    ``sequences``: seq_id, seq, len; ``queries``: others to compare them with, instead of themselves. Subjects and queries
+    are dealt into blocks, and a task compares one block of each: every subject is sent to ``query_blocks`` tasks and
+    every query to ``subject_blocks``. A task sorts its queries' words once and indexes its subjects one after the other.
+    Sequences without letters have no threshold and give no counts. By default a block holds BLOCK letters of subjects
+    or of queries, or one sequence, but there are at least 64 blocks of subjects, if there are as many.
     """
     if subject_blocks is None or query_blocks is None:
-        n = sequences.count()
-        subject_blocks = subject_blocks or (max(n, 1) if n <= 64 else max(64, min(n // 8, 256)))
-        query_blocks = query_blocks or max(1, -(-(n if queries is None else queries.count()) // 64))
+        of = lambda rows: rows.agg(F.count("*"), F.sum("len")).first()
+        blocks = lambda n, letters: max(1, min(n, -(-(letters or 0) // BLOCK)))
+        n, letters = of(sequences)
+        subject_blocks = subject_blocks or max(min(n, 64), blocks(n, letters), 1)
+        query_blocks = query_blocks or blocks(*((n, letters) if queries is None else of(queries)))
     fourths = models.model_name(model) in models.BY_FOURTHS
     named = subjects(sequences, p_value).select("seq_id", "rs", "threshold")
     block = lambda n: F.pmod(F.xxhash64("seq_id"), F.lit(n)).cast("int")
@@ -35,13 +41,15 @@ def pair_counts(sequences: DataFrame, model: str = "jc", p_value: float = P_VALU
     right = (sequences if queries is None else queries).select(F.col("seq_id").alias("query"), F.col("seq").alias("letters"), block(query_blocks).alias("qb"), every(subject_blocks).alias("sb"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+        rows, known = [], [(qid, Query(q)) for qid, q in zip(b["query"], b["letters"], strict=True)] if len(a) else []
         for sid, rs, threshold in zip(a["subject"], a["rs"], a["threshold"], strict=True):
             index = None if pd.isna(threshold) else Subject(rs, int(threshold))
-            rows += [(sid, qid, walk(index, q, fourths) if index else [0] * 16, len(q)) for qid, q in zip(b["query"], b["letters"], strict=True) if qid != sid]
+            rows += [(sid, qid, walk(index, q, fourths) if index else [0] * 16, len(q.bytes)) for qid, q in known if qid != sid]
         return pd.DataFrame(rows, columns=["subject_id", "query_id", "counts", "seq_len"])
 
-    return left.groupBy("sb", "qb").cogroup(right.groupBy("sb", "qb")).applyInPandas(run, PAIRS)
+    # as many groups as there are tasks to fill: none is left to share one with another by chance
+    deal = lambda rows: rows.repartition(min(4 * subject_blocks * query_blocks, MOST_TASKS), "sb", "qb")
+    return deal(left).groupBy("sb", "qb").cogroup(deal(right).groupBy("sb", "qb")).applyInPandas(run, PAIRS)
 
 
 def symmetric(pairs: DataFrame) -> DataFrame:
@@ -80,7 +88,7 @@ def bootstrap(pairs: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
             out = []
             for r, i, j, c in zip(pdf["replicate"], pdf["i"], pdf["j"], pdf["counts"], strict=True):
                 c = np.asarray(c, np.int64)
-                rng = np.random.default_rng([seed, int(r), int(i) & 0xFFFFFFFF, int(j) & 0xFFFFFFFF])
+                rng = np.random.default_rng([seed, int(r), int(i) & WORD, int(j) & WORD])
                 out.append(rng.multinomial(c.sum(), c / c.sum()) if c.sum() else c)
             yield pdf.assign(counts=out)[["replicate", "i", "j", "counts", "seq_len"]]
 

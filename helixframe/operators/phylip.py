@@ -24,12 +24,19 @@ def distance_lines(distances: DataFrame, sequences: DataFrame, truncate_names: b
 
     All numbers turn scientific if any distance lies between 0 and 0.001.
     """
-    small = distances.agg(F.coalesce(F.max((F.col("distance") > 0) & (F.col("distance") < 0.001)), F.lit(False)).alias("small")).first()["small"]
-    cells = _with_diagonal(distances.select("i", "j", F.col("distance").alias("v")), sequences, 0.0)
-    text = F.array_join(F.transform(F.array_sort("cells"), lambda c: F.concat(F.lit(" "), number(c["v"], F.lit(bool(small))))), "")
-    rows = cells.groupBy("i").agg(F.collect_list(F.struct("j", "v")).alias("cells")).join(sequences.select(F.col("seq_id").alias("i"), "name"), "i")
-    lines = rows.select((F.col("i") + 1).alias("line_no"), F.concat(name_cell(F.col("name"), truncate_names), text).alias("line"))
-    return sequences.agg(F.count("*").alias("n")).select(F.lit(0).cast("long").alias("line_no"), F.col("n").cast("string").alias("line")).unionByName(lines)
+    return replicate_lines(distances.withColumn("replicate", F.lit(0)), sequences, truncate_names).drop("replicate")
+
+
+def replicate_lines(distances: DataFrame, sequences: DataFrame, truncate_names: bool = False) -> DataFrame:
+    """(replicate, line_no, line): the matrix of each replicate (distances: replicate, i, j, distance), as ``distance_lines``."""
+    small = distances.groupBy("replicate").agg(F.coalesce(F.max((F.col("distance") > 0) & (F.col("distance") < 0.001)), F.lit(False)).alias("small"))
+    rows = distances.groupBy("replicate", "i").agg(F.collect_list(F.struct("j", F.col("distance").alias("v"))).alias("cells")).join(small, "replicate")
+    own = F.array_append("cells", F.struct(F.col("i").alias("j"), F.lit(0.0).alias("v")))
+    text = F.array_join(F.transform(F.array_sort(own), lambda c: F.concat(F.lit(" "), number(c["v"], F.col("small")))), "")
+    rows = rows.join(sequences.select(F.col("seq_id").alias("i"), "name"), "i")
+    lines = rows.select("replicate", (F.col("i") + 1).alias("line_no"), F.concat(name_cell(F.col("name"), truncate_names), text).alias("line"))
+    heads = lines.groupBy("replicate").agg(F.count("*").cast("string").alias("line")).select("replicate", F.lit(0).cast("long").alias("line_no"), "line")
+    return heads.unionByName(lines)
 
 
 def coverage_lines(coverages: DataFrame, sequences: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.models import distance, model_name
 from ..functions.thresholds import P_VALUE
 from ..operators import diagnostics, pairs, phylip
+from ..sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -33,6 +35,20 @@ class Options:
             raise ValueError("bootstrap must be 1 or more")
 
 
+def lenient_options(**given) -> tuple[Options, list[str]]:
+    """Options of values as users give them: a bad one leaves its default, and a message says so."""
+    kept, messages = {}, []
+    for name, value in given.items():
+        try:
+            kind = type(getattr(Options, name, None))
+            value = value if kind is type(None) or isinstance(value, kind) else kind(value)
+            Options(**{name: value})
+            kept[name] = value
+        except (TypeError, ValueError):
+            messages.append(f"Ignoring bad value {value!r} of option {name}.")
+    return Options(**kept), messages
+
+
 @dataclass(frozen=True)
 class Result:
     pairs: DataFrame
@@ -49,15 +65,21 @@ def replicate_distances(replicates: DataFrame, model: str) -> DataFrame:
     return once.select("replicate", F.explode(F.array(F.struct("i", "j", "distance"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "distance"))).alias("x")).select("replicate", "x.*")
 
 
-def run(sequences: DataFrame, options: Options = Options()) -> Result:
+def run(sequences: DataFrame, options: Options = Options(), errors: DataFrame | None = None, messages: Sequence[str] = ()) -> Result:
     """Compare all pairs of ``sequences`` (seq_id, name, seq, len, other_letters).
 
-    Raises ValueError for fewer than two sequences and for empty or overlong ones; all else is reported as rows.
+    Raises ValueError for fewer than two sequences and for empty or overlong ones; all else is reported as rows, with the
+    ``errors`` of reading files and the ``messages`` of ``lenient_options``. Pairs are walked once and written.
     """
     diagnostics.check_runnable(sequences)
-    counted = pairs.pair_counts(sequences, options.model, options.p_value, options.subject_blocks, options.query_blocks)
+    counted = written(pairs.pair_counts(sequences, options.model, options.p_value, options.subject_blocks, options.query_blocks), "pairs")
     d, c = pairs.distances(counted, options.model, options.symmetric), pairs.coverages(counted)
     found = diagnostics.sequence_diagnostics(sequences, options.truncate_names).unionByName(diagnostics.pair_diagnostics(d, c))
+    if errors is not None:
+        found = found.unionByName(diagnostics.file_diagnostics(errors))
+    if messages:
+        rows = [("soft_error", "option", None, None, m) for m in messages]
+        found = found.unionByName(sequences.sparkSession.createDataFrame(rows, "level string, code string, i long, j long, message string"))
     replicates = replicate_distances(pairs.bootstrap(counted, options.bootstrap, options.seed), options.model)
     return Result(counted, d, c, replicates, found)
 
@@ -65,3 +87,9 @@ def run(sequences: DataFrame, options: Options = Options()) -> Result:
 def matrix(result: Result, sequences: DataFrame, truncate_names: bool = False) -> DataFrame:
     """The matrix of distances as numbered lines."""
     return phylip.distance_lines(result.distances, sequences, truncate_names)
+
+
+def replicate_matrices(result: Result, sequences: DataFrame, truncate_names: bool = False) -> DataFrame:
+    """The matrices of all replicates as numbered lines; that of the data itself is replicate 0."""
+    every = result.distances.select(F.lit(0).alias("replicate"), "i", "j", "distance").unionByName(result.replicates)
+    return phylip.replicate_lines(every, sequences, truncate_names)

@@ -60,10 +60,10 @@ def _round(x: str) -> str:
     return f"(CASE WHEN isnan({x}) OR isinf({x}) THEN {x} ELSE round({x}, 9) END)"
 
 
-MUTANTS = f"""{SEQS}, places AS (SELECT seq_id, seq, unnest(range(length(seq))) AS p FROM seqs WHERE seq <> ''),
-    letters AS (SELECT seq_id, p, seq[p + 1] AS s FROM places),
+MUTANTS = f"""{SEQS}, letters AS (SELECT seq_id, unnest(range(length(seq))) AS p, unnest(string_split(seq, '')) AS s FROM seqs WHERE seq <> ''),
     turned AS (SELECT seq_id, s, CASE WHEN (seq_id * 31 + p * 7) % 97 = 0 THEN translate(s, 'ACGT', 'CGTA') ELSE s END AS q FROM letters),
-    counted AS (SELECT seq_id, {COUNTED} FROM turned GROUP BY seq_id)"""
+    found AS (SELECT seq_id, {COUNTED} FROM turned GROUP BY seq_id),
+    counted AS (SELECT seq_id, {', '.join(f'coalesce({n}, 0) AS {n}' for n in NAMES)} FROM seqs LEFT JOIN found USING (seq_id))"""
 
 
 def _genomes(by: str) -> str:
@@ -71,8 +71,7 @@ def _genomes(by: str) -> str:
     FROM seqs GROUP BY {by})"""
 
 
-PAIRED = f"""{_genomes('lang')}, places AS (SELECT seq_id, seq, unnest(range(1, length(seq) + 1)) AS p FROM genomes),
-    letters AS (SELECT seq_id, p, seq[p] AS x FROM places),
+PAIRED = f"""{_genomes('lang')}, letters AS (SELECT seq_id, unnest(range(1, length(seq) + 1)) AS p, unnest(string_split(seq, '')) AS x FROM genomes),
     counted AS (SELECT a.seq_id AS subject_id, b.seq_id AS query_id, {COUNTED.replace('s =', 'a.x =').replace('q =', 'b.x =')} FROM letters a JOIN letters b ON a.p = b.p AND a.seq_id <> b.seq_id GROUP BY ALL),
     paired AS (SELECT counted.*, length(g.seq) AS seq_len FROM counted JOIN genomes g ON g.seq_id = query_id),
     summed AS (SELECT least(subject_id, query_id) AS i, greatest(subject_id, query_id) AS j, {', '.join(f'sum({n})::BIGINT AS {n}' for n in NAMES)}, sum(seq_len)::BIGINT AS seq_len FROM paired GROUP BY ALL),
@@ -95,7 +94,7 @@ ORACLE = {
     "matrix_names": "SELECT c_custkey, CASE WHEN length(c_name) < 10 THEN rpad(c_name, 10, ' ') ELSE c_name END AS padded, left(rpad(c_mktsegment, 10, ' '), 10) AS cut FROM customer",
     "anchor_thresholds": f"""WITH {SEQS}, t AS (SELECT seq_id, length(regexp_replace(seq, '[^GC]', '', 'g'))::DOUBLE / length(seq) AS gc, 2.0 * length(seq) + 1 AS l FROM seqs WHERE seq <> ''),
         u AS (SELECT *, unnest(range(1, 33)) AS x FROM t), p AS (SELECT seq_id, x, {PROBABILITY} AS p FROM u)
-        SELECT seq_id, min(x)::INTEGER AS threshold FROM p WHERE p >= 1 - {P_VALUE} GROUP BY seq_id""",
+        SELECT seq_id, coalesce(min(x) FILTER (WHERE p >= 1 - {P_VALUE}), 0)::INTEGER AS threshold FROM seqs LEFT JOIN p USING (seq_id) GROUP BY seq_id""",
     "sequence_validation": f"""WITH {SEQS} SELECT 'fatal' AS level, 'empty' AS code, seq_id AS i FROM seqs WHERE seq = ''
         UNION ALL SELECT 'soft_error', 'short', seq_id FROM seqs WHERE length(seq) BETWEEN 1 AND 999
         UNION ALL SELECT 'warning', 'non_acgt', seq_id FROM seqs WHERE length(raw) <> length(seq)
@@ -118,5 +117,5 @@ ORACLE = {
     "coverage_matrix_lines": f"""WITH {PAIRED}, c AS (SELECT subject_id AS i, query_id AS j, coverage FROM covered UNION ALL SELECT seq_id, seq_id, 1.0 FROM genomes)
         SELECT i AS line_no, string_agg(printf('%1.4e', coverage) || ' ', '' ORDER BY j) AS line FROM c GROUP BY i""",
     "bootstrap_totals": f"WITH {PAIRED} SELECT r::INTEGER AS replicate, i, j, seq_len, {TOTAL} AS total FROM summed, range(1, 4) t(r)",
-    "fasta_scan": f"WITH {SEQS} SELECT seq_id AS doc_id, md5(seq) AS seq_md5, length(seq) AS len FROM seqs WHERE seq <> '' AND seq NOT LIKE '%!%'",
+    "fasta_scan": f"WITH {SEQS}, f AS (SELECT seq_id, replace(seq, '!', '') AS seq FROM seqs) SELECT seq_id AS doc_id, CASE WHEN seq <> '' THEN md5(seq) END AS seq_md5, length(seq) AS len FROM f",
 }

@@ -11,10 +11,10 @@ from ..functions import models
 from ..functions.sequence import CELLS, both_strands, equal_fourths, gc_content, genome_name, has_other_letters, letter_counts, name_cell, normalize, revcomp
 from ..functions.thresholds import anchor_threshold
 from ..operators import aligned, diagnostics, pairs, phylip
-from ..operators.sequences import from_table, join_contigs
+from ..operators.sequences import from_table, genome_sizes, join_contigs, placed_contigs
 from ..operators.simulate import with_copies
 from ..sources.fasta import fasta_records, write_fasta
-from ..sources.shared import new_path
+from ..sources.shared import new_path, written
 from .engine import Options, replicate_distances, run
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,7 +34,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def genomes(spark: SparkSession, sf_dir: str, by: str = "source") -> DataFrame:
-    return join_contigs(documents(spark, sf_dir), by)
+    """Joined genomes, written: pairs read them once as subjects and once as queries."""
+    return written(join_contigs(documents(spark, sf_dir), by), "genomes")
 
 
 def rounded(c: str, digits: int = 9):
@@ -99,8 +100,10 @@ def matrix_names(spark, sf_dir):
 
 @query
 def anchor_thresholds(spark, sf_dir):
+    """The threshold of each document's sequence, 0 for one without letters."""
     seqs = from_table(documents(spark, sf_dir))
-    return seqs.filter("len > 0").select("seq_id", anchor_threshold(gc_content(F.col("seq")), 2 * F.col("len") + 1).alias("threshold"))
+    found = anchor_threshold(gc_content(F.col("seq")), 2 * F.col("len") + 1)
+    return seqs.select("seq_id", F.coalesce(found, F.lit(0)).alias("threshold"))
 
 
 @query
@@ -136,7 +139,8 @@ for _m in models.MODELS:
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aligned.aligned_pairs(genomes(spark, sf_dir, "lang"))
+    docs = documents(spark, sf_dir)
+    return aligned.aligned_pairs(placed_contigs(docs, "lang"), genome_sizes(docs, "lang"))
 
 
 @query
@@ -166,20 +170,19 @@ def pair_coverages(spark, sf_dir):
 
 @query
 def pair_validation(spark, sf_dir):
-    p = _aligned(spark, sf_dir)
+    p = written(_aligned(spark, sf_dir), "pairs")
     return diagnostics.pair_diagnostics(pairs.distances(p, "jc"), pairs.coverages(p)).select("level", "code", "i", "j")
 
 
 @query
 def distance_matrix_lines(spark, sf_dir):
-    g = genomes(spark, sf_dir, "lang")
-    return phylip.distance_lines(pairs.distances(aligned.aligned_pairs(g), "raw"), g)
+    p = written(_aligned(spark, sf_dir), "pairs")
+    return phylip.distance_lines(pairs.distances(p, "raw"), genome_sizes(documents(spark, sf_dir), "lang"))
 
 
 @query
 def coverage_matrix_lines(spark, sf_dir):
-    g = genomes(spark, sf_dir, "lang")
-    return phylip.coverage_lines(pairs.coverages(aligned.aligned_pairs(g)), g)
+    return phylip.coverage_lines(pairs.coverages(_aligned(spark, sf_dir)), genome_sizes(documents(spark, sf_dir), "lang"))
 
 
 @query
@@ -190,11 +193,14 @@ def bootstrap_totals(spark, sf_dir):
 
 @query
 def fasta_scan(spark, sf_dir):
-    path = new_path(spark, "fasta")
-    write_fasta(from_table(documents(spark, sf_dir)).filter("len > 0 and seq not like '%!%'"), path)
+    """Documents through FASTA files and back; the format holds no separators, and nothing for a text without letters."""
+    path, docs = new_path(spark, "fasta"), documents(spark, sf_dir)
+    seqs = from_table(docs).withColumn("seq", F.replace(F.col("seq"), F.lit("!"), F.lit("")))
+    write_fasta(seqs.filter("seq <> ''"), path)
     files = sorted(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path").toPandas()["path"])
     records = fasta_records(spark, files).filter("error is null")
-    return records.select(F.col("name").cast("long").alias("doc_id"), F.md5("raw").alias("seq_md5"), F.length("raw").cast("long").alias("len"))
+    records = records.select(F.col("name").cast("long").alias("doc_id"), F.md5("raw").alias("seq_md5"), F.length("raw").cast("long").alias("len"))
+    return docs.select("doc_id").join(records, "doc_id", "left").withColumn("len", F.coalesce("len", F.lit(0)))
 
 
 @query
@@ -216,8 +222,8 @@ def genome_run(spark, sf_dir):
 
 @query
 def genome_matrix(spark, sf_dir):
-    g = genomes(spark, sf_dir)
-    return phylip.distance_lines(pairs.distances(pairs.pair_counts(g), "jc"), g)
+    counted = written(pairs.pair_counts(genomes(spark, sf_dir)), "pairs")
+    return phylip.distance_lines(pairs.distances(counted, "jc"), genome_sizes(documents(spark, sf_dir)))
 
 
 @query

@@ -9,11 +9,11 @@ from helixframe.functions import models
 from helixframe.functions.numerics import c_div, c_ln
 from helixframe.functions.sequence import both_strands, gc_content, genome_name, has_other_letters, name_cell, normalize
 from helixframe.functions.thresholds import match_probability, thresholds
-from helixframe.operators import diagnostics, pairs, phylip
+from helixframe.operators import aligned, diagnostics, pairs, phylip
 from helixframe.operators.anchors import Subject, walk
-from helixframe.operators.sequences import from_table, join_contigs
-from helixframe.operators.simulate import with_copies
-from helixframe.plans.engine import Options, run
+from helixframe.operators.sequences import from_table, genome_sizes, join_contigs, placed_contigs
+from helixframe.plans.engine import Options, lenient_options, matrix, replicate_matrices, run
+from helixframe.sources import maf
 from helixframe.sources.fasta import parse_fasta, read_fasta
 
 S = "TACGAGCACTGGTGGAATTGATGTCCAGTCTTATATGGCGCACCAGGCTGATAGTAGTAGCAGTTTGCTTATCTCATCGCGTGTTTCCGGATGACAGAGA"
@@ -198,13 +198,96 @@ def test_unrelated_and_little_homology(spark):
     assert ("nan", 0, 1) in found and ("nan", 1, 0) in found and ("low_homology", 2, 3) in found
 
 
-def test_simulated_distances(spark):
-    rng = random.Random(2)
-    seqs = _seqs(spark, ["".join(rng.choice("ACGT") for _ in range(20000))])
-    rows = with_copies(seqs, [0.0, 0.01, 0.1, 0.2])
-    counted = pairs.pair_counts_within(rows, "pair").groupBy("pair").agg(F.array(*(F.sum(F.col("counts")[k]) for k in range(16))).alias("counts"))
-    got = {r["pair"]: r["d"] for r in counted.select("pair", models.jc(F.col("counts")).alias("d")).collect()}
-    assert got[0] == 0 and all(abs(got[k] - d) < 0.02 for k, d in ((1, 0.01), (2, 0.1), (3, 0.2)))
+def _turned(letters, places, rng):
+    out = letters.copy()
+    out[places] = (out[places] + rng.integers(1, 4, len(places))) % 4
+    return out
+
+
+def _text(codes):
+    return np.frombuffer(b"ACGT", np.uint8)[codes].tobytes().decode()
+
+
+def test_acceptance(spark):
+    """Pairs of 100,000 letters with a given number of substitutions: at most 5.5 % off, by JC and by raw distance."""
+    rng, n, rows = np.random.default_rng(1729), 100_000, []
+    wanted = [(m, d, k) for m in ("jc", "raw") for d in (0.0, 0.001, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3) for k in range(2)]
+    for at, (m, d, _) in enumerate(wanted):
+        share = 0.75 * (1 - math.exp(-4 * d / 3)) if m == "jc" else d
+        a = rng.integers(0, 4, n)
+        b = _turned(a, rng.choice(n, round(share * n), replace=False), rng)
+        rows += [(at, 2 * at, _text(a)), (at, 2 * at + 1, _text(b))]
+    seqs = spark.createDataFrame(rows, "pair long, seq_id long, seq string").repartition(8).withColumn("len", F.length("seq").cast("long"))
+    counted = pairs.pair_counts_within(seqs, "pair").groupBy("pair").agg(F.array(*(F.sum(F.col("counts")[k]) for k in range(16))).alias("counts"))
+    got = {r["pair"]: r for r in counted.select("pair", models.jc(F.col("counts")).alias("jc"), models.raw(F.col("counts")).alias("raw")).collect()}
+    for at, (m, d, _) in enumerate(wanted):
+        assert abs(got[at][m] - d) <= min(0.055, 0.055 * d), (m, d, got[at][m])
+
+
+@pytest.mark.parametrize("left, right", [((0, 1, 2), (0, 1, 2)), ((2,), (1, 2)), ((0, 2), (0, 1, 2))])
+def test_joined_acceptance(spark, left, right):
+    """Contigs of 1,000, 1,000 and 10,000 letters, some of them missing: raw distance within .03 of .1."""
+    rng = np.random.default_rng(5)
+    contigs = [rng.integers(0, 4, n) for n in (1000, 1000, 10000)]
+    share = 0.75 * (1 - math.exp(-0.4 / 3))
+    copies = [_turned(c, rng.choice(len(c), round(share * len(c)), replace=False), rng) for c in contigs]
+    rows = [("a", k, _text(contigs[k])) for k in left] + [("b", k, _text(copies[k])) for k in right]
+    g = join_contigs(spark.createDataFrame(rows, "source string, doc_id long, text string"))
+    assert all(abs(r["distance"] - 0.1) < 0.03 for r in pairs.distances(pairs.pair_counts(g), "raw").collect())
+
+
+def test_aligned_pairs_against_brute_force(spark):
+    rng = random.Random(4)
+    docs = [(k, rng.choice(["a", "b", "c", None]), None if k % 9 == 0 else "".join(rng.choice("ACGT!x") for _ in range(rng.choice([0, 3, 40])))) for k in range(60)]
+    docs += [(60, "a", "ACGT" * 30000), (61, "b", "AGGT" * 20000), (61, "b", "AC")]
+    rows = spark.createDataFrame(docs, "doc_id long, source string, text string").repartition(5)
+    joined = {r["seq_id"]: r for r in join_contigs(rows).collect()}
+    assert [joined[k]["name"] for k in range(4)] == ["a", "b", "c", None] and all(r["len"] == len(r["seq"]) for r in joined.values())
+    got = {(r["subject_id"], r["query_id"]): r for r in aligned.aligned_pairs(placed_contigs(rows), genome_sizes(rows)).collect()}
+    assert len(got) == 12
+    for (a, b), r in got.items():
+        want = [0] * 16
+        for x, y in zip(joined[a]["seq"], joined[b]["seq"]):
+            if x in "ACGT" and y in "ACGT":
+                want[4 * "ACGT".index(x) + "ACGT".index(y)] += 1
+        # two contigs of one order stand in either order in a joined sequence
+        assert r["counts"] == want or 1 in (a, b) and sum(r["counts"]) == sum(want)
+        assert r["seq_len"] == joined[b]["len"]
+    pieces = rows.select(F.col("doc_id").alias("seq_id"), F.lit(0).cast("long").alias("place"), normalize(F.col("text")).alias("seq")).filter("seq_id < 50")
+    many = pieces.select("seq_id", F.length("seq").cast("long").alias("len"))
+    assert aligned.aligned_pairs(pieces, many).count() == 50 * 49
+
+
+def test_mutation_counts(spark):
+    rows = spark.createDataFrame([(1, "ACGT", "AGGTA"), (1, "A", "T"), (2, "", "A"), (3, None, None), (4, "A!C", "ACC")], "k int, s string, q string")
+    got = {r["k"]: r["counts"] for r in aligned.mutation_counts(rows, ["k"], "s", "q").collect()}
+    assert sum(got[1]) == 5 and got[1][0] == 1 and got[1][6] == 1 and got[1][3] == 1 and got[2] == got[3] == [0] * 16 and sum(got[4]) == 2
+
+
+def test_null_names_are_genomes(spark):
+    rows = spark.createDataFrame([(1, None, "ACG"), (2, "x", "GGT"), (3, None, "T")], "doc_id long, source string, text string")
+    assert [tuple(r)[:4] for r in join_contigs(rows).orderBy("seq_id").collect()] == [(0, "x", "GGT", 3), (1, None, "ACG!T", 5)]
+
+
+def test_options_and_one_table_of_errors(spark, tmp_path):
+    options, messages = lenient_options(model="nosuch", bootstrap="2", p_value=7)
+    assert (options.model, options.bootstrap, options.p_value) == ("jc", 2, 0.025) and len(messages) == 2
+    (tmp_path / "a.fa").write_text(f">a\n{S}\n>b\n{Q}\n1\n")
+    seqs, errors = read_fasta(spark, [f"{tmp_path}/a.fa", f"{tmp_path}/none.fa"])
+    got = run(seqs, options, errors, messages)
+    codes = sorted(r["code"] for r in got.diagnostics.collect())
+    assert codes == ["fasta", "fasta", "option", "option", "short", "short"] and diagnostics.exit_status(got.diagnostics) == 1
+    assert diagnostics.exit_status(got.diagnostics.filter("level = 'warning'")) == 0
+    lines = {(r["replicate"], r["line_no"]): r["line"] for r in replicate_matrices(got, seqs).collect()}
+    assert set(lines) == {(k, n) for k in (0, 1) for n in (0, 1, 2)} and lines[0, 1] == "a          0.0000 0.0698" and lines[1, 0] == "2"
+    assert {(r["line_no"], r["line"]) for r in matrix(got, seqs).collect()} == {(n, x) for (k, n), x in lines.items() if k == 0}
+
+
+def test_maf(spark, tmp_path):
+    long = "ACGTACGTAC" * 6 + "GG"
+    (tmp_path / "x.maf").write_text(f"##maf\na score=1 mult=2\ns one 0 4 + 4 AC-T\ns a_rather_long_name 0 4 + 4 ACGT\n\na mult=3\ns one 0 1 + 1 A\ns three 0 1 + 1 A\n\na mult=2\ns a_rather_long_name 0 4 + 4 {long}\ns one 1 2 + 4 {long}\n")
+    lines = [r["line"] for r in maf.interleaved_lines(maf.maf_alignment(spark, str(tmp_path / "x.maf"), 2)).orderBy("line_no").collect()]
+    assert lines == ["2 66", "one        " + ("AC-T" + long)[:60], "a_rather_l " + ("ACGT" + long)[:60], "", long[-6:], long[-6:], ""]
 
 
 def test_matrix_text(spark):
