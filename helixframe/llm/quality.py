@@ -2,8 +2,9 @@
 
 Words, word pairs and character 4-grams are hashed into one table of learned vectors. A document is the mean of its
 features' vectors, and a softmax layer gives the probability of label 1. Both are trained by numpy stochastic gradient
-descent on a bounded sample of labelled documents. As the layer is linear in the mean, scoring needs one number a
-feature; these are kept as integers, so a score doesn't depend on how documents are batched.
+descent on a bounded sample of labelled documents, by one task that returns the weights. As the layer is linear in the
+mean, scoring needs one number a feature; these are kept as integers, so a score doesn't depend on how documents are
+batched.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .shingles import IS_SPACE, STEP, chunks, mix, text_buffers, word_hashes
 
 BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 17, 16, 6, 2.0, 7
-#: Labelled documents that training reads at most: those with the smallest hash of their id.
-MAX_LABELLED = 4000
+#: Labelled documents that training reads at most: those with the smallest hash of their id. As many distinct features
+#: of all of them together; a document beyond it, whole, isn't read.
+MAX_LABELLED, MAX_FEATURES = 6000, 1 << 25
 #: One in the integer scale of a feature's weight.
 UNIT = 1 << 20
 
@@ -105,18 +107,38 @@ def fit_vectors(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EP
     return QualityModel(weights, float(bias[1] - bias[0]))
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> QualityModel:
+def _fitted(most: int):
+    """One row, the weights and the bias, from a task's sparse documents in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, total = [], 0
+        for batch in batches:
+            for i, c, q in zip(batch.column("ids"), batch.column("counts"), batch.column("quality").to_pylist(), strict=True):
+                total += len(i)
+                if total > most:
+                    break
+                rows.append((i.values.to_numpy().copy(), c.values.to_numpy().copy(), int(q > 0)))
+        model = fit_vectors(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype("<i4").tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], names=["weights", "bias"])
+
+    return run
+
+
+def train_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> QualityModel:
     """Fit on at most ``max_rows`` rows of ``labels`` (doc_id, quality) and their whole texts.
 
-    Labels that are null or contradict each other count as none and as their minimum.
+    Labels that are null or contradict each other count as none and as their minimum; rows that repeat a labelled
+    document count as often as they occur. Only the weights come to the driver.
     """
     chosen = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    # max_rows bounds what is sent to all executors
+    # max_rows bounds what is sent to all executors, and what one task reads
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_sparse, "doc_id long, quality int, ids array<int>, counts array<int>")
-    got = found.toArrow().sort_by("doc_id")
-    lists = [[c.values.to_numpy()[a:b] for c in got.column(n).chunks for a, b in zip(c.offsets.to_numpy()[:-1], c.offsets.to_numpy()[1:], strict=True)] for n in ("ids", "counts")]
-    return fit_vectors([(i, c, int(q > 0)) for i, c, q in zip(*lists, got.column("quality").to_pylist(), strict=True)])
+    ordered = found.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", F.xxhash64("ids", "counts"))
+    made = ordered.mapInArrow(_fitted(max_features), "weights binary, bias double").first()
+    if made is None:
+        return fit_vectors([])
+    return QualityModel(np.frombuffer(made["weights"], "<i4"), made["bias"])
 
 
 def _scored(model: QualityModel):
