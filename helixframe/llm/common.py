@@ -1,4 +1,8 @@
-"""Folders that all executors share, and intermediate tables that outlive an executor."""
+"""Folders that all executors share, and intermediate tables that outlive an executor.
+
+Whole texts reach Python in batches that Spark bounds by bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MiB unless
+set otherwise), so no operator changes a setting of the session.
+"""
 
 from __future__ import annotations
 
@@ -12,15 +16,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Whole texts reach Python this many at a time at most, which bounds a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set (tests)."""
+    """The cluster's ``spark.checkpoint.dir``. Where none is set, local mode gets a temporary folder (tests)."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -38,10 +39,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_materialized(df: DataFrame) -> None:
-    """Delete the files behind a frame that ``materialize`` returned, once nothing reads them any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_materialized(*frames: DataFrame) -> None:
+    """Delete the files behind frames that ``materialize`` returned, once nothing reads them any more."""
+    for df in frames:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_prefix(columns: list[str], prefix: str = "__") -> str:
+    """``prefix``, or a longer run of its last character that begins no column's name, in any case."""
+    while any(c.lower().startswith(prefix.lower()) for c in columns):
+        prefix += prefix[-1]
+    return prefix

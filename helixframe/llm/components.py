@@ -29,13 +29,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     longest path).
     """
     now = materialize(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct(), "edges")
+    before = None
     for _ in range(max_rounds):
         new = materialize(_small_star(_large_star(now)).distinct(), "edges")
         same = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        before = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop_materialized(now)
-        now = new
-        if same == before:
+        now, last, before = new, before, same
+        if same == last:
             # every edge now points from a node to its component
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
                 now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
