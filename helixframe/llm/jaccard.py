@@ -255,9 +255,14 @@ def _block_candidates(share: int):
     return run
 
 
+def _dealt(tasks: DataFrame) -> DataFrame:
+    """Blocks spread over all tasks of a shuffle: they are small in bytes, but not in work."""
+    return tasks.repartition(int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k", "i", "j")
+
+
 def _links(tasks: DataFrame, rows: DataFrame, share: int, name: str) -> DataFrame:
     """Links within tasks (k, i, j, side, id, comp); rows: the whole rows of the incidence matrix."""
-    found = tasks.join(rows, "id").groupBy("k", "i", "j").applyInPandas(_block_links(share), "a long, b long")
+    found = _dealt(tasks.join(rows, "id")).groupBy("k", "i", "j").applyInPandas(_block_links(share), "a long, b long")
     return materialize(found, name)
 
 
@@ -334,7 +339,9 @@ def _family_tasks(large: DataFrame, comp: DataFrame, share: int) -> DataFrame |
     placed = large.select("gram", "id", "n").join(comp.withColumnRenamed("node", "id"), "id", "left").select("gram", "id", "n", F.coalesce("component", "id").alias("comp"))
     most = placed.groupBy("gram", "comp").agg(F.count("*").alias("size")).groupBy("gram").agg(F.max(F.struct("size", "comp")).getField("comp").alias("p"), F.count("*").alias("comps"))
     family = placed.join(most.filter("comps > 1").select("gram", "p"), "gram").select("p", "id", "n", "comp").distinct()
-    family = family.withColumn("at_home", F.col("comp") == F.col("p")).withColumn("band", _bands(share))
+    # a family of one block needs no bands
+    large_ones = family.groupBy("p").agg((F.count("*") > BLOCK_ROWS).alias("many"))
+    family = family.join(large_ones, "p").withColumn("at_home", F.col("comp") == F.col("p")).withColumn("band", F.when(F.col("many"), _bands(share)).otherwise(F.lit(0).cast("long"))).drop("many")
     family = materialize(_in_blocks(family, ["p", "at_home", "band"]), "families")
     if family.isEmpty():
         return None
@@ -389,7 +396,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, share: int = SHARE)
     if tasks is not None:
         # first the prefixes alone, which few rows of other components pass, then the whole rows of these
         grams = large.groupBy("id", "n").agg(F.collect_list("gram").alias("grams"))
-        tasks = materialize(tasks.join(grams, "id").groupBy("k", "i", "j").applyInPandas(_block_candidates(share), "k long, i long, j long, side int, id long, comp long"), "candidates")
+        tasks = _dealt(tasks.join(grams, "id"))
+        tasks = materialize(tasks.groupBy("k", "i", "j").applyInPandas(_block_candidates(share), "k long, i long, j long, side int, id long, comp long"), "candidates")
         more = _links(tasks, rows, share, "links")
         if not more.isEmpty():
             comp = materialize(components(links.unionByName(more)), "components")
