@@ -1,7 +1,7 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-Records are dealt to shards by ranges of page_id, so that a shard's bytes are about alike, and sorted within them. Each
-shard rolls to a new file once the compressed size is reached. Headers and digests are made anew from the payloads; a
+Records are dealt to shards by ranges of page_id, cut where the bytes of all pages before add up to a shard's, and sorted
+within them. Each shard rolls to a new file once the compressed size is reached. Headers and digests are made anew from the payloads; a
 payload that an earlier record has becomes a revisit. Tasks write under temporary names, their rows make the manifest,
 and only the files that it names are renamed; so a lost or repeated task leaves nothing behind that a reader sees.
 """
@@ -15,12 +15,16 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Uncompressed bytes of a shard, compressed bytes at which a file is closed, ranges of page_id that bytes are counted in.
-SHARD_BYTES, ROLL_BYTES, RANGES = 32 << 20, 16 << 20, 4096
+from .common import drop_materialized, materialize
+
+#: Uncompressed bytes of a shard, compressed bytes at which a file is closed, tasks that read files.
+SHARD_BYTES, ROLL_BYTES, MOST_TASKS = 32 << 20, 16 << 20, 100_000
 #: Payloads below this many bytes are always stored.
 LEAST_REVISIT = 100
 LEVEL, DATE = 4, "2024-01-01T00:00:00Z"
@@ -126,18 +130,33 @@ def _renamed(out: str):
     return run
 
 
-def _shards(light: DataFrame, shard_bytes: int) -> tuple[int, int, list[int]]:
-    """Smallest page_id, width of a range, and the shard of each range: the same for the same rows, however dealt."""
-    lo, hi, total = light.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
-    if lo is None:
-        return 0, 1, [0]
-    width = max(1, -(-(hi - lo + 1) // RANGES))
-    counts = np.zeros((hi - lo) // width + 1, np.int64)
-    per_range = light.filter("page_id is not null").groupBy(((F.col("page_id") - lo) / width).cast("long").alias("r")).agg(F.sum("bytes").alias("b"))
-    for r in per_range.collect():  # at most RANGES rows
-        counts[r["r"]] = r["b"]
-    before = np.cumsum(counts) - counts
-    return lo, width, (before // max(shard_bytes, 1)).astype(int).tolist()
+def _before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's rows in order of page_id: the bytes of its smaller pages, and its number."""
+    part, total, page, at_page = TaskContext.get().partitionId(), 0, None, 0
+    for batch in batches:
+        inner = []
+        for p, n in zip(batch.column("page_id").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+            if p != page:
+                page, at_page = p, total
+            inner.append(at_page)
+            total += n
+        columns = [batch.column("page_id"), batch.column("bytes"), pa.array(inner, pa.int64()), pa.array([part] * batch.num_rows, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, names=["page_id", "bytes", "inner", "part"])
+
+
+def _shard_bounds(light: DataFrame, shard_bytes: int) -> np.ndarray:
+    """The first page_id of each shard: a page is in the shard in which the bytes of all smaller pages end.
+
+    The same for the same rows, however they are dealt. A shard is one number here, and 32 MiB or more of pages.
+    """
+    ranged = light.filter("page_id is not null").select("page_id", "bytes").repartitionByRange("page_id").sortWithinPartitions("page_id")
+    rows = materialize(ranged.mapInArrow(_before, "page_id long, bytes long, inner long, part int"), "sizes")
+    sums = rows.groupBy("part").agg(F.sum("bytes").alias("all"))  # one row for each task
+    sums = sums.select("part", F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    shard = ((F.col("inner") + F.col("before")) / max(shard_bytes, 1)).cast("long").alias("shard")
+    found = rows.join(sums, "part").groupBy(shard).agg(F.min("page_id").alias("first")).orderBy("first").collect()
+    drop_materialized(rows)
+    return np.array([r["first"] for r in found], np.int64)
 
 
 def write_warc(pages: DataFrame, out: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, least_revisit: int = LEAST_REVISIT) -> DataFrame:
@@ -145,20 +164,27 @@ def write_warc(pages: DataFrame, out: str, shard_bytes: int = SHARD_BYTES, roll_
 
     Of rows with equal payloads of at least ``least_revisit`` bytes the one with the smallest page_id is a response and
     the others revisit it. Null html counts as empty, a null url gets a urn; rows that repeat a page_id and its payload
-    are alike in type; rows without page_id are written as responses. No rows give no file.
+    are alike in type and share a shard; rows without page_id are written as responses, in shards of their own by a hash
+    of url and payload. Payloads of any length are written whole. Other columns are left aside. No rows give no file.
     """
     spark = pages.sparkSession
     html = F.coalesce("html", F.lit(""))
     light = pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(html).cast("long").alias("bytes"), F.sha2(html, 256).alias("digest"))
-    lo, width, shard_of = _shards(light, shard_bytes)
-    lists = F.from_json(F.lit(str(shard_of)), "array<int>")
-    ranged = F.coalesce(F.element_at(lists, (F.col("page_id") - lo).__truediv__(width).cast("int") + 1), F.lit(0)) if shard_of != [0] else F.lit(0)
+    bounds = _shard_bounds(light, shard_bytes)
+    nameless = light.filter("page_id is null").agg(F.sum("bytes")).first()[0] or 0
+    shards, spare = max(len(bounds), 1), 1 + nameless // max(shard_bytes, 1)
+
+    @F.pandas_udf("int")
+    def shard_of(page: pd.Series) -> pd.Series:
+        return pd.Series(np.maximum(np.searchsorted(bounds, page.fillna(-1).to_numpy(np.int64), side="right") - 1, 0).astype(np.int32))
+
     firsts = light.filter((F.col("bytes") >= least_revisit) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).filter("last > refers_to").drop("last")
     revisits = light.join(firsts, "digest").filter("page_id > refers_to").distinct().select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
     records = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha2(html, 256).alias("digest"), F.lit(None).cast("long").alias("refers_to"))
-    shards = max(shard_of) + 1
+    # pages without id have shards of their own, after the others
+    shard = F.when(F.col("page_id").isNull(), shards + F.pmod(F.xxhash64("digest", "url"), F.lit(spare)).cast("int")).otherwise(shard_of(F.coalesce("page_id", F.lit(0))))
     # a page's revisit markers (those with refers_to) come just before it
-    rows = records.unionByName(revisits).withColumn("shard", ranged).repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), F.col("refers_to").asc_nulls_last(), "digest")
+    rows = records.unionByName(revisits).withColumn("shard", shard).repartitionById(shards + spare, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), F.col("refers_to").asc_nulls_last(), "digest", "url")
     files, root = _filesystem(out)
     files.create_dir(f"{root}/_temporary", recursive=True)
     rows.mapInArrow(_written(out, roll_bytes), MANIFEST).write.parquet(f"{out}/_written")
@@ -195,32 +221,49 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for content in batch.column("content"):
-            rows = []
-            for data in _members(memoryview(content.as_buffer())):
-                headers, block = parse_record(data)
-                if headers["WARC-Type"] == "warcinfo":
-                    continue
-                http, _, payload = block.partition(b"\r\n\r\n")
-                size = int(re.search(rb"Content-Length: (\d+)", http)[1])
-                digest = headers["WARC-Payload-Digest"].removeprefix("sha256:")
-                if headers["WARC-Type"] == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-                    raise ValueError(f"damaged payload {headers['WARC-Record-ID']}")
-                page, refers = headers.get("WARC-Page-ID"), headers.get("WARC-Refers-To-Page-ID")
-                rows.append((page and int(page), size, digest, headers["WARC-Type"], refers and int(refers), headers["WARC-Target-URI"], headers["WARC-Record-ID"], payload if headers["WARC-Type"] == "response" else None))
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary())
-                names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id", "payload"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+def _rows(content: bytes) -> list[tuple]:
+    """The responses and revisits of a file."""
+    rows = []
+    for data in _members(memoryview(content)):
+        headers, block = parse_record(data)
+        if headers["WARC-Type"] == "warcinfo":
+            continue
+        http, _, payload = block.partition(b"\r\n\r\n")
+        size = int(re.search(rb"Content-Length: (\d+)", http)[1])
+        digest = headers["WARC-Payload-Digest"].removeprefix("sha256:")
+        if headers["WARC-Type"] == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
+            raise ValueError(f"damaged payload {headers['WARC-Record-ID']}")
+        page, refers = headers.get("WARC-Page-ID"), headers.get("WARC-Refers-To-Page-ID")
+        rows.append((page and int(page), size, digest, headers["WARC-Type"], refers and int(refers), headers["WARC-Target-URI"], headers["WARC-Record-ID"], payload if headers["WARC-Type"] == "response" else None))
+    return rows
+
+
+def _parsed(path: str):
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary())
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id", "payload"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = _filesystem(path)
+        for batch in batches:
+            for name, n, digest in zip(*(batch.column(c).to_pylist() for c in ("file", "bytes", "sha256")), strict=True):
+                with files.open_input_stream(f"{root}/{name}", compression=None) as stream:
+                    content = stream.read()
+                if len(content) != n or hashlib.sha256(content).hexdigest() != digest:
+                    raise ValueError(f"{name} is not what the manifest says")
+                if rows := _rows(content):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return run
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each response or revisit of the committed archives in ``path``; a damaged record raises.
+    """A row for each response or revisit of the archives that the manifest in ``path`` names, and of no others.
 
-    Columns: page_id, payload_bytes, payload_digest, record_type, refers_to, url, record_id, payload (revisits: null).
+    Without a manifest nothing was committed, and reading fails; so does a file that isn't there or isn't as the manifest
+    says, or a damaged record. Columns: page_id, payload_bytes, payload_digest, record_type, refers_to, url, record_id,
+    payload (revisits: null).
     """
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string, payload binary"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").schema("path string, modificationTime timestamp, length long, content binary").load(path)
-    return files.select("content").mapInArrow(_parsed, schema)
+    manifest = spark.read.schema(MANIFEST).parquet(f"{path}/_manifest")
+    # a task for each file
+    return manifest.select("file", "bytes", "sha256").repartition(max(1, min(manifest.count(), MOST_TASKS))).mapInArrow(_parsed(path), schema)

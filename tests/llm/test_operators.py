@@ -279,12 +279,32 @@ def test_warc_round_trip(spark, tmp_path):
         want.append((page or -1, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", 2 if again else None))
     assert got == sorted(want, key=str)
     assert warc.write_warc(rows.limit(0), f"file://{tmp_path}/none").count() == 0
+    assert warc.read_warc(spark, f"file://{tmp_path}/none").count() == 0
+    # a file that no manifest names is not read, and one that differs from it stops the reader
+    names = [r["file"] for r in manifest.collect()]
+    (tmp_path / "w1" / "part-99999-00000.warc.gz").write_bytes((tmp_path / "w1" / names[0]).read_bytes())
+    assert warc.read_warc(spark, out).count() == len(pages)
+    (tmp_path / "w1" / names[0]).write_bytes(b"")
+    with pytest.raises(Exception, match="manifest"):
+        warc.read_warc(spark, out).count()
+    with pytest.raises(Exception):
+        warc.read_warc(spark, f"file://{tmp_path}")
     damaged = bytearray(warc._gzip(warc.page_record(1, "u", b"payload", None)))
     with pytest.raises((ValueError, zlib.error)):
         damaged[len(damaged) // 2] ^= 255
         [warc.parse_record(x) for x in warc._members(memoryview(bytes(damaged)))]
 
 
+def test_warc_shards_by_bytes(spark, tmp_path):
+    # ids far apart, and many pages without one: shards stay alike
+    pages = [(k if k < 40 else 1 << 40 | k, "u", f"{k:04d}" * 250) for k in range(80)] + [(None, f"n{k}", f"{k:04d}" * 250) for k in range(40)]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(7)
+    manifest = warc.write_warc(rows, f"file://{tmp_path}/w", shard_bytes=10_000)
+    sizes = {r["shard"]: r["n"] for r in manifest.groupBy("shard").agg(F.sum("records").alias("n")).collect()}
+    assert [sizes[k] for k in range(8)] == [10] * 8 and sum(sizes.values()) == 120 and max(sizes.values()) < 25
+    assert warc.read_warc(spark, f"file://{tmp_path}/w").filter("record_type = 'response'").count() == 120
+
+
 def picture(rng, h, w, colours=0):
     if colours:
         return rng.choice(rng.integers(0, 1 << 32, colours, dtype=np.uint64).astype(np.uint32), (h, w))
