@@ -1,7 +1,9 @@
 """Texts as media columns: each payload is stored as a lossless WebP picture and read back from the stored bytes.
 
 A payload's bytes are the green samples of a picture 576 wide, so that the padded payload fills whole rows. Passages
-that occur again become back-references, and payloads of few distinct bytes a palette of packed indices.
+that occur again become back-references, payloads of few distinct bytes a palette of packed indices, and payloads whose
+steps from byte to byte tell less than the bytes do are predicted from the left. (Cross-colour and a colour cache can gain
+nothing where one channel alone carries samples; the decoder reads both.)
 """
 
 from __future__ import annotations
@@ -16,9 +18,11 @@ from pyspark.sql import DataFrame
 
 from .common import materialize
 from .shingles import STEP, mix
-from .webp import PALETTE, decode, encode
+from .webp import PALETTE, PREDICTOR, decode, encode
 
 ROW, SIDE, PAD = 576, 16384, 255
+#: Most bytes of one picture, and the mode of a predictor that repeats the sample on the left: fixed values.
+LARGEST, LEFT = SIDE // ROW * ROW * SIDE, 1
 #: Bytes of a window that finds repeats, least repeat worth a back-reference, and the format's longest one.
 SEEK, LEAST, MOST = 32, 64, 4096
 _RAW = mix(np.arange(257, 513, dtype=np.uint64) * STEP) | np.uint64(1)
@@ -54,21 +58,40 @@ def repeats(x: np.ndarray) -> list[tuple[int, int, int]]:
     return found
 
 
-def to_picture(payload: bytes) -> bytes:
-    """A payload, a positive multiple of 576 bytes, as a lossless WebP file."""
+def _bits(x: np.ndarray) -> float:
+    """The entropy of bytes, in bits for all of them."""
+    n = np.bincount(x, minlength=256)
+    n = n[n > 0]
+    return float(-(n * np.log2(n / len(x))).sum())
+
+
+def _one_picture(payload: bytes) -> bytes:
     rows = len(payload) // ROW
     across = -(-rows // SIDE)
     x = np.frombuffer(payload + bytes([PAD]) * ((-rows % across) * ROW), np.uint8)
-    if ROW * across > SIDE:
-        raise ValueError("a payload must fit a picture of 16384 by 16384 samples")
     argb = (x.astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000)).reshape(-1, ROW * across)
     if len(np.unique(x)) <= 16:
         return encode(argb, transforms=[(PALETTE,)])
+    if _bits(np.diff(x, prepend=x[:1])) < 0.95 * _bits(x):
+        modes = np.full((-(-argb.shape[0] // 512), -(-argb.shape[1] // 512)), LEFT)
+        return encode(argb, transforms=[(PREDICTOR, 9, modes)])
     return encode(argb, refs=repeats(x))
 
 
+def to_picture(payload: bytes) -> bytes:
+    """A payload, a positive multiple of 576 bytes, as a lossless WebP file, or as several in a row above LARGEST bytes."""
+    return b"".join(_one_picture(payload[at : at + LARGEST]) for at in range(0, len(payload), LARGEST))
+
+
 def from_picture(media: bytes, payload_bytes: int) -> np.ndarray:
-    return (decode(media).reshape(-1)[:payload_bytes] >> np.uint32(8)).astype(np.uint8)
+    """The payload's bytes again, read from one file after the other."""
+    parts, at, left = [], 0, payload_bytes
+    while at < len(media):
+        size = 8 + int.from_bytes(media[at + 4 : at + 8], "little")
+        n = min(left, LARGEST)
+        parts.append((decode(media[at : at + size]).reshape(-1)[:n] >> np.uint32(8)).astype(np.uint8))
+        at, left = at + size, left - n
+    return np.concatenate(parts)
 
 
 def picture_feature(x: np.ndarray) -> str:
@@ -96,7 +119,7 @@ def store_media(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, media), written to the shared folder, for each row of ``docs`` (doc_id, text).
 
     A text's UTF-8 is padded with bytes 255 to a positive multiple of 576; null counts as empty. Equal texts give equal
-    media; repeated rows are stored again.
+    media; repeated rows are stored again; a text of any length is stored whole, and a row without doc_id like others.
     """
     return materialize(docs.select("doc_id", "text").mapInArrow(_stored, "doc_id long, n_bytes long, payload_bytes long, media binary"), "media")
 

@@ -340,7 +340,7 @@ def test_webp_references_and_damage():
     assert len(webp.NEAR) == 120 and webp.NEAR[:4] == [(0, 1), (1, 0), (1, 1), (-1, 1)] and webp.NEAR[-1] == (8, 7)
 
 
-def test_media(spark):
+def test_media(spark, monkeypatch):
     texts = [*ODD, "again and again, the same passage of many words; " * 40, "ab" * 500]
     rows = {r["doc_id"]: r for r in media.read_media(media.store_media(docs_of(spark, texts).withColumn("media", F.lit(1)))).collect()}
     for k, t in enumerate(texts, 1):
@@ -348,6 +348,12 @@ def test_media(spark):
         payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
         assert (rows[k]["n_bytes"], rows[k]["payload_bytes"], rows[k]["payload_sha256"], rows[k]["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
     assert rows[8][1:] == rows[9][1:] and rows[1][1:] == rows[2][1:] and rows[12]["media_bytes"] < 700
+    # samples that climb are predicted; a payload above the largest picture becomes several
+    climbing = bytes(k // 3 % 256 for k in range(576 * 40))
+    assert len(media.to_picture(climbing)) < 0.4 * len(climbing) and media.from_picture(media.to_picture(climbing), len(climbing)).tobytes() == climbing
+    monkeypatch.setattr(media, "LARGEST", 576 * 16)
+    assert media.to_picture(climbing).count(b"WEBPVP8L") == 3 and media.from_picture(media.to_picture(climbing), len(climbing)).tobytes() == climbing
+    monkeypatch.undo()
     wide = bytes(range(250)) * 2304 * 20
     assert media.from_picture(media.to_picture(wide), len(wide)).tobytes() == wide
 
