@@ -25,8 +25,6 @@ LEVELS = 1024
 BITS, PER_FILTER, HASHES = 2048, 160, 5
 #: Bytes handled at a time; features that begin there may read on.
 SPAN = 1 << 19
-#: Parts in which texts are put next to their successors; their bounds go into an expression.
-MOST_PARTS = 2000
 
 _counts = np.arange(WINDOW + 1)
 #: c * log2(c) in whole units, for exact sums.
@@ -219,16 +217,29 @@ def compare_with_next(docs: DataFrame, rank: np.ndarray, rows_per_part: int = 20
     n = ids.count()
     if not n:
         return docs.sparkSession.createDataFrame([], EDITED)
-    parts = min(max(1, -(-n // rows_per_part)), MOST_PARTS)
+    parts = max(1, -(-n // rows_per_part))
     cuts = sorted(set(ids.filter("doc_id is not null").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    # part 0 has the largest ids; ids above the last cut, then between cuts, ...
-    bounds = F.from_json(F.lit(str([int(c) for c in cuts])), "array<bigint>")
-    at = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(bounds, lambda c: c > F.col("doc_id")))).cast("int")
+    # part 0 has the largest ids; ids above the last cut, then between cuts, ...; one number for each part
+    bounds = np.array(cuts, np.int64)
+
+    @F.pandas_udf("int")
+    def part_of(doc_id: pd.Series) -> pd.Series:
+        return pd.Series((len(bounds) - np.searchsorted(bounds, doc_id.to_numpy(np.int64))).astype(np.int32))
+
+    at = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(part_of(F.coalesce("doc_id", F.lit(0))))
     placed = docs.withColumn("at", at)
     heads = [(r["at"], r["head"]) for r in placed.groupBy("at").agg(F.max("doc_id").alias("head")).orderBy("at").collect()]  # one for each part
-    before = {heads[k][1]: heads[k - 1][0] for k in range(len(heads)) if heads[k][1] is not None}
-    lookup = F.from_json(F.lit("{" + ",".join(f'"{k}":{v}' for k, v in before.items()) + "}"), "map<string,int>")
-    guests = placed.withColumn("at", F.element_at(lookup, F.col("doc_id").cast("string"))).filter("at is not null").withColumn("guest", F.lit(True))
+    # a part's first document is also a guest of the part before it
+    known = [(heads[k][1], heads[k - 1][0]) for k in range(len(heads)) if heads[k][1] is not None]
+    firsts, hosts = np.array(sorted(known), np.int64).reshape(-1, 2).T
+
+    @F.pandas_udf("int")
+    def host_of(doc_id: pd.Series) -> pd.Series:
+        x = doc_id.to_numpy(np.int64)
+        k = np.minimum(np.searchsorted(firsts, x), max(len(firsts) - 1, 0))
+        return pd.Series(np.where(firsts[k] == x, hosts[k], -1).astype(np.int32) if len(firsts) else np.full(len(x), -1, np.int32))
+
+    guests = docs.filter("doc_id is not null").withColumn("at", host_of("doc_id")).filter("at >= 0").withColumn("guest", F.lit(True))
     if heads[-1][1] is None:  # the part of null ids
         nulls = placed.filter("doc_id is null").withColumn("at", F.lit(heads[max(len(heads) - 2, 0)][0])).withColumn("guest", F.lit(True))
         guests = guests.unionByName(nulls)
