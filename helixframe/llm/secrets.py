@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, materialize
+from .common import drop_materialized, free_prefix, materialize
 
 #: Characters on either side of a candidate that its features may read.
 NEAR = 48
@@ -26,6 +26,8 @@ NEAR = 48
 SAMPLE_DOCS = 150
 #: A word of the dictionary stands in at least this share of all documents, and in this many.
 WORD_SHARE, WORD_DOCS = 1e-4, 2
+#: Neighbouring words that are read on either side; findings that a word must stand near to count; added to its counts.
+NEAR_WORDS, WORD_FINDINGS, PRIOR = 3, 20, 4.0
 TREES, DEPTH, SEED, CUT = 24, 8, 11, 0.5
 
 KEY_WORDS = "token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer"
@@ -80,8 +82,8 @@ def _places(pattern: str, group: int) -> Column:
 def candidates(docs: DataFrame, path: str = "source", key: str | None = None) -> DataFrame:
     """(__row, doc_id, path, candidate, start, length, occurrences, before, after): each place of the candidates of each row.
 
-    ``start`` is the place in characters, from 0; ``occurrences`` counts the candidate's string in the whole text, as
-    redaction replaces it. __row is the column ``key`` or else numbers the rows. Null and empty texts have none.
+    ``start`` is the place in characters, from 0; ``occurrences`` counts the candidate's string in the whole text, but
+    not inside longer runs of letters and digits, as redaction replaces it. __row is the column ``key`` or else numbers the rows. Null and empty texts have none.
     """
     where = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
     row = F.col(key) if key else F.monotonically_increasing_id()
@@ -96,10 +98,21 @@ def candidates(docs: DataFrame, path: str = "source", key: str | None = None) ->
         "candidate",
         F.col("start").cast("long").alias("start"),
         F.length("candidate").cast("long").alias("length"),
-        F.expr("(length(text) - length(replace(text, candidate, ''))) div length(candidate)").alias("occurrences"),
         F.expr(f"substring(text, greatest(start + 1 - {NEAR}, 1), least(start, {NEAR}))").alias("before"),
         F.expr(f"substring(text, start + 1 + length(candidate), {NEAR})").alias("after"),
-    )
+        "text",
+    ).select("*", F.regexp_count("text", alone(F.col("candidate"), *stands_alone())).cast("long").alias("occurrences")).drop("text")
+
+
+def stands_alone() -> tuple[Column, Column]:
+    """Whether a candidate's place has no letter or digit right before it, and none right after it."""
+    return ~F.col("before").rlike("[A-Za-z0-9]$"), ~F.col("after").rlike("^[A-Za-z0-9]")
+
+
+def alone(candidate: Column, left: Column, right: Column) -> Column:
+    """The pattern of a candidate's string that isn't part of a longer run of letters and digits on these sides."""
+    quoted = F.concat(F.lit("\\Q"), F.replace(candidate, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    return F.concat(F.when(left, "(?<![A-Za-z0-9])").otherwise(""), quoted, F.when(right, "(?![A-Za-z0-9])").otherwise(""))
 
 
 def has_candidates() -> Column:
@@ -107,7 +120,13 @@ def has_candidates() -> Column:
     return F.coalesce(F.col("text").rlike("|".join(p for p, _ in PATTERNS)), F.lit(False))
 
 
-def _features(words: dict[str, int], transitions: dict[str, float]) -> dict[str, Column]:
+def near_words() -> tuple[Column, Column]:
+    """The last words before a candidate, the nearest first, and the first ones after it."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]{2,}"), F.lit(0))
+    return F.slice(F.reverse(words("before")), 1, NEAR_WORDS), F.slice(words("after"), 1, NEAR_WORDS)
+
+
+def _features(words: dict[str, int], transitions: dict[str, float], neighbours: dict[str, float]) -> dict[str, Column]:
     c, n = F.col("candidate"), F.greatest(F.length("candidate"), F.lit(1))
     share = lambda p: F.regexp_count(c, F.lit(p)) / n
     flag = lambda col, p: F.coalesce(col.rlike(p), F.lit(False)).cast("double")
@@ -117,6 +136,9 @@ def _features(words: dict[str, int], transitions: dict[str, float]) -> dict[str,
     covered = F.aggregate(runs, F.lit(0), lambda a, w: a + F.when(known(w), F.length(w)).otherwise(0))
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.lower(c), i, F.lit(2)))
     likely = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.coalesce(F.element_at(odds, p), F.lit(-8.0))) / F.size(pairs)
+    says = _constant_map(neighbours, "double")
+    odds_of = lambda w: F.coalesce(F.element_at(says, w), F.lit(0.0))
+    earlier, later = near_words()
     freq = F.transform(F.array_distinct(chars), lambda x: F.size(F.filter(chars, lambda y: y == x)) / F.size(chars))
     return {
         "length": n.cast("double"),
@@ -141,6 +163,9 @@ def _features(words: dict[str, int], transitions: dict[str, float]) -> dict[str,
         "key_word": flag(F.lower("before"), f"(?:{KEY_WORDS})[a-z0-9_.\\-]{{0,24}}[\"']?\\s*(?:[:=]|is|\\s)\\s*[\"'`]?$"),
         "key_near": flag(F.lower("before"), KEY_WORDS),
         "benign_word": flag(F.lower("before"), f"\\b(?:{BENIGN_WORDS})[\"']?\\s*[:=#]?\\s*[\"'`]?$"),
+        "nearest_word": odds_of(F.coalesce(F.get(earlier, F.lit(0)), F.lit(""))),
+        "words_before": F.aggregate(earlier, F.lit(0.0), lambda a, w: a + odds_of(w)),
+        "words_after": F.aggregate(later, F.lit(0.0), lambda a, w: a + odds_of(w)),
         "closed": flag(F.col("after"), "^[\"'`]"),
         "fake_path": flag(F.lower("path"), "test|example|fixture|mock|sample|doc"),
         "path_depth": F.coalesce(F.regexp_count("path", F.lit("/")), F.lit(0)).cast("double"),
@@ -152,19 +177,21 @@ class SecretModel:
     forest: RandomForestClassificationModel
     words: dict[str, int]
     transitions: dict[str, float]
+    neighbours: dict[str, float]
 
     def score(self, found: DataFrame) -> DataFrame:
         """``found`` (candidate, before, after, path and more) with a column score: the probability of a secret."""
-        return self.forest.transform(_vectors(found, self.words, self.transitions)).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+        return self.forest.transform(_vectors(found, self.words, self.transitions, self.neighbours)).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def _vectors(found: DataFrame, words: dict[str, int], transitions: dict[str, float]) -> DataFrame:
-    f = _features(words, transitions)
+def _vectors(found: DataFrame, words: dict[str, int], transitions: dict[str, float], neighbours: dict[str, float]) -> DataFrame:
+    f = _features(words, transitions, neighbours)
     names = [f"f_{k}" for k in f]
     return VectorAssembler(inputCols=names, outputCol="features").transform(found.select("*", *(c.cast("double").alias(f"f_{k}") for k, c in f.items()))).drop(*names)
 
 
 def _sample(docs: DataFrame) -> DataFrame:
+    """The documents whose words surround labelled findings."""
     return docs.filter("length(text) > 0").orderBy(F.xxhash64("doc_id", "text"), "doc_id").select("doc_id", "text").limit(SAMPLE_DOCS)
 
 
@@ -241,6 +268,15 @@ def corpus_words(docs: DataFrame) -> DataFrame:
     return both.select("x.once", F.explode("x.ws").alias("w")).groupBy("w").agg(F.sum(1 - F.col("once")).alias("n"), F.sum("once").alias("docs"))
 
 
+def neighbour_odds(findings: DataFrame) -> dict[str, float]:
+    """How much more often each neighbouring word stands by secrets than by others, in smoothed log odds."""
+    earlier, later = near_words()
+    near = findings.select("label", F.explode(F.array_distinct(F.concat(earlier, later))).alias("w"))
+    rows = near.groupBy("w").agg(F.sum("label").alias("yes"), F.count("*").alias("n")).filter(F.col("n") >= WORD_FINDINGS).orderBy("w")
+    # a few words for each labelled finding at most
+    return {r["w"]: log((r["yes"] + PRIOR) / (r["n"] - r["yes"] + PRIOR)) for r in rows.collect()}
+
+
 def train_secrets(docs: DataFrame, findings: DataFrame | None = None) -> SecretModel:
     """Fit on ``findings`` (default: those of ``labelled_findings``), with the dictionary and transitions of all ``docs``."""
     words = materialize(corpus_words(docs), "words")
@@ -253,18 +289,27 @@ def train_secrets(docs: DataFrame, findings: DataFrame | None = None) -> SecretM
     for p, n in seen.items():
         first[p[0]] = first.get(p[0], 0) + n
     odds = {p: log(n / first[p[0]]) for p, n in sorted(seen.items())}
-    rows = _vectors(labelled_findings(docs) if findings is None else findings, common, odds).select("features", "label", F.xxhash64("candidate", "before", "after", "path").alias("h"))
     # a bounded table, written once and read in one order, for a model that repeats
-    rows = materialize(rows, "findings").coalesce(1).sortWithinPartitions("h", "label").select("features", "label")
+    findings = materialize((labelled_findings(docs) if findings is None else findings).select("candidate", "before", "after", "path", "label"), "findings")
+    neighbours = neighbour_odds(findings)
+    rows = _vectors(findings, common, odds, neighbours).select("features", "label", F.xxhash64("candidate", "before", "after", "path").alias("h"))
+    rows = materialize(rows.coalesce(1).sortWithinPartitions("h", "label").select("features", "label"), "vectors").coalesce(1)
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=2).fit(rows)
-    return SecretModel(forest, common, odds)
+    drop_materialized(findings, rows)
+    return SecretModel(forest, common, odds, neighbours)
 
 
 def _judged(docs: DataFrame, model: SecretModel, path: str, key: str | None = None) -> DataFrame:
-    """One row for each distinct candidate of each row: its first place, and the score of the place that looks worst."""
+    """One row for each distinct candidate of each row: its first place, and the score of the place that looks worst.
+
+    left, right: whether it stands alone on these sides wherever it is a candidate.
+    """
     scored = model.score(candidates(docs, path, key))
-    same = [F.first(c).alias(c) for c in ("doc_id", "path", "length", "occurrences")]
-    return scored.groupBy("__row", "candidate").agg(*same, F.min("start").alias("start"), F.max("score").alias("score"))
+    left, right = stands_alone()
+    same = [F.first(c).alias(c) for c in ("doc_id", "path", "length")]
+    return scored.groupBy("__row", "candidate").agg(
+        *same, F.max("occurrences").alias("occurrences"), F.min("start").alias("start"), F.max("score").alias("score"), F.bool_and(left).alias("left"), F.bool_and(right).alias("right")
+    )
 
 
 def scan_secrets(docs: DataFrame, model: SecretModel, path: str = "source") -> DataFrame:
@@ -279,14 +324,21 @@ def scan_secrets(docs: DataFrame, model: SecretModel, path: str = "source") -> D
 def redact_secrets(docs: DataFrame, model: SecretModel, path: str = "source", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every occurrence of a found secret replaced by ``mark``, and n_chars, where present, made to fit.
 
-    Rows without candidates pass straight through; the others are written with a key of their own, by which they meet
-    their findings: neither null ids nor repeated ones matter.
+    A secret's string stays where it is part of a longer run of letters and digits, unless it was found so. Rows without
+    candidates pass straight through; the others are written with a key of their own, by which they meet their findings:
+    neither null ids nor repeated ones matter. Null and empty texts stay as they are, and so do other columns, whatever
+    their names. An empty table gives an empty one.
     """
-    rows = materialize(docs.filter(has_candidates()).withColumn("__key", F.monotonically_increasing_id()), "candidates")
-    found = _judged(rows, model, path, "__key").filter(F.col("score") >= CUT).groupBy(F.col("__row").alias("__key")).agg(F.sort_array(F.collect_set(F.struct((-F.col("length")).alias("o"), "candidate"))).alias("__hits"))
-    some = rows.join(found, "__key", "left")
-    text = F.when(F.col("__hits").isNull(), F.col("text")).otherwise(F.aggregate("__hits", F.col("text"), lambda t, h: F.replace(t, h["candidate"], F.lit(mark))))
-    some = some.withColumn("text", text).drop("__hits", "__key")
+    own = free_prefix(docs.columns)
+    key, hits = f"{own}key", f"{own}hits"
+    rows = materialize(docs.filter(has_candidates()).withColumn(key, F.monotonically_increasing_id()), "candidates")
+    found = _judged(rows, model, path, key).filter(F.col("score") >= CUT)
+    hit = F.struct((-F.col("length")).alias("o"), "candidate", alone(F.col("candidate"), F.col("left"), F.col("right")).alias("pattern"))
+    found = found.groupBy(F.col("__row").alias(key)).agg(F.sort_array(F.collect_set(hit)).alias(hits))
+    some = rows.join(found, key, "left")
+    put = F.lit(mark.replace("\\", "\\\\").replace("$", "\\$"))
+    text = F.when(F.col(hits).isNull(), F.col("text")).otherwise(F.aggregate(hits, F.col("text"), lambda t, h: F.regexp_replace(t, h["pattern"], put)))
+    some = some.withColumn("text", text).drop(hits, key)
     if "n_chars" in docs.columns:
         some = some.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return docs.filter(~has_candidates()).unionByName(some.select(docs.columns))
