@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import materialize, read_table
+from helixframe.llm.common import drop_materialized, free_prefix, materialize, read_table
 from helixframe.llm.jaccard import jaccard_components
 from helixframe.llm.mixing import mix_sources
 from helixframe.llm.packing import pack_documents
@@ -19,7 +19,11 @@ from helixframe.llm.secrets import redact_secrets, train_secrets
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null and empty texts have the model's prior as their score, and go or stay by it; repeated rows and ties of one score
+    share their fate. Rows without doc_id are scored like others, but no label speaks of them. An empty table stays empty.
+    """
     model = train_quality(docs, read_table(spark, sf_dir, "labels").filter(~held_out()))
     return score_quality(docs, model).filter(F.col("score") >= QUALITY_CUT).select(docs.columns)
 
@@ -30,31 +34,35 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are named by a hash of all their columns instead of doc_id, so null and repeated ids are rows like others; of
     rows that are equal in all columns one stays. Null and blank texts are in no group.
     """
-    keyed = docs.withColumn("__row", F.xxhash64(*(x for c in docs.columns for x in (F.isnull(c), F.col(c)))))
-    groups = jaccard_components(keyed.select(F.col("__row").alias("doc_id"), "text"))
-    groups = groups.groupBy(F.col("doc_id").alias("__row")).agg(F.min("component_id").alias("component"), ((F.count("*") > 1) & (F.max("n_shingles") > 0)).alias("again"))
-    ids = keyed.groupBy("__row").agg(F.min("doc_id").alias("id"))
-    least = groups.join(ids, "__row").groupBy("component").agg(F.min(F.struct(F.isnull("id"), "id", "__row", "again")).alias("x"))
-    stay = materialize(least.select("x.__row", "x.again"), "stay")
-    kept = keyed.join(stay.filter("not again"), "__row", "left_semi")
+    row = f"{free_prefix(docs.columns)}row"
+    keyed = docs.withColumn(row, F.xxhash64(*(x for c in docs.columns for x in (F.isnull(c), F.col(c)))))
+    groups = jaccard_components(keyed.select(F.col(row).alias("doc_id"), "text"))
+    groups = groups.groupBy(F.col("doc_id").alias(row)).agg(F.min("component_id").alias("component"), ((F.count("*") > 1) & (F.max("n_shingles") > 0)).alias("again"))
+    ids = keyed.groupBy(row).agg(F.min("doc_id").alias("id"))
+    least = groups.join(ids, row).groupBy("component").agg(F.min(F.struct(F.isnull("id"), "id", row, "again")).alias("x"))
+    stay = materialize(least.select(f"x.{row}", "x.again"), "stay")
+    kept = keyed.join(stay.filter("not again"), row, "left_semi")
     again = stay.filter("again")
     if not again.isEmpty():
-        kept = kept.unionByName(keyed.join(again, "__row", "left_semi").dropDuplicates(["__row"]))
+        kept = kept.unionByName(keyed.join(again, row, "left_semi").dropDuplicates([row]))
     return kept.select(docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; no document goes."""
+    """Secrets are replaced by a mark; no document goes. Null and empty texts, ids and other columns: see ``redact_secrets``."""
     return redact_secrets(docs, train_secrets(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled by the probabilities that bring sources, languages and topics to their target shares."""
-    return mix_sources(docs).filter("__kept").select(docs.columns)
+    """Documents are sampled by the probabilities that bring sources, languages and topics to their target shares.
+
+    Null and empty texts stay; equal rows stay or go together; a null source is a source of its own.
+    """
+    return mix_sources(docs).filter(F.col(f"{free_prefix(docs.columns)}kept")).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each piece of a document in a sequence of at most 1024 tokens."""
+    """One row for each piece of a document in a sequence of at most 1024 tokens; null and empty texts are one token."""
     return pack_documents(docs)
 
 
@@ -72,8 +80,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
+    read = None
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        made = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage{k}")
+            made = materialize(made, f"stage{k}")
+            if read is not None:  # the next stage reads this one's rows alone
+                drop_materialized(read)
+            read = made
+        docs = made
     return docs

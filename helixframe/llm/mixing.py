@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, materialize
+from .common import drop_materialized, free_prefix, materialize
 
 AXES = ("source", "lang", "topic")
 ROUNDS, TOLERANCE, SEED = 60, 1e-6, 23
@@ -44,10 +44,21 @@ def tokens() -> Column:
     return F.coalesce(F.regexp_count("text", F.lit("\\S+")), F.lit(0)).cast("long")
 
 
-def _with_cells(docs: DataFrame) -> DataFrame:
-    """``docs`` with __source, __lang, __topic (null is a value of its own: an empty string) and __tokens."""
-    names = [F.coalesce(F.col(a).cast("string") if a in docs.columns else (topic() if a == "topic" else F.lit("")), F.lit("")).alias(f"__{a}") for a in AXES]
-    return docs.select("*", *names, tokens().alias("__tokens"))
+def _with_cells(docs: DataFrame, own: str) -> DataFrame:
+    """``docs`` with source, lang, topic and tokens, and the keys of a cell, under names that begin with ``own``.
+
+    A key is the value behind =, or empty for null, which is a value of its own.
+    """
+    values = {a: F.col(a).cast("string") if a in docs.columns else (topic() if a == "topic" else F.lit(None).cast("string")) for a in AXES}
+    return docs.select("*", *(v.alias(f"{own}{a}") for a, v in values.items()), *(_key(v).alias(f"{own}key_{a}") for a, v in values.items()), tokens().alias(f"{own}tokens"))
+
+
+def _key(value: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), value), F.lit(""))
+
+
+def _value(key: Column) -> Column:
+    return F.when(key != "", F.substring(key, 2, 1 << 30))
 
 
 def rake(seed: np.ndarray, index: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
@@ -146,31 +157,41 @@ def _factor(cells: DataFrame, keep: float | None, small: bool) -> float:
     return hi
 
 
-def mixing_weights(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, driver_cells: int = DRIVER_CELLS, keep: float | None = KEEP) -> DataFrame:
-    """(__source, __lang, __topic, n, weight, probability) of each cell; n: tokens, weight: share of the mixture.
-
-    ``keep``: the share of tokens to keep, or None for as many as leave every share exact. Cells without tokens are kept.
-    """
-    targets = targets or {}
-    cells = materialize(_with_cells(docs).groupBy(*(f"__{a}" for a in AXES)).agg(F.sum("__tokens").alias("n")), "cells")
+def _weights(rows: DataFrame, own: str, targets: Mapping[str, Mapping[str | None, float]] | None, driver_cells: int, keep: float | None) -> DataFrame:
+    """(__source, __lang, __topic, n, weight, probability) by cell keys."""
+    targets = {a: {"" if v is None else f"={v}": t for v, t in goal.items()} for a, goal in (targets or {}).items()}
+    cells = materialize(rows.groupBy(*(F.col(f"{own}key_{a}").alias(f"__{a}") for a in AXES)).agg(F.sum(f"{own}tokens").alias("n")), "cells")
     small = cells.limit(driver_cells + 1).count() <= driver_cells
     raked = _rake_on_driver(cells, targets) if small else _rake_on_spark(cells, targets, ROUNDS)
     raked = materialize(raked.withColumn("ratio", F.when(F.col("n") > 0, F.col("weight") / F.col("n"))).coalesce(8), "ratios")
     factor = _factor(raked, keep, small)
+    drop_materialized(cells)
     return raked.withColumn("probability", F.coalesce(F.least(F.col("ratio") * F.lit(factor), F.lit(1.0)), F.lit(1.0))).drop("ratio")
 
 
-def mix_sources(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, seed: int = SEED, driver_cells: int = DRIVER_CELLS, keep: float | None = KEEP) -> DataFrame:
+def mixing_weights(docs: DataFrame, targets: Mapping[str, Mapping[str | None, float]] | None = None, driver_cells: int = DRIVER_CELLS, keep: float | None = KEEP) -> DataFrame:
+    """(__source, __lang, __topic, n, weight, probability) of each cell; n: tokens, weight: share of the mixture.
+
+    ``targets``: shares of an axis's values (None: of null). ``keep``: the share of tokens to keep, or None for as many as
+    leave every share exact. Cells without tokens are kept.
+    """
+    own = free_prefix(docs.columns)
+    found = _weights(_with_cells(docs, own), own, targets, driver_cells, keep)
+    return found.select(*(_value(F.col(f"__{a}")).alias(f"__{a}") for a in AXES), "n", "weight", "probability")
+
+
+def mix_sources(docs: DataFrame, targets: Mapping[str, Mapping[str | None, float]] | None = None, seed: int = SEED, driver_cells: int = DRIVER_CELLS, keep: float | None = KEEP) -> DataFrame:
     """``docs`` with __source, __lang, __topic, __tokens, __probability and __kept (boolean).
 
-    The draw depends on doc_id, text and ``seed`` alone: repeated rows are kept or left together. Null or empty texts
-    carry no tokens; a null source or language is a value of its own. An empty table gives an empty one.
+    If names of ``docs`` begin with __, the new ones have more underscores (``free_prefix``). The draw depends on doc_id,
+    text and ``seed`` alone: repeated rows are kept or left together. Null or empty texts carry no tokens and are kept; a
+    null source or language is a value of its own, other than an empty string. An empty table gives an empty one.
     """
-    rows = _with_cells(docs)
-    cells = mixing_weights(docs, targets, driver_cells, keep).select(*(f"__{a}" for a in AXES), F.col("probability").alias("__probability"))
-    keys = [f"__{a}" for a in AXES]
+    own = free_prefix(docs.columns)
+    rows, keys = _with_cells(docs, own), [f"{own}key_{a}" for a in AXES]
+    cells = _weights(rows, own, targets, driver_cells, keep).select(*(F.col(f"__{a}").alias(f"{own}key_{a}") for a in AXES), F.col("probability").alias(f"{own}probability"))
     # cells are few (checked): broadcast; otherwise a plain join
     few = cells.limit(driver_cells + 1).count() <= driver_cells
     rows = rows.join(F.broadcast(cells) if few else cells, keys, "left")
     draw = F.pmod(F.xxhash64("doc_id", F.crc32(F.coalesce("text", F.lit(""))), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    return rows.select(*docs.columns, *keys, "__tokens", "__probability", (draw < F.col("__probability")).alias("__kept"))
+    return rows.select(*docs.columns, *(f"{own}{a}" for a in AXES), f"{own}tokens", f"{own}probability", (draw < F.col(f"{own}probability")).alias(f"{own}kept"))

@@ -73,6 +73,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(read_table(spark, sf_dir, "documents"))
+    # documents have no column that begins with __
     return mixed.select("doc_id", *(F.col(f"__{c}").alias(c) for c in ("source", "lang", "topic", "tokens", "probability", "kept")))
 
 

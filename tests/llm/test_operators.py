@@ -105,7 +105,7 @@ def test_secrets(spark):
     texts = [*ODD, f'here token = "{token}" and again {token}.', f"see commit {sha} of it", "mail a.b@mail3.example.com now 2023", f"AWS key AKIA{'Q7Z2M4K8X1P9L3T6'} in use"]
     rows = docs_of(spark, texts).withColumn("path", F.lit("x"))
     model = secrets.train_secrets(rows)
-    labelled = model.score(secrets.labelled_findings(rows))
+    labelled = model.score(secrets.materialize(secrets.labelled_findings(rows), "labelled"))
     assert labelled.filter((F.col("score") >= 0.5) == (F.col("label") == 1)).count() > 0.97 * labelled.count()
     found = {(r["doc_id"], r["candidate"]): r for r in secrets.scan_secrets(rows, model).collect()}
     hit = found[12, token]
@@ -160,9 +160,49 @@ def test_secrets_without_digits_and_short_ones(spark):
     assert not found[6, "alpha"] and not any(k in (7, 8) for k, _ in found)
 
 
+def test_planted_secrets(spark):
+    """Precision and recall on kinds of secrets and of other strings that training has not seen in this form."""
+    rng = np.random.default_rng(12)
+    word = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    good = [
+        lambda: ("db_password: '", word(low + up + digits + "#%", 14), "'"), lambda: ("export API_KEY=", word(low + digits, 36), " "), lambda: ("the access token is ", word(low + up + digits, 32), ", he said"),
+        lambda: ("key ", "AKIA" + word(up + digits, 16), " here"), lambda: ("push with ", "ghp_" + word(low + up + digits, 36), "."), lambda: ('"client_secret": "', word(low + up + digits, 28), '",'),
+    ]
+    bad = [
+        lambda: ("merged in commit ", word("0123456789abcdef", 40), " today"), lambda: ("md5 checksum ", word("0123456789abcdef", 32), "."), lambda: ("see https://", f"www.{word(low, 8)}.org/{prose(3, 1)}/{word(digits, 5)}", " for it"),
+        lambda: ("request id ", "-".join(word("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)), " failed"), lambda: ("file ", f"report_{word(digits, 8)}_final.pdf", " was sent"),
+    ]
+    rows, secret, other = [], {}, {}
+    for k in range(240):
+        before, value, after = (good if k % 2 else bad)[k // 2 % (6 if k % 2 else 5)]()
+        (secret if k % 2 else other)[k] = value
+        rows.append((k, f"{prose(k, 30)} {before}{value}{after} {prose(k + 999, 30)}", "en", "s", 0))
+    docs = spark.createDataFrame(rows, DOCS)
+    model = secrets.train_secrets(docs)
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(docs, model).collect()}
+    caught = sum(v not in clean[k] for k, v in secret.items())
+    spared = sum(clean[k] == rows[k][1] for k in other)
+    assert caught >= 0.9 * len(secret) and spared >= 0.95 * len(other), (caught, spared)
+    assert model.neighbours["commit"] < -1 and model.neighbours["token"] > 0.5
+
+
+def test_secrets_inside_longer_strings_and_clashing_names(spark):
+    token = hashlib.sha1(b"9").hexdigest()
+    texts = [f'token = "{token}" and {token}, {prose(7, 20)} see commit {token}99 of it', prose(1, 20), None, "", prose(2, 20000) + f' token = "{token}"']
+    rows = docs_of(spark, texts).withColumn("__hits", F.lit("a")).withColumn("__key", F.lit("b")).withColumn("__row", F.lit("c")).withColumn("candidate", F.lit("d"))
+    model = secrets.train_secrets(rows)
+    clean = {r["doc_id"]: r for r in secrets.redact_secrets(rows, model).collect()}
+    assert clean[1]["text"] == f'token = "[SECRET]" and [SECRET], {prose(7, 20)} see commit {token}99 of it' and (clean[1]["__hits"], clean[1]["candidate"]) == ("a", "d")
+    assert clean[3]["text"] is None and clean[4]["text"] == "" and clean[5]["text"].endswith('token = "[SECRET]"') and len(clean) == 5
+    found = {r["candidate"]: r for r in secrets.scan_secrets(rows.filter("doc_id = 1"), model).collect()}
+    assert found[token]["occurrences"] == 2
+    assert spark.createDataFrame([("a\\Eb",)], "c string").select(F.regexp_count(F.lit("xa\\Eb a\\Eb"), secrets.alone(F.col("c"), F.lit(True), F.lit(True))).alias("n")).first()["n"] == 1
+
+
 def test_mixing(spark):
     rng = np.random.default_rng(3)
-    rows = spark.createDataFrame([(k, prose(k, int(rng.integers(5, 40))), None if k % 7 == 0 else "en" if k % 3 else "de", "big" if k % 4 else f"s{k % 5}", 0) for k in range(600)], DOCS).withColumn("__kept", F.lit("mine")).drop("__kept")
+    rows = spark.createDataFrame([(k, prose(k, int(rng.integers(5, 40))), None if k % 7 == 0 else "en" if k % 3 else "de", "big" if k % 4 else f"s{k % 5}", 0) for k in range(600)], DOCS)
     targets = {"source": {"big": 0.4, "s0": 0.2, "s1": 0.1, "s2": 0.1, "s3": 0.1, "s4": 0.1}}
     for cells in (10_000, 1):
         w = mixing.mixing_weights(rows, targets, driver_cells=cells, keep=None).toPandas()
@@ -190,9 +230,26 @@ def test_mixing_by_spark_equals_the_driver(spark, targets):
     assert targets is None or {r["__probability"] for r in ways[1].values() if r["__source"] == "s1" and r["__tokens"]} == {0}
 
 
+def test_mixing_clashing_names_and_null_sources(spark):
+    rows = spark.createDataFrame([(1, "a b", None, None, 0), (2, "a c", "en", "", 0), (2, "a c", "en", "", 0), (3, None, None, "s", 0)], DOCS)
+    rows = rows.withColumn("__kept", F.lit("mine")).withColumn("__Source", F.lit("x")).withColumn("n", F.lit(1)).withColumn("weight", F.lit(2))
+    mixed = mixing.mix_sources(rows, keep=None)
+    got = mixed.select("doc_id", "___source", "___topic", "___kept", "__kept").collect()
+    assert {(r["doc_id"], r["___source"], r["__kept"]) for r in got} == {(1, None, "mine"), (2, "", "mine"), (3, "s", "mine")} and len(got) == 4
+    for cells in (1, 1000):
+        weights = mixing.mixing_weights(rows, {"source": {"": 0.5, None: 0.5}, "lang": {"en": 0.5, None: 0.5}}, driver_cells=cells, keep=None).collect()
+        assert sorted((str(r["__source"]), r["n"], round(r["weight"] / sum(x["weight"] for x in weights), 3)) for r in weights) == [("", 4, 0.5), ("None", 2, 0.5), ("s", 0, 0.0)]
+
+
 def test_rake_against_plain_loops():
     seed, index = np.array([4.0, 1, 3, 2, 5, 0]), np.array([[0, 0, 1, 1, 2, 2], [0, 1, 0, 1, 0, 1]])
     w = mixing.rake(seed, index, [np.array([0.5, 0.3, 0.2]), np.array([0.6, 0.4])])
+    plain = dict(enumerate(seed))
+    for _ in range(200):
+        for at, goal in zip(index, ([0.5, 0.3, 0.2], [0.6, 0.4])):
+            sums = [sum(v for k, v in plain.items() if at[k] == x) for x in range(len(goal))]
+            plain = {k: v * goal[at[k]] / sums[at[k]] for k, v in plain.items()}
+    assert np.allclose(w, list(plain.values()), atol=1e-4)
     assert np.allclose(np.bincount(index[0], w), [0.5, 0.3, 0.2], atol=1e-4) and np.allclose(np.bincount(index[1], w), [0.6, 0.4], atol=1e-4)
 
 
