@@ -1,7 +1,9 @@
 """Each operator against brute force, an exact round trip or held-out accuracy, and on odd tables."""
 
 import hashlib
+import os
 import re
+import time
 import zlib
 from collections import Counter
 from math import log2
@@ -14,6 +16,7 @@ from helixframe.llm import fingerprint, html_text, jaccard, media, mixing, packi
 from helixframe.llm.components import components
 from helixframe.llm.queries import queries
 
+DATA = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -455,14 +458,14 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 def test_main_text(spark):
     made = html_text.composed_pages([prose(k, 40) + "." for k in range(40)])
     rows = spark.createDataFrame([(k, f"u{k}", h) for k, h in enumerate([PAGE, None, "", "<p", "just text & more", *made[:60]])], "page_id long, url string, html string").withColumn("text", F.lit("mine"))
-    trees = html_text.train_extractor(rows, composed=200)
-    got = {r["page_id"]: r for r in html_text.extract_main_text(rows, trees).collect()}
+    model = html_text.train_extractor(rows)
+    got = {r["page_id"]: r for r in html_text.extract_main_text(rows, model).collect()}
     assert got[0]["text"] == "A & B\nFirst paragraph of the text, which goes on for a while, as texts do.\nSecond one; it is no shorter than the first one was, and has a stop."
     assert got[1]["text"] == got[2]["text"] == got[3]["text"] == "" and got[0]["n_chars"] == len(got[0]["text"]) and len(got) == 65
     right = total = 0
     for h in html_text.composed_pages([prose(k, 40) + "." for k in range(100, 140)], 40, seed=77):
         page = html_text.parse_page(h)
-        keep = html_text.decode_tree(page.parents, trees.log_odds(html_text.node_features(page)))
+        keep = html_text.decode_tree(page.parents, model.trees.log_odds(html_text.node_features(page, model.odds)))
         for p, k in zip(page.parents[1:], keep[1:]):
             assert not k or keep[p]
         right += (keep == html_text.node_labels(page)).sum()
@@ -471,6 +474,34 @@ def test_main_text(spark):
     assert html_text.extract_main_text(rows.limit(0), html_text.train_extractor(rows.limit(0), composed=20)).count() == 0
 
 
+TEXTS = ["This is a long paragraph of the article, with several clauses, and it goes on for quite a while.", "Another paragraph follows it; nobody knows why, but it says something of interest to the reader.", "The last one, short as it is, ends the story."]
+BODY, MAIN = "<h1>Title here</h1>" + "".join(f"<p>{p}</p>" for p in TEXTS), ["Title here", *TEXTS]
+PROBES = {
+    "comments in the article": (f"<article>{BODY}<section class=discussion><h3>Discussion</h3><div class=c><b>Ann</b><p>I liked it.</p></div><div class=c><b>Bob</b><p>So did I, very much so.</p></div></section></article>", MAIN),
+    "preformatted": (f"<nav><a href=/>Home</a></nav><article>{BODY}<pre>x = 1\n  y = 2</pre></article>", [*MAIN, "x = 1 y = 2"]),
+    "misleading class": (f'<nav><a href=/>Home</a></nav><article class="story widget-story">{BODY}</article><footer>&copy; x</footer>', MAIN),
+    "header in the article": (f"<header><div>Site</div></header><article>{BODY.replace('<h1>', '<header><h1>').replace('</h1>', '</h1></header>')}</article><footer>&copy; x</footer>", MAIN),
+    "unknown classes": (f"<div class=kopfzeile><a href=/>Start</a> <a href=/n>Neues</a></div><div class=inhalt>{BODY}</div><div class=kommentare><h3>Kommentare</h3><div class=beitrag><b>Ann</b><p>Sehr gut.</p></div><div class=beitrag><b>Bob</b><p>Finde ich auch.</p></div></div><div class=fusszeile>&copy; 2024 Verlag</div>", MAIN),
+    "formula and script": (f"<article>{BODY}<p>We set <math><mi>x</mi></math> to one, <script>var a=1</script>and go on from there with it, as before.</p></article>", [*MAIN, "We set x to one, and go on from there with it, as before."]),
+    "advert inside": (f'<main>{BODY.replace("</h1>", "</h1>" + chr(60) + "div class=ad>Buy now, cheap.</div>")}</main><aside><h3>More</h3><ul><li><a href=/1>One</a></li><li><a href=/2>Two</a></li></ul></aside>', MAIN),
+    "list and table": (f"<article>{BODY}<ul><li>first point</li><li>second point</li></ul><table><tr><td>A</td><td>1</td></tr></table></article><div id=cookie-notice role=alert><p>We use cookies.</p><button>OK</button></div>", [*MAIN, "first point", "second point", "A", "1"]),
+}
+
+
+@pytest.mark.skipif(not os.path.exists(f"{DATA}/pages.parquet"), reason="no test tables here")
+def test_main_text_of_odd_pages(spark):
+    model = html_text.train_extractor(spark.read.parquet(f"{DATA}/pages.parquet"))
+    for name, (source, want) in PROBES.items():
+        assert html_text.main_texts([f"<html><body>{source}</body></html>"], model) == ["\n".join(want)], name
+
+
+@pytest.mark.parametrize("source", ["<div>" * 60000 + "</section>" * 60000, "<svg><p>x" * 100000, '<a "' * 250000, "<figure><p>a" * 80000, "<ul><li>a" * 100000])
+def test_parsing_takes_time_in_proportion(source):
+    began = time.time()
+    html_text.parse_page(source)
+    assert time.time() - began < 6
+
+
 def test_tree_decoding_against_all_labellings():
     rng = np.random.default_rng(6)
     for _ in range(20):
