@@ -8,9 +8,10 @@ findings: rows of (candidate, before, after, path, label).
 from __future__ import annotations
 
 import json
-import zlib
 from dataclasses import dataclass
+from functools import reduce
 from math import log
+from operator import or_
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -26,6 +27,8 @@ NEAR = 48
 SAMPLE_DOCS = 150
 #: A word of the dictionary stands in at least this share of all documents, and in this many.
 WORD_SHARE, WORD_DOCS = 1e-4, 2
+#: Words of a dictionary that is sent to all tasks, at some 20 bytes each.
+SMALL_DICTIONARY = 500_000
 #: Neighbouring words that are read on either side; findings that a word must stand near to count; added to its counts.
 NEAR_WORDS, WORD_FINDINGS, PRIOR = 3, 20, 4.0
 TREES, DEPTH, SEED, CUT = 24, 8, 11, 0.5
@@ -44,6 +47,9 @@ PREFIXED = "(?:^|[^A-Za-z0-9])(" + "|".join((
     "(?:AKIA|ASIA)[A-Z0-9]{16}", "gh[opsur]_[A-Za-z0-9]{30,}", "github_pat_[A-Za-z0-9_]{20,}", "glpat-[A-Za-z0-9_\\-]{20,}", "[rs]k_(?:live|test)_[A-Za-z0-9]{10,}",
     "sk-[A-Za-z0-9_\\-]{20,}", "xox[abprs]-[A-Za-z0-9\\-]{10,}", "AIza[A-Za-z0-9_\\-]{35}", "npm_[A-Za-z0-9]{36}", "SG\\.[A-Za-z0-9_\\-]{16,}\\.[A-Za-z0-9_\\-]{16,}", "eyJ[A-Za-z0-9_\\-]{10,}(?:\\.[A-Za-z0-9_\\-]+){0,2}",
 )) + ")"
+#: A part of each alternative of PREFIXED, and, in lower case, of KEY_WORDS.
+PREFIX_STEMS = ("AKIA", "ASIA", "gho_", "ghp_", "ghs_", "ghu_", "ghr_", "github_pat_", "glpat-", "k_live_", "k_test_", "sk-", "xox", "AIza", "npm_", "SG.", "eyJ")
+KEY_STEMS = ("token", "secret", "passw", "pwd", "api", "access", "private", "auth", "credential", "bearer")
 ASSIGNED = f"(?i:(?:{KEY_WORDS})[a-z0-9_.\\-]{{0,24}}[\"']?(?:\\s{{0,3}}(?:[:=]|=>|:=)|\\s{{1,3}}is\\s)\\s{{0,3}}[\"']?)([^\\s\"'`,;<>]{{4,}})"
 #: Patterns, each with the group that is the candidate.
 PATTERNS = (*((p, 0) for p in CANDIDATES), (PREFIXED, 1), (ASSIGNED, 1))
@@ -53,16 +59,6 @@ def _constant_map(values: dict, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), f"map<string,{kind}>")
 
 
-def _in_words(words: dict[str, int]):
-    """A test of a word against any number of words: they lie in buckets by their CRC, so that a lookup reads a few."""
-    n = 1 << max(len(words) // 4, 1).bit_length()
-    buckets: list[list[str]] = [[] for _ in range(n)]
-    for w in words:
-        buckets[zlib.crc32(w.encode()) % n].append(w)
-    table = F.from_json(F.lit(json.dumps(buckets)), "array<array<string>>")
-    return lambda w: F.array_contains(F.element_at(table, (F.crc32(w) % n + 1).cast("int")), w)
-
-
 def _places(pattern: str, group: int) -> Column:
     """(start, candidate) of every match in a text, from 0; the candidate is the group that ends the match.
 
@@ -116,8 +112,15 @@ def alone(candidate: Column, left: Column, right: Column) -> Column:
 
 
 def has_candidates() -> Column:
-    """Whether a row has any candidate; a null text has none."""
-    return F.coalesce(F.col("text").rlike("|".join(p for p, _ in PATTERNS)), F.lit(False))
+    """Whether a row has any candidate; a null text has none.
+
+    A pattern is tried where what it can't match without is there, which is much faster to look for.
+    """
+    text, low = F.col("text"), F.lower("text")
+    any_of = lambda c, words: reduce(or_, (c.contains(w) for w in words))
+    found = (any_of(text, ["PRIVATE KEY-----"]) & text.rlike(CANDIDATES[0])) | (text.rlike(f"{RUN}{{16}}") & text.rlike(CANDIDATES[1]))
+    found = found | (any_of(text, PREFIX_STEMS) & text.rlike(PREFIXED)) | (any_of(low, KEY_STEMS) & text.rlike(ASSIGNED))
+    return F.coalesce(found, F.lit(False))
 
 
 def near_words() -> tuple[Column, Column]:
@@ -126,14 +129,12 @@ def near_words() -> tuple[Column, Column]:
     return F.slice(F.reverse(words("before")), 1, NEAR_WORDS), F.slice(words("after"), 1, NEAR_WORDS)
 
 
-def _features(words: dict[str, int], transitions: dict[str, float], neighbours: dict[str, float]) -> dict[str, Column]:
+def _features(transitions: dict[str, float], neighbours: dict[str, float]) -> dict[str, Column]:
     c, n = F.col("candidate"), F.greatest(F.length("candidate"), F.lit(1))
     share = lambda p: F.regexp_count(c, F.lit(p)) / n
     flag = lambda col, p: F.coalesce(col.rlike(p), F.lit(False)).cast("double")
     chars = F.split(c, "")
-    known, odds = _in_words(words), _constant_map(transitions, "double")
-    runs = F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0))
-    covered = F.aggregate(runs, F.lit(0), lambda a, w: a + F.when(known(w), F.length(w)).otherwise(0))
+    odds = _constant_map(transitions, "double")
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.lower(c), i, F.lit(2)))
     likely = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.coalesce(F.element_at(odds, p), F.lit(-8.0))) / F.size(pairs)
     says = _constant_map(neighbours, "double")
@@ -148,7 +149,7 @@ def _features(words: dict[str, int], transitions: dict[str, float], neighbours:
         "symbols": share("[^A-Za-z0-9]"),
         "changes": F.regexp_count(c, F.lit("(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])")) / n,
         "transitions": likely,
-        "covered": covered / n,
+        "covered": F.coalesce("__covered", F.lit(0)) / n,
         "entropy": -F.aggregate(freq, F.lit(0.0), lambda a, p: a + p * F.log2(p)),
         "distinct": F.size(F.array_distinct(chars)) / n,
         "hex": flag(c, "^(?:[0-9a-f]+|[0-9A-F]+)$"),
@@ -174,20 +175,37 @@ def _features(words: dict[str, int], transitions: dict[str, float], neighbours:
 
 @dataclass(frozen=True)
 class SecretModel:
+    """words: a written table of one column w, the dictionary; the others are read by the features."""
+
     forest: RandomForestClassificationModel
-    words: dict[str, int]
+    words: DataFrame
     transitions: dict[str, float]
     neighbours: dict[str, float]
 
     def score(self, found: DataFrame) -> DataFrame:
         """``found`` (candidate, before, after, path and more) with a column score: the probability of a secret."""
-        return self.forest.transform(_vectors(found, self.words, self.transitions, self.neighbours)).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+        scored = self.forest.transform(_vectors(found, self.words, self.transitions, self.neighbours))
+        return scored.withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+
+
+def _with_coverage(found: DataFrame, words: DataFrame) -> DataFrame:
+    """``found``, written, with __covered: the letters of each candidate that lie in words of the dictionary.
+
+    The dictionary is sent to all tasks if it is small (counted), and joined by its words otherwise.
+    """
+    rows = materialize(found.withColumn("__n", F.monotonically_increasing_id()), "found")
+    runs = rows.select("__n", F.explode(F.regexp_extract_all(F.lower("candidate"), F.lit("[a-z]{3,}"), F.lit(0))).alias("w"))
+    known = F.broadcast(words) if words.count() <= SMALL_DICTIONARY else words
+    covered = runs.join(known, "w").groupBy("__n").agg(F.sum(F.length("w")).alias("__covered"))
+    return rows.join(covered, "__n", "left").drop("__n")
 
 
-def _vectors(found: DataFrame, words: dict[str, int], transitions: dict[str, float], neighbours: dict[str, float]) -> DataFrame:
-    f = _features(words, transitions, neighbours)
+def _vectors(found: DataFrame, words: DataFrame, transitions: dict[str, float], neighbours: dict[str, float]) -> DataFrame:
+    f = _features(transitions, neighbours)
     names = [f"f_{k}" for k in f]
-    return VectorAssembler(inputCols=names, outputCol="features").transform(found.select("*", *(c.cast("double").alias(f"f_{k}") for k, c in f.items()))).drop(*names)
+    rows = _with_coverage(found, words)
+    rows = rows.select(*(c for c in rows.columns if c != "__covered"), *(c.cast("double").alias(f"f_{k}") for k, c in f.items()))
+    return VectorAssembler(inputCols=names, outputCol="features").transform(rows).drop(*names)
 
 
 def _sample(docs: DataFrame) -> DataFrame:
@@ -281,7 +299,7 @@ def train_secrets(docs: DataFrame, findings: DataFrame | None = None) -> SecretM
     """Fit on ``findings`` (default: those of ``labelled_findings``), with the dictionary and transitions of all ``docs``."""
     words = materialize(corpus_words(docs), "words")
     least = max(WORD_DOCS, WORD_SHARE * docs.count())
-    common = {r["w"]: 1 for r in words.filter(F.col("docs") >= least).orderBy("w").select("w").collect()}
+    common = materialize(words.filter(F.col("docs") >= least).select("w"), "dictionary")
     pairs = words.select("n", F.explode(F.expr("transform(sequence(1, length(w) - 1), i -> substring(w, i, 2))")).alias("p")).groupBy("p").agg(F.sum("n").alias("n"))
     seen = {r["p"]: r["n"] for r in pairs.collect()}  # at most 26 * 26
     drop_materialized(words)
