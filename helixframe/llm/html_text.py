@@ -24,9 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees, fit_trees
+from .shingles import chunks, text_buffers
 
 #: Pages that training reads at most, and bytes of one that it may read; pages it composes.
 SAMPLE_PAGES, SAMPLE_BYTES, COMPOSED_PAGES, SEED = 200, 1 << 18, 700, 5
+#: Bytes of html whose nodes are handled at once, or one page.
+SPAN = 1 << 19
 #: Buckets of attribute tokens; training nodes that a bucket's odds need; added to its counts.
 TOKENS, LEAST_NODES, PRIOR = 1 << 12, 4, 1.0
 
@@ -186,15 +189,28 @@ def token_odds(pages: list[Page], labels: list[np.ndarray]) -> np.ndarray:
     return np.where(n.sum(0) >= LEAST_NODES, np.log((n[1] + PRIOR) / (n[0] + PRIOR)), 0.0)
 
 
-def node_features(page: Page, odds: np.ndarray) -> np.ndarray:
-    """A row for each node: own and subtree text, density, links, depth, attribute tokens, siblings, place."""
+def _forest(pages: list[Page]) -> tuple[Page, np.ndarray]:
+    """All pages' nodes in one, and each node's root."""
+    forest, roots = Page([], [], [], [], [], []), []
+    for page in pages:
+        at = len(forest.tags)
+        roots += [at] * len(page.tags)
+        forest.parents += [k + at if k >= 0 else -1 for k in page.parents]
+        for name in ("tags", "words", "texts", "linked", "inline"):
+            getattr(forest, name).extend(getattr(page, name))
+    return forest, np.array(roots, np.int64)
+
+
+def node_features(pages: list[Page], odds: np.ndarray) -> np.ndarray:
+    """A row for each node of the pages: own and subtree text, density, links, depth, attribute tokens, siblings, place."""
+    page, root = _forest(pages)
     n = len(page.tags)
     parent = np.array(page.parents)
     is_text = np.array([t == "#text" for t in page.tags])
     own = np.array([len(t) for t in page.texts], float)
     stops = np.array([t.count(".") + t.count(",") + t.count("?") + t.count("!") if t else 0 for t in page.texts], float)
     words = np.array([t.count(" ") + 1 if t else 0 for t in page.texts], float)
-    signs = np.array([t.count("\u00a9") for t in page.texts], float)
+    signs = np.array([t.count("\u00a9") if t else 0 for t in page.texts], float)
     sums = np.stack([own, np.array(page.linked, float), stops, words, is_text.astype(float), (~is_text).astype(float), np.array(page.inline, float), signs], 1)
     leaf = sums.copy()
     kind = {t: k for k, t in enumerate(TAGS)}
@@ -204,8 +220,9 @@ def node_features(page: Page, odds: np.ndarray) -> np.ndarray:
     least, most, inside = low.tolist(), high.tolist(), [0] * n  # over a node and its ancestors
     alike: Counter[tuple] = Counter()
     named = np.array([len(x) > 0 for x in tokens], float)
-    for i in range(1, n):
-        p = page.parents[i]
+    for i, p in enumerate(page.parents):
+        if p < 0:
+            continue
         depth[i] = depth[p] + 1
         index[i] = last[p]
         last[p] += 1
@@ -219,13 +236,14 @@ def node_features(page: Page, odds: np.ndarray) -> np.ndarray:
             at = np.flatnonzero(depths == d)
             np.add.at(sums, parent[at], sums[at])
     code = np.array([kind.get(t, len(TAGS)) for t in page.tags])
-    up = np.maximum(parent, 0)
-    grand = np.maximum(parent[up], 0)
+    up = np.where(parent >= 0, parent, root)
+    grand = up[up]
     total = np.maximum(sums[:, 0], 1)
-    page_total = max(sums[0, 0], 1)
+    page_total = np.maximum(sums[root, 0], 1)
     siblings = np.maximum(np.array(last)[up], 1)
-    same = np.array([1, *(alike[page.parents[i], page.tags[i], page.words[i]] for i in range(1, n))], float)
+    same = np.array([alike[key] if key[0] >= 0 else 1 for key in zip(page.parents, page.tags, page.words, strict=True)], float)
     begin = np.cumsum(own) - own
+    begin -= begin[root]
     columns = [
         np.log1p(leaf[:, 0]), np.log1p(sums[:, 0]), sums[:, 1] / total, sums[:, 2] / np.maximum(sums[:, 3], 1), sums[:, 0] / np.maximum(sums[:, 3], 1), sums[:, 0] / (sums[:, 5] + sums[:, 6] + 1),
         np.array(depth, float), sums[:, 4], sums[:, 5], np.array(last, float), siblings.astype(float), np.array(index) / siblings, sums[up, 0] / page_total, sums[:, 0] / np.maximum(sums[up, 0], 1),
@@ -379,7 +397,7 @@ def fit_extractor(sources: list[str], composed: int = COMPOSED_PAGES) -> Extract
     labels = [node_labels(p) for p in pages]
     odds = token_odds(pages, labels)
     y = np.concatenate(labels)
-    x = np.concatenate([node_features(p, odds) for p in pages])
+    x = node_features(pages, odds)
     return Extractor(fit_trees(x[y >= 0], y[y >= 0]), odds)
 
 
@@ -404,7 +422,7 @@ def main_texts(pages: list[str], model: Extractor) -> list[str]:
     parsed = [parse_page(h) for h in pages]
     if not parsed:
         return []
-    odds = model.trees.log_odds(np.concatenate([node_features(p, model.odds) for p in parsed]))
+    odds = model.trees.log_odds(node_features(parsed, model.odds))
     out, at = [], 0
     for p in parsed:
         n = len(p.tags)
@@ -423,8 +441,9 @@ def extract_main_text(pages: DataFrame, model: Extractor) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            bounds = text_buffers(batch.column("html"))[1]
+            for at, end in chunks(bounds, SPAN):
+                part = batch.slice(at, end - at)
                 texts = main_texts([h or "" for h in part.column("html").to_pylist()], model)
                 yield pa.RecordBatch.from_arrays([part.column("page_id").cast(pa.int64()), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -9,6 +9,7 @@ from collections import Counter
 from math import log2
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,16 @@ def test_quality(spark):
     assert [r["score"] for r in quality.score_quality(docs_of(spark, ["a b"]), empty).collect()] == [0.5]
 
 
+@pytest.mark.skipif(not os.path.exists(f"{DATA}/labels.parquet"), reason="no test tables here")
+def test_quality_of_held_out_documents(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    scored = queries()["op8_quality_classifier"](spark, DATA)
+    rows = scored.filter("held_out").join(labels, "doc_id").select("quality", "score").toPandas()
+    good, bad = rows[rows["quality"] == 1]["score"].to_numpy(), rows[rows["quality"] == 0]["score"].to_numpy()
+    assert len(good) > 10 and len(bad) > 10 and np.mean(good[:, None] > bad[None, :]) > 0.97
+    assert scored.count() == docs.count()
+
+
 def test_secrets(spark):
     token, sha = hashlib.sha1(b"1").hexdigest(), hashlib.sha1(b"2").hexdigest()
     texts = [*ODD, f'here token = "{token}" and again {token}.', f"see commit {sha} of it", "mail a.b@mail3.example.com now 2023", f"AWS key AKIA{'Q7Z2M4K8X1P9L3T6'} in use"]
@@ -292,6 +303,56 @@ def test_pack_documents(spark):
     assert packing.pack_documents(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists(f"{DATA}/documents.parquet"), reason="no test tables here")
+def test_token_ids_of_a_whole_table():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = [t for t in pq.read_table(f"{DATA}/documents.parquet", columns=["text"])["text"].to_pylist() if t]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for t, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert tokens.token_ids(t, tokens.default_vocabulary()).tolist() == want.ids
+
+
+def fewest_bins(lengths, capacity):
+    """The least number of bins, by trying all places of each item."""
+    best = len(lengths)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lengths):
+            best = len(rooms)
+            return
+        for r in set(rooms):
+            if r >= lengths[k]:
+                i = rooms.index(r)
+                place(k + 1, rooms[:i] + [r - lengths[k]] + rooms[i + 1 :])
+        place(k + 1, [*rooms, capacity - lengths[k]])
+
+    place(0, [])
+    return best
+
+
+@pytest.mark.parametrize("pack", [packing.best_two_fit, packing.best_fit_decreasing])
+def test_packers_against_all_packings(pack):
+    rng, extra = np.random.default_rng(8), 0
+    for _ in range(60):
+        lengths = rng.integers(1, 25, int(rng.integers(1, 9))).tolist()
+        extra += len(pack(lengths, 24)) - fewest_bins(sorted(lengths, reverse=True), 24)
+    assert extra <= 3  # of some 200 bins
+
+
+def test_packing_odd_rows(spark):
+    rows = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, None), (1, "a b"), (2, "")], "doc_id long, text string").withColumn("length", F.lit("x")).withColumn("filled", F.lit("y"))
+    got = packing.pack_documents(rows).collect()
+    assert len(got) == 5 and Counter(r["doc_id"] for r in got) == {None: 2, 1: 2, 2: 1} and len({r["sequence_id"] for r in got}) == 1
+    with pytest.raises(ValueError):
+        packing.packed_matrices(rows, pad_id=70_000)
+    assert sum(len(r["pieces"]) for r in packing.stored_sequences(packing.packed_matrices(rows)).collect()) == 5
+
+
 def test_packing_does_not_depend_on_the_layout(spark):
     # one split of long documents, one of short ones
     texts = [" alpha" * 600] * 40 + [" alpha" * 422] * 40
@@ -466,7 +527,7 @@ def test_main_text(spark):
     right = total = 0
     for h in html_text.composed_pages([prose(k, 40) + "." for k in range(100, 140)], 40, seed=77):
         page = html_text.parse_page(h)
-        keep = html_text.decode_tree(page.parents, model.trees.log_odds(html_text.node_features(page, model.odds)))
+        keep = html_text.decode_tree(page.parents, model.trees.log_odds(html_text.node_features([page], model.odds)))
         for p, k in zip(page.parents[1:], keep[1:]):
             assert not k or keep[p]
         right += (keep == html_text.node_labels(page)).sum()
