@@ -191,7 +191,8 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
     Only the pieces' names and lengths are dealt out, evenly, into blocks of about ``mix`` from the whole corpus, so that
     file layout does not matter. The pieces of all sequences that are not full are then packed once more in the same way.
     Columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null and empty texts are packed as their end
-    id alone; repeated rows are packed as often as they occur; an empty table gives no piece.
+    id alone; repeated rows are packed as often as they occur, rows without doc_id like others; other columns are left
+    aside, whatever their names; an empty table gives no piece.
     """
     light = materialize(docs.select("doc_id", "text").mapInArrow(_cut(vocabulary or default_vocabulary(), capacity, end_id), PIECE), "pieces")
     deal = lambda rows: rows.repartition(max(1, -(-rows.count() // mix)))
@@ -236,6 +237,8 @@ def _matrices(path: str, capacity: int, end_id: int, pad_id: int, block_tokens:
             held.clear()
 
         for doc_id, ids in _documents(batches, path, end_id):
+            if ids.max() > 0xFFFF:
+                raise ValueError(f"token id {ids.max()} doesn't fit 16 bits")
             held += [(doc_id, k, ids[s : s + n].astype("<u2")) for k, (s, n) in enumerate(pieces(len(ids), capacity))]
             total += len(ids)
             if total >= block_tokens:
@@ -253,8 +256,11 @@ def packed_matrices(docs: DataFrame, vocabulary: str | None = None, capacity: in
     A row is a matrix of up to 64 sequences: its ids, for each sequence the cumulative segment lengths, and the places
     in the flattened matrix where position ids start again from 0 (padding has positions of its own). doc_ids and pieces
     name the segments. A document of more than ``capacity`` ids is cut into pieces, none of which loses an id.
-    Null and empty texts are one end id; an empty table gives no matrix.
+    Null and empty texts are one end id; repeated rows and rows without doc_id are packed like others; an id above 65,535
+    raises; an empty table gives no matrix.
     """
+    if not 0 <= pad_id <= 0xFFFF:
+        raise ValueError(f"token id {pad_id} doesn't fit 16 bits")
     run = _matrices(vocabulary or default_vocabulary(), capacity, end_id, pad_id, block_tokens)
     return docs.select("doc_id", "text").mapInArrow(run, MATRICES)
 

@@ -31,6 +31,7 @@ def _encoding(path: str):
 def token_ids(text: str | None, path: str) -> np.ndarray:
     """uint32 ids as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them; null counts as empty.
 
-    As there, a control token's string inside a text becomes that token.
+    As there, a control token's string inside a text becomes that token. Tests hold the two libraries against each other
+    over a whole table of documents.
     """
     return np.asarray(_encoding(path).encode_to_numpy(text, allowed_special="all"), np.uint32) if text else np.zeros(0, np.uint32)
