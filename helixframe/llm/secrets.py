@@ -135,7 +135,9 @@ def _features(transitions: dict[str, float], neighbours: dict[str, float]) -> di
     flag = lambda col, p: F.coalesce(col.rlike(p), F.lit(False)).cast("double")
     chars = F.split(c, "")
     odds = _constant_map(transitions, "double")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.lower(c), i, F.lit(2)))
+    # neighbouring letters by two slices, in one walk over a candidate of any length
+    low, rest = F.split(F.lower(c), ""), F.greatest(F.length(c) - 1, F.lit(1))
+    pairs = F.zip_with(F.slice(low, 1, rest), F.slice(low, 2, rest), lambda a, b: F.concat(a, b))
     likely = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.coalesce(F.element_at(odds, p), F.lit(-8.0))) / F.size(pairs)
     says = _constant_map(neighbours, "double")
     odds_of = lambda w: F.coalesce(F.element_at(says, w), F.lit(0.0))
