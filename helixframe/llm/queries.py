@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numerics import bind
 from .common import new_path, read_table
+from .conversations import repair_conversations
 from .fingerprint import compare_with_next, fit_rarity
 from .html_text import extract_main_text, train_extractor
 from .jaccard import jaccard_components
@@ -15,6 +17,7 @@ from .media import read_media, store_media
 from .mixing import mix_sources
 from .packing import pack_documents, stored_sequences, write_matrices
 from .quality import score_quality, train_quality
+from .runs import collapse_runs
 from .secrets import scan_secrets, train_secrets
 from .warc import read_warc, write_warc
 
@@ -77,6 +80,53 @@ def op10_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", *(F.col(f"__{c}").alias(c) for c in ("source", "lang", "topic", "tokens", "probability", "kept")))
 
 
+def planted_period(doc_id: Column, text: Column) -> Column:
+    """``text``, or for one document in ten its words with a tail that repeats the words from some place on."""
+    h = F.crc32(doc_id.cast("string"))
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+    def repeated(v: Column) -> Column:
+        g, n = F.floor(v["h"] / 10), F.size(v["words"])
+        return bind(F.struct(v["words"].alias("words"), (g % n).alias("a"), (1 + F.floor((n - g % n) / (3 + g % 8))).alias("p")), lambda x: tail(x, n))
+
+    def tail(x: Column, n: Column) -> Column:
+        place = lambda i: F.when(i < x["a"], i).otherwise(x["a"] + (i - x["a"]) % x["p"])
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: x["words"][place(i).cast("int")]), " ")
+
+    changed = bind(F.struct(words.alias("words"), h.alias("h")), lambda v: F.when(F.size(v["words"]) > 0, repeated(v)).otherwise(""))
+    return F.when((h % 10 == 0) & text.isNotNull(), changed).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = collapse_runs(docs.select("doc_id", planted_period(F.col("doc_id"), F.col("text")).alias("text")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct(-r["length"], r["start"], r["period"])))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    found = found.withColumn("best", longest).withColumn("listed", F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.col1")).alias("length"), F.col("best.period").alias("period"),
+        F.floor(-1000 * F.col("best.col1") / F.col("best.period")).alias("exponent_milli"), F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Rows of conversations with faults by a hash of conversation and turn: dropped, emptied, cut, repeated or with another role."""
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    h = F.crc32(F.concat(known("conv_id"), F.lit(":"), known("turn"))) % 20
+    text = F.when(h == 1, "").when(h == 2, F.regexp_replace(known("text"), "[.!?]", "")).otherwise(known("text"))
+    copies = F.explode(F.when(h == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.filter(h != 0).select("conv_id", "turn", F.when(h == 4, "user").otherwise(known("role")).alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    report, _ = repair_conversations(damaged(rows))
+    every = rows.select(F.col("conv_id").alias("every")).distinct()
+    found = every.join(report, F.col("every").eqNullSafe(F.col("conv_id")), "left").drop("conv_id").withColumnRenamed("every", "conv_id")
+    zeros = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    return found.withColumns(zeros | {"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
