@@ -13,6 +13,7 @@ from .conversations import repair_conversations
 from .fingerprint import compare_with_next, fit_rarity
 from .html_text import extract_main_text, train_extractor
 from .jaccard import jaccard_components
+from .languages import predict_languages, train_languages
 from .media import read_media, store_media
 from .mixing import mix_sources
 from .packing import pack_documents, stored_sequences, write_matrices
@@ -127,6 +128,13 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns(zeros | {"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))})
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    found = predict_languages(docs, train_languages(docs.filter(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
