@@ -149,6 +149,33 @@ ORACLE = {
                CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
         FROM d JOIN f USING (h)""",
+    # crc32 bit by bit; a conversation's rows one after the other, the least (cost, audit) of each state of the pattern kept
+    "op12_conversation_repair": r"""
+        WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            xor(4294967295, list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ord(c)::BIGINT),
+                lambda h, b: list_reduce(range(8), lambda x, k: xor(x >> 1, (x & 1) * 3988292384), xor(h, b)), 4294967295::BIGINT)) % 20 AS h FROM conversations),
+        damaged AS (SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+            unnest(range(CASE h WHEN 3 THEN 2 ELSE 1 END)) AS c FROM src WHERE h <> 0),
+        placed AS (SELECT *, row_number() OVER rows AS n, left(role, 1) || left(lead(role) OVER rows, 1) AS pair
+            FROM damaged WINDOW rows AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+        faulty AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ \t\n\v\f\r]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ \t\n\v\f\r]*\z') THEN 'truncated' ELSE '' END AS fault FROM placed),
+        moves(st, letter, initial, nxt, price) AS (VALUES (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0), (3, 'K', 'u', 2, 0), (0, 'R', '', 2, 2), (1, 'R', '', 2, 2), (2, 'R', '', 3, 2), (3, 'R', '', 2, 2), (0, 'D', '', 0, 3), (1, 'D', '', 1, 3), (2, 'D', '', 2, 3), (3, 'D', '', 3, 3)),
+        inserted(st, nxt, price, letters) AS (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 2, 'I'), (1, 2, 2, 'I'), (2, 3, 2, 'I'), (3, 2, 2, 'I'), (0, 3, 4, 'II'), (1, 3, 4, 'II'), (2, 2, 4, 'II'), (3, 3, 4, 'II')),
+        walk AS (SELECT conv_id, 0::BIGINT AS n, nxt AS st, {'cost': price, 'audit': letters} AS best FROM (SELECT DISTINCT conv_id FROM placed), inserted WHERE st = 0
+            UNION ALL SELECT w.conv_id, w.n + 1, i.nxt, min({'cost': w.best.cost + m.price + i.price + CASE WHEN m.letter <> 'D' AND f.fault = 'truncated' THEN 1 ELSE 0 END, 'audit': w.best.audit || m.letter || i.letters})
+            FROM walk w JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.n = w.n + 1
+            JOIN moves m ON m.st = w.st AND (m.letter = 'D' OR f.fault NOT IN ('blank', 'duplicate') AND (m.letter = 'R' OR m.initial = left(f.role, 1))) JOIN inserted i ON i.st = m.nxt GROUP BY ALL),
+        sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+            count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows FROM faulty GROUP BY conv_id),
+        chosen AS (SELECT s.conv_id, min(best) AS best FROM sums s JOIN walk w ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND w.n = s.rows AND w.st IN (0, 3) GROUP BY s.conv_id),
+        letters AS (SELECT conv_id, unnest(string_split(best.audit, '')) AS x, unnest(range(length(best.audit))) AS j FROM chosen WHERE best.audit <> ''),
+        counted AS (SELECT *, count(*) FILTER (x <> 'I') OVER so_far AS n, count(*) FILTER (x <> 'D') OVER so_far AS m FROM letters WINDOW so_far AS (PARTITION BY conv_id ORDER BY j)),
+        joined AS (SELECT c.*, CASE WHEN x <> 'I' THEN f.role END AS role, CASE WHEN x <> 'I' THEN f.text ELSE '' END AS text FROM counted c LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM c.conv_id AND f.n = c.n WHERE x <> 'D'),
+        opened AS (SELECT *, bool_or(m = 1 AND x = 'K' AND left(role, 1) = 's') OVER (PARTITION BY conv_id) AS led FROM joined),
+        texts AS (SELECT conv_id, string_agg(CASE WHEN x = 'K' THEN role WHEN (m + led::INTEGER) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j) AS repaired FROM opened GROUP BY conv_id)
+        SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+            coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN chosen c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM a.conv_id""",
 }
 
 
