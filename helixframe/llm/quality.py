@@ -141,7 +141,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELL
     return QualityModel(np.frombuffer(made["weights"], "<i4"), made["bias"])
 
 
-def _scored(model: QualityModel):
+def _scored(model: QualityModel, name: str):
     weights, bias = model.weights, model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,16 +155,16 @@ def _scored(model: QualityModel):
                     n += f[1:] - f[:-1]
                 odds.append(total / np.maximum(n, 1) / UNIT + bias)
             score = 1 / (1 + np.exp(-np.concatenate(odds))) if odds else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names), pa.array(score, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, name])
 
     return run
 
 
-def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """``docs`` with a column score, the probability of label 1 (an own column of that name is replaced).
+def score_quality(docs: DataFrame, model: QualityModel, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name``, the probability of label 1 (an own column of that name is replaced).
 
     Equal texts get equal scores. Null and empty texts have no feature and get the model's prior.
     """
-    docs = docs.drop("score")
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
-    return docs.mapInArrow(_scored(model), schema)
+    docs = docs.drop(name)
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    return docs.mapInArrow(_scored(model, name), schema)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numerics import bind
-from .common import new_path, read_table
+from .common import free_prefix, new_path, read_table
 from .conversations import repair_conversations
 from .fingerprint import compare_with_next, fit_rarity
 from .html_text import extract_main_text, train_extractor
@@ -76,9 +76,9 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(read_table(spark, sf_dir, "documents"))
-    # documents have no column that begins with __
-    return mixed.select("doc_id", *(F.col(f"__{c}").alias(c) for c in ("source", "lang", "topic", "tokens", "probability", "kept")))
+    docs = read_table(spark, sf_dir, "documents")
+    own = free_prefix(docs.columns)
+    return mix_sources(docs).select("doc_id", *(F.col(f"{own}{c}").alias(c) for c in ("source", "lang", "topic", "tokens", "probability", "kept")))
 
 
 def planted_period(doc_id: Column, text: Column) -> Column:

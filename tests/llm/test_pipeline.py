@@ -31,3 +31,34 @@ def test_secrets_with_null_and_repeated_ids(spark):
     got = Counter((r["doc_id"], r["text"], r["n_chars"]) for r in corpus_pipeline.secret_stage(spark, docs, "").collect())
     marked = 'token = "[SECRET]" and more'
     assert got == Counter((k, t, len(t or "")) for k, t in ((k, marked if t == bad else t) for k, t in rows))
+
+
+def test_pipeline_of_an_odd_table(spark, tmp_path):
+    """The whole of it over nulls, repeats, empty and long texts, clashing names and a map, each stage by plain rules."""
+    near, token = prose(1, 80), hashlib.sha1(b"5").hexdigest()
+    texts = [near, near, near + " end", prose(2, 90), prose(2, 90), "", "", None, "one", f'token = "{token}" and more', prose(7, 20_000)] + [prose(k, 60) for k in range(10, 40)]
+    rows = [(None if k % 7 == 6 else k % 25, t, "en", f"s{k % 3}", len(t or ""), "mine", {"a": k}, k) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, DOCS + ", score string, extra map<string,int>, __source int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2, 0) for k in range(25)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    read, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = read.collect()
+        made = stage(spark, read, str(tmp_path))
+        assert made.columns == docs.columns
+        made.write.parquet(f"{tmp_path}/{name}")
+        read = spark.read.parquet(f"{tmp_path}/{name}")
+        after = read.collect()
+        seen[name] = (before, after)
+        if name != "secret scans":  # what stays is as it was, in any column
+            assert not Counter(map(str, after)) - Counter(map(str, before))
+    before, after = seen["n-gram Jaccard join"]
+    want = {c for _, c in brute_components({k: r["text"] for k, r in enumerate(before)}).values()}
+    assert len(after) == len(want) < len(before)
+    before, after = seen["secret scans"]
+    assert sorted((r["text"] or "").replace(token, "[SECRET]") for r in before) == sorted(r["text"] or "" for r in after) and len(before) == len(after)
+    kept, pieces = seen["mixing sources to target weights"][1], corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(r["doc_id"] for r in pieces if r["piece"] == 0) == Counter(r["doc_id"] for r in kept)
+    for sequence in {r["sequence_id"] for r in pieces}:
+        own = sorted((r["offset"], r["length"]) for r in pieces if r["sequence_id"] == sequence)
+        assert all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and own[0][0] == 0 and sum(own[-1]) <= 1024
