@@ -22,30 +22,26 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the classifier rejects go.
 
     Null and empty texts have the model's prior as their score, and go or stay by it; repeated rows and ties of one score
-    share their fate. Rows without doc_id are scored like others, but no label speaks of them. An empty table stays empty.
+    share their fate. Rows without doc_id are scored like others, but no label speaks of them. An own column ``score``
+    stays as it is. An empty table stays empty.
     """
+    score = f"{free_prefix(docs.columns)}score"
     model = train_quality(docs, read_table(spark, sf_dir, "labels").filter(~held_out()))
-    return score_quality(docs, model).filter(F.col("score") >= QUALITY_CUT).select(docs.columns)
+    return score_quality(docs, model, score).filter(F.col(score) >= QUALITY_CUT).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links of shingle sets join, one row stays: that of the smallest id, null ones last.
 
-    Rows are named by a hash of all their columns instead of doc_id, so null and repeated ids are rows like others; of
-    rows that are equal in all columns one stays. Null and blank texts are in no group.
+    Rows are written with a number of their own instead of doc_id, so null and repeated ids are rows like others, of any
+    columns; of equal ids the row with the least digest of its text stays. Null and blank texts are in no group.
     """
     row = f"{free_prefix(docs.columns)}row"
-    keyed = docs.withColumn(row, F.xxhash64(*(x for c in docs.columns for x in (F.isnull(c), F.col(c)))))
-    groups = jaccard_components(keyed.select(F.col(row).alias("doc_id"), "text"))
-    groups = groups.groupBy(F.col("doc_id").alias(row)).agg(F.min("component_id").alias("component"), ((F.count("*") > 1) & (F.max("n_shingles") > 0)).alias("again"))
-    ids = keyed.groupBy(row).agg(F.min("doc_id").alias("id"))
-    least = groups.join(ids, row).groupBy("component").agg(F.min(F.struct(F.isnull("id"), "id", row, "again")).alias("x"))
-    stay = materialize(least.select(f"x.{row}", "x.again"), "stay")
-    kept = keyed.join(stay.filter("not again"), row, "left_semi")
-    again = stay.filter("again")
-    if not again.isEmpty():
-        kept = kept.unionByName(keyed.join(again, row, "left_semi").dropDuplicates([row]))
-    return kept.select(docs.columns)
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = jaccard_components(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    ids = rows.select(row, F.col("doc_id").alias("id"), F.md5("text").alias("digest"))
+    least = groups.join(ids, row).groupBy("component_id").agg(F.min(F.struct(F.isnull("id"), "id", "digest", row)).alias("x"))
+    return rows.join(least.select(f"x.{row}"), row, "left_semi").select(docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
