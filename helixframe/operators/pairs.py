@@ -4,52 +4,154 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import models
-from ..functions.thresholds import P_VALUE
-from .anchors import Query, Subject, walk
+from ..functions.numerics import c_div
+from ..functions.thresholds import P_VALUE, anchor_threshold
+from ..sources.shared import written
+from .anchors import OVERLAP, Query, State, Subject, walk, walk_block
 from .sequences import subjects
 
 PAIRS = "subject_id long, query_id long, counts array<long>, seq_len long"
-#: Letters of a block of subjects or queries; partitions that blocks are dealt to.
-BLOCK, MOST_TASKS = 1 << 23, 10_000
+WALKS = "subject_id long, query_id long, block int, counts array<long>, seq_len long, began string, ended string"
+#: Letters of a block of subjects, and of a block of queries, whose words a task holds in order; partitions that blocks are dealt to.
+BLOCK, QUERY_BLOCK, MOST_TASKS = 1 << 23, 1 << 25, 10_000
 WORD = (1 << 64) - 1
-
-
-def pair_counts(sequences: DataFrame, model: str = "jc", p_value: float = P_VALUE, subject_blocks: int | None = None, query_blocks: int | None = None, queries: DataFrame | None = None) -> DataFrame:
-    """(subject_id, query_id, counts, seq_len) for each ordered pair of different sequences.
-
-    ``sequences``: seq_id, seq, len; ``queries``: others to compare them with, instead of themselves. Subjects and queries
-    are dealt into blocks, and a task compares one block of each: every subject is sent to ``query_blocks`` tasks and
-    every query to ``subject_blocks``. A task sorts its queries' words once and indexes its subjects one after the other.
-    Sequences without letters have no threshold and give no counts. By default a block holds BLOCK letters of subjects
-    or of queries, or one sequence, but there are at least 64 blocks of subjects, if there are as many.
+_COMPLEMENT = np.full(256, ord(";"), np.uint8)
+_COMPLEMENT[list(b"ACGT")] = list(b"TGCA")
+
+
+def _assembled(places: pd.Series, pieces: pd.Series, low: int, high: int) -> np.ndarray:
+    """The symbols from ``low`` to ``high`` of pieces at their places, with ! where none is."""
+    out = np.full(high - low, ord("!"), np.uint8)
+    for at, piece in zip(places, pieces, strict=True):
+        out[at - low : at - low + len(piece)] = np.frombuffer(piece.encode(), np.uint8)
+    return out
+
+
+def _strands(seq: np.ndarray) -> bytes:
+    """Both strands of a sequence, as ``both_strands``."""
+    return np.concatenate((_COMPLEMENT[seq[::-1]], np.frombuffer(b"#", np.uint8), seq)).tobytes()
+
+
+def _thresholds(pieces: DataFrame, sizes: DataFrame, p_value: float) -> DataFrame:
+    """(seq_id, len, threshold) of sequences; null for one without symbols."""
+    gc = pieces.groupBy("seq_id").agg(F.sum(F.regexp_count("seq", F.lit("[GC]"))).alias("gc"))
+    rows = sizes.select("seq_id", F.col("len").cast("long").alias("len")).join(gc, "seq_id", "left")
+    share = c_div(F.coalesce("gc", F.lit(0)), F.col("len"))
+    return rows.select("seq_id", "len", anchor_threshold(share, 2 * F.col("len") + 1, p_value).alias("threshold"))
+
+
+def _blocks(pieces: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """(query, block, at, piece, n): pieces cut for blocks of queries, each with the OVERLAP that follows it."""
+    rows = pieces.join(sizes.select("seq_id", F.col("len").cast("long").alias("n")), "seq_id")
+    end = F.col("place") + F.length("seq")
+    first = F.greatest(F.col("place") - OVERLAP, F.lit(0)).cast("long")
+    last = F.greatest(end - 1, F.lit(0)).cast("long")
+    rows = rows.withColumn("block", F.explode(F.sequence(F.expr("0L") + F.floor(first / block), F.floor(last / block))))
+    low = F.greatest(F.col("block") * block, F.col("place"))
+    high = F.least((F.col("block") + 1) * block + OVERLAP, end)
+    piece = F.substring("seq", (low - F.col("place") + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int"))
+    return rows.select(F.col("seq_id").alias("query"), F.col("block").cast("int").alias("block"), low.alias("at"), piece.alias("piece"), "n")
+
+
+def piece_counts(
+    pieces: DataFrame, sizes: DataFrame, model: str = "jc", p_value: float = P_VALUE, subject_blocks: int | None = None, query_blocks: int | None = None,
+    queries: tuple[DataFrame, DataFrame] | None = None, block: int = QUERY_BLOCK,
+) -> DataFrame:
+    """(subject_id, query_id, counts, seq_len) for each ordered pair of different sequences, which come in pieces.
+
+    ``pieces``: (seq_id, place, seq), for a sequence without symbols one row; ``sizes``: (seq_id, len); ``queries``: others
+    to compare them with. Subjects and queries are dealt into blocks, and a task compares one block of each: every subject
+    is sent to ``query_blocks`` tasks and every query to ``subject_blocks``. A task sorts its queries' words once and
+    indexes its subjects one after the other, large ones by sections. By default there are at least 64 blocks of subjects,
+    if there are as many, or as many as hold BLOCK letters each.
+
+    A query of more than ``block`` letters is walked in blocks by different tasks. Where a block's walk begins depends on
+    the one before: it is guessed first, and blocks whose guess was wrong are walked again from where the one before ended,
+    until all agree. The first block is right at once, and a wrong guess seldom reaches the next block's end.
     """
-    if subject_blocks is None or query_blocks is None:
-        of = lambda rows: rows.agg(F.count("*"), F.sum("len")).first()
-        blocks = lambda n, letters: max(1, min(n, -(-(letters or 0) // BLOCK)))
-        n, letters = of(sequences)
-        subject_blocks = subject_blocks or max(min(n, 64), blocks(n, letters), 1)
-        query_blocks = query_blocks or blocks(*((n, letters) if queries is None else of(queries)))
     fourths = models.model_name(model) in models.BY_FOURTHS
-    named = subjects(sequences, p_value).select("seq_id", "rs", "threshold")
-    block = lambda n: F.pmod(F.xxhash64("seq_id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = named.select(F.col("seq_id").alias("subject"), "rs", "threshold", block(subject_blocks).alias("sb"), every(query_blocks).alias("qb"))
-    right = (sequences if queries is None else queries).select(F.col("seq_id").alias("query"), F.col("seq").alias("letters"), block(query_blocks).alias("qb"), every(subject_blocks).alias("sb"))
+    known = written(_thresholds(pieces, sizes, p_value), "thresholds")
+    others, other_sizes = (pieces, sizes) if queries is None else queries
+    of = lambda rows: rows.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0)), F.coalesce(F.max("len"), F.lit(0))).first()
+    n, letters, _ = of(known)
+    m, query_letters, longest = of(other_sizes)
+    subject_blocks = subject_blocks or max(1, min(n, max(64, -(-letters // BLOCK))))
+    query_blocks = query_blocks or max(1, min(m + query_letters // block, -(-query_letters // block)))
+    hashed = lambda of, *c: F.pmod(F.xxhash64(*c), F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    left = pieces.join(known, "seq_id").select(F.col("seq_id").alias("subject"), "place", "seq", "len", "threshold", hashed(subject_blocks, "seq_id").alias("sb"))
+    right = _blocks(others, other_sizes, block).withColumn("qb", hashed(query_blocks, "query", "block"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rows, known = [], [(qid, Query(q)) for qid, q in zip(b["query"], b["letters"], strict=True)] if len(a) else []
-        for sid, rs, threshold in zip(a["subject"], a["rs"], a["threshold"], strict=True):
-            index = None if pd.isna(threshold) else Subject(rs, int(threshold))
-            rows += [(sid, qid, walk(index, q, fourths) if index else [0] * 16, len(q.bytes)) for qid, q in known if qid != sid]
-        return pd.DataFrame(rows, columns=["subject_id", "query_id", "counts", "seq_len"])
+        asked = b[b["subject"].notna()]
+        states = {(int(s), int(q), int(k)): State.from_json(x) for s, q, k, x in zip(asked["subject"], asked["query"], asked["block"], asked["state"], strict=True)}
+        found = []
+        for (qid, k), rows in b[b["subject"].isna()].groupby(["query", "block"], sort=False):
+            qid, k, total = int(qid), int(k), int(rows["n"].iloc[0])
+            low, high = k * block, min(total, (k + 1) * block + OVERLAP)
+            found.append((qid, k, Query(_assembled(rows["at"], rows["piece"], low, high).tobytes(), low, min(total, (k + 1) * block), total)))
+        out = []
+        for sid, rows in a.groupby("subject", sort=False) if found else ():
+            sid = int(sid)
+            wanted = [(q, k, x) for q, k, x in found if q != sid and (not states or (sid, q, k) in states)]
+            threshold, index = rows["threshold"].iloc[0], None
+            if wanted and not pd.isna(threshold):
+                index = Subject(_strands(_assembled(rows["place"], rows["seq"], 0, int(rows["len"].iloc[0]))), int(threshold))
+            for q, k, x in wanted:
+                state = states.get((sid, q, k)) or State(pos=x.begin)
+                counts, after = walk_block(index, x, fourths, state) if index else ([0] * 16, state)
+                out.append((sid, q, k, counts, x.total, state.to_json(), after.to_json()))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in WALKS.split(", ")])
 
     # as many groups as there are tasks to fill: none is left to share one with another by chance
-    deal = lambda rows: rows.repartition(min(4 * subject_blocks * query_blocks, MOST_TASKS), "sb", "qb")
-    return deal(left).groupBy("sb", "qb").cogroup(deal(right).groupBy("sb", "qb")).applyInPandas(run, PAIRS)
+    deal = lambda rows: rows.repartition(min(4 * subject_blocks * query_blocks, MOST_TASKS), "sb", "qb").groupBy("sb", "qb")
+    none = [F.lit(None).cast("long").alias("subject"), F.lit(None).cast("string").alias("state")]
+    columns = ["query", "block", "at", "piece", "n", "subject", "state", "qb", "sb"]
+
+    def walked(left: DataFrame, right: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+        if asked is None:
+            left, right = left.withColumn("qb", every(query_blocks)), right.select("*", *none, every(subject_blocks).alias("sb"))
+        else:
+            where = asked.select("subject", "query", "block", "state", hashed(subject_blocks, "subject").alias("sb"), hashed(query_blocks, "query", "block").alias("qb"))
+            left = left.join(where.select("subject", "qb").distinct(), "subject")
+            right = right.join(where.select("query", "block", "sb").distinct(), ["query", "block"]).select("*", *none)
+            right = right.select(columns).unionByName(where.select("*", F.lit(0).cast("long").alias("at"), F.lit("").alias("piece"), F.lit(0).cast("long").alias("n")).select(columns))
+        return deal(left).cogroup(deal(right.select(columns))).applyInPandas(run, WALKS)
+
+    found = walked(left, right)
+    if longest > block:
+        found = _settled(found, lambda asked: walked(left, right, asked))
+        sums = [F.sum(F.col("counts")[k]).alias(f"c{k}") for k in range(16)]
+        found = found.groupBy("subject_id", "query_id").agg(*sums, F.max("seq_len").alias("seq_len"))
+        found = found.withColumn("counts", F.array(*(f"c{k}" for k in range(16))))
+    return found.select("subject_id", "query_id", "counts", "seq_len")
+
+
+def _settled(found: DataFrame, again) -> DataFrame:
+    """Walks of blocks, each of which began where the one before it ended; ``again`` walks (subject, query, block, state)."""
+    now = written(found, "walks")
+    while True:
+        before = F.lag("ended").over(Window.partitionBy("subject_id", "query_id").orderBy("block"))
+        moved = now.select("subject_id", "query_id", "block", "began", before.alias("state")).filter("state <> began")
+        moved = written(moved.select(F.col("subject_id").alias("subject"), F.col("query_id").alias("query"), "block", "state"), "moved")
+        if moved.isEmpty():
+            return now
+        keys = moved.select(F.col("subject").alias("subject_id"), F.col("query").alias("query_id"), "block")
+        now = written(now.join(keys, ["subject_id", "query_id", "block"], "left_anti").unionByName(again(moved)), "walks")
+
+
+def in_pieces(sequences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pieces, sizes) of sequences (seq_id, seq, len) that are one value each."""
+    return sequences.select("seq_id", F.lit(0).cast("long").alias("place"), "seq"), sequences.select("seq_id", "len")
+
+
+def pair_counts(sequences: DataFrame, model: str = "jc", p_value: float = P_VALUE, subject_blocks: int | None = None, query_blocks: int | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """``piece_counts`` of sequences (seq_id, seq, len) that are one value each; ``queries``: others to compare them with."""
+    return piece_counts(*in_pieces(sequences), model, p_value, subject_blocks, query_blocks, in_pieces(queries) if queries is not None else None)
 
 
 def symmetric(pairs: DataFrame) -> DataFrame:

@@ -65,14 +65,15 @@ def replicate_distances(replicates: DataFrame, model: str) -> DataFrame:
     return once.select("replicate", F.explode(F.array(F.struct("i", "j", "distance"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "distance"))).alias("x")).select("replicate", "x.*")
 
 
-def run(sequences: DataFrame, options: Options = Options(), errors: DataFrame | None = None, messages: Sequence[str] = ()) -> Result:
-    """Compare all pairs of ``sequences`` (seq_id, name, seq, len, other_letters).
+def run(sequences: DataFrame, options: Options = Options(), errors: DataFrame | None = None, messages: Sequence[str] = (), pieces: DataFrame | None = None) -> Result:
+    """Compare all pairs of ``sequences`` (seq_id, name, seq, len, other_letters); seq isn't read where ``pieces`` (seq_id, place, seq) are given.
 
     Raises ValueError for fewer than two sequences and for empty or overlong ones; all else is reported as rows, with the
     ``errors`` of reading files and the ``messages`` of ``lenient_options``. Pairs are walked once and written.
     """
     diagnostics.check_runnable(sequences)
-    counted = written(pairs.pair_counts(sequences, options.model, options.p_value, options.subject_blocks, options.query_blocks), "pairs")
+    letters = pairs.in_pieces(sequences) if pieces is None else (pieces, sequences)
+    counted = written(pairs.piece_counts(*letters, options.model, options.p_value, options.subject_blocks, options.query_blocks), "pairs")
     d, c = pairs.distances(counted, options.model, options.symmetric), pairs.coverages(counted)
     found = diagnostics.sequence_diagnostics(sequences, options.truncate_names).unionByName(diagnostics.pair_diagnostics(d, c))
     if errors is not None:

@@ -11,8 +11,7 @@ from ..functions import models
 from ..functions.sequence import CELLS, both_strands, equal_fourths, gc_content, genome_name, has_other_letters, letter_counts, name_cell, normalize, revcomp
 from ..functions.thresholds import anchor_threshold
 from ..operators import aligned, diagnostics, pairs, phylip
-from ..operators.sequences import from_table, genome_sizes, join_contigs, placed_contigs
-from ..operators.simulate import with_copies
+from ..operators.sequences import from_table, genome_contigs, genome_pieces, join_contigs
 from ..sources.fasta import fasta_records, write_fasta
 from ..sources.shared import new_path, written
 from .engine import Options, replicate_distances, run
@@ -33,9 +32,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def genomes(spark: SparkSession, sf_dir: str, by: str = "source") -> DataFrame:
-    """Joined genomes, written: pairs read them once as subjects and once as queries."""
-    return written(join_contigs(documents(spark, sf_dir), by), "genomes")
+def genomes(spark: SparkSession, sf_dir: str, by: str = "source") -> tuple[DataFrame, DataFrame]:
+    """(sizes, pieces) of the genomes that documents of one source make."""
+    return genome_pieces(genome_contigs(documents(spark, sf_dir), by))
+
+
+def _walked(spark: SparkSession, sf_dir: str, model: str = "jc") -> tuple[DataFrame, DataFrame]:
+    """(sizes, pair counts) of these genomes."""
+    sizes, pieces = genomes(spark, sf_dir)
+    return sizes, written(pairs.piece_counts(pieces, sizes, model), "pairs")
 
 
 def rounded(c: str, digits: int = 9):
@@ -85,7 +90,7 @@ def equal_run_fourths(spark, sf_dir):
 
 @query
 def genome_join(spark, sf_dir):
-    return genomes(spark, sf_dir).select("seq_id", "name", "len", F.md5("seq").alias("seq_md5"), "other_letters")
+    return join_contigs(documents(spark, sf_dir)).select("seq_id", "name", "len", F.md5("seq").alias("seq_md5"), "other_letters")
 
 
 @query
@@ -139,8 +144,12 @@ for _m in models.MODELS:
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return aligned.aligned_pairs(placed_contigs(docs, "lang"), genome_sizes(docs, "lang"))
+    return _aligned_with_sizes(spark, sf_dir)[0]
+
+
+def _aligned_with_sizes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sizes, pieces = genomes(spark, sf_dir, "lang")
+    return aligned.aligned_pairs(pieces, sizes), sizes
 
 
 @query
@@ -176,13 +185,14 @@ def pair_validation(spark, sf_dir):
 
 @query
 def distance_matrix_lines(spark, sf_dir):
-    p = written(_aligned(spark, sf_dir), "pairs")
-    return phylip.distance_lines(pairs.distances(p, "raw"), genome_sizes(documents(spark, sf_dir), "lang"))
+    counted, sizes = _aligned_with_sizes(spark, sf_dir)
+    return phylip.distance_lines(pairs.distances(written(counted, "pairs"), "raw"), sizes)
 
 
 @query
 def coverage_matrix_lines(spark, sf_dir):
-    return phylip.coverage_lines(pairs.coverages(_aligned(spark, sf_dir)), genome_sizes(documents(spark, sf_dir), "lang"))
+    counted, sizes = _aligned_with_sizes(spark, sf_dir)
+    return phylip.coverage_lines(pairs.coverages(counted), sizes)
 
 
 @query
@@ -206,37 +216,27 @@ def fasta_scan(spark, sf_dir):
 @query
 def genome_distance_join(spark, sf_dir):
     """All pairs of the genomes that documents of one source make, by the anchor walk."""
-    return pairs.distances(pairs.pair_counts(genomes(spark, sf_dir)), "jc")
+    return pairs.distances(_walked(spark, sf_dir)[1], "jc")
 
 
 @query
 def genome_counts_by_letters(spark, sf_dir):
-    return cells(pairs.pair_counts(genomes(spark, sf_dir), "logdet"), "subject_id", "query_id", "seq_len")
+    return cells(_walked(spark, sf_dir, "logdet")[1], "subject_id", "query_id", "seq_len")
 
 
 @query
 def genome_run(spark, sf_dir):
     """Diagnostics of a whole run over the genomes."""
-    return run(genomes(spark, sf_dir), Options(model="kimura")).diagnostics
+    sizes, pieces = genomes(spark, sf_dir)
+    return run(sizes, Options(model="kimura"), pieces=pieces).diagnostics
 
 
 @query
 def genome_matrix(spark, sf_dir):
-    counted = written(pairs.pair_counts(genomes(spark, sf_dir)), "pairs")
-    return phylip.distance_lines(pairs.distances(counted, "jc"), genome_sizes(documents(spark, sf_dir)))
+    sizes, counted = _walked(spark, sf_dir)
+    return phylip.distance_lines(pairs.distances(counted, "jc"), sizes)
 
 
 @query
 def genome_bootstrap(spark, sf_dir):
-    drawn = pairs.bootstrap(pairs.pair_counts(genomes(spark, sf_dir)), 3, seed=1)
-    return replicate_distances(drawn, "jc")
-
-
-@query
-def simulated_accuracy(spark, sf_dir):
-    """Mean, deviation and failures of distances estimated between genomes and their mutated copies."""
-    rows = with_copies(genomes(spark, sf_dir), [0.01, 0.1, 0.2])
-    counted = pairs.pair_counts_within(rows, "pair").groupBy("pair").agg(F.array(*(F.sum(F.col("counts")[k]) for k in range(16))).alias("counts"))
-    d = counted.join(rows.select("pair", "d").distinct(), "pair").withColumn("distance", models.jc(F.col("counts")))
-    got = F.when(~F.isnan("distance"), F.col("distance"))
-    return d.groupBy("d").agg(F.count("*").alias("n"), F.count_if(F.isnan("distance")).alias("failures"), F.avg(got).alias("mean"), F.stddev_samp(got).alias("sd"))
+    return replicate_distances(pairs.bootstrap(_walked(spark, sf_dir)[1], 3, seed=1), "jc")

@@ -10,8 +10,8 @@ from helixframe.functions.numerics import c_div, c_ln
 from helixframe.functions.sequence import both_strands, gc_content, genome_name, has_other_letters, name_cell, normalize
 from helixframe.functions.thresholds import match_probability, thresholds
 from helixframe.operators import aligned, diagnostics, pairs, phylip
-from helixframe.operators.anchors import Subject, walk
-from helixframe.operators.sequences import from_table, genome_sizes, join_contigs, placed_contigs
+from helixframe.operators.anchors import Query, State, Subject, walk, walk_block
+from helixframe.operators.sequences import from_table, genome_contigs, genome_pieces, join_contigs
 from helixframe.plans.engine import Options, lenient_options, matrix, replicate_matrices, run
 from helixframe.sources import maf
 from helixframe.sources.fasta import parse_fasta, read_fasta
@@ -96,6 +96,69 @@ def test_walk_against_brute_force():
             assert walk(Subject(strands(s), least), q, fourths).tolist() == brute_walk(s, q, least, fourths)
 
 
+def _odd_pair(rng):
+    """A subject with repeats, a query made of parts of it, and a threshold."""
+    n, letters = rng.choice([5, 30, 120, 400]), rng.choice(["ACGT", "ACGT", "AC", "ACGT!", "A"])
+    s = "".join(rng.choice(letters) for _ in range(n))
+    if rng.random() < 0.4:
+        s = s + s[rng.randrange(n) :] + s[: rng.randrange(n)]
+    q = list(s[rng.randrange(len(s)) :] * rng.choice([1, 1, 2]))
+    if rng.random() < 0.3:
+        q = list(revcomp("".join(q)).replace(";", "!"))
+    for _ in range(rng.choice([0, 1, 3, 10])):
+        q[rng.randrange(len(q))] = rng.choice("ACGT")
+    return s, "".join(q), rng.choice([3, 5, 8, 23])
+
+
+def test_walk_in_blocks_and_sections_against_brute_force():
+    """Queries cut at random places, states carried as text, subjects indexed by sections, stretches of a few letters."""
+    rng = random.Random(3)
+    for _ in range(250):
+        s, q, least = _odd_pair(rng)
+        fourths, whole = rng.random() < 0.5, []
+        want = brute_walk(s, q, least, fourths)
+        assert walk(Subject(strands(s), least), q, fourths, whole).tolist() == want
+        subject, overlap, stretch = Subject(strands(s), least, rng.choice([40, 300, 1 << 25])), rng.choice([30, 64]), rng.choice([7, 1 << 20])
+        cuts = [0, *sorted(rng.sample(range(1, len(q)), min(len(q) - 1, rng.choice([1, 2, 5])))), len(q)] if len(q) > 1 else [0, len(q)]
+        state, total, trace = State(), np.zeros(16, np.int64), []
+        for low, high in zip(cuts, cuts[1:]):
+            counts, state = walk_block(subject, Query(q[low : high + overlap], low, high, len(q), stretch), fourths, state, trace)
+            state, total = State.from_json(state.to_json()), total + counts
+        assert total.tolist() == want and trace == whole
+
+
+def test_genomes_in_pieces_and_blocks(spark, monkeypatch):
+    """No genome is one value, and blocks of queries are walked by different tasks until their states agree."""
+    from helixframe.operators import pairs as module
+
+    monkeypatch.setattr(module, "OVERLAP", 64)
+    rng = random.Random(8)
+    base = "".join(rng.choice("ACGT") for _ in range(3000))
+    base += base[500:1500]  # a repeat longer than a block
+    copy = lambda rate: "".join(rng.choice("ACGT") if rng.random() < rate else x for x in base)
+    genomes = {"a": base, "b": base, "c": copy(0.02), "d": copy(0.1)[700:], "e": "", None: revcomp(copy(0.01))}
+    docs = []
+    for name, text in genomes.items():
+        at = 0
+        while at < len(text) or not at:
+            step = rng.choice([0, 1, 90, 700])
+            docs.append((len(docs), name, text[at : at + step]))
+            at += max(step, 1 if not text else 0)
+    sizes, pieces = genome_pieces(genome_contigs(spark.createDataFrame(docs, "doc_id long, source string, text string").repartition(3)))
+    joined = {}
+    for name in genomes:
+        joined[name] = "!".join(t for _, n, t in docs if n == name)
+    known = {r["seq_id"]: (r["name"], r["len"]) for r in sizes.collect()}
+    assert [known[k] for k in range(6)] == [(n, len(joined[n])) for n in ("a", "b", "c", "d", "e", None)]
+    for model in ("jc", "ani"):
+        got = {(r["subject_id"], r["query_id"]): (r["counts"], r["seq_len"]) for r in pairs.piece_counts(pieces, sizes, model, query_blocks=3, block=300).collect()}
+        assert len(got) == 30
+        for (i, j), (counts, n) in got.items():
+            s, q = joined[known[i][0]], joined[known[j][0]]
+            least = int(thresholds(np.array([(s.count("G") + s.count("C")) / len(s)]), np.array([2.0 * len(s) + 1]), 0.025)[0]) if s else None
+            assert n == len(q) and counts == (walk(Subject(strands(s), least), q, model == "jc").tolist() if s else [0] * 16)
+
+
 def test_thresholds():
     given = [(8, 0.5, 5), (100, 0.5, 7), (1000, 0.3, 10), (1000, 0, 17), (1000, 1, 17), (200000, 0.15, 17), (4900000, 0.508, 15), (1073741823, 0.5, 19)]
     got = thresholds(np.array([g for _, g, _ in given]), np.array([2.0 * n + 1 for n, _, _ in given]), 0.025)
@@ -243,7 +306,7 @@ def test_aligned_pairs_against_brute_force(spark):
     rows = spark.createDataFrame(docs, "doc_id long, source string, text string").repartition(5)
     joined = {r["seq_id"]: r for r in join_contigs(rows).collect()}
     assert [joined[k]["name"] for k in range(4)] == ["a", "b", "c", None] and all(r["len"] == len(r["seq"]) for r in joined.values())
-    got = {(r["subject_id"], r["query_id"]): r for r in aligned.aligned_pairs(placed_contigs(rows), genome_sizes(rows)).collect()}
+    got = {(r["subject_id"], r["query_id"]): r for r in aligned.aligned_pairs(*genome_pieces(genome_contigs(rows))[::-1]).collect()}
     assert len(got) == 12
     for (a, b), r in got.items():
         want = [0] * 16
