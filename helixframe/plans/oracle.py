@@ -81,6 +81,65 @@ PAIRED = f"""{_genomes('lang')}, letters AS (SELECT seq_id, unnest(range(1, leng
 PROBABILITY = f"""least(1.0, list_sum(list_transform(range(x + 1), lambda k: pow(2.0, x) * (pow(gc / 2.0, k) * pow(0.5 - gc / 2.0, x - k))
     * pow(1.0 - pow(gc / 2.0, k) * pow(0.5 - gc / 2.0, x - k), l) * (factorial(x::INTEGER)::DOUBLE / (factorial(k::INTEGER)::DOUBLE * factorial((x - k)::INTEGER)::DOUBLE)))))"""
 
+#: Words of this many letters are looked up in pairs; shorter matches by their words' counts.
+WORD = 8
+LINKED = f"""{SEQS.replace('seqs AS', 'own AS')}, mutants AS (SELECT seq_id, array_to_string(list_transform(string_split(seq, ''), lambda x, i: CASE WHEN (seq_id * 31 + (i - 1) * 7) % 97 = 0 THEN translate(x, 'ACGT', 'CGTA') ELSE x END), '') AS seq FROM own),
+    given AS (SELECT seq_id, seq FROM own UNION ALL SELECT -1 - seq_id, seq FROM mutants),
+    links AS (SELECT a.seq_id AS sid, b.seq_id AS qid FROM own a JOIN own b ON a.seq_id = b.seq_id - 1 UNION ALL SELECT seq_id, -1 - seq_id FROM own WHERE seq_id IS NOT NULL UNION ALL SELECT -1 - seq_id, seq_id FROM own WHERE seq_id IS NOT NULL)"""
+
+
+def _matches() -> str:
+    """Longest matches: of short words by their counts, of words of WORD letters by runs of words on a diagonal."""
+    return f"""{LINKED},
+    subjects AS (SELECT seq_id AS sid, translate(reverse(seq), 'ACGT!', 'TGCA;') || '#' || seq AS rs FROM given),
+    words AS MATERIALIZED (SELECT sid, b + unnest(range(least(64, length(rs) - b))) AS x, unnest(list_transform(range(least(64, length(rs) - b)), lambda i: substring(piece, i + 1, {WORD}))) AS w
+        FROM (SELECT sid, rs, b, substring(rs, b + 1, 64 + {WORD}) AS piece FROM (SELECT sid, rs, unnest(range(0, length(rs), 64)) AS b FROM subjects))),
+    places AS MATERIALIZED (SELECT seq_id AS qid, b + unnest(range(least(64, length(seq) - b))) AS p, unnest(list_transform(range(least(64, length(seq) - b)), lambda i: substring(piece, i + 1, {WORD}))) AS w
+        FROM (SELECT seq_id, seq, b, substring(seq, b + 1, 64 + {WORD}) AS piece FROM (SELECT seq_id, seq, unnest(range(0, length(seq), 64)) AS b FROM given))),
+    kmers AS (SELECT sid, left(w, k) AS w, min(x) AS x, count(*) AS n FROM words, range(1, {WORD}) t(k) WHERE length(w) >= k GROUP BY ALL),
+    asked AS MATERIALIZED (SELECT sid, qid, p, w, left(w, k) AS v FROM links JOIN places USING (qid) CROSS JOIN range(1, {WORD + 1}) t(k) WHERE length(w) >= k),
+    short AS (SELECT sid, qid, p, max({{'length': length(v), 'n': n, 'x': x}}) AS best FROM asked JOIN (SELECT sid, w AS v, x, n FROM kmers) USING (sid, v) GROUP BY ALL),
+    seeds AS (SELECT sid, qid, p, x - p AS d FROM (SELECT sid, qid, p, v FROM asked WHERE length(v) = {WORD}) JOIN (SELECT sid, x, w AS v FROM words) USING (sid, v)),
+    diagonals AS MATERIALIZED (SELECT sid, qid, d, p, max(p) OVER (PARTITION BY sid, qid, d, g) - p + {WORD} AS n FROM (SELECT *, p - row_number() OVER (PARTITION BY sid, qid, d ORDER BY p) AS g FROM seeds)),
+    long AS (SELECT sid, qid, p, max(n) AS n, arg_max({{'several': c, 'x': x}}, n) AS best FROM (SELECT sid, qid, p, n, count(*) AS c, min(p + d) AS x FROM diagonals GROUP BY ALL) GROUP BY ALL),
+    matches AS MATERIALIZED (SELECT sid, qid, p, coalesce(long.n, short.best.length, 0)::BIGINT AS n, CASE WHEN long.best.several = 1 THEN long.best.x WHEN long.n IS NULL AND short.best.n = 1 THEN short.best.x END AS x
+        FROM links JOIN places USING (qid) LEFT JOIN short USING (sid, qid, p) LEFT JOIN long USING (sid, qid, p))"""
+
+
+def _anchors() -> str:
+    """The walk, one place a step; a match on the last anchor's diagonal has its length from the diagonal's runs."""
+    return f"""RECURSIVE {_matches()},
+    likely AS (SELECT seq_id AS sid, length(regexp_replace(seq, '[^GC]', '', 'g'))::DOUBLE / length(seq) AS gc, 2.0 * length(seq) + 1 AS l FROM given WHERE seq <> ''),
+    thresholds AS (SELECT sid, min(x) AS t FROM (SELECT sid, x, {PROBABILITY} AS p FROM (SELECT *, unnest(range(1, 33)) AS x FROM likely)) WHERE p >= 1 - {P_VALUE} GROUP BY sid),
+    pairs AS MATERIALIZED (SELECT sid, qid, rs, seq AS q, t FROM links JOIN subjects USING (sid) JOIN thresholds USING (sid) JOIN given ON seq_id = qid),
+    walk AS (SELECT sid, qid, 0::BIGINT AS pos, 0::BIGINT AS s, 0::BIGINT AS b, 0::BIGINT AS n, false AS paired, false AS hit FROM pairs
+        UNION ALL SELECT sid, qid, pos + len + 1, CASE WHEN ok THEN here ELSE s END, CASE WHEN ok THEN pos ELSE b END, CASE WHEN ok THEN len ELSE n END, CASE WHEN ok THEN here > s + n AND pos - b - n = here - s - n AND (here < border) = (s < border) ELSE paired END, ok
+        FROM (SELECT *, coalesce(len >= t AND here IS NOT NULL, false) AS ok
+            FROM (SELECT a.*, CASE WHEN lucky THEN ahead ELSE x END AS here, CASE WHEN lucky THEN coalesce(o.n, list_max(list_filter(range({WORD}), lambda k: pos + k <= length(q) AND ahead + k <= length(rs) AND substring(q, pos + 1, k) = substring(rs, ahead + 1, k)))) ELSE m.n END AS len
+                FROM (SELECT *, pos - b - n <= t AND ahead + t <= length(rs) AND pos + t <= length(q) AND substring(q, pos + 1, t) = substring(rs, ahead + 1, t) AS lucky
+                    FROM (SELECT w.*, rs, q, t, length(rs) // 2 AS border, s + pos - b AS ahead FROM walk w JOIN pairs ON w.sid = pairs.sid AND w.qid = pairs.qid WHERE pos < length(q))) a
+                LEFT JOIN matches m ON m.sid = a.sid AND m.qid = a.qid AND m.p = a.pos LEFT JOIN diagonals o ON o.sid = a.sid AND o.qid = a.qid AND o.p = a.pos AND o.d = a.ahead - a.pos))),
+    anchors AS MATERIALIZED (SELECT sid, qid, b, s, n, paired FROM walk WHERE hit)"""
+
+
+def _linked(fourths: bool) -> str:
+    """Cells of the runs of anchors that count, and of the gaps between partners."""
+    same = "sum(n // 4) AS n_aa, sum(n // 4) AS n_cc, sum(n // 4) AS n_gg, sum(n // 4 + n % 4) AS n_tt" if fourths else "count(*) FILTER (a = 'A') AS n_aa, count(*) FILTER (a = 'C') AS n_cc, count(*) FILTER (a = 'G') AS n_gg, count(*) FILTER (a = 'T') AS n_tt"
+    of = "equal" if fourths else "(SELECT sid, qid, left(w, 1) AS a FROM (SELECT sid, qid, b + unnest(range(n)) AS p FROM equal) JOIN places USING (qid, p))"
+    run = lambda c: f"coalesce(any_value(e.n_{c.lower()}), 0)" if c[0] == c[1] else "0"
+    sums = ", ".join(f"(count(*) FILTER (g.s = '{c[0]}' AND g.q = '{c[1]}') + {run(c)})::BIGINT AS n_{c.lower()}" for c in CELLS)
+    return f"""{_anchors()},
+    turns AS (SELECT anchors.*, t, length(q) AS total, coalesce(lead(paired) OVER w, false) AS onward, coalesce(lag(b + anchors.n) OVER w, 0) AS from_q, coalesce(lag(s + anchors.n) OVER w, 0) AS from_s
+        FROM anchors JOIN pairs USING (sid, qid) WINDOW w AS (PARTITION BY sid, qid ORDER BY b)),
+    equal AS (SELECT sid, qid, b, n FROM turns WHERE onward OR paired OR n >= 2 * t OR n >= total),
+    gaps AS (SELECT sid, qid, left(y.w, 1) AS s, left(z.w, 1) AS q FROM (SELECT sid, qid, from_q + unnest(range(b - from_q)) AS p, from_s + unnest(range(b - from_q)) AS x FROM turns WHERE paired)
+        JOIN places z USING (qid, p) JOIN words y USING (sid, x)),
+    runs AS (SELECT sid, qid, {same} FROM {of} GROUP BY ALL),
+    counted AS (SELECT l.sid AS subject_id, l.qid AS query_id, any_value(length(seq))::BIGINT AS seq_len, {sums} FROM links l JOIN given ON seq_id = l.qid LEFT JOIN runs e USING (sid, qid) LEFT JOIN gaps g USING (sid, qid) GROUP BY l.sid, l.qid)"""
+
+
+LINKED_SUM = f"linked AS (SELECT greatest(subject_id, query_id) AS seq_id, {', '.join(f'sum({n})::BIGINT AS {n}' for n in NAMES)} FROM counted WHERE least(subject_id, query_id) < 0 GROUP BY 1)"
+
 ORACLE = {
     "seq_normalize": f"WITH {SEQS} SELECT seq_id AS doc_id, md5(seq) AS seq_md5, length(seq) AS len FROM seqs",
     "seq_non_acgt_flag": f"WITH {SEQS} SELECT seq_id AS doc_id, length(raw) <> length(seq) AS other_letters FROM seqs",
@@ -118,4 +177,9 @@ ORACLE = {
         SELECT i AS line_no, string_agg(printf('%1.4e', coverage) || ' ', '' ORDER BY j) AS line FROM c GROUP BY i""",
     "bootstrap_totals": f"WITH {PAIRED} SELECT r::INTEGER AS replicate, i, j, seq_len, {TOTAL} AS total FROM summed, range(1, 4) t(r)",
     "fasta_scan": f"WITH {SEQS}, f AS (SELECT seq_id, replace(seq, '!', '') AS seq FROM seqs) SELECT seq_id AS doc_id, CASE WHEN seq <> '' THEN md5(seq) END AS seq_md5, length(seq) AS len FROM f",
+    "longest_matches": f"WITH {_matches()} SELECT sid AS subject_id, qid AS query_id, p AS place, n AS length, coalesce(x, -1)::BIGINT AS only_place FROM matches",
+    "anchor_trace": f"WITH {_anchors()} SELECT sid AS subject_id, qid AS query_id, b AS query_place, s AS subject_place, n AS length, paired FROM anchors",
+    "linked_counts_by_fourths": f"WITH {_linked(True)} SELECT subject_id, query_id, seq_len, {', '.join(NAMES)} FROM counted",
+    "linked_counts_by_letters": f"WITH {_linked(False)} SELECT subject_id, query_id, seq_len, {', '.join(NAMES)} FROM counted",
+    "linked_distances": f"WITH {_linked(True)}, {LINKED_SUM}, d AS (SELECT seq_id, {JC} AS distance FROM linked) SELECT seq_id, {_round('distance')} AS distance FROM d",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import models
 from ..functions.sequence import CELLS, both_strands, equal_fourths, gc_content, genome_name, has_other_letters, letter_counts, name_cell, normalize, revcomp
 from ..functions.thresholds import anchor_threshold
-from ..operators import aligned, diagnostics, pairs, phylip
+from ..operators import aligned, diagnostics, pairs, phylip, traces
 from ..operators.sequences import from_table, genome_contigs, genome_pieces, join_contigs
 from ..sources.fasta import fasta_records, write_fasta
 from ..sources.shared import new_path, written
@@ -240,3 +240,44 @@ def genome_matrix(spark, sf_dir):
 @query
 def genome_bootstrap(spark, sf_dir):
     return replicate_distances(pairs.bootstrap(_walked(spark, sf_dir)[1], 3, seed=1), "jc")
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of sequences: each document's with that of the next id, and with its altered copy (under -1 - doc_id), both ways."""
+    altered = _mutants(spark, sf_dir).filter("seq_id is not null")
+    copy = F.struct((-1 - F.col("seq_id")).alias("seq_id"), F.col("mutant").alias("seq"))
+    sequences = written(altered.select(F.explode(F.array(F.struct("seq_id", "seq"), copy)).alias("x")).select("x.*"), "linked")
+    own = sequences.filter("seq_id >= 0").select("seq_id")
+    both = F.explode(F.array(*(F.struct(a.alias("subject_id"), b.alias("query_id")) for a, b in ((F.col("seq_id"), -1 - F.col("seq_id")), (-1 - F.col("seq_id"), F.col("seq_id"))))))
+    after = own.join(own.select((F.col("seq_id") - 1).alias("subject_id")), F.col("seq_id") == F.col("subject_id")).select("subject_id", (F.col("seq_id") + 1).alias("query_id"))
+    return written(traces.sequence_pairs(sequences, own.select(both.alias("x")).select("x.*").unionByName(after)), "pairs")
+
+
+@query
+def longest_matches(spark, sf_dir):
+    """Each place's longest match in the other sequence's strands, and where it stands, or -1 if in several places or none."""
+    return traces.longest_matches(_linked(spark, sf_dir)).withColumn("only_place", F.coalesce("only_place", F.lit(-1).cast("long")))
+
+
+@query
+def anchor_trace(spark, sf_dir):
+    """The anchors of each walk, in the order of the query's places."""
+    return traces.anchor_trace(_linked(spark, sf_dir))
+
+
+@query
+def linked_counts_by_fourths(spark, sf_dir):
+    return cells(traces.linked_counts(_linked(spark, sf_dir), "jc"), "subject_id", "query_id", "seq_len")
+
+
+@query
+def linked_counts_by_letters(spark, sf_dir):
+    return cells(traces.linked_counts(_linked(spark, sf_dir), "ani"), "subject_id", "query_id", "seq_len")
+
+
+@query
+def linked_distances(spark, sf_dir):
+    """The distance of each document's sequence from its altered copy, by the walk both ways."""
+    counted = traces.linked_counts(_linked(spark, sf_dir).filter("least(subject_id, query_id) < 0"))
+    found = pairs.symmetric(counted).select(F.col("j").alias("seq_id"), models.jc(F.col("counts")).alias("distance"))
+    return found.select("seq_id", rounded("distance"))

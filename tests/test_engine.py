@@ -9,7 +9,7 @@ from helixframe.functions import models
 from helixframe.functions.numerics import c_div, c_ln
 from helixframe.functions.sequence import both_strands, gc_content, genome_name, has_other_letters, name_cell, normalize
 from helixframe.functions.thresholds import match_probability, thresholds
-from helixframe.operators import aligned, diagnostics, pairs, phylip
+from helixframe.operators import aligned, diagnostics, pairs, phylip, traces
 from helixframe.operators.anchors import Query, State, Subject, walk, walk_block
 from helixframe.operators.sequences import from_table, genome_contigs, genome_pieces, join_contigs
 from helixframe.plans.engine import Options, lenient_options, matrix, replicate_matrices, run
@@ -159,6 +159,45 @@ def test_genomes_in_pieces_and_blocks(spark, monkeypatch):
             assert n == len(q) and counts == (walk(Subject(strands(s), least), q, model == "jc").tolist() if s else [0] * 16)
 
 
+def _brute_matches(s, q):
+    rs, found = strands(s), []
+    for i in range(len(q)):
+        best, where = 0, []
+        for x in range(len(rs)):
+            k = next((k for k in range(min(len(q) - i, len(rs) - x)) if q[i + k] != rs[x + k]), min(len(q) - i, len(rs) - x))
+            best, where = (k, [x]) if k > best else (best, [*where, x] if k == best else where)
+        found.append((i, best, where[0] if best and len(where) == 1 else None))
+    return found
+
+
+#: The worked pair's anchors: (place in query, place in subject, length, whether paired).
+TRACE = [(5, 106, 10, False), (16, 117, 9, True), (31, 132, 16, True), (48, 149, 25, True), (74, 175, 12, True), (87, 188, 8, True)]
+
+
+def test_matches_and_traces_as_rows(spark):
+    rng = random.Random(4)
+    texts = [S, Q, revcomp(Q), "", *(x for _ in range(10) for x in _odd_pair(rng)[:2])]
+    links = [(a, b) for a in range(len(texts)) for b in range(len(texts)) if a != b and (b - a) % 5 < 2 and len(texts[a]) * len(texts[b]) < 30_000] + [(0, 1), (0, 99)]
+    rows = traces.sequence_pairs(_seqs(spark, texts), spark.createDataFrame(links, "subject_id long, query_id long"))
+    assert rows.count() == len(links) - 1
+    for section in (1 << 25, 40):
+        got = {}
+        for r in traces.longest_matches(rows, section).collect():
+            got.setdefault((r["subject_id"], r["query_id"]), []).append((r["place"], r["length"], r["only_place"]))
+        for a, b in set(links) - {(0, 1), (0, 99)}:
+            assert sorted(got.get((a, b), [])) == _brute_matches(texts[a], texts[b])
+    found = traces.anchor_trace(rows.filter("subject_id = 0")).collect()
+    assert [tuple(r)[2:] for r in found if r["query_id"] == 1][: len(TRACE)] == TRACE
+    assert [tuple(r)[2:4] for r in found if r["query_id"] == 2] == [(5, 5), (14, 14), (27, 27), (53, 53), (76, 76), (85, 85)]
+    for model in ("jc", "ani"):
+        counted = {(r["subject_id"], r["query_id"]): r["counts"] for r in traces.linked_counts(rows, model).collect()}
+        every = pairs.pair_counts(_seqs(spark, texts), model).collect()
+        assert len(counted) == len(set(links)) - 1
+        assert all(counted[r["subject_id"], r["query_id"]] == r["counts"] for r in every if (r["subject_id"], r["query_id"]) in counted)
+    # a pair's cells add up to the letters of its paired anchors and of the gaps between them
+    assert sum(counted[0, 1]) == TRACE[-1][0] + TRACE[-1][2] - TRACE[0][0]
+
+
 def test_thresholds():
     given = [(8, 0.5, 5), (100, 0.5, 7), (1000, 0.3, 10), (1000, 0, 17), (1000, 1, 17), (200000, 0.15, 17), (4900000, 0.508, 15), (1073741823, 0.5, 19)]
     got = thresholds(np.array([g for _, g, _ in given]), np.array([2.0 * n + 1 for n, _, _ in given]), 0.025)
