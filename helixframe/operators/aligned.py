@@ -44,7 +44,10 @@ def mutation_counts(rows: DataFrame, keys: list[str], subject: str, query: str)
 
 
 def _chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Counts of the ordered pairs between two blocks of genomes (or within one), over the places of a chunk."""
+    """Counts of the ordered pairs between two blocks of genomes (or within one), over the places of a chunk.
+
+    One matrix product of planes, each of which marks a genome's places of one letter, has the cells of all pairs.
+    """
     low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
     letters: dict[int, np.ndarray] = {}
     blocks: dict[int, int] = {}
@@ -52,12 +55,17 @@ def _chunk(pdf: pd.DataFrame) -> pd.DataFrame:
         blocks[g] = block
         codes = _codes(piece)
         letters.setdefault(g, np.full(CHUNK, -1, np.int8))[at : at + len(codes)] = codes
+    sides = [[g for g in letters if blocks[g] == block] for block in ((low,) if low == high else (low, high))]
+    # 4 planes of each genome; a float32 holds every count of a chunk exactly
+    planes = [(np.stack([letters[g] for g in side])[:, None, :] == np.arange(4)[:, None]).reshape(-1, CHUNK).astype(np.float32) if side else np.zeros((0, CHUNK), np.float32) for side in sides]
+    cells = (planes[0] @ planes[-1].T).astype(np.int64).reshape(len(sides[0]), 4, len(sides[-1]), 4).transpose(0, 2, 1, 3)
     rows = []
-    for a in letters:
-        for b in letters:
-            if a < b if low == high else blocks[a] == low and blocks[b] == high:
-                both = _cells(letters[a], letters[b])
-                rows += [(a, b, both), (b, a, both.reshape(4, 4).T.ravel())]
+    for x, a in enumerate(sides[0]):
+        for y, b in enumerate(sides[-1]):
+            if low != high:
+                rows += [(a, b, cells[x, y].ravel()), (b, a, cells[x, y].T.ravel())]
+            elif a != b:
+                rows.append((a, b, cells[x, y].ravel()))
     return pd.DataFrame(rows, columns=["subject_id", "query_id", "counts"])
 
 

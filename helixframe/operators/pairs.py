@@ -80,7 +80,8 @@ def piece_counts(
     n, letters, _ = of(known)
     m, query_letters, longest = of(other_sizes)
     subject_blocks = subject_blocks or max(1, min(n, max(64, -(-letters // BLOCK))))
-    query_blocks = query_blocks or max(1, min(m + query_letters // block, -(-query_letters // block)))
+    # small ones are dealt to enough tasks all the same
+    query_blocks = query_blocks or max(1, min(m + query_letters // block, max(-(-query_letters // block), -(-40 // subject_blocks))))
     hashed = lambda of, *c: F.pmod(F.xxhash64(*c), F.lit(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
     left = pieces.join(known, "seq_id").select(F.col("seq_id").alias("subject"), "place", "seq", "len", "threshold", hashed(subject_blocks, "seq_id").alias("sb"))

@@ -35,15 +35,50 @@ class Options:
             raise ValueError("bootstrap must be 1 or more")
 
 
+def _flag(value: object) -> bool:
+    """A boolean, or one of the words that stand for one."""
+    if isinstance(value, bool):
+        return value
+    found = {"true": True, "yes": True, "on": True, "1": True, "false": False, "no": False, "off": False, "0": False}.get(str(value).strip().lower())
+    if found is None:
+        raise ValueError(f"{value!r} is no boolean")
+    return found
+
+
+def _whole(value: object) -> int:
+    if isinstance(value, bool) or isinstance(value, float) and not value.is_integer():
+        raise ValueError(f"{value!r} is no whole number")
+    return int(value)
+
+
+def _blocks(value: object) -> int | None:
+    if value is None:
+        return None
+    if _whole(value) < 1:
+        raise ValueError("blocks must be 1 or more")
+    return _whole(value)
+
+
+def _number(value: object) -> float:
+    if isinstance(value, bool):
+        raise ValueError(f"{value!r} is no number")
+    return float(value)
+
+
+#: How each option is read.
+READ = {"model": str, "p_value": _number, "bootstrap": _whole, "seed": _whole, "symmetric": _flag, "truncate_names": _flag, "subject_blocks": _blocks, "query_blocks": _blocks}
+
+
 def lenient_options(**given) -> tuple[Options, list[str]]:
-    """Options of values as users give them: a bad one leaves its default, and a message says so."""
+    """Options of values as users give them, also as text: a bad one leaves its default, and a message says so."""
     kept, messages = {}, []
     for name, value in given.items():
         try:
-            kind = type(getattr(Options, name, None))
-            value = value if kind is type(None) or isinstance(value, kind) else kind(value)
-            Options(**{name: value})
-            kept[name] = value
+            read = READ[name](value)
+            Options(**{name: read})
+            kept[name] = read
+        except KeyError:
+            messages.append(f"Ignoring unknown option {name}.")
         except (TypeError, ValueError):
             messages.append(f"Ignoring bad value {value!r} of option {name}.")
     return Options(**kept), messages

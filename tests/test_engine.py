@@ -177,14 +177,14 @@ TRACE = [(5, 106, 10, False), (16, 117, 9, True), (31, 132, 16, True), (48, 149,
 def test_matches_and_traces_as_rows(spark):
     rng = random.Random(4)
     texts = [S, Q, revcomp(Q), "", *(x for _ in range(10) for x in _odd_pair(rng)[:2])]
-    links = [(a, b) for a in range(len(texts)) for b in range(len(texts)) if a != b and (b - a) % 5 < 2 and len(texts[a]) * len(texts[b]) < 30_000] + [(0, 1), (0, 99)]
+    links = [(a, b) for a in range(len(texts)) for b in range(len(texts)) if a != b and (b - a) % 5 < 2 and len(texts[a]) * len(texts[b]) < 30_000] + [(0, 1), (0, 2), (0, 99)]
     rows = traces.sequence_pairs(_seqs(spark, texts), spark.createDataFrame(links, "subject_id long, query_id long"))
     assert rows.count() == len(links) - 1
     for section in (1 << 25, 40):
         got = {}
         for r in traces.longest_matches(rows, section).collect():
             got.setdefault((r["subject_id"], r["query_id"]), []).append((r["place"], r["length"], r["only_place"]))
-        for a, b in set(links) - {(0, 1), (0, 99)}:
+        for a, b in set(links) - {(0, 1), (0, 2), (0, 99)}:
             assert sorted(got.get((a, b), [])) == _brute_matches(texts[a], texts[b])
     found = traces.anchor_trace(rows.filter("subject_id = 0")).collect()
     assert [tuple(r)[2:] for r in found if r["query_id"] == 1][: len(TRACE)] == TRACE
@@ -385,6 +385,13 @@ def test_options_and_one_table_of_errors(spark, tmp_path):
     assert {(r["line_no"], r["line"]) for r in matrix(got, seqs).collect()} == {(n, x) for (k, n), x in lines.items() if k == 0}
 
 
+def test_options_of_any_type():
+    assert lenient_options(symmetric="false", truncate_names="no", subject_blocks="3", seed="7", p_value="0.05") == (Options(symmetric=False, truncate_names=False, subject_blocks=3, seed=7, p_value=0.05), [])
+    options, messages = lenient_options(symmetric="maybe", subject_blocks="x", query_blocks=0, bootstrap=2.5, seed=True, p_value="nan", nosuch=1)
+    assert options == Options() and len(messages) == 7 and messages[-1] == "Ignoring unknown option nosuch."
+    assert lenient_options(symmetric=0, query_blocks=None, bootstrap="4") == (Options(symmetric=False, bootstrap=4), [])
+
+
 def test_maf(spark, tmp_path):
     long = "ACGTACGTAC" * 6 + "GG"
     (tmp_path / "x.maf").write_text(f"##maf\na score=1 mult=2\ns one 0 4 + 4 AC-T\ns a_rather_long_name 0 4 + 4 ACGT\n\na mult=3\ns one 0 1 + 1 A\ns three 0 1 + 1 A\n\na mult=2\ns a_rather_long_name 0 4 + 4 {long}\ns one 1 2 + 4 {long}\n")
