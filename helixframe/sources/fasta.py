@@ -7,13 +7,15 @@ import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import genome_name, has_other_letters, normalize
+from .shared import written
 
 RECORDS = "file_idx int, rec_idx long, name string, comment string, raw string, error string"
 _NAME = re.compile(rb">(\S*)")
+_LINE = re.compile(r"(.*) on line ([0-9]+)\.", re.DOTALL)
 _BODY = re.compile(rb"\s*((?:[A-Za-z*\-]\S*\s*)*)")
 
 
@@ -55,59 +57,153 @@ def parse_fasta(data: bytes) -> Iterator[tuple[str | None, str | None, str | Non
         at = body.end()
 
 
-def _qualified(spark: SparkSession, path: str) -> tuple[str, bool]:
-    """A path as Spark's readers report it, and whether it exists."""
+def _qualified(spark: SparkSession, path: str) -> tuple[str, int | None]:
+    """A whole path, and the bytes of its file, or None if there is none."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     q = fs.makeQualified(p)
-    return q.toString(), fs.exists(q)
+    return q.toString(), fs.getFileStatus(q).getLen() if fs.exists(q) else None
+
+
+def _parsed(rows: Iterator[tuple[str, int, str]]) -> Iterator[tuple]:
+    """(path, start, k, end, name, comment, raw, error, lines) of the rows (path, start, value) of a task, see ``_split_records``.
+
+    What a file's end changes is said twice for the last row of a split: with end true, as if it were the file's last, and
+    with end false.
+    """
+    held: tuple[str, int, str] | None = None
+    k = lines = 0
+
+    def of(row: tuple[str, int, str], ends: bool, last: bool) -> Iterator[tuple]:
+        path, start, value = row
+        data = value.encode("utf-8", "surrogateescape")
+        opened = start > 0 or k > 0
+        for n, (name, comment, raw, error) in enumerate(parse_fasta((b">" if opened else b"") + data + (b"" if ends else b"\n"))):
+            line = None
+            if error and (found := _LINE.fullmatch(error)):
+                error, line = found[1], lines + int(found[2])
+            yield path, start, k, n, ends if last else None, name, comment, raw, error, line
+
+    for row in rows:
+        if held is not None:
+            same = row[:2] == held[:2]
+            yield from of(held, False, not same)
+            if not same:
+                yield from of(held, True, True)
+                yield held[0], held[1], -1, 0, None, None, None, None, None, lines + held[2].count("\n") + 1
+            k, lines = (k + 1, lines + held[2].count("\n") + 1) if same else (0, 0)
+        held = row
+    if held is not None:
+        yield from of(held, False, True)
+        yield from of(held, True, True)
+        yield held[0], held[1], -1, 0, None, None, None, None, None, lines + held[2].count("\n") + 1
+
+
+_PARSED = "path string, start long, k long, n int, end boolean, name string, comment string, raw string, error string, line long"
+
+
+def _split_records(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, rec_idx, name, comment, raw, error) of files that exist, each read by as many tasks as Spark splits it into.
+
+    A line that begins with > always begins a record, so Spark's text source can cut files there. Tasks number the rows of
+    a split; sums over a file's splits tell how many records and lines lie before. The first error of a file ends it.
+    """
+    text = spark.read.option("lineSep", "\n>").text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a few records at a time
+        found, size = [], 0
+        for row in _parsed((p, int(s), v) for pdf in frames for p, s, v in zip(pdf["path"], pdf["start"], pdf["value"], strict=True)):
+            found.append(row)
+            size += len(row[7] or "") + 100
+            if size > 1 << 24:
+                yield pd.DataFrame(found, columns=_NAMES)
+                found, size = [], 0
+        if found:
+            yield pd.DataFrame(found, columns=_NAMES)
+
+    parsed = written(text.mapInPandas(run, _PARSED), "records")
+    file = Window.partitionBy("of").orderBy("at")
+    splits = parsed.filter("k < 0").select(F.col("path").alias("of"), F.col("start").alias("at"), F.col("line").alias("lines"))
+    # one row for each split
+    counts = parsed.filter("name is not null and end is not true").groupBy(F.col("path").alias("of"), F.col("start").alias("at")).agg(F.count("*").alias("records"))
+    splits = splits.join(counts, ["of", "at"], "left").select("of", "at", F.coalesce(F.sum("lines").over(file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("lines_before"), F.lead("at").over(file).isNull().alias("last"))
+    rows = parsed.filter("k >= 0").join(splits, (F.col("path") == F.col("of")) & (F.col("start") == F.col("at"))).filter("end is null or end = last")
+    place = F.struct("start", "k", "n")
+    first = rows.filter("error is not null").groupBy(F.col("path").alias("of")).agg(F.min(place).alias("stop"))
+    rows = rows.drop("of", "at").join(first, F.col("path") == F.col("of"), "left").filter(F.col("stop").isNull() | (place <= F.col("stop")))
+    # records before a row: those of earlier splits, and of its own
+    kept = rows.groupBy(F.col("path").alias("f"), F.col("start").alias("s")).agg(F.count_if(F.col("name").isNotNull()).alias("records"))
+    kept = kept.select("f", "s", F.coalesce(F.sum("records").over(Window.partitionBy("f").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rows = rows.join(kept, (F.col("path") == F.col("f")) & (F.col("start") == F.col("s")))
+    number = F.col("before") + F.row_number().over(Window.partitionBy("path", "start").orderBy("k", "n")) - 1
+    error = F.when(F.col("line").isNull(), F.col("error")).otherwise(F.format_string("%s on line %d.", "error", F.col("line") + F.col("lines_before")))
+    return rows.select("path", number.cast("long").alias("rec_idx"), "name", "comment", "raw", error.alias("error"))
+
+
+_NAMES = [c.split()[0] for c in _PARSED.split(", ")]
 
 
 def fasta_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """(file_idx, rec_idx, name, comment, raw, error) of files in the given order; "-" is standard input, once.
 
-    A file that can't be opened has one row with its error. A file is read by one task, as its errors name lines.
+    A file that can't be opened has one row with its error. Files of any size are read by many tasks; a record is one value.
     """
-    found, missing, stdin = [], [], []
+    found, here, stdin = [], [], False
     for k, p in enumerate(paths):
         if p == "-":
-            data, error = (b"", "-: Bad file descriptor") if stdin else (sys.stdin.buffer.read(), None)
-            rows = [(None, None, None, error)] if error else list(parse_fasta(data))
-            stdin += [(k, r, *row) for r, row in enumerate(rows)]
+            rows = [(None, None, None, "-: Bad file descriptor")] if stdin else list(parse_fasta(sys.stdin.buffer.read()))
+            here += [(k, r, *row) for r, row in enumerate(rows)]
+            stdin = True
             continue
-        q, there = _qualified(spark, p)
-        (found if there else missing).append((k, q if there else p))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for ks, content in zip(pdf["ks"], pdf["content"], strict=True):
-                rows = [(k, r, *row) for k in ks for r, row in enumerate(parse_fasta(content))]
-                yield pd.DataFrame(rows, columns=["file_idx", "rec_idx", "name", "comment", "raw", "error"])
-
-    out = spark.createDataFrame([*stdin, *((k, 0, None, None, None, f"{p}: No such file or directory") for k, p in missing)], RECORDS)
+        q, size = _qualified(spark, p)
+        if size:
+            found.append((k, q))
+        else:
+            here.append((k, 0, None, None, None, f"{p}: No such file or directory" if size is None else "File is empty."))
+    out = spark.createDataFrame(here, RECORDS)
     if found:
-        order = spark.createDataFrame(found, "k int, path string").groupBy("path").agg(F.sort_array(F.collect_list("k")).alias("ks"))
-        files = spark.read.format("binaryFile").load(sorted({q for _, q in found})).select("path", "content")
-        out = out.unionByName(files.join(order, "path").select("ks", "content").mapInPandas(run, RECORDS))
+        order = spark.createDataFrame(found, "file_idx int, q string").withColumn("at", _rooted(F.col("q")))
+        path = F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))  # Spark's readers report it with escapes
+        records = _split_records(spark, sorted({q for _, q in found})).withColumn("file", _rooted(path))
+        columns = [c.split()[0] for c in RECORDS.split(", ")]
+        out = out.unionByName(order.join(records, F.col("at") == F.col("file")).select(columns))
     return out
 
 
+def _rooted(path: Column) -> Column:
+    """A path with one slash after its scheme."""
+    return F.regexp_replace(path, "^([a-z0-9]+:)/+", "$1/")
+
+
 def file_of_filenames(spark: SparkSession, path: str) -> list[str]:
-    """The names in a file, one a line, empty lines left out."""
-    return [r["value"] for r in spark.read.text(path).filter("value <> ''").collect()]
+    """The names in a file, one a line, empty lines left out; "-" is standard input. Raises OSError if it can't be opened."""
+    if path == "-":
+        return [line for line in sys.stdin.buffer.read().decode("utf-8", "replace").split("\n") if line]
+    if _qualified(spark, path)[1] is None:
+        raise OSError(f"{path}: No such file or directory")
+    return [r["value"] for r in spark.read.option("lineSep", "\n").text(path).filter("value <> ''").collect()]
 
 
 def read_fasta(spark: SparkSession, paths: Sequence[str] = (), paths_from: Sequence[str] = (), join: bool = False) -> tuple[DataFrame, DataFrame]:
     """(sequences, errors): names from ``paths_from`` files come before ``paths``.
 
     ``join``: the records of a file become one genome named after the file, joined by !; a file without records adds
-    none. Sequences have seq_id, name, seq, len, other_letters, numbered by file and record.
+    none. Sequences have seq_id, name, seq, len, other_letters, numbered by file and record. A list of names that can't be
+    opened is an error of its own, without file_idx; the others are read.
     """
-    names = [n for f in paths_from for n in file_of_filenames(spark, f)] + list(paths)
+    names, unread = [], []
+    for f in paths_from:
+        try:
+            names += file_of_filenames(spark, f)
+        except OSError as e:
+            unread.append(("soft_error", "list", None, str(e)))
+    names += list(paths)
     if len(names) < (2 if join else 1):
         raise ValueError("at least two files are needed to join" if join else "no input files")
     records = fasta_records(spark, names)
     errors = records.filter("error is not null").select(F.lit("soft_error").alias("level"), F.lit("fasta").alias("code"), "file_idx", "error")
+    errors = errors.unionByName(spark.createDataFrame(unread, "level string, code string, file_idx int, error string")) if unread else errors
     good = records.filter("error is null").select("file_idx", "rec_idx", "name", normalize(F.col("raw")).alias("seq"), has_other_letters(F.col("raw")).alias("other_letters"))
     if join:
         named = spark.createDataFrame(list(enumerate(names)), "file_idx int, path string").select("file_idx", genome_name(F.col("path")).alias("name"))

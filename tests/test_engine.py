@@ -14,7 +14,7 @@ from helixframe.operators.anchors import Query, State, Subject, walk, walk_block
 from helixframe.operators.sequences import from_table, genome_contigs, genome_pieces, join_contigs
 from helixframe.plans.engine import Options, lenient_options, matrix, replicate_matrices, run
 from helixframe.sources import maf
-from helixframe.sources.fasta import parse_fasta, read_fasta
+from helixframe.sources.fasta import fasta_records, parse_fasta, read_fasta
 
 S = "TACGAGCACTGGTGGAATTGATGTCCAGTCTTATATGGCGCACCAGGCTGATAGTAGTAGCAGTTTGCTTATCTCATCGCGTGTTTCCGGATGACAGAGA"
 Q = "TACGTGCACTGGTGGGATTGATGTCTAGTATTATATGGCGCACCAGGATGATAGTAGTAGCAGTTTGCTTATCCCATCGCGTGTTTGCGGATGACCGAGA"
@@ -269,6 +269,55 @@ def test_fasta_files(spark, tmp_path):
         read_fasta(spark, [f"{tmp_path}/two.fa"], join=True)
 
 
+FASTA = {
+    "good": ">a one two\r\nAC gt\r\n\r\nNN\n>b\nT",
+    "many": "".join(f">r{k} c{k}\n" + "ACGT" * (k % 50 + 1) + "\nTT\n" for k in range(60)),
+    "stops": "".join(f">r{k}\nACGT\n" for k in range(30)) + "1\n>later\nA\n>again\n\n",
+    "empty name": ">a\nA\n> x\nA\n",
+    "empty sequence": ">a\nA\n>b\n\n\n>c\nA\n",
+    "empty last": ">a\nA\n>b\n\n",
+    "end in name": ">a\nA\n>b",
+    "end in comment": ">a\nA\n>b c",
+    "inside a line": ">a\nA >b x\nC\n  >c\nG >\n",
+    "no record": "x\n>a\nA\n",
+    "only a line end": "\n",
+    "nothing": "",
+    "é +%20": ">é\nA\n",
+}
+
+
+def test_fasta_split_over_tasks(spark, tmp_path):
+    """Files cut at small byte ranges: records, lines and errors as the whole text gives them, and the same file twice."""
+    paths = []
+    for k, (name, text) in enumerate(FASTA.items()):
+        paths.append(f"{tmp_path}/{k} {name}.fa")
+        (tmp_path / f"{k} {name}.fa").write_bytes(text.encode())
+    paths.append(paths[0])
+    old = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("150", old["spark.sql.files.maxPartitionBytes"]):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            got = [tuple(r) for r in fasta_records(spark, paths).collect()]
+            want = [(k, n, *r) for k, text in enumerate([*FASTA.values(), FASTA["good"]]) for n, r in enumerate(parse_fasta(text.encode()))]
+            assert sorted(got, key=lambda r: r[:2]) == want
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+
+
+def test_lists_of_names(spark, tmp_path, monkeypatch):
+    import io
+    import sys
+
+    (tmp_path / "a.fa").write_text(">a\nACGT\n")
+    monkeypatch.setattr(sys, "stdin", type("Stdin", (), {"buffer": io.BytesIO(f"{tmp_path}/a.fa\n\n{tmp_path}/none.fa\n".encode())}))
+    seqs, errors = read_fasta(spark, [f"{tmp_path}/a.fa"], ["-", f"{tmp_path}/nolist"])
+    assert [r["name"] for r in seqs.orderBy("seq_id").collect()] == ["a", "a"]
+    found = {(r["code"], r["i"], r["message"].rsplit("/", 1)[1]) for r in diagnostics.file_diagnostics(errors).collect()}
+    assert found == {("fasta", 1, "none.fa: No such file or directory"), ("list", None, "nolist: No such file or directory")}
+
+
 def _seqs(spark, texts):
     return from_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
 
