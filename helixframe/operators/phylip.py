@@ -14,9 +14,15 @@ def number(x: Column, scientific: Column) -> Column:
     return F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(plain)
 
 
-def _with_diagonal(cells: DataFrame, sequences: DataFrame, value: float) -> DataFrame:
-    own = sequences.select(F.col("seq_id").alias("i"), F.col("seq_id").alias("j"), F.lit(value).alias("v"))
-    return cells.unionByName(own)
+#: Columns of a row that are put together at once.
+TILE = 1024
+
+
+def _row_texts(cells: DataFrame, keys: list[str], cell: Column) -> DataFrame:
+    """(keys, text): the texts ``cell`` of each row in the order of j, first by tiles of columns, so that no array has a whole row."""
+    tiles = cells.select(*keys, F.floor(F.col("j") / TILE).alias("tile"), F.struct("j", cell.alias("text")).alias("cell")).groupBy(*keys, "tile")
+    tiles = tiles.agg(F.array_join(F.transform(F.array_sort(F.collect_list("cell")), lambda c: c["text"]), "").alias("text"))
+    return tiles.groupBy(*keys).agg(F.expr("listagg(text, '') within group (order by tile)").alias("text"))
 
 
 def distance_lines(distances: DataFrame, sequences: DataFrame, truncate_names: bool = False) -> DataFrame:
@@ -30,22 +36,30 @@ def distance_lines(distances: DataFrame, sequences: DataFrame, truncate_names: b
 def replicate_lines(distances: DataFrame, sequences: DataFrame, truncate_names: bool = False) -> DataFrame:
     """(replicate, line_no, line): the matrix of each replicate (distances: replicate, i, j, distance), as ``distance_lines``."""
     small = distances.groupBy("replicate").agg(F.coalesce(F.max((F.col("distance") > 0) & (F.col("distance") < 0.001)), F.lit(False)).alias("small"))
-    rows = distances.groupBy("replicate", "i").agg(F.collect_list(F.struct("j", F.col("distance").alias("v"))).alias("cells")).join(small, "replicate")
-    own = F.array_append("cells", F.struct(F.col("i").alias("j"), F.lit(0.0).alias("v")))
-    text = F.array_join(F.transform(F.array_sort(own), lambda c: F.concat(F.lit(" "), number(c["v"], F.col("small")))), "")
+    own = distances.groupBy("replicate", "i").agg(F.lit(0.0).alias("distance")).select("replicate", "i", F.col("i").alias("j"), "distance")
+    cells = distances.select("replicate", "i", "j", "distance").unionByName(own).join(small, "replicate")
+    rows = _row_texts(cells, ["replicate", "i"], F.concat(F.lit(" "), number(F.col("distance"), F.col("small"))))
     rows = rows.join(sequences.select(F.col("seq_id").alias("i"), "name"), "i")
-    lines = rows.select("replicate", (F.col("i") + 1).alias("line_no"), F.concat(name_cell(F.col("name"), truncate_names), text).alias("line"))
+    lines = rows.select("replicate", (F.col("i") + 1).alias("line_no"), F.concat(name_cell(F.col("name"), truncate_names), "text").alias("line"))
     heads = lines.groupBy("replicate").agg(F.count("*").cast("string").alias("line")).select("replicate", F.lit(0).cast("long").alias("line_no"), "line")
     return heads.unionByName(lines)
 
 
 def coverage_lines(coverages: DataFrame, sequences: DataFrame) -> DataFrame:
     """(line_no, line): coverages in scientific form, each followed by a space; the diagonal is 1."""
-    cells = _with_diagonal(coverages.select(F.col("subject_id").alias("i"), F.col("query_id").alias("j"), F.col("coverage").alias("v")), sequences, 1.0)
-    text = F.array_join(F.transform(F.array_sort("cells"), lambda c: F.concat(number(c["v"], F.lit(True)), F.lit(" "))), "")
-    return cells.groupBy("i").agg(F.collect_list(F.struct("j", "v")).alias("cells")).select(F.col("i").alias("line_no"), text.alias("line"))
+    own = sequences.select(F.col("seq_id").alias("i"), F.col("seq_id").alias("j"), F.lit(1.0).alias("v"))
+    cells = coverages.select(F.col("subject_id").alias("i"), F.col("query_id").alias("j"), F.col("coverage").alias("v")).unionByName(own)
+    return _row_texts(cells, ["i"], F.concat(number(F.col("v"), F.lit(True)), F.lit(" "))).select(F.col("i").alias("line_no"), F.col("text").alias("line"))
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """Lines in order as one text file; a matrix has as many lines as sequences."""
-    lines.orderBy("line_no").select("line").coalesce(1).write.mode("overwrite").text(path)
+    """Lines (line_no, line) as text files in a folder: read by their names, they give the lines in order.
+
+    Tasks write ranges of lines side by side. A file appears when its task has succeeded, and none if the job fails.
+    """
+    lines.repartitionByRange("line_no").sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(path)
+
+
+def write_matrices(lines: DataFrame, path: str) -> None:
+    """Numbered lines of several matrices (replicate, line_no, line), one after the other, as ``write_lines``."""
+    lines.repartitionByRange("replicate", "line_no").sortWithinPartitions("replicate", "line_no").select("line").write.mode("overwrite").text(path)

@@ -463,3 +463,27 @@ def test_joined_contigs_and_names(spark):
     assert [tuple(r) for r in join_contigs(docs).orderBy("seq_id").collect()] == [(0, "a", "", 0, False), (1, "b", "AC!GG", 5, True)]
     codes = {(r["code"], r["i"]) for r in diagnostics.sequence_diagnostics(join_contigs(docs)).collect()}
     assert codes == {("empty", 0), ("short", 1), ("non_acgt", 1)}
+
+
+def test_matrix_files(spark, tmp_path, monkeypatch):
+    """Rows put together by tiles, written by many tasks, read again in the order of files; nothing is left of a failed job."""
+    monkeypatch.setattr(phylip, "TILE", 7)
+    n = 60
+    rows = [(r, i, j, ((i * 31 + j * 7 + r) % 97) / 100) for r in range(2) for i in range(n) for j in range(n) if i != j]
+    d = spark.createDataFrame(rows, "replicate int, i long, j long, distance double").repartition(5)
+    names = spark.createDataFrame([(k, f"name{k}") for k in range(n)], "seq_id long, name string")
+    lines = phylip.replicate_lines(d, names)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small as they are
+    try:
+        phylip.write_matrices(lines, f"{tmp_path}/out")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted(tmp_path.glob("out/part-*"))
+    got = "".join(f.read_text() for f in files)
+    cell = lambda r, i, j: 0.0 if i == j else ((i * 31 + j * 7 + r) % 97) / 100
+    want = "".join(f"{n}\n" + "".join(f"name{i}".ljust(10) + "".join(f" {cell(r, i, j):.4f}" for j in range(n)) + "\n" for i in range(n)) for r in range(2))
+    assert got == want and len(files) > 1
+    bad = lines.withColumn("line", F.when(F.col("line_no") == 30, F.raise_error(F.lit("no"))).otherwise(F.col("line")).cast("string"))
+    with pytest.raises(Exception):
+        phylip.write_matrices(bad, f"{tmp_path}/bad")
+    assert not list(tmp_path.glob("bad/part-*"))
