@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import models
+from ..functions.draws import multinomial
 from ..functions.numerics import c_div
 from ..functions.thresholds import P_VALUE, anchor_threshold
 from ..sources.shared import written
@@ -18,7 +19,6 @@ PAIRS = "subject_id long, query_id long, counts array<long>, seq_len long"
 WALKS = "subject_id long, query_id long, block int, counts array<long>, seq_len long, began string, ended string"
 #: Letters of a block of subjects, and of a block of queries, whose words a task holds in order; partitions that blocks are dealt to.
 BLOCK, QUERY_BLOCK, MOST_TASKS = 1 << 23, 1 << 25, 10_000
-WORD = (1 << 64) - 1
 _COMPLEMENT = np.full(256, ord(";"), np.uint8)
 _COMPLEMENT[list(b"ACGT")] = list(b"TGCA")
 
@@ -185,17 +185,8 @@ def bootstrap(pairs: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
         raise ValueError("replicates must be 1 or more")
     rows = symmetric(pairs)
     rows = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates - 1)))) if replicates > 1 else rows.withColumn("replicate", F.lit(1)).filter(F.lit(False))
-
-    def draw(frames):
-        for pdf in frames:
-            out = []
-            for r, i, j, c in zip(pdf["replicate"], pdf["i"], pdf["j"], pdf["counts"], strict=True):
-                c = np.asarray(c, np.int64)
-                rng = np.random.default_rng([seed, int(r), int(i) & WORD, int(j) & WORD])
-                out.append(rng.multinomial(c.sum(), c / c.sum()) if c.sum() else c)
-            yield pdf.assign(counts=out)[["replicate", "i", "j", "counts", "seq_len"]]
-
-    return rows.select("replicate", "i", "j", "counts", "seq_len").mapInPandas(draw, "replicate int, i long, j long, counts array<long>, seq_len long")
+    key = F.concat_ws("/", F.lit(str(seed)), "replicate", "i", "j")
+    return rows.select("replicate", "i", "j", multinomial(F.col("counts"), key).alias("counts"), "seq_len")
 
 
 def pair_counts_within(sequences: DataFrame, key: str, model: str = "jc", p_value: float = P_VALUE) -> DataFrame:

@@ -138,6 +138,20 @@ def _linked(fourths: bool) -> str:
     counted AS (SELECT l.sid AS subject_id, l.qid AS query_id, any_value(length(seq))::BIGINT AS seq_len, {sums} FROM links l JOIN given ON seq_id = l.qid LEFT JOIN runs e USING (sid, qid) LEFT JOIN gaps g USING (sid, qid) GROUP BY l.sid, l.qid)"""
 
 
+def _uniform(key: str) -> str:
+    return f"((('0x' || substring(md5({key}), 1, 13))::UBIGINT::DOUBLE + 0.5) / 4503599627370496.0)"
+
+
+#: The cells of draws, one cell a step: exact sums for small means, a rounded normal number for larger ones.
+DRAWN = f"""drawn AS (SELECT r::INTEGER AS replicate, i, j, seq_len, [{', '.join(NAMES)}] AS counts, 0 AS k, {TOTAL} AS n, {TOTAL} AS rest, []::BIGINT[] AS got FROM summed, range(1, 6) t(r)
+    UNION ALL SELECT replicate, i, j, seq_len, counts, k + 1, n - d, rest - c, list_append(got, d)
+    FROM (SELECT *, CASE WHEN n = 0 OR c = 0 THEN 0 WHEN c >= rest THEN n WHEN p > 0.5 THEN n - x ELSE x END::BIGINT AS d
+        FROM (SELECT *, CASE WHEN n * q <= 30.0 THEN least(n, list_reduce(list_transform(range(120), lambda t: {{'term': exp(n * ln(1 - q)), 'total': exp(n * ln(1 - q)), 'k': t}}),
+                lambda s, y: CASE WHEN u > s.total THEN {{'term': s.term * (n - y.k + 1) / y.k * (q / (1 - q)), 'total': s.total + s.term * (n - y.k + 1) / y.k * (q / (1 - q)), 'k': y.k}} ELSE s END).k)
+                ELSE greatest(0, least(n, floor(n * q + sqrt(n * q * (1 - q)) * z + (1 - 2 * q) * (z * z - 1) / 6 + 0.5))) END AS x
+            FROM (SELECT *, CASE WHEN c = 0 OR c >= rest THEN 0.5 ELSE least(p, 1 - p) END AS q, sqrt(-2 * ln(u)) * cos(2 * pi() * v) AS z
+                FROM (SELECT *, c::DOUBLE / CASE WHEN rest > 0 THEN rest ELSE 1 END AS p, {_uniform('key')} AS u, {_uniform("key || '/v'")} AS v
+                    FROM (SELECT *, counts[k + 1] AS c, concat_ws('/', '1', replicate, i, j, k) AS key FROM drawn WHERE k < 16))))))"""
 LINKED_SUM = f"linked AS (SELECT greatest(subject_id, query_id) AS seq_id, {', '.join(f'sum({n})::BIGINT AS {n}' for n in NAMES)} FROM counted WHERE least(subject_id, query_id) < 0 GROUP BY 1)"
 
 ORACLE = {
@@ -176,6 +190,7 @@ ORACLE = {
     "coverage_matrix_lines": f"""WITH {PAIRED}, c AS (SELECT subject_id AS i, query_id AS j, coverage FROM covered UNION ALL SELECT seq_id, seq_id, 1.0 FROM genomes)
         SELECT i AS line_no, string_agg(printf('%1.4e', coverage) || ' ', '' ORDER BY j) AS line FROM c GROUP BY i""",
     "bootstrap_totals": f"WITH {PAIRED} SELECT r::INTEGER AS replicate, i, j, seq_len, {TOTAL} AS total FROM summed, range(1, 4) t(r)",
+    "bootstrap_cells": f"WITH RECURSIVE {PAIRED}, {DRAWN} SELECT replicate, i, j, seq_len, {', '.join(f'got[{k + 1}] AS {n}' for k, n in enumerate(NAMES))} FROM drawn WHERE k = 16",
     "fasta_scan": f"WITH {SEQS}, f AS (SELECT seq_id, replace(seq, '!', '') AS seq FROM seqs) SELECT seq_id AS doc_id, CASE WHEN seq <> '' THEN md5(seq) END AS seq_md5, length(seq) AS len FROM f",
     "longest_matches": f"WITH {_matches()} SELECT sid AS subject_id, qid AS query_id, p AS place, n AS length, coalesce(x, -1)::BIGINT AS only_place FROM matches",
     "anchor_trace": f"WITH {_anchors()} SELECT sid AS subject_id, qid AS query_id, b AS query_place, s AS subject_place, n AS length, paired FROM anchors",

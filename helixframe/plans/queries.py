@@ -201,6 +201,12 @@ def bootstrap_totals(spark, sf_dir):
     return drawn.select("replicate", "i", "j", "seq_len", models.total(F.col("counts")).alias("total"))
 
 
+@query
+def bootstrap_cells(spark, sf_dir):
+    drawn = pairs.bootstrap(_aligned(spark, sf_dir), 6, seed=1)
+    return cells(drawn, "replicate", "i", "j", "seq_len")
+
+
 @query
 def fasta_scan(spark, sf_dir):
     """Documents through FASTA files and back; the format holds no separators, and nothing for a text without letters."""

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import models
+from helixframe.functions.draws import multinomial
 from helixframe.functions.numerics import c_div, c_ln
 from helixframe.functions.sequence import both_strands, gc_content, genome_name, has_other_letters, name_cell, normalize
 from helixframe.functions.thresholds import match_probability, thresholds
@@ -487,3 +488,19 @@ def test_matrix_files(spark, tmp_path, monkeypatch):
     with pytest.raises(Exception):
         phylip.write_matrices(bad, f"{tmp_path}/bad")
     assert not list(tmp_path.glob("bad/part-*"))
+
+
+def test_draws(spark):
+    """Cells of a multinomial over many keys: totals, means, variances and covariances, for large and for small counts."""
+    for counts in ([400, 0, 3, 1, 0, 90_000, 2, 0, 7, 0, 50_000, 1, 0, 0, 0, 120_000], [3, 0, 1, 0, 0, 2, 0, 0, 0, 0, 9, 0, 0, 0, 0, 1], [0] * 16, [0, 0, 0, 5] + [0] * 12):
+        column = F.array(*(F.lit(c).cast("long") for c in counts))
+        rows = spark.range(4000).select(multinomial(column, F.concat(F.lit("seed/"), F.col("id").cast("string"))).alias("c")).collect()
+        got, total = np.array([r["c"] for r in rows], float), sum(counts)
+        assert (got.sum(axis=1) == total).all() and (got >= 0).all()
+        p = np.array(counts) / max(total, 1)
+        assert (got[:, p == 0] == 0).all()
+        sd = np.sqrt(np.maximum(total * p * (1 - p), 1e-12))
+        assert (np.abs(got.mean(axis=0) - total * p) < 5 * sd / np.sqrt(4000) + 1e-9).all()
+        assert np.allclose(got.var(axis=0), sd**2, rtol=0.15, atol=0.05)
+        if total > 1000:
+            assert np.corrcoef(got[:, 5], got[:, 15])[0, 1] == pytest.approx(-np.sqrt(p[5] * p[15] / ((1 - p[5]) * (1 - p[15]))), abs=0.06)
