@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.models import distance, model_name
 from ..functions.thresholds import P_VALUE
 from ..operators import diagnostics, pairs, phylip
+from ..sources.fasta import read_fasta
 from ..sources.shared import written
 
 
@@ -129,3 +130,38 @@ def replicate_matrices(result: Result, sequences: DataFrame, truncate_names: boo
     """The matrices of all replicates as numbered lines; that of the data itself is replicate 0."""
     every = result.distances.select(F.lit(0).alias("replicate"), "i", "j", "distance").unionByName(result.replicates)
     return phylip.replicate_lines(every, sequences, truncate_names)
+
+
+@dataclass(frozen=True)
+class Report:
+    """lines: (part, line_no, line), in that order the whole text; status: 1 if any diagnostic is an error, else 0."""
+
+    lines: DataFrame
+    diagnostics: DataFrame
+    status: int
+    result: Result
+
+
+def compare_files(spark: SparkSession, files: Sequence[str] = (), file_of_filenames: Sequence[str] = (), join: bool = False, verbose: int = 0, **given) -> Report:
+    """Compare the sequences of FASTA files, or with ``join`` the files, by options as users give them (see ``lenient_options``).
+
+    The text is the matrix; with ``verbose`` 1 or more the coverages follow it after an empty line and a heading, and with 2
+    the matrix has each direction's own distances; then come the matrices of replicates. Bad values and files that can't be
+    read are diagnostics. Raises ValueError where nothing can be compared.
+    """
+    if verbose >= 2:
+        given = {**given, "symmetric": False}
+    options, messages = lenient_options(**given)
+    sequences, errors = read_fasta(spark, files, file_of_filenames, join)
+    sequences = written(sequences, "sequences")
+    result = run(sequences, options, errors, messages)
+    text = replicate_matrices(result, sequences, options.truncate_names)
+    parts = [text.select(F.when(F.col("replicate") == 0, 0).otherwise(F.col("replicate") + 1).cast("long").alias("part"), "line_no", "line")]
+    if verbose >= 1:
+        cover = phylip.coverage_lines(result.coverages, sequences).select(F.lit(1).cast("long").alias("part"), "line_no", "line")
+        parts += [spark.createDataFrame([(1, -2, ""), (1, -1, "Coverage:")], "part long, line_no long, line string"), cover]
+    lines = parts[0]
+    for more in parts[1:]:
+        lines = lines.unionByName(more)
+    found = written(result.diagnostics, "diagnostics")
+    return Report(lines, found, diagnostics.exit_status(found), result)

@@ -5,35 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 WIDTH = 60
 
 
 def maf_alignment(spark: SparkSession, path: str, taxa: int) -> DataFrame:
-    """(row, name, seq): the aligned rows of all blocks whose head names ``mult=`` this many taxa, joined by name.
+    """(row, name, place, letters): the aligned rows of all blocks whose head names ``mult=`` this many taxa, by name.
 
-    Blocks end at blank lines and are read apart from each other; names are numbered as they first occur. An alignment
-    whose rows differ in length raises ValueError.
+    place: where a block's letters stand in the joined row, which is never one value. A block begins at a line that begins
+    with a and ends at a blank line; line ends may be CRLF. Names are numbered as they first occur. Rows that differ in
+    length raise ValueError.
     """
-    blocks = spark.read.option("lineSep", "\n\n").text(path).select(F.monotonically_increasing_id().alias("block"), F.split("value", "\r?\n").alias("lines"))
-    heads = F.filter("lines", lambda x: x.startswith("a") & x.contains(f"mult={taxa}"))
-    parts = blocks.filter(F.size(heads) > 0).select("block", F.posexplode("lines").alias("line", "text")).filter(F.col("text").startswith("s"))
+    text = spark.read.option("lineSep", "\na").text(path)
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    blocks = text.select(at.alias("block"), F.split(F.split(F.replace("value", F.lit("\r")), "\n[ \t]*(\n|\\z)")[0], "\n").alias("lines"))
+    parts = blocks.filter(F.col("lines")[0].contains(f"mult={taxa}")).select("block", F.posexplode("lines").alias("line", "text")).filter(F.col("text").startswith("s") & (F.col("line") > 0))
     fields = F.split(F.trim("text"), "\\s+")
-    parts = parts.select(F.struct("block", "line").alias("at"), fields[1].alias("name"), fields[6].alias("letters"))
-    joined = parts.groupBy("name").agg(F.min("at").alias("first"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "letters"))), lambda x: x["letters"]), "").alias("seq"))
-    sizes = joined.agg(F.min(F.length("seq")), F.max(F.length("seq"))).first()
+    parts = written(parts.select(F.struct("block", "line").alias("at"), fields[1].alias("name"), fields[6].alias("letters")), "blocks")
+    names = parts.groupBy("name").agg(F.min("at").alias("first"), F.sum(F.length("letters")).alias("n"))
+    sizes = names.agg(F.min("n"), F.max("n")).first()
     if sizes[0] != sizes[1]:
         raise ValueError(f"aligned sequences of {sizes[0]} to {sizes[1]} letters")
     # one row for each taxon
-    return joined.select((F.row_number().over(Window.orderBy("first")) - 1).alias("row"), "name", "seq")
+    rows = names.select(F.col("name").alias("of"), (F.row_number().over(Window.orderBy("first")) - 1).alias("row"))
+    before = F.sum(F.length("letters")).over(Window.partitionBy("name").orderBy("at")) - F.length("letters")
+    return parts.select("name", before.alias("place"), "letters").join(rows, F.col("name") == F.col("of")).select("row", "name", "place", "letters")
 
 
 def interleaved_lines(alignment: DataFrame) -> DataFrame:
     """(line_no, line): number and length of the sequences, then their letters, 60 in a line, each round by an empty line."""
-    rows = alignment.agg(F.count("*").alias("taxa"), F.max(F.length("seq")).alias("letters"))
-    head = rows.select(F.lit(0).cast("long").alias("line_no"), F.concat_ws(" ", "taxa", F.coalesce("letters", F.lit(0))).alias("line"))
-    taxa = alignment.count()
-    cut = alignment.select("row", "name", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.length("seq") - 1) / WIDTH), F.lit(0)).cast("int")), lambda k: F.expr("seq").substr(k * WIDTH + 1, F.lit(WIDTH)))).alias("round", "piece"))
-    at = F.col("round").cast("long") * (taxa + 1) + F.col("row") + 1
-    lines = cut.select(at.alias("line_no"), F.when(F.col("round") == 0, F.concat(F.rpad(F.substring("name", 1, 10), 10, " "), F.lit(" "), "piece")).otherwise(F.col("piece")).alias("line"))
-    ends = cut.filter("row = 0").select(((F.col("round").cast("long") + 1) * (taxa + 1)).alias("line_no"), F.lit("").alias("line"))
+    taxa, letters = alignment.agg(F.count_distinct("row"), F.coalesce(F.max(F.col("place") + F.length("letters")), F.lit(0))).first()
+    head = alignment.sparkSession.createDataFrame([(0, f"{taxa} {letters}")], "line_no long, line string")
+    last = F.greatest(F.col("place") + F.length("letters") - 1, F.col("place"))
+    cut = alignment.select("*", F.explode(F.sequence(F.floor(F.col("place") / WIDTH), F.floor(last / WIDTH))).alias("round"))
+    low = F.greatest(F.col("round") * WIDTH, F.col("place"))
+    high = F.least((F.col("round") + 1) * WIDTH, F.col("place") + F.length("letters"))
+    cut = cut.select("row", "name", "round", low.alias("low"), F.substring("letters", (low - F.col("place") + 1).cast("int"), (high - low).cast("int")).alias("piece"))
+    # rounds of at most WIDTH letters
+    cut = cut.groupBy("row", "name", "round").agg(F.expr("listagg(piece, '') within group (order by low)").alias("piece"))
+    at = F.col("round") * (taxa + 1) + F.col("row") + 1
+    lines = cut.filter("piece <> '' or round = 0").select(at.alias("line_no"), F.when(F.col("round") == 0, F.concat(F.rpad(F.substring("name", 1, 10), 10, " "), F.lit(" "), "piece")).otherwise(F.col("piece")).alias("line"))
+    ends = cut.filter("row = 0 and (piece <> '' or round = 0)").select(((F.col("round") + 1) * (taxa + 1)).alias("line_no"), F.lit("").alias("line"))
     return head.unionByName(lines).unionByName(ends)

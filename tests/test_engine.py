@@ -13,7 +13,7 @@ from helixframe.functions.thresholds import match_probability, thresholds
 from helixframe.operators import aligned, diagnostics, pairs, phylip, traces
 from helixframe.operators.anchors import Query, State, Subject, walk, walk_block
 from helixframe.operators.sequences import from_table, genome_contigs, genome_pieces, join_contigs
-from helixframe.plans.engine import Options, lenient_options, matrix, replicate_matrices, run
+from helixframe.plans.engine import Options, compare_files, lenient_options, matrix, replicate_matrices, run
 from helixframe.sources import maf
 from helixframe.sources.fasta import fasta_records, parse_fasta, read_fasta
 
@@ -435,6 +435,18 @@ def test_options_and_one_table_of_errors(spark, tmp_path):
     assert {(r["line_no"], r["line"]) for r in matrix(got, seqs).collect()} == {(n, x) for (k, n), x in lines.items() if k == 0}
 
 
+def test_comparing_files(spark, tmp_path):
+    """Files and options as a user has them, to lines of text, diagnostics and an exit status."""
+    (tmp_path / "a.fa").write_text(f">a x\n{S}\n")
+    (tmp_path / "b.fa").write_text(f">b\n{Q[:50]}\n>c\n{Q[50:]}\n")
+    got = compare_files(spark, [f"{tmp_path}/a.fa", f"{tmp_path}/b.fa", f"{tmp_path}/none.fa"], join=True, verbose=1, bootstrap="2", model="JC", truncate_names="maybe")
+    lines = [r["line"] for r in got.lines.orderBy("part", "line_no").collect()]
+    assert lines[0] == "2" and lines[1].startswith("a          0.0000 0.0") and lines[3:5] == ["", "Coverage:"] and len(lines) == 10 and lines[7] == "2"
+    assert {r["code"] for r in got.diagnostics.collect()} == {"short", "option", "fasta"} and got.status == 1
+    both = compare_files(spark, [f"{tmp_path}/a.fa", f"{tmp_path}/b.fa"], join=True, verbose=2, model="ani")
+    assert got.result.distances.count() == 2 and len(both.lines.collect()) == 7 and both.result.coverages.count() == 2
+
+
 def test_options_of_any_type():
     assert lenient_options(symmetric="false", truncate_names="no", subject_blocks="3", seed="7", p_value="0.05") == (Options(symmetric=False, truncate_names=False, subject_blocks=3, seed=7, p_value=0.05), [])
     options, messages = lenient_options(symmetric="maybe", subject_blocks="x", query_blocks=0, bootstrap=2.5, seed=True, p_value="nan", nosuch=1)
@@ -445,8 +457,10 @@ def test_options_of_any_type():
 def test_maf(spark, tmp_path):
     long = "ACGTACGTAC" * 6 + "GG"
     (tmp_path / "x.maf").write_text(f"##maf\na score=1 mult=2\ns one 0 4 + 4 AC-T\ns a_rather_long_name 0 4 + 4 ACGT\n\na mult=3\ns one 0 1 + 1 A\ns three 0 1 + 1 A\n\na mult=2\ns a_rather_long_name 0 4 + 4 {long}\ns one 1 2 + 4 {long}\n")
+    (tmp_path / "y.maf").write_bytes((tmp_path / "x.maf").read_bytes().replace(b"\n", b"\r\n"))
+    other = [r["line"] for r in maf.interleaved_lines(maf.maf_alignment(spark, str(tmp_path / "y.maf"), 2)).orderBy("line_no").collect()]
     lines = [r["line"] for r in maf.interleaved_lines(maf.maf_alignment(spark, str(tmp_path / "x.maf"), 2)).orderBy("line_no").collect()]
-    assert lines == ["2 66", "one        " + ("AC-T" + long)[:60], "a_rather_l " + ("ACGT" + long)[:60], "", long[-6:], long[-6:], ""]
+    assert lines == other == ["2 66", "one        " + ("AC-T" + long)[:60], "a_rather_l " + ("ACGT" + long)[:60], "", long[-6:], long[-6:], ""]
 
 
 def test_matrix_text(spark):
