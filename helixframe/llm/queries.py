@@ -149,6 +149,23 @@ ORACLE = {
                CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
         FROM d JOIN f USING (h)""",
+    # equal words of a text at each distance, in stretches; a stretch's least distance is its period
+    "op11_periodic_runs": r"""
+        WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+            xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT),
+                lambda h, b: list_reduce(range(8), lambda x, k: xor(x >> 1, (x & 1) * 3988292384), xor(h, b)), 4294967295::BIGINT)) AS h FROM documents),
+        sized AS (SELECT *, len(w) AS n, h // 10 AS g, coalesce(h % 10 = 0, false) AND len(w) > 0 AS planted FROM texts),
+        parted AS (SELECT *, CASE WHEN planted THEN g % n END AS a, CASE WHEN planted THEN 1 + (n - g % n) // (3 + g % 8) END AS q FROM sized),
+        words AS MATERIALIZED (SELECT doc_id, n, i, w[1 + CASE WHEN i >= a THEN a + (i - a) % q ELSE i END] AS x FROM (SELECT *, unnest(range(n)) AS i FROM parted)),
+        alike AS (SELECT doc_id, u.i, v.i - u.i AS p FROM words u JOIN words v USING (doc_id, x) WHERE v.i > u.i AND 4 * (v.i - u.i) <= u.n),
+        islands AS (SELECT doc_id, p, min(i) AS s, count(*) + p AS size FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS k FROM alike) GROUP BY doc_id, p, k),
+        runs AS MATERIALIZED (SELECT doc_id, s, size, min(p) AS p FROM islands WHERE size >= greatest(6, 4 * p) GROUP BY doc_id, s, size),
+        sums AS (SELECT doc_id, count(*) AS n_runs, max({'size': size, 's': -s, 'p': -p}) AS best, string_agg(s || ',' || size || ',' || p || chr(10), '' ORDER BY s, p) AS listed FROM runs GROUP BY doc_id),
+        dropped AS (SELECT DISTINCT doc_id, unnest(range(s + p, s + size)) AS i FROM runs),
+        kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS collapsed FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, (-best.s)::BIGINT AS start, best.size::BIGINT AS length, (-best.p)::BIGINT AS period, (1000 * best.size // -best.p)::BIGINT AS exponent_milli,
+            sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+        FROM documents LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     # crc32 bit by bit; a conversation's rows one after the other, the least (cost, audit) of each state of the pattern kept
     "op12_conversation_repair": r"""
         WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,

@@ -215,17 +215,18 @@ def test_conversation_query(spark):
 
 
 @needs_tables
-@pytest.mark.skipif("op12_conversation_repair" not in ORACLE, reason="no SQL")
-def test_conversation_sql(spark):
+@pytest.mark.parametrize("name", ["op11_periodic_runs", "op12_conversation_repair"])
+def test_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{DATA}/conversations.parquet'")
-    want = con.execute(ORACLE["op12_conversation_repair"]).df()
-    got = queries()["op12_conversation_repair"](spark, DATA).toPandas()
-    columns = sorted(got.columns)
-    assert sorted(want.columns) == columns and len(got) > 10
-    assert sorted(map(str, got[columns].values.tolist())) == sorted(map(str, want[columns].values.tolist()))
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    found = con.execute(ORACLE[name])
+    columns, want = [d[0] for d in found.description], found.fetchall()
+    got = queries()[name](spark, DATA).select(columns)
+    assert len(got.columns) == len(columns) == {"op11_periodic_runs": 8, "op12_conversation_repair": 9}[name] and len(want) > 10
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
 def test_odd_conversations(spark):
