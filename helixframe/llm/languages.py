@@ -92,7 +92,7 @@ def _features(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, hashes: np
     spaced[1:-1][inner] = padded[at[inner]]
     pairs = spaced[:-2] << _U(8) | spaced[1:-1]
     triples = np.where(inner, _bucket(pairs << _U(8) | spaced[2:], 31), 0)
-    return np.stack(fixed, axis=1), np.stack((_bucket(pairs, 30), triples), axis=1).ravel(), 2 * first
+    return np.stack(fixed, axis=1, dtype=np.int32, casting="unsafe"), np.stack((_bucket(pairs, 30), triples), axis=1, dtype=np.int32, casting="unsafe").ravel(), 2 * first
 
 
 def _emissions(weights: np.ndarray, fixed: np.ndarray, grams: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -186,7 +186,9 @@ def fit_chain(texts: list[str], labels: np.ndarray, languages: tuple[str, ...],
     present = np.array([x for x, t in enumerate(by_label) if len(t)], np.int64)
     if not len(present):
         return model
-    fixed, grams, at = _features(data, begins, ends, hashes, lexicon, known)
+    # features of each distinct word once
+    _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+    fixed, grams, at = _features(data, begins[one], ends[one], hashes[one], lexicon, known)
     many = np.diff(np.append(at, len(grams)))
     squares = np.full((BUCKETS, 1), 1e-2, np.float32)
     for step in range(steps):
@@ -202,7 +204,7 @@ def fit_chain(texts: list[str], labels: np.ndarray, languages: tuple[str, ...],
                 words[chain, done : done + span] = np.arange(begin, begin + span)
                 want[chain, done : done + span] = label
                 done += span
-        flat = words.ravel()
+        flat = which[words.ravel()]
         inner = np.repeat(at[flat] - (np.cumsum(many[flat]) - many[flat]), many[flat]) + np.arange(many[flat].sum())
         emitted = _emissions(weights, fixed[flat], grams[inner], np.cumsum(many[flat]) - many[flat])
         slope, moved, began = _gradient(emitted.reshape(BATCH, CHAIN, k), want, transitions, first)
