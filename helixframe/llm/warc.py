@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import drop_materialized, materialize
 
-#: Uncompressed bytes of a shard, compressed bytes at which a file is closed, tasks that read files.
+#: Uncompressed bytes of a shard, compressed bytes at which a file is closed, tasks that write shards or read files.
 SHARD_BYTES, ROLL_BYTES, MOST_TASKS = 32 << 20, 16 << 20, 100_000
+#: A payload of more pages than this, and than a thousandth of all, is a common one; there are fewer than 1000 of them.
+COMMON_PAGES = 10_000
 #: Payloads below this many bytes are always stored.
 LEAST_REVISIT = 100
 LEVEL, DATE = 4, "2024-01-01T00:00:00Z"
@@ -159,6 +161,21 @@ def _shard_bounds(light: DataFrame, shard_bytes: int) -> np.ndarray:
     return np.array([r["first"] for r in found], np.int64)
 
 
+def _revisits(light: DataFrame, least_revisit: int) -> DataFrame:
+    """(page_id, digest, refers_to) of the pages whose payload a smaller page has.
+
+    Pages of common payloads meet their first page without a shuffle, as there are few such payloads, so that no task
+    gets all pages of one.
+    """
+    large = light.filter((F.col("bytes") >= least_revisit) & F.col("page_id").isNotNull()).select("page_id", "digest")
+    groups = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last"), F.count("*").alias("pages"))
+    groups = materialize(groups.filter("last > refers_to").drop("last"), "firsts")
+    common = F.col("pages") > max(COMMON_PAGES, (groups.agg(F.sum("pages")).first()[0] or 0) // 1000)
+    few = F.broadcast(groups.filter(common).drop("pages"))
+    others = large.join(few.select("digest"), "digest", "left_anti").join(groups.filter(~common).drop("pages"), "digest")
+    return large.join(few, "digest").unionByName(others).filter("page_id > refers_to").distinct()
+
+
 def write_warc(pages: DataFrame, out: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, least_revisit: int = LEAST_REVISIT) -> DataFrame:
     """Write ``pages`` (page_id long, url, html) to the folder ``out`` and return the manifest, also kept in ``out``.
 
@@ -169,7 +186,8 @@ def write_warc(pages: DataFrame, out: str, shard_bytes: int = SHARD_BYTES, roll_
     """
     spark = pages.sparkSession
     html = F.coalesce("html", F.lit(""))
-    light = pages.select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(html).cast("long").alias("bytes"), F.sha2(html, 256).alias("digest"))
+    page = F.col("page_id").cast("long").alias("page_id")
+    light = materialize(pages.select(page, F.octet_length(html).cast("long").alias("bytes"), F.sha2(html, 256).alias("digest")), "digests")
     bounds = _shard_bounds(light, shard_bytes)
     nameless = light.filter("page_id is null").agg(F.sum("bytes")).first()[0] or 0
     shards, spare = max(len(bounds), 1), 1 + nameless // max(shard_bytes, 1)
@@ -178,13 +196,16 @@ def write_warc(pages: DataFrame, out: str, shard_bytes: int = SHARD_BYTES, roll_
     def shard_of(page: pd.Series) -> pd.Series:
         return pd.Series(np.maximum(np.searchsorted(bounds, page.fillna(-1).to_numpy(np.int64), side="right") - 1, 0).astype(np.int32))
 
-    firsts = light.filter((F.col("bytes") >= least_revisit) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).filter("last > refers_to").drop("last")
-    revisits = light.join(firsts, "digest").filter("page_id > refers_to").distinct().select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
-    records = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha2(html, 256).alias("digest"), F.lit(None).cast("long").alias("refers_to"))
+    none = F.lit(None).cast("string")
+    revisits = _revisits(light, least_revisit).select("page_id", none.alias("url"), none.alias("html"), "digest", "refers_to")
+    records = pages.select(page, "url", "html", F.sha2(html, 256).alias("digest"), F.lit(None).cast("long").alias("refers_to"))
     # pages without id have shards of their own, after the others
     shard = F.when(F.col("page_id").isNull(), shards + F.pmod(F.xxhash64("digest", "url"), F.lit(spare)).cast("int")).otherwise(shard_of(F.coalesce("page_id", F.lit(0))))
     # a page's revisit markers (those with refers_to) come just before it
-    rows = records.unionByName(revisits).withColumn("shard", shard).repartitionById(shards + spare, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), F.col("refers_to").asc_nulls_last(), "digest", "url")
+    # beyond so many tasks, a task writes several neighbouring shards
+    tasks = min(shards + spare, MOST_TASKS)
+    task = (F.col("shard").cast("long") * tasks / (shards + spare)).cast("int")
+    rows = records.unionByName(revisits).withColumn("shard", shard).repartitionById(tasks, task).sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), F.col("refers_to").asc_nulls_last(), "digest", "url")
     files, root = _filesystem(out)
     files.create_dir(f"{root}/_temporary", recursive=True)
     rows.mapInArrow(_written(out, roll_bytes), MANIFEST).write.parquet(f"{out}/_written")
