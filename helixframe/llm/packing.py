@@ -1,7 +1,7 @@
 """Packing token sequences: best-two-fit, and best-fit-decreasing into id matrices.
 
-Best-two-fit deals light rows of lengths out over the whole corpus and packs them in large blocks. For matrices a task packs
-the documents of its own input split in blocks and holds a block's ids, so nothing is shuffled there.
+Both deal their pieces out evenly over the whole corpus and pack them in large blocks, so that file layout does not matter.
+Best-two-fit deals light rows of lengths; matrices hold the ids themselves, so there the ids are dealt, two bytes each.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import drop_materialized, materialize
 from .tokens import default_vocabulary, token_ids
@@ -21,8 +22,8 @@ from .tokens import default_vocabulary, token_ids
 CAPACITY, END_ID = 1024, 2
 #: Pieces that best-two-fit chooses from at once, and tokens of a block of matrices.
 BLOCK_PIECES, BLOCK_TOKENS = 1_000_000, 1 << 22
-#: Pieces of the whole corpus that are dealt to one task of best-two-fit.
-MIXED_PIECES = 1 << 16
+#: Pieces of the whole corpus that are dealt to one task of best-two-fit, and text bytes to one task of matrices.
+MIXED_PIECES, MIXED_BYTES = 1 << 16, 24 << 20
 #: Sequences in a stored matrix.
 MATRIX_ROWS = 64
 
@@ -198,14 +199,30 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
     deal = lambda rows: rows.repartition(max(1, -(-rows.count() // mix)))
     once = materialize(deal(light).mapInArrow(_packed(capacity, block, 0), PLACED), "packed")
     drop_materialized(light)
-    again = deal(once.filter("not filled").select(light.columns)).mapInArrow(_packed(capacity, block, 1 << 61), PLACED)
+    # written too: a task that ran anew could get its rows in another order, and pack them otherwise
+    again = materialize(deal(once.filter("not filled").select(light.columns)).mapInArrow(_packed(capacity, block, 1 << 61), PLACED), "again")
     return once.filter("filled").unionByName(again).drop("filled")
 
 
 MATRICES = "matrix_id long, n_rows int, width int, ids binary, cu_seqlens array<array<int>>, position_resets array<int>, doc_ids array<array<long>>, pieces array<array<int>>"
 
 
-def _matrices(path: str, capacity: int, end_id: int, pad_id: int, block_tokens: int):
+def _id_pieces(path: str, capacity: int, end_id: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+            for doc_id, ids in _documents(iter([batch]), path, end_id):
+                if ids.max() > 0xFFFF:
+                    raise ValueError(f"token id {ids.max()} doesn't fit 16 bits")
+                held += [(doc_id, k, ids[s : s + n].astype("<u2").tobytes()) for k, (s, n) in enumerate(pieces(len(ids), capacity))]
+            for lo in range(0, len(held), 10_000):
+                doc_ids, numbers, ids = zip(*held[lo : lo + 10_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "piece", "ids"])
+
+    return run
+
+
+def _matrices(capacity: int, pad_id: int, block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, total = TaskContext.get().partitionId() << 33, [], 0
 
@@ -236,23 +253,25 @@ def _matrices(path: str, capacity: int, end_id: int, pad_id: int, block_tokens:
                 at += 1
             held.clear()
 
-        for doc_id, ids in _documents(batches, path, end_id):
-            if ids.max() > 0xFFFF:
-                raise ValueError(f"token id {ids.max()} doesn't fit 16 bits")
-            held += [(doc_id, k, ids[s : s + n].astype("<u2")) for k, (s, n) in enumerate(pieces(len(ids), capacity))]
-            total += len(ids)
-            if total >= block_tokens:
-                yield from flush()
-                total = 0
+        for batch in batches:
+            for doc_id, k, ids in zip(batch.column("doc_id").to_pylist(), batch.column("piece").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                held.append((doc_id, k, np.frombuffer(ids, "<u2")))
+                total += len(held[-1][2])
+                if total >= block_tokens:
+                    yield from flush()
+                    total = 0
         if held:
             yield from flush()
 
     return run
 
 
-def packed_matrices(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = 50256, pad_id: int = 50256, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def packed_matrices(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = 50256, pad_id: int = 50256, block_tokens: int = BLOCK_TOKENS, mix: int = MIXED_BYTES) -> DataFrame:
     """Best-fit-decreasing of all rows of ``docs`` into matrices of token ids (uint16, little-endian, row by row).
 
+    Pieces of all documents are dealt out evenly, about ``mix`` bytes of text to a task, which packs them in blocks of
+    ``block_tokens``: the number of sequences does not depend on how the rows were stored. Write the result before it is
+    read twice, as pieces can be dealt otherwise the next time.
     A row is a matrix of up to 64 sequences: its ids, for each sequence the cumulative segment lengths, and the places
     in the flattened matrix where position ids start again from 0 (padding has positions of its own). doc_ids and pieces
     name the segments. A document of more than ``capacity`` ids is cut into pieces, none of which loses an id.
@@ -261,8 +280,10 @@ def packed_matrices(docs: DataFrame, vocabulary: str | None = None, capacity: in
     """
     if not 0 <= pad_id <= 0xFFFF:
         raise ValueError(f"token id {pad_id} doesn't fit 16 bits")
-    run = _matrices(vocabulary or default_vocabulary(), capacity, end_id, pad_id, block_tokens)
-    return docs.select("doc_id", "text").mapInArrow(run, MATRICES)
+    docs = docs.select("doc_id", "text")
+    tasks = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // mix))
+    dealt = docs.mapInArrow(_id_pieces(vocabulary or default_vocabulary(), capacity, end_id), "doc_id long, piece int, ids binary").repartition(tasks)
+    return dealt.mapInArrow(_matrices(capacity, pad_id, block_tokens), MATRICES)
 
 
 def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
