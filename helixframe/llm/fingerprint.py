@@ -25,6 +25,8 @@ LEVELS = 1024
 BITS, PER_FILTER, HASHES = 2048, 160, 5
 #: Bytes handled at a time; features that begin there may read on.
 SPAN = 1 << 19
+#: Rows and bytes of text of a part of neighbouring documents, and the most parts that ids are cut into.
+PART_ROWS, PART_BYTES, MOST_PARTS = 2000, 16 << 20, 20_000
 
 _counts = np.arange(WINDOW + 1)
 #: c * log2(c) in whole units, for exact sums.
@@ -205,20 +207,27 @@ def _compared(rank: np.ndarray):
     return run
 
 
-def compare_with_next(docs: DataFrame, rank: np.ndarray, rows_per_part: int = 2000) -> DataFrame:
+def compare_with_next(docs: DataFrame, rank: np.ndarray, rows_per_part: int = PART_ROWS, bytes_per_part: int = PART_BYTES) -> DataFrame:
     """Each document against its edited text and the next document, by descending doc_id; after the last comes the first.
 
-    Rows that share a doc_id follow each other by text; null ids come last. One document alone is its own next; an
-    empty table gives none. Texts are shuffled once: parts are ranges of doc_id, and a part's last row finds its next in
-    a copy of the following part's first row.
+    Rows that share a doc_id follow each other by text; rows without id come last, by a hash of their text, and equal
+    texts follow each other. One document alone is its own next; an empty table gives none. Texts are shuffled once: parts
+    are ranges of doc_id of like bytes, or of hashes for rows without id, and a part's last row finds its next in a copy
+    of the following part's first row. Tasks read their parts as a stream, so a part may exceed memory.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = docs.select("doc_id")
-    n = ids.count()
-    if not n:
+    named, size = F.col("doc_id").isNotNull(), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    sizes = {r["named"]: r for r in docs.groupBy(named.alias("named")).agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).collect()}
+    if not sizes:
         return docs.sparkSession.createDataFrame([], EDITED)
-    parts = max(1, -(-n // rows_per_part))
-    cuts = sorted(set(ids.filter("doc_id is not null").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
+    wanted = lambda r: min(MOST_PARTS, max(-(-r["n"] // rows_per_part), -(-r["bytes"] // bytes_per_part)))
+    parts, spare = (wanted(sizes[k]) if k in sizes else 0 for k in (True, False))
+    cuts = []
+    if parts > 1:
+        # an id stands once, and once more for each such stretch of its text: some more rows than there are ids
+        stretch = max(1, sizes[True]["bytes"] // (4 * parts))
+        weighed = docs.filter(named).select(F.explode(F.array_repeat("doc_id", (1 + F.floor(size / stretch)).cast("int"))).alias("doc_id"))
+        cuts = sorted(set(weighed.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts)))
     # part 0 has the largest ids; ids above the last cut, then between cuts, ...; one number for each part
     bounds = np.array(cuts, np.int64)
 
@@ -226,24 +235,32 @@ def compare_with_next(docs: DataFrame, rank: np.ndarray, rows_per_part: int = 20
     def part_of(doc_id: pd.Series) -> pd.Series:
         return pd.Series((len(bounds) - np.searchsorted(bounds, doc_id.to_numpy(np.int64))).astype(np.int32))
 
-    at = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(part_of(F.coalesce("doc_id", F.lit(0))))
-    placed = docs.withColumn("at", at)
-    heads = [(r["at"], r["head"]) for r in placed.groupBy("at").agg(F.max("doc_id").alias("head")).orderBy("at").collect()]  # one for each part
-    # a part's first document is also a guest of the part before it
-    known = [(heads[k][1], heads[k - 1][0]) for k in range(len(heads)) if heads[k][1] is not None]
-    firsts, hosts = np.array(sorted(known), np.int64).reshape(-1, 2).T
-
-    @F.pandas_udf("int")
-    def host_of(doc_id: pd.Series) -> pd.Series:
-        x = doc_id.to_numpy(np.int64)
-        k = np.minimum(np.searchsorted(firsts, x), max(len(firsts) - 1, 0))
-        return pd.Series(np.where(firsts[k] == x, hosts[k], -1).astype(np.int32) if len(firsts) else np.full(len(x), -1, np.int32))
-
-    guests = docs.filter("doc_id is not null").withColumn("at", host_of("doc_id")).filter("at >= 0").withColumn("guest", F.lit(True))
-    if heads[-1][1] is None:  # the part of null ids
-        nulls = placed.filter("doc_id is null").withColumn("at", F.lit(heads[max(len(heads) - 2, 0)][0])).withColumn("guest", F.lit(True))
-        guests = guests.unionByName(nulls)
-    both = placed.withColumn("guest", F.lit(False)).unionByName(guests)
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
-    dealt = both.repartitionById(len(cuts) + 2, "at").sortWithinPartitions("at", "guest", *order)
+    # rows without id: ranges of hashes, all alike, so nothing has to be counted
+    hashed = F.when(~named, F.xxhash64("text"))
+    slot = F.least(F.floor((hashed / F.lit(2.0**64) + 0.5) * spare), F.lit(max(spare - 1, 0)))
+    at = F.when(named, part_of(F.coalesce("doc_id", F.lit(0)))).otherwise((slot + len(cuts) + 1).cast("int"))
+    placed = docs.withColumn("h", hashed).withColumn("at", at)
+    heads = placed.groupBy("at").agg(F.max("doc_id").alias("id"), F.min("h").alias("h")).orderBy("at").collect()  # one for each part
+    # a part's first document is also a guest of the part before it; the key is its id, or its hash
+
+    def guests(rows: DataFrame, key: str, known: list[tuple[int, int]]) -> DataFrame:
+        firsts, hosts = np.array(sorted(known), np.int64).reshape(-1, 2).T
+
+        @F.pandas_udf("int")
+        def host_of(value: pd.Series) -> pd.Series:
+            x = value.to_numpy(np.int64)
+            k = np.minimum(np.searchsorted(firsts, x), len(firsts) - 1)
+            return pd.Series(np.where(firsts[k] == x, hosts[k], -1).astype(np.int32))
+
+        return rows.withColumn("at", host_of(key)).filter("at >= 0")
+
+    before = [(r, heads[k - 1]["at"]) for k, r in enumerate(heads)]
+    every = guests(placed.filter(named), "doc_id", [(r["id"], host) for r, host in before if r["id"] is not None]) if parts else None
+    if spare:
+        # of equal texts one is enough
+        others = guests(placed.filter(~named), "h", [(r["h"], host) for r, host in before if r["id"] is None]).dropDuplicates(["h", "text"])
+        every = others if every is None else every.unionByName(others)
+    both = placed.withColumn("guest", F.lit(False)).unionByName(every.withColumn("guest", F.lit(True)))
+    order = [F.col("doc_id").desc_nulls_last(), "h", F.col("text").asc_nulls_first()]
+    dealt = both.repartitionById(len(cuts) + 1 + spare, "at").sortWithinPartitions("at", "guest", *order)
     return dealt.select("at", "doc_id", "text", "guest").mapInPandas(_compared(rank), EDITED)

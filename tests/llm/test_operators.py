@@ -365,6 +365,13 @@ def test_packing_does_not_depend_on_the_layout(spark):
         assert fill.max() <= 1024 and len(fill) <= (40 if mix == 1000 else 55)
 
 
+def test_matrices_do_not_depend_on_the_layout(spark):
+    texts = [" alpha" * 600] * 40 + [" alpha" * 422] * 40
+    for splits in (1, 40):
+        rows = packing.stored_sequences(packing.packed_matrices(docs_of(spark, texts).repartitionByRange(splits, "doc_id"))).collect()
+        assert len(rows) == 40 and sum(len(r["doc_ids"]) for r in rows) == 80
+
+
 def test_matrices(spark, tmp_path):
     texts, path = [*ODD, prose(2, 2000)], tokens.default_vocabulary()
     rows = packing.write_matrices(docs_of(spark, texts), f"file://{tmp_path}/m").collect()
@@ -417,6 +424,22 @@ def test_warc_round_trip(spark, tmp_path):
         [warc.parse_record(x) for x in warc._members(memoryview(bytes(damaged)))]
 
 
+def test_warc_common_payloads(spark, tmp_path, monkeypatch):
+    # a payload of a third of the pages, and empty ones: revisits are the same whether or not it counts as common
+    pages = [(k, "u", "c" * 200 if k % 3 == 0 else None if k % 3 == 1 else f"{k // 6:03d}" * 50) for k in range(120)]
+    rows, got = spark.createDataFrame(pages, "page_id long, url string, html string"), []
+    for common, tasks in ((10_000, 100_000), (10, 2)):
+        monkeypatch.setattr(warc, "COMMON_PAGES", common)
+        monkeypatch.setattr(warc, "MOST_TASKS", tasks)
+        out = f"file://{tmp_path}/c{common}"
+        files = warc.write_warc(rows, out, shard_bytes=1000)
+        assert files.agg(F.countDistinct("shard")).first()[0] > 5
+        got.append({r["page_id"]: r["refers_to"] for r in warc.read_warc(spark, out).collect()})
+    first = {}
+    want = {k: (f if f != k else None) if html else None for k, _, html in pages for f in [first.setdefault(html, k)]}
+    assert got == [want, want]
+
+
 def test_warc_shards_by_bytes(spark, tmp_path):
     # ids far apart, and many pages without one: shards stay alike
     pages = [(k if k < 40 else 1 << 40 | k, "u", f"{k:04d}" * 250) for k in range(80)] + [(None, f"n{k}", f"{k:04d}" * 250) for k in range(40)]
@@ -488,6 +511,67 @@ def test_entropy_levels_against_brute_force():
     assert np.abs(fingerprint.entropy_levels(x) - np.array(want)).max() <= 1.01
 
 
+def brute_digest(data, rank):
+    """The chain of filters by plain loops, from the entropy levels on."""
+    if not data:
+        return []
+    x = data.ljust(fingerprint.WINDOW, b"\0")
+    keys = [(int(rank[v]), i) for i, v in enumerate(fingerprint.entropy_levels(np.frombuffer(x, np.uint8)))]
+    run = min(fingerprint.NEIGHBOURS, len(keys))
+    marks = Counter(min(keys[i : i + run])[1] for i in range(len(keys) - run + 1))
+    chosen = [i for i in range(len(keys)) if marks[i] >= fingerprint.MARKS] or [max(range(len(keys)), key=lambda i: (marks[i], -i))]
+    windows = list(dict.fromkeys(x[i : i + fingerprint.WINDOW] for i in chosen))
+    chain, top = [], 1 << 64
+    for k, w in enumerate(windows):
+        if k % fingerprint.PER_FILTER == 0:
+            chain.append(set())
+        h = sum(b * int(m) for b, m in zip(w, fingerprint._WEIGHTS)) % top
+        h = int(fingerprint.mix(np.array([h], np.uint64))[0])
+        chain[-1] |= {(h >> (11 * j)) % fingerprint.BITS for j in range(fingerprint.HASHES)}
+    return chain
+
+
+def brute_similarity(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    a, b = sorted((a, b), key=len)
+    best = []
+    for x in a:
+        by_chance = [(len(x) * len(y) / fingerprint.BITS, y) for y in b]
+        best.append(max(min(1, max(0, (len(x & y) - c) / max(min(len(x), len(y)) - c, 1e-9))) for c, y in by_chance))
+    return sum(len(x) * s for x, s in zip(a, best)) / sum(map(len, a))
+
+
+def test_fingerprints_against_brute_force(spark):
+    texts = [*(t for t in ODD if t), prose(5, 4000), prose(6, 700), prose(5, 2500), "ab" * 3000]
+    rank = fingerprint.fit_rarity(docs_of(spark, texts))
+    data = [t.encode() for t in texts]
+    got = fingerprint.digests([np.frombuffer(d, np.uint8) for d in data], rank)
+    want = [brute_digest(d, rank) for d in data]
+    assert [[set(np.flatnonzero(f).tolist()) for f in chain] for chain in got] == want and max(map(len, want)) > 1
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            assert fingerprint.similarity(got[i], got[j]) == pytest.approx(brute_similarity(want[i], want[j]))
+
+
+def test_many_documents_without_id(spark):
+    texts = [prose(k, 60) for k in range(40)] + ["the same"] * 20 + [None, ""]
+    rows = docs_of(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") % 7 == 0, F.col("doc_id")))
+    rank, named = fingerprint.fit_rarity(rows), [k for k in range(1, 63) if k % 7 == 0]
+    # in order: named ones by descending id, then the others by hash; edited texts tell who follows whom
+    hashes = {r["text"]: r["h"] for r in rows.select("text", F.xxhash64("text").alias("h")).collect()}
+    free = sorted((texts[k - 1] for k in range(1, 63) if k % 7), key=lambda t: (hashes[t], t is not None, t or ""))
+    line = [(k, texts[k - 1]) for k in named[::-1]] + [(None, t) for t in free]
+    want = Counter()
+    for (k, t), (_, following) in zip(line, line[1:] + line[:1]):
+        want[k, hashlib.sha256(fingerprint.edited_text(t or "", following or "").encode()).hexdigest()] += 1
+    for per in (1000, 8):
+        made = fingerprint.compare_with_next(rows, rank, rows_per_part=per)
+        assert Counter((r["doc_id"], r["edited_sha256"]) for r in made.collect()) == want
+        tasks = [n for n in made.select(F.spark_partition_id().alias("p")).groupBy("p").count().toPandas()["count"]]
+        assert len(tasks) > 5 and max(tasks) <= 28 if per == 8 else sum(tasks) == 62
+
+
 def test_fingerprints(spark):
     texts = [*ODD, prose(3, 900), prose(4, 900)]
     rows = docs_of(spark, texts).withColumn("at", F.lit("x"))
