@@ -8,9 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a slice of a batch.
+SLICE_BYTES = 2 << 20
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -49,6 +54,13 @@ def drop_materialized(*frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of like row counts, of about ``most`` bytes each: what is made of one stays small."""
+    n = max(1, batch.num_rows * most // max(batch.nbytes, 1))
+    for at in range(0, batch.num_rows, n):
+        yield batch.slice(at, n)
+
+
 def free_prefix(columns: list[str], prefix: str = "__") -> str:
     """``prefix``, or a longer run of its last character that begins no column's name, in any case."""
     while any(c.lower().startswith(prefix.lower()) for c in columns):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, materialize
+from .common import drop_materialized, materialize, slices
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -77,11 +77,14 @@ class Filter:
         size = min(max(1 << (BITS_EACH * n).bit_length(), LEAST_BITS), MOST_BITS)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.zeros(size, bool)
+            packed = np.zeros(size // 8, np.uint8)
             for batch in batches:
-                bits[Filter.places(batch.column(0).to_numpy(zero_copy_only=False), size)] = True
-            if bits.any():
-                yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], names=["bits"])
+                at = np.unique(Filter.places(batch.column(0).to_numpy(zero_copy_only=False), size))
+                if len(at):
+                    first = np.flatnonzero(np.concatenate(([True], at[1:] >> 3 != at[:-1] >> 3)))
+                    packed[at[first] >> 3] |= np.bitwise_or.reduceat((128 >> (at & 7)).astype(np.uint8), first)
+            if packed.any():
+                yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(packed.tobytes(), 1)], pa.binary())], names=["bits"])
 
         total = np.zeros(size // 8, np.uint8)
         # at most 8 filters of at most 16 MiB, one after the other
@@ -121,7 +124,8 @@ def _once(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[Iterator[tu
                 yield s, key
 
     for batch in batches:
-        yield new(batch.column("text"))
+        for part in slices(batch):
+            yield new(part.column("text"))
 
 
 def _prefix(n: int, share: int) -> int:
@@ -178,9 +182,10 @@ def _sets(wanted: Filter, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(wanted.passes(batch.column("doc_id").to_numpy(zero_copy_only=False))))
-            if batch.num_rows:
-                got = [s.tobytes() for s in shingle_sets(batch.column("text"), words)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(got, pa.binary())], names=["id", "grams"])
+            # a set may be larger than its text
+            for part in slices(batch):
+                got = [s.tobytes() for s in shingle_sets(part.column("text"), words)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(got, pa.binary())], names=["id", "grams"])
 
     return run
 

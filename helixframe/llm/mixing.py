@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,8 +97,9 @@ def _rake_on_driver(cells: DataFrame, targets: Mapping[str, Mapping[str, float]]
         index.append(at)
         goals.append(np.array([share[v] for v in values], float))
     rows["weight"] = rake(seed, np.array(index), goals)
-    values = rows[[f"__{a}" for a in AXES] + ["n", "weight"]].values.tolist()
-    return cells.sparkSession.createDataFrame(values, "__source string, __lang string, __topic string, n long, weight double")
+    # as Arrow: a list of rows would go through Python workers on the executors, which stay there for a while
+    kinds = [*((f"__{a}", pa.string()) for a in AXES), ("n", pa.int64()), ("weight", pa.float64())]
+    return cells.sparkSession.createDataFrame(pa.table([pa.array(rows[name], kind) for name, kind in kinds], names=[name for name, _ in kinds]))
 
 
 def _rake_on_spark(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], rounds: int) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import slices
 from .shingles import IS_SPACE, STEP, chunks, mix, text_buffers, word_hashes
 
 BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 17, 16, 6, 2.0, 7
@@ -61,15 +62,22 @@ def _features(texts: pa.Array) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, quality, buckets and counts of each document."""
-    for batch in batches:
+    """doc_id, quality, buckets (little-endian, 4 bytes each) and counts (the fewest bytes that hold them all) of each document."""
+    for batch in (part for whole in batches for part in slices(whole)):
         ids, counts = [], []
         for kinds in _features(batch.column("text")):
             for i in range(len(kinds[0][1]) - 1):
                 x, n = np.unique(np.concatenate([b[f[i] : f[i + 1]] for b, f in kinds]), return_counts=True)
-                ids.append(x)
-                counts.append(n.astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality").cast(pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["doc_id", "quality", "ids", "counts"])
+                ids.append(x.astype("<i4").tobytes())
+                counts.append(n.astype(np.min_scalar_type(n.max(initial=0)).newbyteorder("<")).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality").cast(pa.int32()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "quality", "ids", "counts"])
+
+
+def _unpacked(ids: pa.Scalar, counts: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and counts that ``_sparse`` wrote, as views of the batch that holds them."""
+    i, c = ids.as_buffer(), counts.as_buffer()
+    i = np.frombuffer(i, "<i4") if i.size else np.zeros(0, "<i4")
+    return i, np.frombuffer(c, f"<u{c.size // len(i)}") if len(i) else np.zeros(0, "<u1")
 
 
 @dataclass(frozen=True)
@@ -114,10 +122,11 @@ def _fitted(most: int):
         rows, total = [], 0
         for batch in batches:
             for i, c, q in zip(batch.column("ids"), batch.column("counts"), batch.column("quality").to_pylist(), strict=True):
-                total += len(i)
+                ids, counts = _unpacked(i, c)
+                total += len(ids)
                 if total > most:
                     break
-                rows.append((i.values.to_numpy().copy(), c.values.to_numpy().copy(), int(q > 0)))
+                rows.append((ids, counts, int(q > 0)))
         model = fit_vectors(rows)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype("<i4").tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], names=["weights", "bias"])
 
@@ -133,7 +142,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELL
     chosen = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # max_rows bounds what is sent to all executors, and what one task reads
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_sparse, "doc_id long, quality int, ids array<int>, counts array<int>")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_sparse, "doc_id long, quality int, ids binary, counts binary")
     ordered = found.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", F.xxhash64("ids", "counts"))
     made = ordered.mapInArrow(_fitted(max_features), "weights binary, bias double").first()
     if made is None:
@@ -145,7 +154,7 @@ def _scored(model: QualityModel, name: str):
     weights, bias = model.weights, model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             odds = []
             for kinds in _features(batch.column("text")):
                 total, n = np.zeros(len(kinds[0][1]) - 1, np.int64), np.zeros(len(kinds[0][1]) - 1, np.int64)

@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: Bytes hashed in one go; a longer text is hashed alone.
-CHUNK_BYTES = 1 << 20
+#: Bytes hashed in one go, at some 50 bytes of memory each; a longer text is hashed alone.
+CHUNK_BYTES = 1 << 18
 BASE, STEP, SHORT = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)
 
 
@@ -34,7 +34,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
     if len(_powers.get("up", ())) < n:
-        n = 1 << max(20, (n - 1).bit_length())
+        n = 1 << max(18, (n - 1).bit_length())
         for name, base in (("up", int(BASE)), ("down", pow(int(BASE), -1, 1 << 64))):
             steps = np.full(n, base, U)
             steps[0] = 1

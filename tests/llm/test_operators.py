@@ -4,18 +4,22 @@ import hashlib
 import os
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from math import log2
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from helixframe.llm import fingerprint, html_text, jaccard, media, mixing, packing, quality, secrets, tokens, warc, webp
 from helixframe.llm.components import components
+from helixframe.llm import shingles as shingles_module
 from helixframe.llm.queries import queries
+from helixframe.llm.shingles import shingle_sets
 
 DATA = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -104,6 +108,53 @@ def test_quality(spark):
     assert [r["score"] for r in quality.score_quality(docs_of(spark, ["a b"]), empty).collect()] == [0.5]
 
 
+def test_memory_of_tasks(spark):
+    rng = np.random.default_rng(5)
+    texts = [prose(k, 250) for k in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array([k % 2 for k in range(3000)], pa.int32()), pa.array(texts)], names=["doc_id", "quality", "text"])
+    assert batch.nbytes > 4_000_000
+    # what tasks return for a batch comes in slices
+    model = quality.QualityModel(rng.integers(-9, 9, quality.BUCKETS).astype(np.int32), 0.5)
+    scored = list(quality._scored(model, "score")(iter([batch])))
+    assert pa.Table.from_batches(scored).drop(["score"]).equals(pa.Table.from_batches([batch])) and max(b.nbytes for b in scored) < 4_000_000
+    ids = np.arange(0, 3000, 3)
+    size = 1 << 16
+    packed = np.packbits(np.isin(np.arange(size), jaccard.Filter.places(ids, size)))
+    rows = list(jaccard._sets(jaccard.Filter(packed), 5)(iter([batch])))
+    got = {k: x for b in rows for k, x in zip(b.column("id").to_pylist(), b.column("grams").to_pylist(), strict=True)}
+    assert max(b.nbytes for b in rows) < 4_000_000 and got.keys() >= set(ids.tolist())
+    sets = list(shingle_sets(batch.column("text")))
+    assert all(x == sets[k].tobytes() for k, x in got.items())
+    # hashes of texts are made a little at a time
+    long = pa.array([prose(k, 4000) for k in range(80)])
+    shingles_module._powers.clear()
+    tracemalloc.start()
+    for _ in shingle_sets(long):
+        pass
+    for _ in quality._features(long):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000
+    # a training row has a byte for most counts, and comes back whole
+    sparse = pa.Table.from_batches(quality._sparse(iter([batch]))).to_batches()
+    features = sum(len(x.as_py()) for b in sparse for x in b.column("ids")) // 4
+    assert sum(b.nbytes for b in sparse) < 6 * features
+    (x, n), text = quality._unpacked(sparse[0].column("ids")[0], sparse[0].column("counts")[0]), texts[0]
+    want = np.unique(np.concatenate([b for b, _ in next(quality._features(pa.array([text])))]), return_counts=True)
+    assert (x == want[0]).all() and (n == want[1]).all()
+    many = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 0]), pa.array(["a " * 70_000, None])], names=["doc_id", "quality", "text"])
+    made = next(quality._sparse(iter([many])))
+    assert quality._unpacked(made.column("ids")[0], made.column("counts")[0])[1].max() >= 69_999 and len(quality._unpacked(made.column("ids")[1], made.column("counts")[1])[0]) == 0
+    # a filter is that of all its rows
+    found = jaccard.Filter.of(spark.createDataFrame([(int(k),) for k in ids], "id long").repartition(3), len(ids))
+    assert (found.packed == packed).all()
+    # the raked cells come without Python workers on the executors
+    raked = mixing._rake_on_driver(spark.sql("select '=a' __source, '=b' __lang, '=c' __topic, 5L n"), {})
+    assert "ExistingRDD" not in raked._jdf.queryExecution().toString() and raked.schema.simpleString() == "struct<__source:string,__lang:string,__topic:string,n:bigint,weight:double>"
+    assert [tuple(r) for r in raked.collect()] == [("=a", "=b", "=c", 5, 1.0)]
+
+
 @pytest.mark.skipif(not os.path.exists(f"{DATA}/labels.parquet"), reason="no test tables here")
 def test_quality_of_held_out_documents(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
