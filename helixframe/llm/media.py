@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from .common import materialize
 from .shingles import STEP, mix
-from .webp import PALETTE, PREDICTOR, decode, encode
+from .webp import PALETTE, PREDICTOR, decode, encode, encode_green
 
 ROW, SIDE, PAD = 576, 16384, 255
 #: Most bytes of one picture, and the mode of a predictor that repeats the sample on the left: fixed values.
@@ -34,15 +34,18 @@ def repeats(x: np.ndarray) -> list[tuple[int, int, int]]:
     if n < SEEK:
         return []
     # a sum over the window that starts at each place
-    width, part, factor = 1, _RAW[x], int(STEP)
+    width, part, factor = 1, _RAW.take(x), int(STEP)
     while width < SEEK:  # windows of 1, 2, 4, ... bytes
         part = part[:-width] * np.uint64(factor) + part[width:]
         factor = factor * factor & 0xFFFFFFFFFFFFFFFF
         width *= 2
     hashes = mix(part)
+    places = (hashes < np.uint64(1 << 59)).nonzero()[0]
+    kept = hashes[places].tolist()
+    if len(set(kept)) == len(kept):
+        return []
     found, seen, covered = [], {}, 0
-    for i in np.flatnonzero(hashes >> np.uint64(59) == 0).tolist():
-        h = int(hashes[i])
+    for i, h in zip(places.tolist(), kept, strict=True):
         j = seen.get(h)
         seen[h] = i
         if j is None or i < covered:
@@ -58,24 +61,26 @@ def repeats(x: np.ndarray) -> list[tuple[int, int, int]]:
     return found
 
 
-def _bits(x: np.ndarray) -> float:
-    """The entropy of bytes, in bits for all of them."""
-    n = np.bincount(x, minlength=256)
-    n = n[n > 0]
-    return float(-(n * np.log2(n / len(x))).sum())
+def _bits(counts: np.ndarray) -> float:
+    """The entropy of bytes that occur so often, in bits for all of them."""
+    n = counts[counts > 0]
+    return float(-(n * np.log2(n / n.sum())).sum())
 
 
 def _one_picture(payload: bytes) -> bytes:
     rows = len(payload) // ROW
     across = -(-rows // SIDE)
     x = np.frombuffer(payload + bytes([PAD]) * ((-rows % across) * ROW), np.uint8)
+    counts, steps = np.bincount(x, minlength=256), np.bincount(x[1:] - x[:-1], minlength=256)
+    steps[0] += 1  # the first sample has none before it
+    few = np.count_nonzero(counts) <= 16
+    if not few and _bits(steps) >= 0.95 * _bits(counts):
+        return encode_green(x.reshape(-1, ROW * across), repeats(x))
     argb = (x.astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000)).reshape(-1, ROW * across)
-    if len(np.unique(x)) <= 16:
+    if few:
         return encode(argb, transforms=[(PALETTE,)])
-    if _bits(np.diff(x, prepend=x[:1])) < 0.95 * _bits(x):
-        modes = np.full((-(-argb.shape[0] // 512), -(-argb.shape[1] // 512)), LEFT)
-        return encode(argb, transforms=[(PREDICTOR, 9, modes)])
-    return encode(argb, refs=repeats(x))
+    modes = np.full((-(-argb.shape[0] // 512), -(-argb.shape[1] // 512)), LEFT)
+    return encode(argb, transforms=[(PREDICTOR, 9, modes)])
 
 
 def to_picture(payload: bytes) -> bytes:

@@ -7,7 +7,6 @@ code groups are read pixel by pixel.
 
 from __future__ import annotations
 
-import heapq
 import struct
 from collections import Counter
 from functools import lru_cache
@@ -31,27 +30,38 @@ class Code:
     """A prefix code as two tables over the next 15 bits: symbol and length."""
 
     def __init__(self, lengths: np.ndarray):
-        used = np.flatnonzero(lengths)
+        used = lengths.nonzero()[0]
         if len(used) <= 1:
             self.symbol = np.full(1, used[0] if len(used) else 0, np.int16)
-            self.length, self.bits = np.zeros(1, np.uint8), 0
+            self.length, self.bits, self.refers = np.zeros(1, np.uint8), 0, False
             self.step = self.length
             return
         self.bits = int(lengths.max())
-        order = used[np.argsort(lengths[used], kind="stable")]
+        order = used[lengths[used].argsort(kind="stable")]
         share = np.left_shift(1, self.bits - lengths[order])
         if share.sum() != 1 << self.bits:
             raise ValueError("incomplete prefix code")
-        self.symbol = np.repeat(order, share)[reversal(self.bits)].astype(np.int16)
-        self.length = lengths.astype(np.uint8)[self.symbol]
-        # 0 marks the back-references of a green code, which end elsewhere
-        self.step = np.where((self.symbol >= LITERALS) & (self.symbol < LITERALS + LENGTHS), 0, self.length).astype(np.uint8)
+        self.symbol = order.astype(np.int16).repeat(share)[reversal(self.bits)]
+        own = lengths.astype(np.uint8)
+        self.length = self.step = own[self.symbol]
+        self.refers = bool(own[LITERALS : LITERALS + LENGTHS].any())
+        if self.refers:  # 0 marks the back-references of a green code, which end elsewhere
+            own[LITERALS : LITERALS + LENGTHS] = 0
+            self.step = own[self.symbol]
 
     def at(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         k = windows & ((1 << self.bits) - 1)
         return self.symbol[k], self.length[k]
 
 
+@lru_cache(maxsize=LITERALS)
+def lone(symbol: int) -> Code:
+    """The code of one symbol, which takes no bits."""
+    lengths = np.zeros(symbol + 1, np.int64)
+    lengths[symbol] = 1
+    return Code(lengths)
+
+
 @lru_cache
 def reversal(n: int) -> np.ndarray:
     """All numbers of n bits with their bits in reverse."""
@@ -76,10 +86,10 @@ class Bits:
     """Bits of a stream, lowest first; ``windows`` gives the 32 bits from each of many places."""
 
     def __init__(self, data: bytes):
-        self.data = np.frombuffer(data, np.uint8)
+        self.data = data
         self.size = 8 * len(data)
-        padded = np.concatenate((self.data, np.zeros(8, np.uint8))).astype(np.uint64)
-        self.words = padded[:-4] | padded[1:-3] << np.uint64(8) | padded[2:-2] << np.uint64(16) | padded[3:-1] << np.uint64(24) | padded[4:] << np.uint64(32)
+        # the 64 bits from each byte, none of them copied
+        self.words = np.ndarray(len(data) + 4, "<u8", data + bytes(12), strides=(1,))
         self.at = 0
 
     def read(self, n: int) -> int:
@@ -89,6 +99,10 @@ class Bits:
         self.at += n
         return got
 
+    def held(self) -> int:
+        """The next bits as one number, 1,024 of them or more; zeros follow the stream."""
+        return int.from_bytes(self.data[self.at >> 3 : (self.at >> 3) + 129], "little") >> (self.at & 7)
+
     def peek(self) -> int:
         return int(self.words[min(self.at >> 3, len(self.words) - 1)]) >> (self.at & 7)
 
@@ -104,34 +118,67 @@ class Bits:
         return out.reshape(-1)
 
 
+def _small_code(lengths: list[int]) -> tuple[list[int], list[int], int]:
+    """The code of code lengths as lists over the next bits: symbol and length; and the mask of those bits."""
+    used = sorted((n, s) for s, n in enumerate(lengths) if n)
+    if len(used) <= 1:
+        return [used[0][1] if used else 0], [0], 0
+    most, code = used[-1][0], 0
+    symbol, length, turned = [0] * (1 << most), [0] * (1 << most), reversal(most).tolist()
+    for n, s in used:
+        share = 1 << most - n
+        if code + share > 1 << most:
+            raise ValueError("incomplete prefix code")
+        symbol[turned[code] :: 1 << n], length[turned[code] :: 1 << n] = [s] * share, [n] * share
+        code += share
+    if code != 1 << most:
+        raise ValueError("incomplete prefix code")
+    return symbol, length, (1 << most) - 1
+
+
 def read_code(bits: Bits, alphabet: int) -> Code:
-    lengths = np.zeros(alphabet, np.int64)
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
-        lengths[bits.read(8 if wide else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
+        first = bits.read(8 if wide else 1)
+        if not two:
+            if first >= alphabet:
+                raise ValueError("a symbol outside its alphabet")
+            return lone(first)
+        lengths = np.zeros(alphabet, np.int64)
+        second = bits.read(8)
+        if max(first, second) >= alphabet:
+            raise ValueError("a symbol outside its alphabet")
+        lengths[[first, second]] = 1
         return Code(lengths)
-    own = np.zeros(19, np.int64)
-    for k in range(4 + bits.read(4)):
-        own[CODE_LENGTH_ORDER[k]] = bits.read(3)
+    own, n, held = [0] * 19, 4 + bits.read(4), bits.held()
+    for k in range(n):
+        own[CODE_LENGTH_ORDER[k]] = held >> 3 * k & 7
+    bits.at += 3 * n
     most = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    code, s, before = Code(own), 0, 8
-    while s < alphabet and most:
+    symbol, length, mask = _small_code(own)
+    got, before, held, at = [], 8, bits.held(), 0
+    while len(got) < alphabet and most:
         most -= 1
-        k = bits.peek() & ((1 << code.bits) - 1)
-        bits.at += int(code.length[k])
-        v = int(code.symbol[k])
+        if at > 1000:
+            bits.at += at
+            held, at = bits.held(), 0
+        k = held >> at & mask
+        at += length[k]
+        v = symbol[k]
         if v < 16:
-            lengths[s] = v
+            got.append(v)
             before = v or before
-            s += 1
         else:
-            value, repeat = (before, 3 + bits.read(2)) if v == 16 else (0, 3 + bits.read(3)) if v == 17 else (0, 11 + bits.read(7))
-            if s + repeat > alphabet:
-                raise ValueError("too many code lengths")
-            lengths[s : s + repeat] = value
-            s += repeat
+            value, least, n = (before, 3, 2) if v == 16 else (0, 3, 3) if v == 17 else (0, 11, 7)
+            got += [value] * (least + (held >> at & (1 << n) - 1))
+            at += n
+    bits.at += at
+    if len(got) > alphabet:
+        raise ValueError("too many code lengths")
+    if bits.at > bits.size:
+        raise ValueError("the stream ends early")
+    lengths = np.zeros(alphabet, np.int64)
+    lengths[: len(got)] = got
     return Code(lengths)
 
 
@@ -164,13 +211,34 @@ class _Canvas:
         self.out[at] = self.cache[key]
 
 
+def _chain(step: np.ndarray, p: int) -> tuple[np.ndarray, int]:
+    """The places that steps (of at most 60) lead to from ``p``, and the first beyond the last; walked by four at a time."""
+    last, places = len(step), np.arange(len(step))
+    one, two = np.zeros((2, last + 256), np.uint8)
+    one[:last] = step
+    two[:last] = step + one.take(places + step)
+    hops, marks = (two[:last] + two.take(places + two[:last])).tobytes(), bytearray(last)
+    while p < last:
+        marks[p] = 1
+        p += hops[p]
+    begins = np.frombuffer(marks, bool).nonzero()[0]
+    met = np.empty((len(begins), 4), np.int64)
+    met[:, 0] = begins
+    met[:, 2] = begins + two[begins]
+    met[:, 1::2] = met[:, ::2] + one[met[:, ::2]]
+    met = met.reshape(-1)
+    return met[: int(met.searchsorted(last))], p
+
+
 def _pixels(bits: Bits, codes: list[Code], width: int, n: int, cache_bits: int) -> np.ndarray:
     """All pixels of an image with one group of codes: green, red, blue, alpha, distance."""
     green, *others, dist = codes
     coloured = any(c.bits for c in others)
     canvas, done = _Canvas(n, cache_bits), 0
+    lone_others = int(others[2].symbol[0]) << 24 | int(others[0].symbol[0]) << 16 | int(others[1].symbol[0])
+    literals = green.bits and not (green.refers or coloured or cache_bits)
     if not green.bits and int(green.symbol[0]) < LITERALS and not coloured:
-        canvas.out[:] = int(others[2].symbol[0]) << 24 | int(others[0].symbol[0]) << 16 | int(green.symbol[0]) << 8 | int(others[1].symbol[0])
+        canvas.out[:] = lone_others | int(green.symbol[0]) << 8
         return canvas.out
     while done < n:
         # where a pixel that begins at a place of this span ends
@@ -185,23 +253,27 @@ def _pixels(bits: Bits, codes: list[Code], width: int, n: int, cache_bits: int)
             step = np.where(symbol < LITERALS, place - places, step).astype(np.uint8)
             ref = np.flatnonzero((symbol >= LITERALS) & (symbol < LITERALS + LENGTHS))
         else:
-            step = green.step[bits.span(lo, hi)[: hi - lo] & np.uint16((1 << green.bits) - 1)]
-            ref = np.flatnonzero(step == 0)
+            keys = bits.span(lo, hi)[: hi - lo] & np.uint16((1 << green.bits) - 1)
+            step = green.step.take(keys)
+            ref = np.flatnonzero(step == 0) if green.refers else ()
         if len(ref):
             symbol, used = green.at(bits.windows(ref + lo))
             after = ref + lo + used + _EXTRA[symbol - LITERALS]
             d, more = dist.at(bits.windows(np.minimum(after, bits.size)))
             step[ref] = after + more + _EXTRA[d] - ref - lo
-        steps = step.tobytes()
-        p, last = bits.at - lo, hi - lo
+        p = bits.at - lo
         if not step[p]:  # a lone symbol of the colour cache takes no bits
             met = np.full(n - done, p)
         else:
-            marks = bytearray(last)
-            while p < last:
-                marks[p] = 1
-                p += steps[p]
-            met = np.flatnonzero(np.frombuffer(marks, np.uint8))
+            met, p = _chain(step, p)
+        if literals:
+            if len(met) > n - done:
+                p, met = int(met[n - done]), met[: n - done]
+            if lo + p > bits.size:
+                raise ValueError("the stream ends early")
+            canvas.out[done : done + len(met)] = green.symbol.take(keys[met]).astype(np.uint32) << np.uint32(8) | np.uint32(lone_others)
+            done, bits.at = done + len(met), lo + p
+            continue
         places = met + lo
         symbol = green.at(bits.windows(places))[0].astype(np.int64)
         ref = (symbol >= LITERALS) & (symbol < LITERALS + LENGTHS)
@@ -432,105 +504,127 @@ def decode(data: bytes) -> np.ndarray:
 
 
 class Writer:
-    """Values and their numbers of bits, packed lowest bit first."""
+    """Values and their numbers of bits, packed lowest bit first; two that follow each other have at most 62 bits."""
 
     def __init__(self):
         self.values, self.sizes = [], []
-        self.few: list[tuple[int, int]] = []
+        self.few, self.held = 0, 0
 
     def put(self, value: int, n: int) -> None:
-        self.few.append((value, n))
+        self.few |= value << self.held
+        self.held += n
 
     def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        if self.few:
-            values, sizes = (np.concatenate((x, y)) for x, y in zip(np.array(self.few, np.int64).T, (values, sizes), strict=True))
-            self.few = []
+        if self.held:
+            few = np.frombuffer(self.few.to_bytes(-(-self.held // 16) * 2, "little"), "<u2")
+            own = np.full(len(few), 16)
+            own[-1] = self.held - 16 * (len(few) - 1)
+            self.values.append(few)
+            self.sizes.append(own)
+            self.few = self.held = 0
         self.values.append(values)
         self.sizes.append(sizes)
 
     def bytes(self) -> bytes:
         self.put_all(np.zeros(0, np.int64), np.zeros(0, np.int64))
-        v, n = np.concatenate(self.values), np.concatenate(self.sizes)
+        v, n = np.concatenate(self.values, dtype=np.int64), np.concatenate(self.sizes, dtype=np.int64)
         if len(v) & 1:
             v, n = np.append(v, 0), np.append(n, 0)
-        v, n = v[::2] | v[1::2] << n[::2], n[::2] + n[1::2]  # at most 36 bits each
-        at = np.cumsum(n) - n
-        size = -(-int(n.sum()) // 8)
-        v, at = v << (at & 7), at >> 3
-        out = np.zeros(size + 6, np.int64)
-        for k in range(6):
-            part = (v >> (8 * k)) & 255
-            if part.any():
-                out[k : k + size + 1] += np.bincount(at, part, size + 1).astype(np.int64)
-        return out[:size].astype(np.uint8).tobytes()
+        v, n = (v[::2] | v[1::2] << n[::2]).astype(np.uint64), n[::2] + n[1::2]
+        ends = n.cumsum()
+        at = ends - n
+        word, bit = at >> 6, (at & 63).astype(np.uint64)
+        # in each word of 64 bits some value begins, and of these only the last can go on into the next word
+        first = word.searchsorted(np.arange(int(word[-1]) + 1))
+        last = np.append(first[1:], len(v)) - 1
+        out = np.zeros(len(first) + 1, "<u8")
+        out[:-1] = np.bitwise_or.reduceat(v << bit, first)
+        out[1:] |= v[last] >> np.uint64(1) >> (np.uint64(63) - bit[last])
+        return out.tobytes()[: -(-int(ends[-1]) // 8)]
 
 
 def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
     """Huffman code lengths of at most ``most`` bits; a lone symbol gets 1."""
     lengths = np.zeros(len(counts), np.int64)
-    used = np.flatnonzero(counts).tolist()
+    used = counts.nonzero()[0]
     if len(used) <= 1:
         lengths[used] = 1
         return lengths
-    weight = {s: int(counts[s]) for s in used}
+    weight, n = counts[used], len(used)
     while True:
-        heap = sorted((w, s) for s, w in weight.items())
-        parent, number = {}, len(counts)
-        while len(heap) > 1:
-            (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
-            parent[x] = parent[y] = number
-            heapq.heappush(heap, (a + b, number))
-            number += 1
-        depth = {number - 1: 0}
-        for k in range(number - 2, len(counts) - 1, -1):
+        # leaves by weight, and nodes in the order in which they are made, which is by weight too
+        order = weight.argsort(kind="stable")
+        leaf, node, parent = [*weight[order].tolist(), float("inf")], [float("inf")] * n, [0] * (2 * n - 1)
+        i = j = 0
+        for k in range(n - 1):
+            if leaf[i] <= node[j]:
+                x, parent[i] = leaf[i], n + k
+                i += 1
+            else:
+                x, parent[n + j] = node[j], n + k
+                j += 1
+            if leaf[i] <= node[j]:
+                y, parent[i] = leaf[i], n + k
+                i += 1
+            else:
+                y, parent[n + j] = node[j], n + k
+                j += 1
+            node[k] = x + y
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
             depth[k] = depth[parent[k]] + 1
-        for s in used:
-            lengths[s] = depth[parent[s]] + 1
-        if lengths.max() <= most:
+        lengths[used[order]] = depth[:n]
+        if max(depth) <= most:
             return lengths
-        weight = {s: (w + 1) // 2 for s, w in weight.items()}
+        weight = (weight + 1) // 2
+
+
+@lru_cache(maxsize=512)
+def _zeros(run: int) -> list[tuple[int, int, int]]:
+    """A run of code lengths 0 as symbols with extra bits."""
+    tokens = []
+    while run:
+        some = min(run, 138)
+        tokens += [(18, some - 11, 7)] if some >= 11 else [(17, some - 3, 3)] if some >= 3 else [(0, 0, 0)] * some
+        run -= some
+    return tokens
+
+
+def _write_lone(w: Writer, symbol: int) -> None:
+    """Write the code of one symbol below 256."""
+    w.put(5 | symbol << 3, 11)
 
 
 def _write_code(w: Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Write a code for these counts; returns codes and lengths by symbol."""
-    used = np.flatnonzero(counts)
+    used = counts.nonzero()[0]
     if len(used) <= 1 and (not len(used) or used[0] < 256):
-        for value, n in ((1, 1), (0, 1), (1, 1), (int(used[0]) if len(used) else 0, 8)):
-            w.put(value, n)
+        _write_lone(w, int(used[0]) if len(used) else 0)
         return np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
     lengths = code_lengths(counts, MAX_CODE)
-    tokens, s, end = [], 0, int(used[-1]) + 1
-    values = lengths.tolist()
-    while s < end:
-        if values[s]:
-            tokens.append((values[s], 0, 0))
-            s += 1
-            continue
-        run = 1
-        while s + run < end and not values[s + run] and run < 138:
-            run += 1
-        tokens += [(18, run - 11, 7)] if run >= 11 else [(17, run - 3, 3)] if run >= 3 else [(0, 0, 0)] * run
-        s += run
-    rest = len(counts) - end
-    while rest > 0:
-        run = min(rest, 138)
-        tokens += [(18, run - 11, 7)] if run >= 11 else [(17, run - 3, 3)] if run >= 3 else [(0, 0, 0)] * run
-        rest -= run
+    tokens, before = [], -1
+    for symbol, length in zip(used.tolist(), lengths[used].tolist(), strict=True):
+        tokens += _zeros(symbol - before - 1)
+        tokens.append((length, 0, 0))
+        before = symbol
+    tokens += _zeros(len(counts) - before - 1)
     seen = Counter(t for t, _, _ in tokens)
     own = code_lengths(np.array([seen.get(k, 0) for k in range(19)]), 7)
-    order = [int(own[k]) for k in CODE_LENGTH_ORDER]
+    codes, own, single = canonical(own).tolist(), own.tolist(), len(seen) == 1
+    order = [own[k] for k in CODE_LENGTH_ORDER]
     n = max(4, max(k for k, x in enumerate(order) if x) + 1)
     w.put(0, 1)
     w.put(n - 4, 4)
     for k in range(n):
         w.put(order[k], 3)
     w.put(0, 1)
-    codes, single = canonical(own), len(seen) == 1
+    if single:
+        codes, own = [0] * 19, [0] * 19
+    few, held = 0, 0
     for t, extra, size in tokens:
-        if not single:
-            w.put(int(codes[t]), int(own[t]))
-        if size:
-            w.put(extra, size)
+        few |= (codes[t] | extra << own[t]) << held
+        held += own[t] + size
+    w.put(few, held)
     if len(used) == 1:
         return np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
     return canonical(lengths), lengths
@@ -542,6 +636,39 @@ def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return s, value - _OFFSET[s], _EXTRA[s]
 
 
+def _write_green(w: Writer, green: np.ndarray, others: list[int], refs: list[tuple[int, int, int]] = ()) -> None:
+    """Codes and pixels of an image whose red, blue and alpha are the same everywhere."""
+    if len(refs):
+        at, length, distance = np.array(refs, np.int64).T
+        copied = np.zeros(len(green) + 1, np.int8)
+        copied[at] += 1
+        copied[at + length] -= 1
+        literal = green[copied[:-1].cumsum(dtype=np.int8) == 0].astype(np.int64)
+        kind, extra, size = _prefix(length)
+        far, far_extra, far_size = _prefix(_distance_codes(distance))
+        begin = at - (length.cumsum() - length)  # literals before each reference
+        green = np.insert(literal, begin, LITERALS + kind)
+        begin += np.arange(len(begin))
+    codes, sizes = _write_code(w, np.bincount(green, minlength=LITERALS + LENGTHS))
+    for value in others:
+        _write_lone(w, value)
+    values, sizes = codes.take(green), sizes.take(green)
+    if len(refs):
+        codes, own = _write_code(w, np.bincount(far, minlength=DISTANCES))
+        values[begin] |= extra << sizes[begin]
+        sizes[begin] += size
+        values = np.insert(values, begin + 1, codes[far] | far_extra << own[far])
+        sizes = np.insert(sizes, begin + 1, own[far] + far_size)
+    else:
+        _write_lone(w, 0)
+    w.put_all(values, sizes)
+
+
+def _distance_codes(distance: np.ndarray) -> np.ndarray:
+    # the codes of short distances are left to other encoders, but for the pixel before
+    return np.where(distance == 1, 2, distance + len(NEAR))
+
+
 def _write_image(w: Writer, argb: np.ndarray, main: bool, refs: list[tuple[int, int, int]] = (), cache_bits: int = 0, tiles: np.ndarray | None = None, tile_bits: int = 0) -> None:
     """``refs``: (place, length, distance) of back-references, in order and apart from each other."""
     height, width = argb.shape
@@ -556,13 +683,7 @@ def _write_image(w: Writer, argb: np.ndarray, main: bool, refs: list[tuple[int,
             _write_image(w, tiles.astype(np.uint32) << np.uint32(8), False)
     px = _channels(flat)
     if not len(refs) and not cache_bits and tiles is None and (px[0, [0, 2, 3]] == px[:, [0, 2, 3]]).all():
-        # literals of one channel
-        green = px[:, 1]
-        codes, sizes = _write_code(w, np.bincount(green, minlength=LITERALS + LENGTHS))
-        for k, size in ((2, 256), (0, 256), (3, 256)):
-            _write_code(w, np.bincount(px[:1, k], minlength=size))
-        _write_code(w, np.zeros(DISTANCES, np.int64))
-        w.put_all(codes[green], sizes[green])
+        _write_green(w, px[:, 1], [int(px[0, k]) for k in (2, 0, 3)])
         return
     copied = np.zeros(len(flat), bool)
     for at, length, _ in refs:
@@ -582,8 +703,7 @@ def _write_image(w: Writer, argb: np.ndarray, main: bool, refs: list[tuple[int,
             if not is_ref[k] and cache[keys[p]] == flat[p]:
                 is_cached[k], green[k] = True, LITERALS + LENGTHS + int(keys[p])
     length = _prefix(np.array([r[1] for r in refs], np.int64))
-    # the codes of short distances are left to other encoders, but for the pixel before
-    distance = _prefix(np.array([2 if r[2] == 1 else r[2] + len(NEAR) for r in refs], np.int64))
+    distance = _prefix(_distance_codes(np.array([r[2] for r in refs], np.int64)))
     green[is_ref] = LITERALS + length[0]
     literal = ~is_ref & ~is_cached
     group = np.zeros(len(places), np.int64) if tiles is None else tiles[(places // width) >> tile_bits, (places % width) >> tile_bits].astype(np.int64)
@@ -617,8 +737,7 @@ def encode(argb: np.ndarray, refs: list[tuple[int, int, int]] = (), cache_bits:
     height, width = argb.shape
     argb = argb.astype(np.uint32)
     w = Writer()
-    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
-        w.put(value, n)
+    _write_head(w, height, width)
     for kind, *how in transforms:
         w.put(1, 1)
         w.put(kind, 2)
@@ -654,5 +773,23 @@ def encode(argb: np.ndarray, refs: list[tuple[int, int, int]] = (), cache_bits:
             argb = (index << (np.arange(1 << wide, dtype=np.uint32) * np.uint32(8 >> wide))).sum(-1, dtype=np.uint32) << np.uint32(8) | np.uint32(0xFF000000)
     w.put(0, 1)
     _write_image(w, argb, True, refs, cache_bits, tiles, tile_bits)
+    return _file(w)
+
+
+def encode_green(green: np.ndarray, refs: list[tuple[int, int, int]] = ()) -> bytes:
+    """What ``encode`` gives for an opaque picture of these green samples (uint8) without red and blue, made sooner."""
+    w = Writer()
+    _write_head(w, *green.shape)
+    w.put(0, 3)  # no transforms, no colour cache, no tiles
+    _write_green(w, green.reshape(-1), [0, 0, 255], refs)
+    return _file(w)
+
+
+def _write_head(w: Writer, height: int, width: int) -> None:
+    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
+        w.put(value, n)
+
+
+def _file(w: Writer) -> bytes:
     data = w.bytes()
     return b"RIFF" + struct.pack("<I", 12 + len(data) + (len(data) & 1)) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)

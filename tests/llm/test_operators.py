@@ -3,6 +3,8 @@
 import hashlib
 import os
 import re
+import struct
+import sys
 import time
 import tracemalloc
 import zlib
@@ -554,6 +556,56 @@ def test_media(spark, monkeypatch):
     assert media.from_picture(media.to_picture(wide), len(wide)).tobytes() == wide
 
 
+def passages(n):
+    """Texts of about 2.5 kB whose letters differ in frequency, every third with a passage that occurs twice."""
+    rng = np.random.default_rng(7)
+    letters = np.frombuffer(b"eeeeeeeeettttttaaaaaooooiiiinnnssshhhrrrddlluucmwfgypbvkjxqz, . TAIOSW\n     ", np.uint8)
+    texts = [letters[rng.integers(0, len(letters), 2304)].tobytes() for _ in range(n)]
+    return [t[:1200] + t[100:700] + t[1200:1704] if k % 3 == 0 else t for k, t in enumerate(texts)]
+
+
+def test_stored_pictures_stay_as_they_were():
+    payloads = [*passages(60), bytes(range(256)) * 9, bytes(k // 3 % 256 for k in range(5760)), b"ab" * 288, b"\xff" * 576]
+    payloads.append(b"".join(bytes([k]) * (1 << k) for k in range(17)) + b"\0" * 257)  # codes cut at 15 bits
+    stored = [media.to_picture(p) for p in payloads]
+    assert hashlib.sha256(b"".join(stored)).hexdigest() == "9675313ce13949483ba3994596b9fcf579eb134a6a7a3fd0129a91921e64b3e3"
+    for m, p in zip(stored, payloads, strict=True):
+        assert media.from_picture(m, len(p)).tobytes() == p
+        x = np.frombuffer(p, np.uint8).reshape(-1, 576)
+        argb, refs = x.astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000), media.repeats(x.reshape(-1))
+        assert webp.encode_green(x, refs) == webp.encode(argb, refs)
+
+
+def test_pictures_take_few_calls():
+    # most of a picture's time are calls, whatever the machine: 1,545 a text when each code and bit was a call of its own
+    payloads, calls = passages(100), 0
+    stored = [media.to_picture(p) for p in payloads]  # tables that are made once
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        for m, p in zip(stored, payloads, strict=True):
+            media.from_picture(media.to_picture(p), len(p))
+    finally:
+        sys.setprofile(None)
+    assert calls < 900 * len(payloads)
+
+
+def test_webp_symbol_outside_its_alphabet():
+    w = webp.Writer()
+    for value, n in ((0x2F, 8), (3, 14), (3, 14), (1, 1), (0, 3), (0, 3)):
+        w.put(value, n)
+    for symbol in (1, 0, 0, 255, 200):  # 200 is no distance
+        for value, n in ((1, 1), (0, 1), (1, 1), (symbol, 8)):
+            w.put(value, n)
+    data = w.bytes() + bytes(9)
+    with pytest.raises(ValueError):
+        webp.decode(b"RIFF" + struct.pack("<I", 12 + len(data)) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data)
+
+
 def test_entropy_levels_against_brute_force():
     rng = np.random.default_rng(4)
     x = np.concatenate((rng.integers(97, 110, 300), np.full(100, 97), rng.integers(0, 256, 200))).astype(np.uint8)
