@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import mmap
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import models
@@ -12,28 +16,58 @@ from ..functions.draws import multinomial
 from ..functions.numerics import c_div
 from ..functions.thresholds import P_VALUE, anchor_threshold
 from ..sources.shared import written
-from .anchors import OVERLAP, Query, State, Subject, walk, walk_block
+from .anchors import IN_MEMORY, OVERLAP, Query, State, Subject, room, walk, walk_block
+from .lanes import walk_lanes
 from .sequences import subjects
 
 PAIRS = "subject_id long, query_id long, counts array<long>, seq_len long"
 WALKS = "subject_id long, query_id long, block int, counts array<long>, seq_len long, began string, ended string"
-#: Letters of a block of subjects, and of a block of queries, whose words a task holds in order; partitions that blocks are dealt to.
+ARROW = pa.schema([("subject_id", pa.int64()), ("query_id", pa.int64()), ("block", pa.int32()), ("counts", pa.list_(pa.int64())), ("seq_len", pa.int64()), ("began", pa.string()), ("ended", pa.string())])
+#: Letters of a block of subjects, and of a block of queries; partitions that blocks are dealt to.
 BLOCK, QUERY_BLOCK, MOST_TASKS = 1 << 23, 1 << 25, 10_000
+#: Letters before a block of a query by which its first state is guessed; letters from which a query is walked by lanes.
+LEAD, LONG = 4096, 1 << 15
+#: Rows of a task, in this order.
+STATE, QUERY, SUBJECT = 0, 1, 2
+_UNPACKED = np.frombuffer(b"ACGT!", np.uint8).take(np.stack((np.arange(256) >> 4, np.arange(256) & 15), axis=1), mode="clip")
 _COMPLEMENT = np.full(256, ord(";"), np.uint8)
 _COMPLEMENT[list(b"ACGT")] = list(b"TGCA")
 
 
-def _assembled(places: pd.Series, pieces: pd.Series, low: int, high: int) -> np.ndarray:
-    """The symbols from ``low`` to ``high`` of pieces at their places, with ! where none is."""
-    out = np.full(high - low, ord("!"), np.uint8)
-    for at, piece in zip(places, pieces, strict=True):
-        out[at - low : at - low + len(piece)] = np.frombuffer(piece.encode(), np.uint8)
-    return out
+def _packed(letters: Column) -> Column:
+    """Symbols A C G T ! at two to a byte; an odd number has a zero before it."""
+    return F.unhex(F.translate(letters, "ACGT!", "01234"))
+
+
+class _Pieces:
+    """The packed pieces of a batch: letters that are copied to their places."""
+
+    def __init__(self, column: pa.Array):
+        kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+        _, offsets, data = column.buffers()
+        self.offsets = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].tolist() if len(column) else [0]
+        self.data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+
+    def copy(self, row: int, size: int, out: np.ndarray, at: int) -> None:
+        if size:
+            out[at : at + size] = _UNPACKED[self.data[self.offsets[row] : self.offsets[row + 1]]].reshape(-1)[-size:]
 
 
-def _strands(seq: np.ndarray) -> bytes:
-    """Both strands of a sequence, as ``both_strands``."""
-    return np.concatenate((_COMPLEMENT[seq[::-1]], np.frombuffer(b"#", np.uint8), seq)).tobytes()
+def _opened(size: int, before: int = 0) -> tuple[bytearray | mmap.mmap, np.ndarray]:
+    """Room for symbols that come in pieces, ! where none does, after as many others; and the view that they are copied to."""
+    space = room(before + size)
+    view = np.frombuffer(space, np.uint8)[before:] if before + size else np.zeros(0, np.uint8)
+    view[:] = ord("!")
+    return space, view
+
+
+def _both_strands(space: bytearray | mmap.mmap, n: int) -> None:
+    """Puts a sequence's other strand and # before it, as ``both_strands``."""
+    out = np.frombuffer(space, np.uint8)
+    for at in range(0, n, IN_MEMORY):
+        to = min(at + IN_MEMORY, n)
+        out[at:to] = _COMPLEMENT[out[2 * n + 1 - to : 2 * n + 1 - at][::-1]]
+    out[n] = ord("#")
 
 
 def _thresholds(pieces: DataFrame, sizes: DataFrame, p_value: float) -> DataFrame:
@@ -45,16 +79,21 @@ def _thresholds(pieces: DataFrame, sizes: DataFrame, p_value: float) -> DataFram
 
 
 def _blocks(pieces: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
-    """(query, block, at, piece, n): pieces cut for blocks of queries, each with the OVERLAP that follows it."""
-    rows = pieces.join(sizes.select("seq_id", F.col("len").cast("long").alias("n")), "seq_id")
+    """(query, block, rank, at, piece, n): pieces cut for blocks of queries, each with the LEAD before it and the OVERLAP after it."""
+    rows = pieces.join(sizes.select("seq_id", F.col("len").cast("long").alias("n"), "rank"), "seq_id")
     end = F.col("place") + F.length("seq")
     first = F.greatest(F.col("place") - OVERLAP, F.lit(0)).cast("long")
-    last = F.greatest(end - 1, F.lit(0)).cast("long")
+    last = F.greatest(F.least(end + LEAD, F.col("n")) - 1, F.lit(0)).cast("long")
     rows = rows.withColumn("block", F.explode(F.sequence(F.expr("0L") + F.floor(first / block), F.floor(last / block))))
-    low = F.greatest(F.col("block") * block, F.col("place"))
+    low = F.greatest(F.col("block") * block - LEAD, F.col("place"))
     high = F.least((F.col("block") + 1) * block + OVERLAP, end)
     piece = F.substring("seq", (low - F.col("place") + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int"))
-    return rows.select(F.col("seq_id").alias("query"), F.col("block").cast("int").alias("block"), low.alias("at"), piece.alias("piece"), "n")
+    return rows.select(F.col("seq_id").alias("query"), F.col("block").cast("int").alias("block"), "rank", low.alias("at"), piece.alias("piece"), "n")
+
+
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """Sizes with a rank, the longest first: blocks that are dealt by it are of like sizes."""
+    return sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("len").desc(), "seq_id")) - 1)
 
 
 def piece_counts(
@@ -65,67 +104,110 @@ def piece_counts(
 
     ``pieces``: (seq_id, place, seq), for a sequence without symbols one row; ``sizes``: (seq_id, len); ``queries``: others
     to compare them with. Subjects and queries are dealt into blocks, and a task compares one block of each: every subject
-    is sent to ``query_blocks`` tasks and every query to ``subject_blocks``. A task sorts its queries' words once and
-    indexes its subjects one after the other, large ones by sections. By default there are at least 64 blocks of subjects,
-    if there are as many, or as many as hold BLOCK letters each.
+    is sent to ``query_blocks`` tasks and every query to ``subject_blocks``. A task reads its rows as a stream, keeps long
+    sequences in files that go with it, and indexes its subjects one after the other. By default there are at least 64 blocks
+    of subjects, if there are as many, or as many as hold BLOCK letters each.
 
     A query of more than ``block`` letters is walked in blocks by different tasks. Where a block's walk begins depends on
-    the one before: it is guessed first, and blocks whose guess was wrong are walked again from where the one before ended,
-    until all agree. The first block is right at once, and a wrong guess seldom reaches the next block's end.
+    the one before: it is guessed first, by a walk of the letters before it, and blocks whose guess was wrong are walked
+    again from where the one before ended, until all agree. The first block is right at once, and a wrong guess seldom
+    reaches the next block's end.
     """
     fourths = models.model_name(model) in models.BY_FOURTHS
-    known = written(_thresholds(pieces, sizes, p_value), "thresholds")
-    others, other_sizes = (pieces, sizes) if queries is None else queries
+    known = written(_ranked(_thresholds(pieces, sizes, p_value)), "thresholds")
+    others, other_sizes = (pieces, known) if queries is None else (queries[0], written(_ranked(queries[1].select("seq_id", "len")), "sizes"))
     of = lambda rows: rows.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0)), F.coalesce(F.max("len"), F.lit(0))).first()
     n, letters, _ = of(known)
     m, query_letters, longest = of(other_sizes)
     subject_blocks = subject_blocks or max(1, min(n, max(64, -(-letters // BLOCK))))
     # small ones are dealt to enough tasks all the same
     query_blocks = query_blocks or max(1, min(m + query_letters // block, max(-(-query_letters // block), -(-40 // subject_blocks))))
-    hashed = lambda of, *c: F.pmod(F.xxhash64(*c), F.lit(of)).cast("int")
+    dealt = lambda of, rank: F.pmod(rank, F.lit(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    left = pieces.join(known, "seq_id").select(F.col("seq_id").alias("subject"), "place", "seq", "len", "threshold", hashed(subject_blocks, "seq_id").alias("sb"))
-    right = _blocks(others, other_sizes, block).withColumn("qb", hashed(query_blocks, "query", "block"))
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        asked = b[b["subject"].notna()]
-        states = {(int(s), int(q), int(k)): State.from_json(x) for s, q, k, x in zip(asked["subject"], asked["query"], asked["block"], asked["state"], strict=True)}
-        found = []
-        for (qid, k), rows in b[b["subject"].isna()].groupby(["query", "block"], sort=False):
-            qid, k, total = int(qid), int(k), int(rows["n"].iloc[0])
-            low, high = k * block, min(total, (k + 1) * block + OVERLAP)
-            found.append((qid, k, Query(_assembled(rows["at"], rows["piece"], low, high).tobytes(), low, min(total, (k + 1) * block), total)))
-        out = []
-        for sid, rows in a.groupby("subject", sort=False) if found else ():
-            sid = int(sid)
-            wanted = [(q, k, x) for q, k, x in found if q != sid and (not states or (sid, q, k) in states)]
-            threshold, index = rows["threshold"].iloc[0], None
-            if wanted and not pd.isna(threshold):
-                index = Subject(_strands(_assembled(rows["place"], rows["seq"], 0, int(rows["len"].iloc[0]))), int(threshold))
-            for q, k, x in wanted:
-                state = states.get((sid, q, k)) or State(pos=x.begin)
-                counts, after = walk_block(index, x, fourths, state) if index else ([0] * 16, state)
-                out.append((sid, q, k, counts, x.total, state.to_json(), after.to_json()))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in WALKS.split(", ")])
-
-    # as many groups as there are tasks to fill: none is left to share one with another by chance
-    deal = lambda rows: rows.repartition(min(4 * subject_blocks * query_blocks, MOST_TASKS), "sb", "qb").groupBy("sb", "qb")
-    none = [F.lit(None).cast("long").alias("subject"), F.lit(None).cast("string").alias("state")]
-    columns = ["query", "block", "at", "piece", "n", "subject", "state", "qb", "sb"]
-
-    def walked(left: DataFrame, right: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    none = lambda kind: F.lit(None).cast(kind)
+    number = lambda x: F.lit(x).cast("long")
+    left = pieces.join(known, "seq_id").select(
+        dealt(subject_blocks, F.col("rank")).alias("sb"), F.lit(SUBJECT).alias("kind"), F.col("seq_id").alias("id"), F.lit(0).alias("block"), F.col("place").alias("at"), _packed(F.col("seq")).alias("piece"),
+        F.length("seq").alias("size"), F.col("len").alias("n"), "threshold", none("long").alias("subject"), none("string").alias("state"),
+    )
+    right = _blocks(others, other_sizes, block).select(
+        dealt(query_blocks, F.col("rank") + F.col("block")).alias("qb"), F.lit(QUERY).alias("kind"), F.col("query").alias("id"), "block", "at", _packed(F.col("piece")).alias("piece"),
+        F.length("piece").alias("size"), "n", none("int").alias("threshold"), none("long").alias("subject"), none("string").alias("state"),
+    )
+    columns = ["sb", "qb", "kind", "id", "block", "at", "piece", "size", "n", "threshold", "subject", "state"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, now, states, found, subject = None, None, {}, [], None
+
+        def counted() -> list[tuple]:
+            """Rows of the subject that has been read, and all blocks of queries of its group."""
+            if subject is None:
+                return []
+            sid, space, _, total, threshold = subject
+            out, index = [], None
+            for q, k, text, _, n in found:
+                if q == sid or states and (sid, q, k) not in states:
+                    continue
+                if index is None and threshold is not None:
+                    _both_strands(space, total)
+                    index = Subject(space, threshold)
+                low, high = k * block, min(n, (k + 1) * block)
+                state, counts, after = states.get((sid, q, k)), [0] * 16, State()
+                if index is not None:
+                    lead = min(low, LEAD)
+                    if state is None:
+                        state = walk_block(index, Query(bytes(text[: lead + OVERLAP]), low - lead, low, n), fourths, State(pos=low - lead))[1] if lead else State()
+                    body = Query(text[lead:] if lead else text, low, high, n)
+                    counts, after = (walk_lanes if high - low >= LONG else walk_block)(index, body, fourths, state)
+                out.append((sid, q, k, [int(x) for x in counts], n, (state or after).to_json(), after.to_json()))
+            return out
+
+        def rows(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), ARROW.types)], schema=ARROW)
+
+        for batch in batches:
+            packed = _Pieces(batch.column("piece"))
+            for row, (sb, qb, kind, name, k, at, size, n, threshold, of, state) in enumerate(zip(*(batch.column(c).to_pylist() for c in columns if c != "piece"))):
+                if (sb, qb) != group:
+                    yield from rows(counted())
+                    group, now, states, found, subject = (sb, qb), None, {}, [], None
+                if kind == STATE:
+                    states[of, name, k] = State.from_json(state)
+                    continue
+                if (kind, name, k) != now:
+                    now = (kind, name, k)
+                    if kind == QUERY:
+                        low, high = max(0, k * block - LEAD), min(n, (k + 1) * block + OVERLAP)
+                        text, view = _opened(high - low)
+                        found.append((name, k, text, low, n))
+                    else:
+                        yield from rows(counted())
+                        low, (space, view) = 0, _opened(n, n + 1)
+                        subject = (name, space, view, n, threshold)
+                packed.copy(row, size, view, at - low)
+        yield from rows(counted())
+
+    def walked(asked: DataFrame | None = None) -> DataFrame:
         if asked is None:
-            left, right = left.withColumn("qb", every(query_blocks)), right.select("*", *none, every(subject_blocks).alias("sb"))
+            rows = left.withColumn("qb", every(query_blocks)).select(columns).unionByName(right.withColumn("sb", every(subject_blocks)).select(columns))
         else:
-            where = asked.select("subject", "query", "block", "state", hashed(subject_blocks, "subject").alias("sb"), hashed(query_blocks, "query", "block").alias("qb"))
-            left = left.join(where.select("subject", "qb").distinct(), "subject")
-            right = right.join(where.select("query", "block", "sb").distinct(), ["query", "block"]).select("*", *none)
-            right = right.select(columns).unionByName(where.select("*", F.lit(0).cast("long").alias("at"), F.lit("").alias("piece"), F.lit(0).cast("long").alias("n")).select(columns))
-        return deal(left).cogroup(deal(right.select(columns))).applyInPandas(run, WALKS)
-
-    found = walked(left, right)
+            ranks = known.select(F.col("seq_id").alias("subject"), dealt(subject_blocks, F.col("rank")).alias("sb"))
+            places = other_sizes.select(F.col("seq_id").alias("query"), F.col("rank").alias("of"))
+            where = asked.join(ranks, "subject").join(places, "query").withColumn("qb", dealt(query_blocks, F.col("of") + F.col("block")))
+            rows = left.join(where.select(F.col("subject").alias("id"), "qb").distinct(), "id").select(columns)
+            rows = rows.unionByName(right.join(where.select(F.col("query").alias("id"), "block", "sb").distinct(), ["id", "block"]).select(columns))
+            states = where.select(
+                "sb", "qb", F.lit(STATE).alias("kind"), F.col("query").alias("id"), "block", number(0).alias("at"), none("binary").alias("piece"), F.lit(0).alias("size"), number(0).alias("n"), none("int").alias("threshold"), "subject", "state",
+            )
+            rows = rows.unionByName(states.select(columns))
+        # as many groups as there are tasks to fill: none is left to share one with another by chance
+        rows = rows.repartition(min(4 * subject_blocks * query_blocks, MOST_TASKS), "sb", "qb").sortWithinPartitions("sb", "qb", "kind", "id", "block", "at")
+        return rows.mapInArrow(run, WALKS)
+
+    found = walked()
     if longest > block:
-        found = _settled(found, lambda asked: walked(left, right, asked))
+        found = _settled(found, walked)
         sums = [F.sum(F.col("counts")[k]).alias(f"c{k}") for k in range(16)]
         found = found.groupBy("subject_id", "query_id").agg(*sums, F.max("seq_len").alias("seq_len"))
         found = found.withColumn("counts", F.array(*(f"c{k}" for k in range(16))))

@@ -518,3 +518,65 @@ def test_draws(spark):
         assert np.allclose(got.var(axis=0), sd**2, rtol=0.15, atol=0.05)
         if total > 1000:
             assert np.corrcoef(got[:, 5], got[:, 15])[0, 1] == pytest.approx(-np.sqrt(p[5] * p[15] / ((1 - p[5]) * (1 - p[15]))), abs=0.06)
+
+
+def test_lanes_against_the_plain_walk(monkeypatch):
+    """Lanes, words in large groups, letters in files and cut queries give the anchors and counts of a walk place by place."""
+    from helixframe.operators import anchors, lanes
+
+    rng = random.Random(5)
+    monkeypatch.setattr(anchors, "IN_MEMORY", 100)
+    for _ in range(120):
+        for name, choices in {"LANE": (16, 64, 200), "LEAD": (0, 8, 50), "SEGMENT": (300, 1 << 22), "FEW": (0, 1, 64), "ROUNDS": (0, 1, 16)}.items():
+            monkeypatch.setattr(lanes, name, rng.choice(choices))
+        s, q, least = _odd_pair(rng)
+        q, fourths, want, got, state, total = q * rng.choice([1, 1, 3]), rng.random() < 0.5, [], [], State(), np.zeros(16, np.int64)
+        counts = walk(Subject(strands(s), least), q, fourths, want).tolist()
+        subject, overlap = Subject(strands(s), least, rng.choice([40, 300, 1 << 25])), rng.choice([30, 64])
+        cuts = [0, *sorted(rng.sample(range(1, len(q)), min(len(q) - 1, rng.choice([0, 1, 3])))), len(q)] if len(q) > 1 else [0, len(q)]
+        for low, high in zip(cuts, cuts[1:]):
+            more, state = lanes.walk_lanes(subject, Query(q[low : high + overlap], low, high, len(q)), fourths, state, got)
+            state, total = State.from_json(state.to_json()), total + more
+        assert got == want and total.tolist() == counts
+
+
+def test_memory_of_an_indexed_pair(monkeypatch):
+    """Building an index takes a few bytes a symbol, a walk over it next to none for each letter of the query."""
+    import tracemalloc
+
+    from helixframe.operators import anchors, lanes
+
+    letters = np.frombuffer(b"ACGT", np.uint8)[np.random.default_rng(2).integers(0, 4, 800_000)].tobytes()
+    for name in ("SORTED", "STRETCH", "IN_MEMORY"):
+        monkeypatch.setattr(anchors, name, 1 << 16)
+    monkeypatch.setattr(lanes, "SEGMENT", 1 << 16)
+    both, query = strands(letters.decode()).encode(), Query(letters[3:400_000] + letters[500_000:])
+    tracemalloc.start()
+    try:
+        for section, most in ((1 << 24, 16), (1 << 20, 8)):
+            tracemalloc.reset_peak()
+            subject = Subject(both, 15, section)
+            assert subject.index.n == len(both)
+            assert tracemalloc.get_traced_memory()[1] < most * len(both)
+            tracemalloc.reset_peak()
+            before = tracemalloc.get_traced_memory()[0]
+            counts, _ = lanes.walk_lanes(subject, query, True)
+            assert counts.sum() == len(query.bytes) - 1 and tracemalloc.get_traced_memory()[1] - before < 8 * len(query.bytes)
+            del subject
+    finally:
+        tracemalloc.stop()
+
+
+def test_long_genomes_in_blocks_by_lanes(spark, monkeypatch):
+    from helixframe.operators import pairs as module
+
+    monkeypatch.setattr(module, "LONG", 100)
+    monkeypatch.setattr(module, "LEAD", 200)
+    rng = random.Random(6)
+    base = "".join(rng.choice("ACGT") for _ in range(4000)) * 2 + "AC" * 400
+    texts = [base, "".join(rng.choice("ACGT") if rng.random() < 0.02 else x for x in base)[500:], "", revcomp(base[1000:7000]) + "!" + base[:900]]
+    rows = _seqs(spark, texts)
+    found = pairs.piece_counts(*pairs.in_pieces(rows), "ani", block=1500).collect()
+    assert len(found) == 12
+    plain = {(r["subject_id"], r["query_id"]): r["counts"] for r in pairs.pair_counts_within(rows.withColumn("k", F.lit(0).cast("long")), "k", "ani").collect()}
+    assert all(r["counts"] == plain[r["subject_id"], r["query_id"]] for r in found)
