@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .anchors import OVERLAP, WORD, Query, State, Subject, _cells, _equal_cells, _words_at, common_prefix
+from .anchors import OVERLAP, WORD, Query, State, Subject, _cells, _common, _equal_cells, _words_at, common_prefix
 
 #: Letters of a lane, and before it where its walk begins; letters of lanes that are walked at once; places of a word that are
 #: compared one by one; times that lanes are walked again together before they are one after the other.
@@ -18,28 +18,6 @@ LANE, LEAD, SEGMENT, FEW, ROUNDS = 1024, 256, 1 << 23, 64, 16
 _FAR = -(1 << 60)
 
 
-def _eight(letters: np.ndarray) -> np.ndarray:
-    return np.ndarray((max(len(letters) - 7, 0),), "<u8", letters, 0, (1,))
-
-
-def _common(query: Query, i: np.ndarray, subject: Subject, j: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """How many symbols a query's letters from ``i`` on and a subject's from ``j`` on share, each ``most`` at most."""
-    q, s, n = _eight(query.letters), _eight(subject.letters), np.zeros(len(i), np.int64)
-    live = np.flatnonzero(most > 0)
-    while len(live):
-        a, b = i[live] + n[live], j[live] + n[live]
-        inside = (a < len(q)) & (b < len(s))
-        if not inside.all():
-            for k in live[~inside].tolist():
-                n[k] += common_prefix(query.bytes, int(i[k] + n[k]), subject.bytes, int(j[k] + n[k]))
-            live, a, b = live[inside], a[inside], b[inside]
-        differ = q[a] ^ s[b]
-        same = np.where(differ == 0, 8, (np.frexp((differ & (~differ + np.uint64(1))).astype(np.float64))[1] - 1) >> 3)
-        n[live] += same
-        live = live[(same == 8) & (n[live] < most[live])]
-    return np.minimum(n, most)
-
-
 def _advance(subject: Subject, query: Query, pos: np.ndarray, diagonal: np.ndarray, end_q: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Walks from these places (with the last anchor's diagonal and end) up to limits; the arrays then tell where they stand.
 

@@ -580,3 +580,23 @@ def test_long_genomes_in_blocks_by_lanes(spark, monkeypatch):
     assert len(found) == 12
     plain = {(r["subject_id"], r["query_id"]): r["counts"] for r in pairs.pair_counts_within(rows.withColumn("k", F.lit(0).cast("long")), "k", "ani").collect()}
     assert all(r["counts"] == plain[r["subject_id"], r["query_id"]] for r in found)
+
+
+def test_longest_matches_at_once_and_by_tasks(spark, monkeypatch):
+    """Places are compared together or, where words are common or matches long, one by one; the letters of few files are dealt to many tasks."""
+    from helixframe.operators import anchors
+
+    rng = random.Random(10)
+    for _ in range(40):
+        monkeypatch.setattr(anchors, "AT_ONCE", rng.choice([1, 3, 20]))
+        s, q, _ = _odd_pair(rng)
+        q = q[:150]
+        lengths, only = Subject(strands(s), 1).longest_matches(Query(q), 0, 2 * len(s) + 1)
+        assert [(k, n, x if x >= 0 else None) for k, (n, x) in enumerate(zip(lengths.tolist(), only.tolist()))] == _brute_matches(s, q)
+    monkeypatch.undo()
+    monkeypatch.setattr(traces, "LETTERS", 100)
+    texts = ["".join(rng.choice("ACGT") for _ in range(90)) for _ in range(12)]
+    rows = traces.sequence_pairs(_seqs(spark, texts), spark.createDataFrame([(a, a + 1) for a in range(11)], "subject_id long, query_id long")).coalesce(1)
+    found = traces.longest_matches(rows)
+    assert found.groupBy(F.spark_partition_id()).count().count() > 3
+    assert {(r["subject_id"], r["place"], r["length"], r["only_place"]) for r in found.collect()} == {(a, *x) for a in range(11) for x in _brute_matches(texts[a], texts[a + 1])}
